@@ -5,13 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUM = r"^\s*[+-]?\d+\s*$"
-
-
-def _int(part: Column) -> Column:
-    return F.when(part.rlike(_NUM), F.trim(part).cast("long"))
-
-
 def hms_to_sec(text: Column, policy: str = "zero") -> Column:
     """Seconds of `HH:MM:SS`. What bad input gives depends on the policy.
 
@@ -23,7 +16,7 @@ def hms_to_sec(text: Column, policy: str = "zero") -> Column:
     """
     parts = F.split(F.trim(text) if policy != "decimal" else text, ":")
     n = F.size(parts)
-    a, b, c = (_int(F.get(parts, F.lit(i))) for i in range(3))
+    a, b, c = (F.get(parts, F.lit(i)).try_cast("long") for i in range(3))
     three = a * 3600 + b * 60 + c
     two = a * 60 + b
     if policy in ("zero", "null"):

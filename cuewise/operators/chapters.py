@@ -102,3 +102,19 @@ def frame_numbers(points: Column, fps: float, duration: Column) -> Column:
     """Distinct frame numbers of time points, below the frame count."""
     frames = F.transform(points, lambda p: F.floor(p * F.lit(fps)))
     return F.array_sort(F.array_distinct(F.filter(frames, lambda f: f < F.floor(duration * F.lit(fps)))))
+
+
+def filter_list(maps: DataFrame, limit: Column | None = None) -> DataFrame:
+    """Chapter list filter over `(video_id, stamp, title, pos)`.
+
+    With a limit: sorted and cut after it. Without: the whole list is dropped when the
+    stamps fall. Blank titles go; a lone 00:00:00 leaves nothing.
+    """
+    w = Window.partitionBy("video_id")
+    if limit is not None:
+        rows = maps.where(F.col("stamp") <= limit)
+    else:
+        falls = F.coalesce(F.col("stamp") < F.lag("stamp").over(w.orderBy("pos")), F.lit(False))
+        rows = maps.withColumn("_f", falls).withColumn("_f", F.max("_f").over(w)).where("NOT _f").drop("_f")
+    rows = rows.where("title <> ''").withColumn("_n", F.count(F.lit(1)).over(w))
+    return rows.where(~((F.col("_n") == 1) & (F.col("stamp") == "00:00:00"))).drop("_n")

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["timebase"]
+MODULES = ["timebase", "scoring"]
 
 
 def load_all() -> None:

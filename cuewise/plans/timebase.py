@@ -213,7 +213,11 @@ def x24(t):
         "equal": ch.equal_points(d, 10), "interval": ch.interval_points(d, 60.0), "middle": ch.midpoints(d, 15),
         "fallback": ch.fallback_points(d, 300), "frame": ch.frame_numbers(ch.equal_points(d, 10), 2.5, d),
     }
-    rows = F.concat(*[F.transform(v, lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.cast("double").alias("pt"))) for k, v in kinds.items()])
+
+    def tagged(kind, points):
+        return F.transform(points, lambda x: F.struct(F.lit(kind).alias("kind"), x.cast("double").alias("pt")))
+
+    rows = F.concat(*[tagged(k, v) for k, v in kinds.items()])
     out = t.dur.select("video_id", F.explode(rows).alias("r"))
     return out.select("video_id", "r.kind", F.round("r.pt", 6).alias("pt"))
 
