@@ -36,3 +36,26 @@ def prompt_tokens(text: Column) -> Column:
     han = count_of(text, HAN)
     rest = F.greatest(F.lit(1).cast("long"), F.floor((F.length(text) - han) / 4))
     return F.when(F.length(text) == 0, F.lit(0).cast("long")).otherwise(han + rest)
+
+
+# Overlay and boilerplate patterns of slide and speech text.
+CLOCK_OVERLAY = r"(?U)\b\d{2}:\d{2}:\d{2}\b"
+DATE_OVERLAY = r"(?U)\b(?:\d{4}/\d{1,2}/\d{1,2}|202\d-\d{1,2}-\d{1,2})\b"
+DEGREE_OVERLAY = r"(?U)[℃°]\s*\S*"
+WATERMARKS = r"(?U)(?:聯成電腦|Amara\.org|Google|msn)\S*"
+SUBTITLE_CREDIT = r"(?U)(字幕由\s*Amara\.org\s*社群提供\s*){2,}"
+
+
+def squeeze(c: Column) -> Column:
+    """Runs of two or more white space characters become one space; ends trimmed."""
+    return strip(F.regexp_replace(c, r"(?U)\s{2,}", " "))
+
+
+def clean_slide_text(c: Column, watermarks: bool = False) -> Column:
+    for pattern in (CLOCK_OVERLAY, DATE_OVERLAY, DEGREE_OVERLAY) + ((WATERMARKS,) if watermarks else ()):
+        c = F.regexp_replace(c, pattern, " ")
+    return squeeze(c)
+
+
+def clean_speech_text(c: Column) -> Column:
+    return squeeze(F.regexp_replace(c, SUBTITLE_CREDIT, " "))

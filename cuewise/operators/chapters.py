@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewise.functions.timefmt import sec_to_hms
-from cuewise.operators.ranges import point_join
+from cuewise.operators.ranges import overlap_join, point_join
 
 
 def chapter_map(chapters: DataFrame) -> DataFrame:
@@ -118,3 +118,75 @@ def filter_list(maps: DataFrame, limit: Column | None = None) -> DataFrame:
         rows = maps.withColumn("_f", falls).withColumn("_f", F.max("_f").over(w)).where("NOT _f").drop("_f")
     rows = rows.where("title <> ''").withColumn("_n", F.count(F.lit(1)).over(w))
     return rows.where(~((F.col("_n") == 1) & (F.col("stamp") == "00:00:00"))).drop("_n")
+
+
+def nearest_frame(stamps: DataFrame, frames: DataFrame, max_gap: float) -> DataFrame:
+    """Closest frame `x` of each stamp by position ratio, the earlier one on ties; null beyond `max_gap` seconds.
+
+    One pass over the tagged union: only the neighbour on each side can be the closest.
+    """
+    rows = stamps.select("video_id", F.col("start_s").alias("x"), "idx", "duration", F.lit(None).cast("long").alias("f")).unionByName(
+        frames.select("video_id", "x", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("int").alias("duration"), F.col("x").alias("f")))
+    w = Window.partitionBy("video_id").orderBy("x")
+    near = rows.select("*", F.max("f").over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("before"),
+                       F.min("f").over(w.rangeBetween(0, Window.unboundedFollowing)).alias("after")).where("idx IS NOT NULL")
+    d = F.col("duration").cast("double")
+
+    def off(c):
+        return F.abs(F.col(c) / d - F.col("x") / d)
+
+    best = F.when(F.col("after").isNull() | (off("before") <= off("after")), F.col("before")).otherwise(F.col("after"))
+    return near.withColumn("frame", best).withColumn("frame", F.when(F.abs(F.col("frame") / d * d - F.col("x")) <= max_gap, F.col("frame")))
+
+
+def topic_times(topics: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Time of the first chapter whose title holds one of the topic's first three words
+    (longer than one character); else the start of the topic's time range; else empty."""
+    lists = chapters.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("idx", "stamp", F.col("title").alias("ct")))).alias("_c"))
+    words = F.slice(F.filter(F.split("title", " "), lambda w: F.length(w) > 1), 1, 3)
+    joined = topics.join(lists, "video_id", "left").withColumn("_w", words)
+    hit = F.filter("_c", lambda c: F.exists("_w", lambda w: F.contains(c["ct"], w)))
+    start = F.when(F.contains("time_range", F.lit("-")), F.trim(F.split("time_range", "-")[0])).otherwise(F.col("time_range"))
+    title = F.when(F.length("title") > 50, F.concat(F.substring("title", 1, 47), F.lit("..."))).otherwise(F.col("title"))
+    return joined.select("video_id", "idx", title.alias("title"), F.coalesce(F.get(hit, F.lit(0))["stamp"], start, F.lit("")).alias("time"))
+
+
+def caption_pairs(refs: DataFrame, preds: DataFrame, pairs: DataFrame, thresholds=(0.3, 0.5, 0.7, 0.9)) -> DataFrame:
+    """Predictions per threshold with every reference reaching it, else one row with a null reference."""
+    t = F.explode(F.array(*[F.lit(x) for x in thresholds]))
+    passing = pairs.select("video_id", "i", "j", "iou", t.alias("tiou")).where("iou >= tiou").drop("iou").join(
+        refs.select("video_id", F.col("idx").cast("long").alias("i"), F.col("title").alias("ref_title")), ["video_id", "i"])
+    all_preds = preds.select("video_id", F.col("idx").cast("long").alias("j"), F.col("title").alias("pred_title"), t.alias("tiou"))
+    return all_preds.join(passing, ["video_id", "j", "tiou"], "left").select("tiou", "video_id", "j", "i", "pred_title", "ref_title")
+
+
+def block_titles(bounds: DataFrame, titles: DataFrame, segs: DataFrame) -> DataFrame:
+    """Distinct forward bounds with the title of the same rounded bounds and the number of segments they touch."""
+    blocks = bounds.where("e > s").distinct()
+    key = [F.round("s", 3).alias("rs"), F.round("e", 3).alias("re")]
+    named = blocks.select("video_id", "s", "e", *key).join(titles.select("video_id", *key, "title"), ["video_id", "rs", "re"], "left")
+    hit = overlap_join(blocks, segs.select("video_id", "seg_idx", "start_s", "end_s"), ["video_id"], "s", "e", "start_s", "end_s",
+                       (F.col("end_s") >= F.col("s")) & (F.col("start_s") <= F.col("e")), 600.0)
+    n = hit.groupBy("video_id", "s", "e").agg(F.count(F.lit(1)).alias("n"))
+    return named.join(n, ["video_id", "s", "e"], "left").select(
+        "video_id", F.col("s").alias("start_s"), F.col("e").alias("end_s"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("n", F.lit(0)).alias("segments"))
+
+
+# Event titles that open and close the shared part of a recording.
+SHARE_START = r"sharing\s*started|start\s*sharing|開始共享|開始分享"
+SHARE_STOP = r"sharing\s*stopp?ed|stop\s*sharing|停止共享|停止分享"
+
+
+def trim_range(events: DataFrame, margin: float = 2.0) -> DataFrame:
+    """Last share start to last share stop with a margin; without either, first start to last end."""
+    at = F.struct("start_s", "event_id")
+    title = F.lower(F.trim("title"))
+    agg = events.groupBy("video_id").agg(
+        F.coalesce(F.max_by("start_s", F.when(title.rlike(SHARE_START), at)), F.lit(0.0)).alias("_s"), F.max_by("end_s", F.when(title.rlike(SHARE_STOP), at)).alias("_e"),
+        F.min_by("start_s", at).alias("_first"), F.max_by("end_s", at).alias("_last"))
+    none = (F.col("_s") == 0) & F.col("_e").isNull()
+    start = F.when(none, F.greatest(F.lit(0.0), "_first")).otherwise(F.col("_s"))
+    end = F.when(none, F.greatest(F.lit(0.0), "_first", "_last")).otherwise(F.col("_e"))
+    cut = agg.select("video_id", start.alias("s"), end.alias("e"))
+    low = F.when((F.col("s") != 0) | F.col("e").isNotNull(), F.greatest(F.lit(0.0), F.col("s") - margin)).otherwise(F.col("s"))
+    return cut.select("video_id", low.alias("trim_start"), F.when(F.col("e").isNotNull(), F.greatest(low, F.col("e") + margin)).alias("trim_end"))

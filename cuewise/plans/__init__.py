@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["timebase", "scoring"]
+MODULES = ["timebase", "scoring", "timed_joins"]
 
 
 def load_all() -> None:
