@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["timebase", "scoring", "timed_joins"]
+MODULES = ["timebase", "scoring", "timed_joins", "course_units"]
 
 
 def load_all() -> None:
