@@ -11,3 +11,9 @@ def once(df: DataFrame, **cols: Column) -> DataFrame:
     into every later use (which can outgrow the code size limit)."""
     kept = [c for c in df.columns if c not in cols]
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
+def let(body, *values: Column) -> Column:
+    """`body(*values)` with each value evaluated once per row, also inside nested lambdas."""
+    bound = F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    return F.transform(bound, lambda x: body(*[x[f"v{i}"] for i in range(len(values))]))[0]

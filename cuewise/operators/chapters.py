@@ -190,3 +190,43 @@ def trim_range(events: DataFrame, margin: float = 2.0) -> DataFrame:
     cut = agg.select("video_id", start.alias("s"), end.alias("e"))
     low = F.when((F.col("s") != 0) | F.col("e").isNotNull(), F.greatest(F.lit(0.0), F.col("s") - margin)).otherwise(F.col("s"))
     return cut.select("video_id", low.alias("trim_start"), F.when(F.col("e").isNotNull(), F.greatest(low, F.col("e") + margin)).alias("trim_end"))
+
+
+def bucket_representatives(chapters: DataFrame, k: Column, legacy: bool = False) -> DataFrame:
+    """One chapter per k-th of the video: nearest to the middle of its bucket, the last bucket open.
+
+    Legacy: the earliest of each bucket, and chapters behind the k-th bucket are lost.
+    """
+    d, s = F.col("duration"), F.col("start_s")
+    if legacy:
+        rows = chapters.withColumn("bucket", F.floor(s / F.floor(d / k))).where(F.col("bucket") < k)
+        order = [F.col("start_s")]
+    else:
+        size = F.greatest(F.lit(1).cast("long"), F.floor(d / k))
+        rows = chapters.withColumn("bucket", F.least(F.floor(s / size), (k - 1).cast("long")))
+        b = F.col("bucket")
+        end = F.when(b < k - 1, (b + 1) * size).otherwise(d + 1)
+        order = [F.abs(s - F.floor((b * size + end) / 2)), F.col("start_s")]
+    rn = F.row_number().over(Window.partitionBy("video_id", "bucket").orderBy(*order))
+    return rows.withColumn("_rn", rn).where("_rn = 1").drop("_rn")
+
+
+def first_units(chapters: DataFrame, n: int) -> DataFrame:
+    """First n chapters as units: tags off, titles over 50 characters cut to 47 and three dots."""
+    rank = F.row_number().over(Window.partitionBy("video_id").orderBy("start_s"))
+    title = F.regexp_replace(F.regexp_replace("title", r"(?U)^\[單元\d+[：:][^\]]+\]\s*", ""), r"(?U)^\[.*?\]\s*", "")
+    title = F.trim(title)
+    rows = chapters.withColumn("_r", rank).where(F.col("_r") <= n)
+    return rows.select("video_id", F.col("_r").cast("long").alias("unit_no"), F.when(F.length(title) > 50, F.concat(F.substring(title, 1, 47), F.lit("..."))).otherwise(title).alias("title"),
+                       sec_to_hms(F.col("start_s")).alias("time"))
+
+
+def slide_filter(slides: DataFrame) -> DataFrame:
+    """Slides whose text is no stop phrase, and that are long enough or carry a caption or topics."""
+    t = F.trim("text")
+    return slides.where(~t.rlike("^(新竹小幫手|老師|助教)$") & ~((F.length(t) < 30) & (F.trim("caption") == "") & (F.size("topics") == 0)))
+
+
+def needs_several_passes(duration: Column, length: Column) -> Column:
+    """Long content of half an hour up to four hours."""
+    return (duration >= 1800) & (duration <= 14400) & (length >= 5000)

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["timebase", "scoring", "timed_joins", "course_units"]
+MODULES = ["timebase", "scoring", "timed_joins", "course_units", "texts"]
 
 
 def load_all() -> None:
