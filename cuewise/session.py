@@ -27,3 +27,14 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpointed(df):
+    """Reliable checkpoint in the folder the cluster names; a temporary one only where none is set."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        import tempfile
+
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    return df.checkpoint()
