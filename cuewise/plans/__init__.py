@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["timebase", "scoring", "timed_joins", "course_units", "texts", "segmentation", "vectorial"]
+MODULES = ["timebase", "scoring", "timed_joins", "course_units", "texts", "segmentation", "vectorial", "deliveries"]
 
 
 def load_all() -> None:

@@ -38,3 +38,12 @@ def checkpointed(df):
 
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     return df.checkpoint()
+
+
+def work_dir(spark) -> str:
+    """New folder under the shared folder the cluster names; a temporary one only where none is set."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/out"
