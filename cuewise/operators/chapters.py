@@ -230,3 +230,33 @@ def slide_filter(slides: DataFrame) -> DataFrame:
 def needs_several_passes(duration: Column, length: Column) -> Column:
     """Long content of half an hour up to four hours."""
     return (duration >= 1800) & (duration <= 14400) & (length >= 5000)
+
+
+def choose_window(boundaries: DataFrame, chapters: DataFrame, seed: int, span: int) -> DataFrame:
+    """Weighted choice of a start boundary per video (earlier ones likelier by 0.8 a step) and the
+    chapters within `span` seconds of it, with shifted stamps."""
+    w = Window.partitionBy("video_id").orderBy("start_s")
+    rows = boundaries.withColumn("place", F.row_number().over(w) - 1)
+    u = (F.pmod(F.xxhash64("video_id", "place", F.lit(seed)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    key = F.log(u) / F.pow(F.lit(0.8), F.col("place"))
+    start = rows.groupBy("video_id").agg(F.max_by(F.struct("place", F.col("start_s").alias("w0")), key).alias("c")).select("video_id", "c.*")
+    inside = (F.col("start_s") >= F.col("w0")) & (F.col("start_s") <= F.col("w0") + span)
+    return chapters.join(start, "video_id").where(inside).select("video_id", "place", "w0", F.concat(sec_to_hms(F.col("start_s") - F.col("w0")), F.lit(" - "), "title").alias("answer"))
+
+
+def overlapped_chunks(durations: DataFrame, size: float, overlap: float) -> DataFrame:
+    """Chunks of `size` seconds, `overlap` shared with the next, the short tail kept."""
+    step = size - overlap
+    last = F.ceil(F.col("duration") / step) - 1
+    rows = durations.where("duration > 0").select("video_id", "duration", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk_no"))
+    start = F.col("chunk_no") * F.lit(step)
+    return rows.select("video_id", "chunk_no", start.alias("chunk_start"), F.least(start + size, F.col("duration").cast("double")).alias("chunk_end"))
+
+
+def rebase(rows: DataFrame, size: float, overlap: float) -> DataFrame:
+    """Rows with every chunk they fall into and their time from its start. The chunk numbers follow
+    from the time itself."""
+    step = size - overlap
+    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("start_s") - size) / step) + 1)
+    out = rows.withColumn("chunk_no", F.explode(F.sequence(first, F.floor(F.col("start_s") / step))))
+    return out.withColumn("offset_s", F.col("start_s") - F.col("chunk_no") * F.lit(step))

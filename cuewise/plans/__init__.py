@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["timebase", "scoring", "timed_joins", "course_units", "texts", "segmentation", "vectorial", "deliveries"]
+MODULES = ["timebase", "scoring", "timed_joins", "course_units", "texts", "segmentation", "vectorial", "deliveries", "captionscores", "live"]
 
 
 def load_all() -> None:
