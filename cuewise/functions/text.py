@@ -131,18 +131,25 @@ def tokens(text: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters in bits. Counts come from the distinct characters,
-    so neither rows nor arrays grow beyond the alphabet in use."""
-    n = F.length(text)
-    chars = F.array_distinct(F.split(text, ""))
-    share = lambda ch: (n - F.length(F.replace(text, ch, F.lit("")))) / n
-    total = F.aggregate(F.filter(chars, lambda ch: ch != ""), F.lit(0.0), lambda acc, ch: acc - share(ch) * F.log2(share(ch) + F.lit(1e-12)))
-    return F.when(n > 0, total).otherwise(0.0)
+    """Shannon entropy of the characters in bits. Sorting the characters of one text puts equal
+    ones together, so one pass over them gives all counts."""
+
+    def bits(chars: Column) -> Column:
+        n = F.size(chars)
+        zero = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
+        plus = lambda acc: acc["sum"] + F.when(acc["run"] > 0, -(acc["run"] / n) * F.log2(acc["run"] / n + F.lit(1e-12))).otherwise(0.0)
+
+        def step(acc, ch):
+            same = acc["last"] == ch
+            return F.struct(ch.alias("last"), F.when(same, acc["run"] + 1).otherwise(1).alias("run"), F.when(same, acc["sum"]).otherwise(plus(acc)).alias("sum"))
+
+        return F.when(n > 0, F.aggregate(chars, zero, step, plus)).otherwise(0.0)
+
+    return let(bits, F.sort_array(F.filter(F.split(text, ""), lambda ch: ch != "")))
 
 
 def repeat_ratio(text: Column) -> Column:
-    t = tokens(text)
-    return F.when(F.size(t) <= 1, 1.0).otherwise(1.0 - F.size(F.array_distinct(t)) / F.size(t))
+    return let(lambda t: F.when(F.size(t) <= 1, 1.0).otherwise(1.0 - F.size(F.array_distinct(t)) / F.size(t)), tokens(text))
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -159,7 +166,7 @@ def caps_ratio(text: Column) -> Column:
 
 def unique_line_ratio(text: Column) -> Column:
     lines = F.filter(F.transform(F.split(text, r"[\r\n]+"), strip), lambda x: x != "")
-    return _share(F.size(F.array_distinct(lines)), F.size(lines))
+    return let(lambda x: _share(F.size(F.array_distinct(x)), F.size(x)), lines)
 
 
 # Signs of code, and of overlays counted as junk.

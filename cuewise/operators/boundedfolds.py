@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewise.operators.chapters import bucket_representatives, policy
+from cuewise.operators.chapters import policy, rank_in_buckets
 
 
 def thin_gaps(df: DataFrame, keep: int) -> DataFrame:
@@ -102,14 +102,13 @@ def balance(chapters: DataFrame, legacy: bool = False) -> DataFrame:
     """Merge close chapters, then keep the count in the policy's range: bucket representatives
     above it, the first rows up to the cap below it."""
     p = policy(F.col("duration"), legacy)
-    merged = merge_close(chapters.withColumn("min_gap", p["min_gap"]), legacy)
-    n = merged.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = merged.join(n, "video_id").select("*", p["low"].alias("low"), p["high"].alias("high"), p["cap"].alias("cap"))
-    inside = rows.where((F.col("n") >= F.col("low")) & (F.col("n") <= F.col("high")))
-    above = bucket_representatives(rows.where(F.col("n") > F.col("high")), F.col("high"), legacy)
-    few = rows.where(F.col("n") < F.col("low")).withColumn("_r", F.row_number().over(Window.partitionBy("video_id").orderBy("start_s"))).where(F.col("_r") <= F.col("cap"))
-    cols = ["video_id", "start_s", "title"]
-    return inside.select(cols).unionByName(above.select(cols)).unionByName(few.select(cols))
+    w = Window.partitionBy("video_id")
+    rows = merge_close(chapters.withColumn("min_gap", p["min_gap"]), legacy)
+    rows = rows.select("*", F.count(F.lit(1)).over(w).alias("n"), F.row_number().over(w.orderBy("start_s")).alias("_r"),
+                       p["low"].alias("low"), p["high"].alias("high"), p["cap"].alias("cap"))
+    ranked = rank_in_buckets(rows, F.col("high"), legacy)
+    keep = F.when(F.col("n") > F.col("high"), F.col("_first")).when(F.col("n") < F.col("low"), F.col("_r") <= F.col("cap")).otherwise(True)
+    return ranked.where(keep).select("video_id", "start_s", "title")
 
 
 def merge_gaps(blocks: DataFrame, shortest: float = 60.0, gap: float = 15.0) -> DataFrame:

@@ -192,23 +192,28 @@ def trim_range(events: DataFrame, margin: float = 2.0) -> DataFrame:
     return cut.select("video_id", low.alias("trim_start"), F.when(F.col("e").isNotNull(), F.greatest(low, F.col("e") + margin)).alias("trim_end"))
 
 
-def bucket_representatives(chapters: DataFrame, k: Column, legacy: bool = False) -> DataFrame:
-    """One chapter per k-th of the video: nearest to the middle of its bucket, the last bucket open.
-
-    Legacy: the earliest of each bucket, and chapters behind the k-th bucket are lost.
-    """
+def rank_in_buckets(chapters: DataFrame, k: Column, legacy: bool = False) -> DataFrame:
+    """Chapters with their bucket of the k-th part of the video and `_first`, true for its representative."""
     d, s = F.col("duration"), F.col("start_s")
     if legacy:
-        rows = chapters.withColumn("bucket", F.floor(s / F.floor(d / k))).where(F.col("bucket") < k)
-        order = [F.col("start_s")]
+        rows = chapters.withColumn("bucket", F.floor(s / F.floor(d / k)))
+        order, inside = [F.col("start_s")], F.col("bucket") < k
     else:
         size = F.greatest(F.lit(1).cast("long"), F.floor(d / k))
         rows = chapters.withColumn("bucket", F.least(F.floor(s / size), (k - 1).cast("long")))
         b = F.col("bucket")
         end = F.when(b < k - 1, (b + 1) * size).otherwise(d + 1)
-        order = [F.abs(s - F.floor((b * size + end) / 2)), F.col("start_s")]
+        order, inside = [F.abs(s - F.floor((b * size + end) / 2)), F.col("start_s")], F.lit(True)
     rn = F.row_number().over(Window.partitionBy("video_id", "bucket").orderBy(*order))
-    return rows.withColumn("_rn", rn).where("_rn = 1").drop("_rn")
+    return rows.withColumn("_first", (rn == 1) & inside)
+
+
+def bucket_representatives(chapters: DataFrame, k: Column, legacy: bool = False) -> DataFrame:
+    """One chapter per k-th of the video: nearest to the middle of its bucket, the last bucket open.
+
+    Legacy: the earliest of each bucket, and chapters behind the k-th bucket are lost.
+    """
+    return rank_in_buckets(chapters, k, legacy).where("_first").drop("_first")
 
 
 def first_units(chapters: DataFrame, n: int) -> DataFrame:

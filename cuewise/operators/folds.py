@@ -1,7 +1,7 @@
 """Row-to-row state over ordered groups of any length.
 
-A fold runs block by block (see `ordered`). Where every group fits one block
-it is a single grouped pass. A longer group is folded speculatively: all blocks
+A fold runs over sorted partitions, block by block (see `ordered`). Where every
+group fits one block it is a single pass. A longer group is folded speculatively: all blocks
 run at once from a guessed start state, each block's end state becomes the
 guess for the next block, and only blocks whose guess changed run again. At the
 fixed point every block has its true start state, so the result is exact. Rules
@@ -9,14 +9,14 @@ that forget (a gap, a full window) settle in two or three rounds whatever the
 length of the group; the number of rounds never exceeds the number of blocks.
 
 A step is `step(state, rows, last) -> (out, state)` over plain tuples, with
-`last` true for the last block of a group. States are JSON values of bounded
+`last` true on the closing call of a group's last block. States are JSON values of bounded
 size; each step says why.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -26,20 +26,39 @@ from cuewise.operators.ordered import BLOCK
 from cuewise.session import checkpointed
 
 
-def _run(step: Callable, order: list[str], inputs: list[str], keys: list[str], columns: list[str], emit_state: bool):
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        first = pdf.iloc[0]
-        state = json.loads(first["_state"]) if first["_state"] is not None else None
-        rows = list(zip(*[pdf[c].tolist() for c in inputs]))
-        out, state = step(state, rows, bool(first["_last"]))
-        key = {k: first[k] for k in keys}
-        if emit_state:
-            return pd.DataFrame([{**key, BLOCK: first[BLOCK], "_end": json.dumps(state)}])
-        frame = pd.DataFrame(out, columns=columns)
-        for k, v in key.items():
-            frame[k] = v
-        return frame[[*keys, *columns]]
+def _run(step: Callable, inputs: list[str], keys: list[str], columns: list[str], probe: bool):
+    """Task function over rows sorted by key, block and order: state lives across Arrow batches, so
+    neither a group nor a block is ever held whole."""
+    part = [*keys, BLOCK]
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state, last = None, None, False
+
+        def close(found: list) -> None:
+            out, end = step(state, [], last)
+            found += [(*current[:-1], *row) for row in out]
+            if probe:
+                ends.append((*current, json.dumps(end)))
+
+        for pdf in batches:
+            found, ends = [], []
+            starts = (pdf[part] != pdf[part].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
+            rows = list(zip(*[pdf[c].tolist() for c in inputs]))
+            for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
+                first = pdf.iloc[lo]
+                key = tuple(first[c] for c in part)
+                if key != current:
+                    if current is not None:
+                        close(found)
+                    current, last = key, bool(first["_last"])
+                    state = json.loads(first["_state"]) if first["_state"] is not None else None
+                out, state = step(state, rows[lo:hi], False)
+                found += [(*key[:-1], *row) for row in out]
+            yield pd.DataFrame(ends, columns=[*part, "_end"]) if probe else pd.DataFrame(found, columns=[*keys, *columns])
+        if current is not None:
+            found, ends = [], []
+            close(found)
+            yield pd.DataFrame(ends, columns=[*part, "_end"]) if probe else pd.DataFrame(found, columns=[*keys, *columns])
 
     return apply
 
@@ -47,53 +66,60 @@ def _run(step: Callable, order: list[str], inputs: list[str], keys: list[str], c
 def fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], step: Callable, out: str) -> DataFrame:
     """Apply `step` along each group of `df` (which carries the block column).
 
-    `out` is the schema of the rows the step returns; keys are added in front.
+    `out` is the schema of the rows the step returns; keys are added in front. `step` is called
+    once per batch of rows and, at the end of a block, once without rows.
     """
     part = [*keys, BLOCK]
     types = dict(df.dtypes)
     columns = [c.strip().split(" ")[0] for c in out.split(",")]
-    schema = ", ".join([f"{k} {types[k]}" for k in keys]) + ", " + out
+    key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
     rows = df.select(*part, *[c for c in dict.fromkeys([*order, *inputs]) if c not in part])
-    emit = _run(step, order, inputs, keys, columns, False)
-    if rows.where(F.col(BLOCK) > 0).isEmpty():
-        one = rows.withColumn("_state", F.lit(None).cast("string")).withColumn("_last", F.lit(True))
-        return one.groupBy(*part).applyInPandas(emit, schema)
+
+    def run(staged: DataFrame, probe: bool) -> DataFrame:
+        sorted_rows = staged.repartition(*part).sortWithinPartitions(*part, *order)
+        schema = f"{key_schema}, {BLOCK} {types[BLOCK]}, _end string" if probe else f"{key_schema}, {out}"
+        return sorted_rows.mapInPandas(_run(step, inputs, keys, columns, probe), schema)
+
+    # distinct lets the optimizer drop joins that only add columns
+    if rows.where(F.col(BLOCK) > 0).select(BLOCK).distinct().isEmpty():
+        return run(rows.withColumn("_state", F.lit(None).cast("string")).withColumn("_last", F.lit(True)), False)
 
     w = Window.partitionBy(*keys).orderBy(BLOCK)
     blocks = rows.select(*part).distinct().select(*part, F.lead(BLOCK).over(w).isNull().alias("_last"))
-    state_schema = ", ".join([f"{k} {types[k]}" for k in keys]) + f", {BLOCK} {types[BLOCK]}, _end string"
-    probe = _run(step, order, inputs, keys, columns, True)
     # one row per block from here on
-    table = checkpointed(blocks.withColumn("_state", F.lit(None).cast("string")).withColumn("_end", F.lit(None).cast("string")).withColumn("_todo", F.lit(True)))
+    empty = F.lit(None).cast("string")
+    table = checkpointed(blocks.withColumn("_state", empty).withColumn("_end", empty).withColumn("_todo", F.lit(True)))
     while not table.where("_todo").isEmpty():
         todo = table.where("_todo").select(*part, "_last", "_state")
-        ends = rows.join(todo, part).groupBy(*part).applyInPandas(probe, state_schema).withColumnRenamed("_end", "_new")
+        ends = run(rows.join(todo, part), True).withColumnRenamed("_end", "_new")
         merged = table.drop("_todo").join(ends, part, "left").withColumn("_end", F.coalesce("_new", "_end")).drop("_new")
-        guess = F.lag("_end").over(w)
-        table = checkpointed(merged.withColumn("_guess", guess).withColumn("_todo", ~F.col("_guess").eqNullSafe(F.col("_state")))
+        table = checkpointed(merged.withColumn("_guess", F.lag("_end").over(w)).withColumn("_todo", ~F.col("_guess").eqNullSafe(F.col("_state")))
                              .withColumn("_state", F.col("_guess")).drop("_guess"))
-    return rows.join(table.select(*part, "_last", "_state"), part).groupBy(*part).applyInPandas(emit, schema)
+    return run(rows.join(table.select(*part, "_last", "_state"), part), False)
 
 
-def runs(df: DataFrame, keys: list[str], order: list[str], row_id: str, inputs: list[str], rule: Callable) -> DataFrame:
-    """Label each row with the id of the row that opened its run.
+def runs(df: DataFrame, keys: list[str], order: list[str], row_id: str, inputs: list[str], rule: Callable, keep: list[str] | None = None) -> DataFrame:
+    """Rows with the id of the row that opened their run: keys, `row_id`, `run` and the columns in `keep`.
 
     `rule(state, row) -> (opens, state)`; state is None before the first row. A rule that
     closes a run after a row returns state None.
     """
+    keep = keep or []
+    types = dict(df.dtypes)
+    n = len(inputs)
 
     def step(state, rows, last):
         opener, inner = state if state else (None, None)
         out = []
         for row in rows:
-            opens, inner = rule(inner, row[1:])
+            opens, inner = rule(inner, row[1:n + 1])
             if opens:
                 opener = row[0]
-            out.append((row[0], opener))
+            out.append((row[0], opener, *row[n + 1:]))
         return out, [opener, inner]
 
-    labels = fold(df, keys, order, [row_id, *inputs], step, f"{row_id} {dict(df.dtypes)[row_id]}, run {dict(df.dtypes)[row_id]}")
-    return df.join(labels, [*keys, row_id])
+    schema = ", ".join([f"{row_id} {types[row_id]}", f"run {types[row_id]}", *[f"{c} {types[c]}" for c in keep]])
+    return fold(df, keys, order, [row_id, *inputs, *keep], step, schema)
 
 
 # ---- rules; every state is a few numbers unless it says otherwise ----
@@ -190,31 +216,32 @@ def midpoint_step(min_distance: float = 1.0) -> Callable:
 
 
 def chunk_step(most: int = 600, carry: int = 50) -> Callable:
-    """Rows `(pos, tokens)` of non-blank texts: `(pos, chunk, carried)`. A chunk is flushed before it
-    would exceed `most` tokens; whole texts from its end go along while they sum to `carry` at most.
-    The state is the running sum and the short tail that may be carried."""
+    """Rows `(pos, tokens, *rest)` of non-blank texts: `(pos, chunk, carried, *rest)`. A chunk is flushed
+    before it would exceed `most` tokens; whole texts from its end go along while they sum to `carry`
+    at most. The state is the running sum and the short tail of rows that may be carried."""
 
     def step(state, rows, last):
-        chunk, total, tail, any_text = state if state else (0, 0, [], False)
+        chunk, total, tail, filled = state if state else (0, 0, [], False)
         out = []
-        for pos, tok in rows:
-            if total + tok > most and any_text:
+        for row in rows:
+            tok = row[1]
+            if total + tok > most and filled:
                 chunk += 1
                 kept, total = [], 0
-                for p, n in reversed(tail):
-                    if total + n > carry:
+                for r in reversed(tail):
+                    if total + r[1] > carry:
                         break
-                    kept.insert(0, [p, n])
-                    total += n
-                out += [(p, chunk, True) for p, _ in kept]
+                    kept.insert(0, r)
+                    total += r[1]
+                out += [(r[0], chunk, True, *r[2:]) for r in kept]
                 tail = kept
-            out.append((pos, chunk, False))
-            tail.append([pos, tok])
+            out.append((row[0], chunk, False, *row[2:]))
+            tail.append(list(row))
             total += tok
-            any_text = True
-            while len(tail) > 1 and sum(n for _, n in tail[1:]) > carry:
+            filled = True
+            while len(tail) > 1 and sum(r[1] for r in tail[1:]) > carry:
                 tail.pop(0)
-        return out, [chunk, total, tail, any_text]
+        return out, [chunk, total, tail, filled]
 
     return step
 

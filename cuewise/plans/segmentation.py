@@ -29,10 +29,10 @@ def events(t):
     return density_blocks(rows.select("video_id", "event_id", "start_s", "end_s", "tx"), ["video_id"], "start_s")
 
 
-def run_summary(labels):
+def run_summary(labels, *more):
     """One row per run. A run's end is the end of its last row."""
     return labels.groupBy("video_id", "run").agg(
-        F.round(F.min("start_s"), 2).alias("start_s"), F.round(F.max_by("end_s", F.struct("start_s", "event_id")), 2).alias("end_s"), F.count(F.lit(1)).alias("n"))
+        F.round(F.min("start_s"), 2).alias("start_s"), F.round(F.max_by("end_s", F.struct("start_s", "event_id")), 2).alias("end_s"), F.count(F.lit(1)).alias("n"), *more)
 
 
 def run_sql(anchor, opens, state, extra=""):
@@ -50,16 +50,15 @@ F1_OPENS = "(f.a IS NULL OR o.start_s - f.e > 1.2::DOUBLE OR o.end_s - f.a > 90)
     f"CASE WHEN {F1_OPENS} THEN o.start_s WHEN o.end_s - f.a >= 45 AND right(o.tx, 1) = '.' THEN NULL ELSE f.a END, o.end_s", ", md5(string_agg(o.tx, ' ' ORDER BY o.rn)) AS text_md5"))
 def f1(t):
     rows = events(t).withColumn("mark", tx.ends_sentence(F.col("tx"))).withColumn("blank", tx.strip(F.col("tx")) == "")
-    labels = fo.runs(rows, ["video_id"], ["start_s", "event_id"], "event_id", ["start_s", "end_s", "mark", "blank"], fo.smart_merge())
-    text = labels.groupBy("video_id", "run").agg(F.md5(wi.joined_text(["start_s", "event_id"], "tx", " ")).alias("text_md5"))
-    return run_summary(labels).join(text, ["video_id", "run"])
+    labels = fo.runs(rows, ["video_id"], ["start_s", "event_id"], "event_id", ["start_s", "end_s", "mark", "blank"], fo.smart_merge(), keep=["start_s", "end_s", "tx"])
+    return run_summary(labels, F.md5(wi.joined_text(["start_s", "event_id"], "tx", " ")).alias("text_md5"))
 
 
 @query("f1_smart_merge_clean_text")
 def f1_clean(t):
     """Merged speech with repeated phrases and tokens reduced; back-references have no form in the check engine."""
     rows = fixed_blocks(t.seg.withColumn("mark", tx.ends_sentence(F.col("text"))).withColumn("blank", tx.strip(F.col("text")) == ""), "seg_idx")
-    labels = fo.runs(rows, ["video_id"], ["start_s", "seg_idx"], "seg_idx", ["start_s", "end_s", "mark", "blank"], fo.smart_merge())
+    labels = fo.runs(rows, ["video_id"], ["start_s", "seg_idx"], "seg_idx", ["start_s", "end_s", "mark", "blank"], fo.smart_merge(), keep=["start_s", "text"])
     merged = labels.groupBy("video_id", "run").agg(wi.joined_text(["start_s", "seg_idx"], "text", " ").alias("text")).withColumn("key", F.concat_ws("/", "video_id", "run"))
     return tr.limit_tokens(merged.withColumn("text", tx.collapse_phrases(F.col("text"))), "key", "text")
 
@@ -69,22 +68,22 @@ F2_OPENS = "o.end_s - f.a > 300"
 
 @query("f2_fixed_span_packing", "evs", run_sql("start_s AS a", F2_OPENS, f"CASE WHEN {F2_OPENS} THEN o.start_s ELSE f.a END"))
 def f2(t):
-    return run_summary(fo.runs(events(t), ["video_id"], ["start_s", "event_id"], "event_id", ["start_s", "end_s"], fo.packing(300.0)))
+    return run_summary(fo.runs(events(t), ["video_id"], ["start_s", "event_id"], "event_id", ["start_s", "end_s"], fo.packing(300.0), keep=["start_s", "end_s"]))
 
 
 @query("f3_fixed_blocks", "evs", run_sql("CASE WHEN end_s - start_s >= 600 THEN NULL ELSE start_s END AS a", "f.a IS NULL", "CASE WHEN o.end_s - coalesce(f.a, o.start_s) >= 600 THEN NULL ELSE coalesce(f.a, o.start_s) END"))
 def f3(t):
-    return run_summary(fo.runs(events(t), ["video_id"], ["start_s", "event_id"], "event_id", ["start_s", "end_s"], fo.fixed_blocks_rule(600.0)))
+    return run_summary(fo.runs(events(t), ["video_id"], ["start_s", "event_id"], "event_id", ["start_s", "end_s"], fo.fixed_blocks_rule(600.0), keep=["start_s", "end_s"]))
 
 
 @query("f4_anchored_groups", "evs", run_sql("start_s AS a", "o.start_s - f.a >= 600", "CASE WHEN o.start_s - f.a >= 600 THEN o.start_s ELSE f.a END"))
 def f4(t):
-    return run_summary(fo.runs(events(t), ["video_id"], ["start_s", "event_id"], "event_id", ["start_s"], fo.anchored(600.0)))
+    return run_summary(fo.runs(events(t), ["video_id"], ["start_s", "event_id"], "event_id", ["start_s"], fo.anchored(600.0), keep=["start_s", "end_s"]))
 
 
 @query("f4_forced_chapters", "evs", run_sql("start_s AS a", "o.end_s - f.a >= 600", "CASE WHEN o.end_s - f.a >= 600 THEN o.start_s ELSE f.a END"))
 def f4_forced(t):
-    return run_summary(fo.runs(events(t), ["video_id"], ["start_s", "event_id"], "event_id", ["start_s", "end_s"], fo.forced(600.0)))
+    return run_summary(fo.runs(events(t), ["video_id"], ["start_s", "event_id"], "event_id", ["start_s", "end_s"], fo.forced(600.0), keep=["start_s", "end_s"]))
 
 
 CHUNK_SQL = rf"""

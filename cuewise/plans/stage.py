@@ -22,9 +22,16 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        """A table of long texts. A scan with fewer splits than cores is spread, since the work per row
+        is heavy; a scan with enough splits is left alone, so large data is not shuffled for this."""
+        df = self.read(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     @cached_property
     def documents(self) -> DataFrame:
-        return self.read("documents")
+        return self.texts("documents")
 
     @cached_property
     def seg(self) -> DataFrame:
