@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cuewise.operators.barrier import let
+
 # Keys every question record must have.
 REQUIRED = ["QuestionId", "QuestionText", "Options", "CorrectAnswer", "Explanation", "Tags", "Difficulty"]
 
@@ -37,22 +39,22 @@ def truthy(text: Column) -> Column:
 
 def json_blob(text: Column) -> Column:
     """JSON part of a reply: fenced block, whole text, first object span, first array span."""
+
+    def found(pattern: str, c: Column) -> Column:
+        return F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+
     s = F.trim(text)
-    tagged = F.regexp_extract(text, r"(?is)```json\s*([\[{].*?[\]}])\s*```", 1)
-    fenced = F.regexp_extract(text, r"(?s)```\s*([\[{].*?[\]}])\s*```", 1)
     whole = (s.startswith("{") & s.endswith("}")) | (s.startswith("[") & s.endswith("]"))
-    obj = F.regexp_extract(s, r"(?s)(\{.*\})", 1)
-    arr = F.regexp_extract(s, r"(?s)(\[.*\])", 1)
-    return (F.when(tagged != "", tagged).when(fenced != "", fenced).when(whole, s).when(obj != "", obj).when(arr != "", arr))
+    fenced = F.when(F.contains(text, F.lit("```")), F.coalesce(found(r"(?is)```json\s*([\[{].*?[\]}])\s*```", text), found(r"(?s)```\s*([\[{].*?[\]}])\s*```", text)))
+    return F.coalesce(fenced, F.when(whole, s), found(r"(?s)(\{.*\})", s), found(r"(?s)(\[.*\])", s))
 
 
 def repaired_json(text: Column) -> Column:
     """Fenced or whole text; curly quotes are mended when it does not parse as it stands. Null when it never does."""
-    tagged = F.regexp_extract(text, r"(?s)```json\s*(.*?)\s*```", 1)
-    fenced = F.regexp_extract(text, r"(?s)```\s*(\{.*?\})\s*```", 1)
-    blob = F.trim(F.when(tagged != "", tagged).when(fenced != "", fenced).otherwise(text))
-    mended = F.translate(blob, "“”’\u0000", "\"\"'")
-    return F.when(strict_json(blob).isNotNull(), blob).when(strict_json(mended).isNotNull(), mended)
+    tagged = F.nullif(F.regexp_extract(text, r"(?s)```json\s*(.*?)\s*```", 1), F.lit(""))
+    fenced = F.nullif(F.regexp_extract(text, r"(?s)```\s*(\{.*?\})\s*```", 1), F.lit(""))
+    tries = lambda blob: F.filter(F.array(blob, F.translate(blob, "“”’\u0000", "\"\"'")), lambda x: strict_json(x).isNotNull())
+    return let(lambda blob: F.get(tries(blob), F.lit(0)), F.trim(F.coalesce(tagged, fenced, text)))
 
 
 def as_list(v: Column) -> Column:

@@ -9,10 +9,10 @@ from __future__ import annotations
 import heapq
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuewise.operators.folds import grouped
 from cuewise.operators.chapters import policy, rank_in_buckets
 
 
@@ -23,8 +23,8 @@ def thin_gaps(df: DataFrame, keep: int) -> DataFrame:
     not smaller, else the left one; the last gap always loses its left end.
     """
 
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts = sorted(pdf["t"].tolist())
+    def thin(rows: list[tuple]) -> list[tuple]:
+        ts = [r[0] for r in rows]
         n = len(ts)
         prev, nxt = list(range(-1, n - 1)), [*range(1, n), -1]
         alive = [True] * n
@@ -46,9 +46,9 @@ def thin_gaps(df: DataFrame, keep: int) -> DataFrame:
                 prev[b] = a
             if a != -1 and b != -1:
                 heapq.heappush(heap, (ts[b] - ts[a], a, b))
-        return pd.DataFrame({"video_id": pdf["video_id"].iloc[0], "t": [ts[i] for i in range(n) if alive[i]]})
+        return [(ts[i],) for i in range(n) if alive[i]]
 
-    return df.select("video_id", "t").groupBy("video_id").applyInPandas(thin, "video_id string, t double")
+    return grouped(df, ["video_id"], ["t"], ["t"], thin, "t double")
 
 
 def _tag(title: str) -> str:
@@ -63,12 +63,12 @@ def merge_close(chapters: DataFrame, legacy: bool = False) -> DataFrame:
     untagged, or over 1.3 times longer). Legacy: time and title move to the longer title.
     """
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(pdf["start_s"].tolist(), pdf["title"].str.strip().tolist()), key=lambda r: r[0])
-        duration, min_gap = int(pdf["duration"].iloc[0]), int(pdf["min_gap"].iloc[0])
+    def merge(rows: list[tuple]) -> list[tuple]:
+        duration, min_gap = rows[0][2], rows[0][3]
         near, half = max(120, min_gap // 2), min_gap // 2
         kept: list[list] = []
-        for s, title in rows:
+        for s, title, _, _ in rows:
+            title = title.strip()
             if not 0 <= s <= duration:
                 continue
             if not kept:
@@ -92,10 +92,9 @@ def merge_close(chapters: DataFrame, legacy: bool = False) -> DataFrame:
                 kept.append([s, title])
             elif (new and not old) or len(title) > len(last) * 1.3:
                 kept[-1][1] = title
-        return pd.DataFrame({"video_id": pdf["video_id"].iloc[0], "start_s": [k[0] for k in kept], "title": [k[1] for k in kept], "duration": duration})
+        return [(s, title, duration) for s, title in kept]
 
-    cols = chapters.select("video_id", "start_s", "title", "duration", "min_gap")
-    return cols.groupBy("video_id").applyInPandas(merge, "video_id string, start_s long, title string, duration int")
+    return grouped(chapters, ["video_id"], ["start_s"], ["start_s", "title", "duration", "min_gap"], merge, "start_s long, title string, duration int")
 
 
 def balance(chapters: DataFrame, legacy: bool = False) -> DataFrame:
@@ -128,11 +127,10 @@ def place_stamps(suggestions: DataFrame, bump: int = 120) -> DataFrame:
     """Suggestions as chapters with distinct stamps: a taken second moves +1 … +bump, then −1 … −bump,
     inside [0, duration − 1]; else the row is dropped. Titles get their unit prefix."""
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable")
-        last = int(pdf["duration"].iloc[0]) - 1
+    def place(rows: list[tuple]) -> list[tuple]:
+        last = rows[0][2] - 1
         used, out = set(), []
-        for s, title in zip(pdf["start_s"].tolist(), pdf["title"].tolist()):
+        for s, title, _ in rows:
             at = s
             if s in used:
                 moves = [*range(1, bump + 1), *range(-1, -bump - 1, -1)]
@@ -140,22 +138,22 @@ def place_stamps(suggestions: DataFrame, bump: int = 120) -> DataFrame:
             if at is not None:
                 used.add(at)
                 out.append((at, title))
-        return pd.DataFrame({"video_id": pdf["video_id"].iloc[0], "start_s": [o[0] for o in out], "title": [o[1] for o in out]})
+        return out
 
     no = F.col("unit_no")
     named = F.when(no.isNotNull() & F.col("unit_title").isNotNull(), F.concat(F.lit("[單元"), no, F.lit("："), "unit_title", F.lit("] "))).when(
         no.isNotNull(), F.concat(F.lit("[單元"), no, F.lit("] "))).otherwise("")
     rows = suggestions.where("title <> ''").select("video_id", "idx", "start_s", "duration", F.concat(named, "title").alias("title"))
-    return rows.groupBy("video_id").applyInPandas(place, "video_id string, start_s long, title string")
+    return grouped(rows, ["video_id"], ["idx"], ["start_s", "title", "duration"], place, "start_s long, title string")
 
 
 def merge_titles(chapters: DataFrame, threshold: float = 0.82) -> DataFrame:
     """Neighbours with nearly equal titles become one: end of the later, mean confidence."""
     token = re.compile(r"[一-鿿]{1,}|\b[a-zA-Z0-9_]+\b")
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(rows: list[tuple]) -> list[tuple]:
         out: list[list] = []
-        for s, e, title, conf in pdf.sort_values("start_s")[["start_s", "end_s", "title", "confidence"]].itertuples(index=False):
+        for s, e, title, conf in rows:
             words = set(token.findall(title.lower()))
             if out:
                 prev = set(token.findall(out[-1][2].lower()))
@@ -163,11 +161,10 @@ def merge_titles(chapters: DataFrame, threshold: float = 0.82) -> DataFrame:
                     out[-1][1], out[-1][3] = e, round(0.5 * (out[-1][3] + conf), 3)
                     continue
             out.append([s, e, title, conf])
-        cols = list(zip(*out))
-        return pd.DataFrame({"video_id": pdf["video_id"].iloc[0], "start_s": cols[0], "end_s": cols[1], "title": cols[2], "confidence": cols[3]})
+        return [tuple(o) for o in out]
 
-    cols = chapters.select("video_id", "start_s", "end_s", "title", "confidence")
-    return cols.groupBy("video_id").applyInPandas(merge, "video_id string, start_s long, end_s long, title string, confidence double")
+    cols = ["start_s", "end_s", "title", "confidence"]
+    return grouped(chapters, ["video_id"], ["start_s"], cols, merge, "start_s long, end_s long, title string, confidence double")
 
 
 def confidence(sim: Column, w_slide: Column, w_speech: Column, has_topic: Column) -> Column:
@@ -179,9 +176,8 @@ def reading_lines(tokens: DataFrame, y_ratio: float = 0.015, x_ratio: float = 0.
     """Token boxes of a frame to lines: same line while the centre stays near the running mean
     baseline; a wide gap starts a new line piece. Rows `(video_id, frame, x1, x2, y1, y2, w, h, text)`."""
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = sorted(((y1 + y2) / 2.0, (x1 + x2) / 2.0, x1, x2, text, w, h)
-                       for x1, x2, y1, y2, text, w, h in pdf[["x1", "x2", "y1", "y2", "text", "w", "h"]].itertuples(index=False) if text.strip())
+    def group(rows: list[tuple]) -> list[tuple]:
+        items = sorted(((y1 + y2) / 2.0, (x1 + x2) / 2.0, x1, x2, text, w, h) for x1, x2, y1, y2, text, w, h in rows if text.strip())
         lines, row, base, width = [], [], None, 1
         for cy, _, x1, x2, text, w, h in items:
             if base is not None and abs(cy - base) > max(1.0, h * y_ratio):
@@ -191,9 +187,9 @@ def reading_lines(tokens: DataFrame, y_ratio: float = 0.015, x_ratio: float = 0.
             base = cy if base is None else (base + cy) / 2.0
             width = w
         lines += _pieces(row, width, x_ratio)
-        return pd.DataFrame({"video_id": pdf["video_id"].iloc[0], "frame": pdf["frame"].iloc[0], "line_no": range(len(lines)), "text": lines})
+        return list(enumerate(lines))
 
-    return tokens.groupBy("video_id", "frame").applyInPandas(group, "video_id string, frame long, line_no long, text string")
+    return grouped(tokens, ["video_id", "frame"], ["y1", "x1"], ["x1", "x2", "y1", "y2", "text", "w", "h"], group, "line_no long, text string")
 
 
 def _pieces(row: list, width: float, x_ratio: float) -> list[str]:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuewise.operators.barrier import once
+from cuewise.operators.folds import grouped
 
 
 def caption_tokens(text: Column) -> Column:
@@ -115,24 +115,24 @@ def alignment(pairs: DataFrame, counts: DataFrame, thresholds=(0.0,)) -> DataFra
     """
     ts = [float(t) for t in thresholds]
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        n_ref, n_pred = int(pdf["n_ref"].iloc[0]), int(pdf["n_pred"].iloc[0])
+    def best(rows: list[tuple]) -> list[tuple]:
+        n_ref, n_pred = rows[0][0], rows[0][1]
         out = []
         for t in ts:
-            keep = pdf[pdf["iou"].notna() & (pdf["iou"] >= t)]
             cells: dict[int, list] = {}
-            for i, j, s in zip(keep["i"].astype(int), keep["j"].astype(int), keep["score"]):
-                cells.setdefault(i, []).append((j, s))
+            for _, _, i, j, overlap, score in rows:
+                if i == i and i is not None and overlap >= t:
+                    cells.setdefault(int(i), []).append((int(j), score))
             prev = np.zeros(n_pred)
             for i in sorted(cells):
                 row = prev.copy()
-                for j, s in cells[i]:
-                    row[j] = max(row[j], (prev[j - 1] if j > 0 else 0.0) + s)
+                for j, score in cells[i]:
+                    row[j] = max(row[j], (prev[j - 1] if j > 0 else 0.0) + score)
                 prev = np.maximum.accumulate(row)
             top = float(prev[-1]) if n_pred else 0.0
             p, r = (top / n_pred, top / n_ref) if n_pred and n_ref else (0.0, 0.0)
-            out.append((pdf["video_id"].iloc[0], t, p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0))
-        return pd.DataFrame(out, columns=["video_id", "threshold", "p", "r", "f1"])
+            out.append((t, p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0))
+        return out
 
     rows = counts.join(pairs, "video_id", "left").select("video_id", "n_ref", "n_pred", "i", "j", "iou", "score")
-    return rows.groupBy("video_id").applyInPandas(best, "video_id string, threshold double, p double, r double, f1 double")
+    return grouped(rows, ["video_id"], ["i", "j"], ["n_ref", "n_pred", "i", "j", "iou", "score"], best, "threshold double, p double, r double, f1 double")

@@ -63,6 +63,34 @@ def _run(step: Callable, inputs: list[str], keys: list[str], columns: list[str],
     return apply
 
 
+def _staged(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], columns: list[str], step: Callable, out: str, probe: bool = False) -> DataFrame:
+    """Sort rows (with block, `_state` and `_last`) and stream them through `step`.
+
+    The number of partitions is the session's own setting, stated outright: these stages are bound by
+    Python time, not by bytes, so small partitions must not be merged for their size.
+    """
+    part = [*keys, BLOCK]
+    types = dict(rows.dtypes)
+    key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = rows.repartition(n, *part).sortWithinPartitions(*part, *order)
+    schema = f"{key_schema}, {BLOCK} {types[BLOCK]}, _end string" if probe else f"{key_schema}, {out}"
+    return sorted_rows.mapInPandas(_run(step, inputs, keys, columns, probe), schema)
+
+
+def grouped(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], fn: Callable, out: str) -> DataFrame:
+    """`fn(rows) -> out` per group, for groups with a proven bound (chapters of a video, tokens of a frame)."""
+
+    def step(state, rows, last):
+        held = (state or []) + rows
+        return (fn(held), None) if last else ([], held)
+
+    columns = [c.strip().split(" ")[0] for c in out.split(",")]
+    rows = df.select(*keys, *[c for c in dict.fromkeys([*order, *inputs]) if c not in keys])
+    rows = rows.withColumn(BLOCK, F.lit(0)).withColumn("_state", F.lit(None).cast("string")).withColumn("_last", F.lit(True))
+    return _staged(rows, keys, order, inputs, columns, step, out)
+
+
 def fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], step: Callable, out: str) -> DataFrame:
     """Apply `step` along each group of `df` (which carries the block column).
 
@@ -70,15 +98,11 @@ def fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], st
     once per batch of rows and, at the end of a block, once without rows.
     """
     part = [*keys, BLOCK]
-    types = dict(df.dtypes)
     columns = [c.strip().split(" ")[0] for c in out.split(",")]
-    key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
     rows = df.select(*part, *[c for c in dict.fromkeys([*order, *inputs]) if c not in part])
 
     def run(staged: DataFrame, probe: bool) -> DataFrame:
-        sorted_rows = staged.repartition(*part).sortWithinPartitions(*part, *order)
-        schema = f"{key_schema}, {BLOCK} {types[BLOCK]}, _end string" if probe else f"{key_schema}, {out}"
-        return sorted_rows.mapInPandas(_run(step, inputs, keys, columns, probe), schema)
+        return _staged(staged, keys, order, inputs, columns, step, out, probe)
 
     # distinct lets the optimizer drop joins that only add columns
     if rows.where(F.col(BLOCK) > 0).select(BLOCK).distinct().isEmpty():

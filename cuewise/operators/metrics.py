@@ -6,10 +6,10 @@ pairs; pairs come from a bucketed overlap join, never from all combinations.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuewise.operators.folds import grouped
 from cuewise.operators.ranges import overlap_join
 
 # The ten overlap thresholds, and the boundary distances in seconds.
@@ -104,19 +104,17 @@ def greedy_matching(pairs: DataFrame) -> DataFrame:
     A group is one video's overlapping pairs: at most n_ref + n_pred rows.
     """
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["iou", "i", "j"], ascending=[False, True, True], kind="stable")
+    def match(rows: list[tuple]) -> list[tuple]:
         used_i, used_j, keep = set(), set(), []
-        for i, j in zip(pdf["i"].tolist(), pdf["j"].tolist()):
-            free = i not in used_i and j not in used_j
-            keep.append(free)
-            if free:
+        for i, j, score in rows:
+            if i not in used_i and j not in used_j:
                 used_i.add(i)
                 used_j.add(j)
-        return pdf[keep]
+                keep.append((i, j, score))
+        return keep
 
-    cols = pairs.select("video_id", "i", "j", "iou")
-    return cols.groupBy("video_id").applyInPandas(match, "video_id string, i long, j long, iou double")
+    ranked = pairs.select("video_id", "i", "j", "iou", (-F.col("iou")).alias("_rank"))
+    return grouped(ranked, ["video_id"], ["_rank", "i", "j"], ["i", "j", "iou"], match, "i long, j long, iou double")
 
 
 def paired_by_rank(refs: DataFrame, preds: DataFrame) -> DataFrame:

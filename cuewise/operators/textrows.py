@@ -82,13 +82,17 @@ TFIDF_TOKEN = r"(?U)\b[\x{4e00}-\x{9fff}]{2,}|[a-zA-Z0-9_]{3,}\b"
 
 
 def tfidf(lines: DataFrame) -> DataFrame:
-    """Word weights per line within its video: raw counts, idf ln((1+n)/(1+df))+1, unit length."""
+    """Word weights per line within its video: raw counts, idf ln((1+n)/(1+df))+1, unit length.
+
+    Document frequency and length are windows over (video, word) and (video, line), so the counts are
+    shuffled once each and never joined back; a window holds at most the lines of one text.
+    """
     n = lines.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
     tf = lines.select("video_id", "line_no", F.explode(words(F.lower("text"), TFIDF_TOKEN)).alias("word")).groupBy("video_id", "line_no", "word").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("video_id", "word").agg(F.count(F.lit(1)).alias("df"))
-    w = tf.join(df, ["video_id", "word"]).join(n, "video_id").withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = w.groupBy("video_id", "line_no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, ["video_id", "line_no"]).select("video_id", "line_no", "word", (F.col("w") / F.col("norm")).alias("weight"))
+    df = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("video_id", "word"))).join(n, "video_id")
+    w = df.withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("video_id", "line_no")))
+    return w.select("video_id", "line_no", "word", (F.col("w") / norm).alias("weight"))
 
 
 def capped_corpus(slides: DataFrame, speech: DataFrame, cap: int) -> DataFrame:

@@ -6,6 +6,7 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cuewise.functions import text as tx
 from cuewise.functions import timefmt as tf
@@ -84,7 +85,7 @@ def a22(t):
 TERMS = ["Jupyter", "Anaconda", "Google", "Python", "Assistant", "Untitled", "Login", "Distribution", "Manage", "Trusted", "Packages", "Environments", "Navigator", "Colab", "Drive"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def snap(words: pd.Series) -> pd.Series:
     """Closest term at a similarity ratio of 0.82, else the word; each distinct word is looked up once per batch."""
     found = {w: (difflib.get_close_matches(w, TERMS, n=1, cutoff=0.82) or [w])[0] for w in words.dropna().unique()}

@@ -174,7 +174,7 @@ def x16(t):
     i, p = F.col("event_id") % 7, F.col("props")
     reply = (F.when(i == 0, F.concat(F.lit("Sure:\n```json\n"), p, F.lit("\n```\nDone"))).when(i == 1, F.concat(F.lit("```\n"), p, F.lit("\n```"))).when(i == 2, F.concat(F.lit(" "), p, F.lit("\n")))
              .when(i == 3, F.concat(F.lit("The answer is "), p, F.lit(" as asked."))).when(i == 4, F.replace(p, F.lit('"k"'), F.lit("“k”"))).when(i == 5, "no json here").otherwise(F.concat(F.lit("list: ["), p, F.lit("] end"))))
-    e = once(t.read("events").select("event_id", reply.alias("r")), b=js.json_blob(F.col("r")), c=js.repaired_json(F.col("r")))
+    e = once(t.texts("events").select("event_id", reply.alias("r")), b=js.json_blob(F.col("r")), c=js.repaired_json(F.col("r")))
     mended = F.translate("b", "“”", '""')
     return e.select("event_id", F.try_variant_get(F.try_parse_json(mended), "$.k", "int").alias("from_blob"), F.try_variant_get(F.try_parse_json("c"), "$.k", "int").alias("from_repaired"))
 

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cuewise.functions import text as tx
 from cuewise.functions import timefmt as tf
@@ -521,7 +522,7 @@ def u2(t):
     return first.unionByName(tr.stacked([("Captions:", asr), ("ASR transcript:", cap)]).select(F.lit("captions+asr").alias("form"), "*"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x))
 
