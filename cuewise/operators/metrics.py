@@ -39,11 +39,29 @@ def _best(pairs: DataFrame) -> DataFrame:
     return pairs.select("video_id", sides.alias("x"), "iou").groupBy("video_id", "x.side", "x.k").agg(F.max("iou").alias("best"))
 
 
-def counts(refs: DataFrame, preds: DataFrame) -> DataFrame:
-    """Segments per video and side. Videos without predictions are left out."""
+def side_counts(refs: DataFrame, preds: DataFrame) -> DataFrame:
+    """Segments per video and side."""
     both = refs.select("video_id", F.lit(1).alias("r"), F.lit(0).alias("p")).unionByName(
         preds.select("video_id", F.lit(0).alias("r"), F.lit(1).alias("p")))
-    return both.groupBy("video_id").agg(F.sum("r").alias("n_ref"), F.sum("p").alias("n_pred")).where("n_ref > 0 AND n_pred > 0")
+    return both.groupBy("video_id").agg(F.sum("r").alias("n_ref"), F.sum("p").alias("n_pred"))
+
+
+def counts(refs: DataFrame, preds: DataFrame) -> DataFrame:
+    """Segments per video and side. Videos without predictions are left out."""
+    return side_counts(refs, preds).where("n_ref > 0 AND n_pred > 0")
+
+
+def count_error(refs: DataFrame, preds: DataFrame) -> DataFrame:
+    """Mean absolute error of the segment count, shares of under, equal and over, and reference videos without prediction."""
+    both = F.when((F.col("n_ref") > 0) & (F.col("n_pred") > 0), F.col("n_ref") - F.col("n_pred"))
+
+    def pct(c: Column) -> Column:
+        return F.bround(F.count_if(c) * 100.0 / F.count("d"), 2)
+
+    d = F.col("d")
+    return side_counts(refs, preds).withColumn("d", both).agg(
+        F.round(F.avg(F.abs(d)), 6).alias("mae"), pct(d > 0).alias("under_pct"), pct(d == 0).alias("equal_pct"), pct(d < 0).alias("over_pct"),
+        F.count_if((F.col("n_ref") > 0) & (F.col("n_pred") == 0)).alias("missing"))
 
 
 def f1(p: Column, r: Column) -> Column:

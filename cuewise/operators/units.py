@@ -48,7 +48,7 @@ def normalize_suggestions(suggestions: DataFrame, units: DataFrame) -> DataFrame
     """Valid suggestions with known client unit numbers only, their unit title, renumbered by time.
 
     `suggestions`: video_id, idx, title, time, parent_no, client_no. The number in the title is
-    looked for after the unit prefix has been cut, as the reference behaviour has it.
+    looked for after the unit prefix has been cut.
     """
     raw = strip(F.coalesce("title", F.lit("")))
     rows = suggestions.withColumn("time", strip(F.coalesce("time", F.lit("")))).where((raw != "") & is_hms(F.col("time")))

@@ -92,13 +92,24 @@ def snap(words: pd.Series) -> pd.Series:
     return words.map(found)
 
 
+def may_snap(word):
+    """Words that can reach the ratio of some term. Matching blocks form a common subsequence, so the
+    edit distance of a hit is at most 0.18 of both lengths together; other words skip Python."""
+    near = F.lit(False)
+    for term in TERMS:
+        room = 0.18 * (F.length(word) + len(term))
+        edits = F.levenshtein(word, F.lit(term), int(0.18 * 2.5 * len(term)) + 1)
+        near = near | ((edits >= 0) & (edits <= room))
+    return near & (tx.ascii_letter_ratio(word) >= 0.7)
+
+
 @query("x15_lexicon_snap")
 def x15(t):
-    """Distinct words only, and only those of mostly Latin letters; misspelt terms are mixed in."""
+    """Distinct words, and of those only possible hits, go through Python; misspelt terms are mixed in."""
     w = F.explode(tx.tokens(F.col("text")))
     words = t.documents.select("doc_id", w.alias("w")).withColumn("w", F.when(F.xxhash64("w") % 9 == 0, F.concat(F.lit("Pythn"), F.substring("w", 1, 1))).otherwise(F.col("w"))).select("w").distinct()
-    latin = tx.ascii_letter_ratio(F.col("w")) >= 0.7
-    return words.where(latin).select("w", snap("w").alias("snapped")).unionByName(words.where(~latin).select("w", F.col("w").alias("snapped")))
+    flagged = words.withColumn("hit", may_snap(F.col("w")))
+    return flagged.where("hit").select("w", snap("w").alias("snapped")).unionByName(flagged.where("NOT hit").select("w", F.col("w").alias("snapped")))
 
 
 @query("t6_weighted_start_choice")

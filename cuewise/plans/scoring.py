@@ -52,15 +52,7 @@ SELECT round(avg(abs(n_ref - n_pred)), 6) AS mae, round_even(100.0::DOUBLE * cou
   round_even(100.0::DOUBLE * count(*) FILTER (WHERE n_ref = n_pred) / count(*), 2) AS equal_pct, round_even(100.0::DOUBLE * count(*) FILTER (WHERE n_ref < n_pred) / count(*), 2) AS over_pct,
   CAST(0 AS BIGINT) AS missing FROM cnt WHERE n_ref > 0 AND n_pred > 0""")
 def a3(t):
-    r, p = sides(t)
-    d = F.col("n_ref") - F.col("n_pred")
-    missing = r.select("video_id").distinct().join(p.select("video_id").distinct(), "video_id", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
-
-    def pct(c):
-        return F.bround(F.count_if(c) * 100.0 / F.count(F.lit(1)), 2)
-
-    return me.counts(r, p).agg(F.round(F.avg(F.abs(d)), 6).alias("mae"), pct(d > 0).alias("under_pct"), pct(d == 0).alias("equal_pct"),
-                               pct(d < 0).alias("over_pct")).join(missing, how="cross")
+    return me.count_error(*sides(t))
 
 
 PRF_SQL = f"""{SEGS_SQL},

@@ -555,9 +555,11 @@ MERGING = {
 }
 
 
-@query("d2_pluggable_merging", "seg dur", f"""WITH {STREAM_SQL.replace(' a AS', ' sa AS').replace('a AS (SELECT video_id, CAST', 'sa AS (SELECT video_id, CAST', 1)}, st AS (SELECT video_id FROM seg UNION ALL SELECT video_id FROM evs)
-SELECT 'interleave' AS method, video_id, count(*) AS n FROM st GROUP BY 2 UNION ALL
-SELECT m, video_id, count(*) + any_value(CASE WHEN h THEN 2 ELSE 0 END) FROM (SELECT st.video_id, q.video_id IS NOT NULL AS h FROM st LEFT JOIN (SELECT DISTINCT video_id FROM seg) q ON q.video_id = st.video_id), (VALUES ('asr+captions'), ('captions+asr')) AS v(m) GROUP BY m, video_id""".replace("WITH " + STREAM_SQL, "WITH "))
+@query("d2_pluggable_merging", "seg dur", """
+WITH st AS (SELECT video_id, 1 AS a, 0 AS c FROM seg UNION ALL SELECT video_id, 0, 1 FROM evs),
+n AS (SELECT video_id, count(*) AS n, max(a) AS a, max(c) AS c FROM st GROUP BY 1)
+SELECT 'interleave' AS method, video_id, n FROM n UNION ALL
+SELECT m, video_id, n + a + a * c FROM n, (VALUES ('asr+captions'), ('captions+asr')) AS v(m)""")
 def d2(t):
     asr, cap, _ = streams(t)
     out = None

@@ -100,7 +100,9 @@ def a10(t):
         F.sum("n").alias("total"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"), F.min("n").alias("least"), F.count(F.lit(1)).alias("videos"))
     known = t.seg.select("video_id").distinct().withColumn("known", F.lit(1))
     absent = t.dur.join(known, "video_id", "left").agg(F.round(F.count_if(F.col("known").isNull()) * 100.0 / F.count(F.lit(1)), 6).alias("absent_pct"))
-    return stats.join(absent, how="cross")
+    # two single rows side by side
+    both = stats.unionByName(absent, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 @query("j11_subset_membership", "", """
@@ -366,7 +368,8 @@ def a9(t):
     k = t.seg.groupBy("video_id").agg(F.sum(tx.chunk_tokens(F.col("text"))).alias("tok"), F.max("end_s").alias("d"))
     c = t.pred.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.min("duration").alias("d"))
     rates = c.agg(F.round(F.avg("n"), 6).alias("captions_per_video"), F.round(F.avg(F.col("n") / F.col("d") * 60), 6).alias("captions_per_min"))
-    return k.agg(F.bround(F.avg(F.col("tok") / F.col("d") * 60), 2).alias("tokens_per_min")).join(rates, how="cross")
+    both = k.agg(F.bround(F.avg(F.col("tok") / F.col("d") * 60), 2).alias("tokens_per_min")).unionByName(rates, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 @query("a20_nonempty_rates", "lin", r"""
