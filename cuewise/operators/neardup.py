@@ -44,7 +44,8 @@ def dedup_step(within: float = 0.90, across: float = 0.93, most_lines: int = 80,
         for window, n, text in rows:
             if state[1] is not None and state[1] != window:
                 state = close(state, out)
-            state = [state[0], window, state[2] + [[n, text]]]
+            state[1] = window
+            state[2].append([n, text])
         if last:
             state = close(state, out)
         return out, state

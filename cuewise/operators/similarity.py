@@ -49,16 +49,21 @@ def chunk_chapters(hits: DataFrame, most: int = 600, carry: int = 50) -> DataFra
 
 
 def gap_lines(segments: DataFrame, max_gap: float = 10.0, shortest: float = 60.0) -> DataFrame:
-    """Lines joined while the step to the next start is at most `max_gap`; short groups go, but the
-    last one stays when nothing else does."""
+    """Segments joined while the step to the next start is at most `max_gap`; short groups go, but the
+    last one stays when nothing else does.
+
+    One row per segment with its group, the group's `[HMS-HMS]` head and its text: an unbroken
+    transcript is one group, so its text is not put into one cell.
+    """
     rows = scan(fixed_blocks(segments, "seg_idx"), ["video_id"], ["seg_idx"], lag={"_prev": "start_s"})
     rows = rows.withColumn("_new", F.when(F.col("start_s") - F.col("_prev") > max_gap, 1).otherwise(0)).drop("_prev")
-    rows = scan(rows, ["video_id"], ["seg_idx"], total={"grp": "_new"}).withColumn("text", tx.strip(F.col("text")))
-    groups = rows.groupBy("video_id", "grp").agg(F.min("start_s").alias("s"), F.max("start_s").alias("e"), joined_text(["seg_idx"], "text", " ").alias("t"))
+    rows = scan(rows, ["video_id"], ["seg_idx"], total={"grp": "_new"}).drop(BLOCK)
+    groups = rows.groupBy("video_id", "grp").agg(F.min("start_s").alias("s"), F.max("start_s").alias("e"))
     long = F.col("e") - F.col("s") >= shortest
     per = groups.groupBy("video_id").agg(F.max("grp").alias("_last"), F.count_if(long).alias("_n"))
-    line = F.concat(F.lit("["), sec_to_hms(F.col("s")), F.lit("-"), sec_to_hms(F.col("e")), F.lit("] "), "t")
-    return groups.join(per, "video_id").where(long | ((F.col("grp") == F.col("_last")) & (F.col("_n") == 0))).select("video_id", "grp", line.alias("line"))
+    head = F.concat(F.lit("["), sec_to_hms(F.col("s")), F.lit("-"), sec_to_hms(F.col("e")), F.lit("]"))
+    kept = groups.join(per, "video_id").where(long | ((F.col("grp") == F.col("_last")) & (F.col("_n") == 0))).select("video_id", "grp", head.alias("head"))
+    return rows.join(kept, ["video_id", "grp"]).select("video_id", "grp", "seg_idx", "head", tx.strip(F.col("text")).alias("text"))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -143,22 +143,20 @@ def s13(t):
     return mf.upsert(old, new, flags)
 
 
-@query("s16_source_preference", "seg", f"""
-WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS id, 0 AS r, 'raw' AS source, html AS v FROM documents JOIN pages ON page_id = doc_id WHERE doc_id % 3 = 0
- UNION ALL SELECT video_id, 1, 'segments', string_agg({HMS_SQL.format('start_s')} || ': ' || {TRIM_SQL.format('text')}, chr(10) ORDER BY seg_idx) FROM seg WHERE {TRIM_SQL.format('text')} <> '' GROUP BY 1
- UNION ALL SELECT CAST(doc_id AS VARCHAR), 2, 'plain', text FROM documents)
-SELECT id AS video_id, md5(arg_min(v, r)) AS text_md5, arg_min(source, r) AS source FROM c WHERE {TRIM_SQL.format('v')} <> '' GROUP BY 1""")
+@query("s16_source_preference", "seg lin", f"""
+WITH c AS (SELECT CAST(page_id AS VARCHAR) AS video_id, 0 AS r, 'raw' AS source, i AS pos, l AS line FROM (SELECT page_id, unnest(range(len(p))) AS i, unnest(p) AS l FROM (SELECT page_id, string_split(html, chr(10)) AS p FROM pages WHERE page_id % 3 = 0))
+ UNION ALL SELECT video_id, 1, 'segments', seg_idx, {HMS_SQL.format('start_s')} || ': ' || {TRIM_SQL.format('text')} FROM seg WHERE {TRIM_SQL.format('text')} <> ''
+ UNION ALL SELECT video_id, 2, 'plain', line_no, text FROM lin),
+b AS (SELECT video_id, min(r) AS r FROM c WHERE trim(line) <> '' GROUP BY 1)
+SELECT video_id, source, pos, md5(line) AS line_md5 FROM c SEMI JOIN b USING (video_id, r)""")
 def s16(t):
-    """Raw text first, then a transcript rebuilt from segments, then plain text.
-
-    The rebuilt transcript of one video is one text cell; segments lie 20 s apart.
-    """
-    raw = t.documents.where("doc_id % 3 = 0").join(t.read("pages"), F.col("doc_id") == F.col("page_id")).select(F.col("doc_id").cast("string").alias("video_id"), F.col("html").alias("v"))
-    line = F.concat(tf.sec_to_hms(F.col("start_s")), F.lit(": "), tx.strip(F.col("text")))
-    lines = F.sort_array(F.collect_list(F.struct("seg_idx", line.alias("l"))))
-    segs = t.seg.where(tx.strip(F.col("text")) != "").groupBy("video_id").agg(F.concat_ws("\n", F.transform(lines, lambda x: x["l"])).alias("v"))
-    plain = t.documents.select(F.col("doc_id").cast("string").alias("video_id"), F.col("text").alias("v"))
-    return mf.first_existing([("raw", raw), ("segments", segs), ("plain", plain)], "video_id", "v").select("video_id", F.md5("v").alias("text_md5"), "source")
+    """Raw text first, then a transcript rebuilt from segments, then plain text; line by line."""
+    pages = t.read("pages").where("page_id % 3 = 0").select(F.col("page_id").cast("string").alias("video_id"), F.posexplode(F.split("html", "\n")).alias("pos", "line"))
+    raw = pages.select("video_id", F.col("pos").cast("long").alias("pos"), "line")
+    body = tx.strip(F.col("text"))
+    segs = t.seg.where(body != "").select("video_id", F.col("seg_idx").alias("pos"), F.concat(tf.sec_to_hms(F.col("start_s")), F.lit(": "), body).alias("line"))
+    plain = t.lin.select("video_id", F.col("line_no").cast("long").alias("pos"), F.col("text").alias("line"))
+    return mf.first_existing([("raw", raw), ("segments", segs), ("plain", plain)], "video_id").select("video_id", "source", "pos", F.md5("line").alias("line_md5"))
 
 
 @query("s18_payload_conversion", "seg", """

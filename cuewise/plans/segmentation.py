@@ -121,9 +121,10 @@ def a24(t):
 @query("f6_gap_line_joining", "seg", f"""
 WITH k AS (SELECT * FROM seg WHERE seg_idx % 5 <> 4), g AS (SELECT *, start_s - lag(start_s) OVER (PARTITION BY video_id ORDER BY seg_idx) AS gap FROM k),
 i AS (SELECT *, sum(CASE WHEN gap > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY seg_idx) AS g FROM g),
-c AS (SELECT video_id, g, CAST(min(start_s) AS BIGINT) AS s, CAST(max(start_s) AS BIGINT) AS e, string_agg({STRIP('text')}, ' ' ORDER BY seg_idx) AS t FROM i GROUP BY 1, 2),
+c AS (SELECT video_id, g, CAST(min(start_s) AS BIGINT) AS s, CAST(max(start_s) AS BIGINT) AS e FROM i GROUP BY 1, 2),
 r AS (SELECT *, e - s >= 60 AS long, g = max(g) OVER (PARTITION BY video_id) AS last, count(*) FILTER (WHERE e - s >= 60) OVER (PARTITION BY video_id) AS n FROM c)
-SELECT video_id, CAST(g AS BIGINT) AS grp, printf('[%02d:%02d:%02d-%02d:%02d:%02d] ', s // 3600, s % 3600 // 60, s % 60, e // 3600, e % 3600 // 60, e % 60) || t AS line FROM r WHERE long OR (last AND n = 0)""")
+SELECT i.video_id, CAST(i.g AS BIGINT) AS grp, seg_idx, printf('[%02d:%02d:%02d-%02d:%02d:%02d]', s // 3600, s % 3600 // 60, s % 60, e // 3600, e % 3600 // 60, e % 60) AS head, {STRIP('text')} AS text
+FROM i JOIN r ON r.video_id = i.video_id AND r.g = i.g WHERE long OR (last AND n = 0)""")
 def f6(t):
     """The documented rule; the stamp parsing of the original never matches a line, so only its fallback ran."""
     return si.gap_lines(t.seg.where("seg_idx % 5 <> 4"), max_gap=30.0, shortest=60.0)

@@ -22,13 +22,18 @@ def upsert(manifest: DataFrame, updates: DataFrame, flags: DataFrame) -> DataFra
         "team_id", "video_id", "chars", (F.col("has_chunks") | done).alias("has_chunks"), (F.col("has_embeddings") | done).alias("has_embeddings"))
 
 
-def first_existing(candidates: list[tuple[str, DataFrame]], key: str, value: str) -> DataFrame:
-    """First candidate, in list order, that has a non-blank value for the key."""
+def first_existing(candidates: list[tuple[str, DataFrame]], key: str) -> DataFrame:
+    """Lines of the first candidate, in list order, that has a non-blank line for the key.
+
+    Candidates are rows `(key, pos, line)`: a text stays one row per line, whatever its length. Only
+    the rank of the chosen candidate is aggregated per key.
+    """
     tagged = None
     for rank, (name, df) in enumerate(candidates):
-        part = df.where(F.trim(F.col(value)) != "").select(key, F.lit(rank).alias("_rank"), F.lit(name).alias("source"), F.col(value))
+        part = df.select(key, F.lit(rank).alias("_rank"), F.lit(name).alias("source"), "pos", "line")
         tagged = part if tagged is None else tagged.unionByName(part)
-    return tagged.groupBy(key).agg(F.min(F.struct("_rank", "source", value)).alias("r")).select(key, "r.source", f"r.{value}")
+    best = tagged.where(F.trim("line") != "").groupBy(key).agg(F.min("_rank").alias("_rank"))
+    return tagged.join(best, [key, "_rank"], "left_semi").drop("_rank")
 
 
 def safe_double(c: Column) -> Column:
