@@ -31,17 +31,19 @@ def add_zero(boundaries: DataFrame) -> DataFrame:
 def segments(boundaries: DataFrame, zero: str = "add") -> DataFrame:
     """Boundaries (`video_id, start_s, duration`) to segments `(i, s, e)` up to the duration.
 
-    zero: add a boundary at 0, remove it, or leave as is. No empty last segment.
+    zero: add a boundary at 0, remove it, or leave as is. No empty last segment. The added first
+    segment comes from the first row itself, so the boundaries are read once.
     """
-    rows = add_zero(boundaries) if zero == "add" else boundaries
-    if zero == "remove":
-        rows = rows.where(F.col("start_s") != 0)
+    rows = boundaries.where(F.col("start_s") != 0) if zero == "remove" else boundaries
     w = Window.partitionBy("video_id").orderBy("start_s")
-    nxt = F.lead("start_s").over(w)
-    cut = rows.select("video_id", "duration", (F.row_number().over(w) - 1).cast("long").alias("i"),
-                      F.col("start_s").cast("double").alias("s"), F.coalesce(nxt, F.col("duration")).cast("double").alias("e"),
-                      nxt.isNull().alias("_last"))
-    return cut.where(~F.col("_last") | (F.col("s") != F.col("e"))).drop("_last")
+    first = F.first("start_s").over(w)
+    shift = F.when(first != 0, 1).otherwise(0) if zero == "add" else F.lit(0)
+    rows = rows.select("video_id", "duration", "start_s", F.lead("start_s").over(w).alias("_next"), (F.row_number().over(w) - 1).alias("_r"), shift.alias("_shift"))
+    s = F.col("start_s").cast("double")
+    own = F.struct((F.col("_r") + F.col("_shift")).cast("long").alias("i"), s.alias("s"), F.coalesce("_next", "duration").cast("double").alias("e"), F.col("_next").isNull().alias("last"))
+    lead_in = F.struct(F.lit(0).cast("long").alias("i"), F.lit(0.0).alias("s"), s.alias("e"), F.lit(False).alias("last"))
+    both = F.when((F.col("_r") == 0) & (F.col("_shift") == 1), F.array(lead_in, own)).otherwise(F.array(own))
+    return rows.select("video_id", "duration", F.inline(both)).where(~F.col("last") | (F.col("s") != F.col("e"))).drop("last")
 
 
 def contain(segs: DataFrame, chapters: DataFrame, slack: float = 1.0, width: float = 300.0) -> DataFrame:

@@ -51,12 +51,16 @@ class Tables:
         ).select("video_id", "line_no", (F.col("line_no") * 15).cast("double").alias("start_s"), "text")
 
     @cached_property
-    def evs(self) -> DataFrame:
+    def _bounds(self) -> DataFrame:
+        """First and last instant per user; both the time base and the duration come from this one pass."""
         us = F.unix_micros(F.col("ts").cast("timestamp"))
-        events = self.read("events")
-        first = events.groupBy("user_id").agg(F.min(us).alias("us0"))
-        start = (us - F.col("us0")) / F.lit(240000000.0).cast("double")
-        return events.join(first, "user_id").select(
+        return self.read("events").groupBy("user_id").agg(F.min(us).alias("us0"), F.max(us).alias("us1"))
+
+    @cached_property
+    def _timed(self) -> DataFrame:
+        scale = F.lit(240000000.0)
+        start = (F.unix_micros(F.col("ts").cast("timestamp")) - F.col("us0")) / scale
+        return self.read("events").join(self._bounds, "user_id").select(
             F.col("user_id").cast("string").alias("video_id"),
             "event_id",
             start.alias("start_s"),
@@ -64,19 +68,24 @@ class Tables:
             F.col("event_type").alias("text"),
             "value",
             "props",
+            (F.floor((F.col("us1") - F.col("us0")) / scale) + 60).cast("int").alias("duration"),
         )
 
+    @cached_property
+    def evs(self) -> DataFrame:
+        return self._timed.drop("duration")
+
     @cached_property
     def dur(self) -> DataFrame:
-        return self.evs.groupBy("video_id").agg((F.floor(F.max("start_s")) + 60).cast("int").alias("duration"))
+        span = F.floor((F.col("us1") - F.col("us0")) / F.lit(240000000.0)) + 60
+        return self._bounds.select(F.col("user_id").cast("string").alias("video_id"), span.cast("int").alias("duration"))
 
     def _chapters(self, kind: str) -> DataFrame:
         """One chapter per distinct second, so at most one row per second of a video."""
         firsts = (
-            self.evs.where(F.col("text") == kind)
-            .groupBy("video_id", F.floor("start_s").alias("start_s"))
+            self._timed.where(F.col("text") == kind)
+            .groupBy("video_id", "duration", F.floor("start_s").alias("start_s"))
             .agg(F.min_by(F.struct("event_id", "props", "text"), F.struct("start_s", "event_id")).alias("e"))
-            .join(self.dur, "video_id")
         )
         w = Window.partitionBy("video_id").orderBy("start_s")
         return firsts.select(
