@@ -228,3 +228,35 @@ def test_module_merge_equals_loop(spark):
     cut = fixed_blocks(df, "pos", 7)
     got = fo.fold(cut, ["video_id"], ["pos"], ["pos", "start_s", "end_s", "vec"], step, "pos long, module long")
     assert {r["pos"]: r["module"] for r in got.collect()} == want
+
+
+def test_gated_selection_on_cut_groups(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(80):
+        vec = [rng.choice([0.0, 1.0]) for _ in range(16)]
+        rows.append(("v", i, i * 2.0, rng.random() > 0.2, "".join(str(int(x)) for x in vec), vec))
+    picked, last = [], None
+    for _, pos, t, ok, h, vec in rows:
+        if not ok:
+            continue
+        if last is not None:
+            if t - last[0] < 3.0 or sum(a != b for a, b in zip(h, last[1])) < 5:
+                continue
+            norm = (sum(vec) * sum(last[2])) ** 0.5
+            if (sum(a * b for a, b in zip(vec, last[2])) / norm if norm else 0.0) >= 0.5 and t - last[0] < 20.0:
+                continue
+        last = (t, h, vec)
+        picked.append(pos)
+    df = spark.createDataFrame(rows, "video_id string, pos long, t double, ok boolean, hash string, vec array<double>")
+    for width in (9, 1000):
+        got = fo.fold(fixed_blocks(df, "pos", width), ["video_id"], ["pos"], ["pos", "t", "ok", "hash", "vec"], fo.gate_step(3.0, 20.0, same=0.5), "pos long")
+        assert sorted(r["pos"] for r in got.collect()) == picked
+
+
+def test_rouge_l_of_two_pairs(spark):
+    rows = [(0.5, "v", 0, 0, "the cat sat", "the cat on the mat"), (0.5, "v", 1, None, "alone", None)]
+    pairs = ca.token_pairs(spark.createDataFrame(rows, "tiou double, video_id string, j long, i long, pred_title string, ref_title string"))
+    p, r, b = 2 / 3, 2 / 5, 1.2
+    want = (1 + b * b) * p * r / (r + b * b * p)
+    assert ca.rouge_l(pairs).first()["score"] == pytest.approx(want / 2)
