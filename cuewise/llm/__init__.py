@@ -4,7 +4,7 @@ import importlib
 
 from cuewise.llm.registry import CHECKS, QUERIES
 
-MODULES = ["quality_rules", "mixing"]
+MODULES = ["quality_rules", "mixing", "decontamination"]
 
 
 def load_all() -> tuple[dict, dict]:
