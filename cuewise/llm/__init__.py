@@ -4,7 +4,7 @@ import importlib
 
 from cuewise.llm.registry import CHECKS, QUERIES
 
-MODULES = ["quality_rules", "mixing", "decontamination", "language", "licenses", "lmscore", "cotraining", "secrets", "jaccard"]
+MODULES = ["quality_rules", "mixing", "decontamination", "language", "licenses", "lmscore", "cotraining", "secrets", "jaccard", "passages"]
 
 
 def load_all() -> tuple[dict, dict]:
