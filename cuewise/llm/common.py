@@ -57,6 +57,16 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, gone: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of `docs` but those whose id and hash of the text are in `gone (_id, _key)`; null ids are ids."""
+    return docs.join(gone, docs[doc].eqNullSafe(gone["_id"]) & F.xxhash64(docs[text]).eqNullSafe(gone["_key"]), "left_anti")
+
+
+def within(docs: DataFrame, some: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of `docs` whose id and hash of the text are in `some (_id, _key)`."""
+    return docs.join(some, docs[doc].eqNullSafe(some["_id"]) & F.xxhash64(docs[text]).eqNullSafe(some["_key"]), "left_semi")
+
+
 def drawn(rows: DataFrame, key: str, most: int, seed: int = 1) -> DataFrame:
     """About `most` rows, by a hash of `key` that repeats; all where there are fewer. Rows without key are left out."""
     rows = rows.where(F.col(key).isNotNull())

@@ -87,6 +87,12 @@ def near_matches(docs: DataFrame, items: DataFrame, *, doc: list[str], within: i
     return bins.groupBy(*doc, "item", "of", "bin").agg(F.count_distinct("term").alias("terms")).where(F.col("terms") >= F.ceil(F.col("of") * share)).drop("of")
 
 
+def contaminated(docs: DataFrame, items: DataFrame, *, length: int = 10, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """`(_id, _key)`, id and hash of the text, of the documents that hold a window of an item."""
+    base = docs.select(F.col(doc).alias("_id"), F.xxhash64(text).alias("_key"), folded_words(F.col(text)).alias("w"))
+    return phrase_matches(base, saved(windows(items, length, item, item_text)), doc=["_id", "_key"]).select("_id", "_key").distinct()
+
+
 def overlap(docs: DataFrame, items: DataFrame, *, length: int = 10, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", lists: int = 2, most: int = TERMS) -> DataFrame:
     """Per row of `docs`: its id, `n_words, n_hit, n_items, items_sha256, contaminated`.
 

@@ -282,7 +282,7 @@ def _clustered(stars: DataFrame, sets: DataFrame, percent: int, block: int) -> D
 
 
 def linked_components(docs: DataFrame, *, size: int = 4, percent: int = 85, doc: str = "doc_id", text: str = "text", small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """One row per row of `docs`: its id, `n_shingles`, `component_id`.
+    """One row per row of `docs`: its id, `n_shingles`, `component_id`, `text_key` (hash of the text).
 
     Two texts are linked when 100 * intersection >= `percent` * union of their distinct `size`-word shingles;
     `component_id` is the smallest id reachable, or the own one. Null texts and texts without words have no
@@ -299,10 +299,10 @@ def linked_components(docs: DataFrame, *, size: int = 4, percent: int = 85, doc:
     some = pairs.union(stars).select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     sets = _sets(docs, some.join(rest, "fp"), size, doc, text)
     links = saved(_verified(pairs, sets, percent).union(_clustered(stars, sets, percent, block)))
-    of = rows.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("doc", "n", F.coalesce("label", "fp").alias("label"))
+    of = rows.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("doc", "tk", "n", F.coalesce("label", "fp").alias("label"))
     least = of.where("label IS NOT NULL").groupBy("label").agg(F.min("doc").alias("low"))
     out = of.join(least, "label", "left")
-    return out.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), F.coalesce("low", "doc").alias("component_id"))
+    return out.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), F.coalesce("low", "doc").alias("component_id"), F.col("tk").alias("text_key"))
 
 
 SQL = """
@@ -320,4 +320,4 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.x = d.doc_id GROUP BY
 
 @query("op4_jaccard_join", SQL)
 def op4(spark, sf_dir):
-    return linked_components(table(spark, sf_dir, "documents"))
+    return linked_components(table(spark, sf_dir, "documents")).drop("text_key")
