@@ -65,8 +65,8 @@ def linked(overlap, a, b, percent: int):
 def prints(docs: DataFrame, size: int, doc: str, text: str) -> tuple[DataFrame, np.ndarray]:
     """`(doc, tk, n, fp)` per row (tk: hash of the text), and how many shingles of all texts fall on each counter of a sketch. The
     sketch of a task is a few binary parts; parts are added up as they stream past."""
-    rows = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("tk"), F.col(text).alias("text"))
-    kind = rows.schema["doc"].dataType.simpleString()
+    kind = docs.schema[doc].dataType.simpleString()
+    rows = docs.select(F.col(doc).cast("string").alias("doc"), F.xxhash64(text).alias("tk"), F.col(text).alias("text"))
 
     def run(batches):
         shingles, counts = Shingler(size), np.zeros(COUNTERS, np.uint32)
@@ -74,12 +74,12 @@ def prints(docs: DataFrame, size: int, doc: str, text: str) -> tuple[DataFrame,
             sets = [shingles(t) for t in b["text"]]
             for s in sets:
                 np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-            yield pd.DataFrame({"doc": b["doc"], "tk": b["tk"], "n": [len(s) for s in sets], "fp": [_print(s) if len(s) else None for s in sets], "part": None, "blob": None})
+            yield pd.DataFrame({"doc": b["doc"], "tk": b["tk"], "n": [len(s) for s in sets], "fp": [_print(s) for s in sets], "part": None, "blob": None})
         if counts.any():
             parts = range(COUNTERS // PART)
             yield pd.DataFrame({"doc": None, "tk": None, "n": None, "fp": None, "part": list(parts), "blob": [counts[p * PART : (p + 1) * PART].tobytes() for p in parts]})
 
-    both = saved(rows.mapInPandas(run, f"doc {kind}, tk long, n long, fp long, part int, blob binary"))
+    both = saved(rows.mapInPandas(run, "doc string, tk long, n long, fp long, part int, blob binary"))
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -91,7 +91,7 @@ def prints(docs: DataFrame, size: int, doc: str, text: str) -> tuple[DataFrame,
     sketch = np.zeros(COUNTERS, np.uint32)
     for r in both.where("part IS NOT NULL").select("part", "blob").repartition("part").mapInPandas(add, "part int, blob binary").collect():
         sketch[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["blob"], np.uint32)
-    return both.where("part IS NULL").select("doc", "tk", "n", "fp"), sketch
+    return both.where("part IS NULL").select(F.col("doc").cast(kind).alias("doc"), "tk", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")), sketch
 
 
 def short_lists(docs: DataFrame, sketch: np.ndarray, size: int, percent: int, text: str) -> DataFrame:
@@ -239,7 +239,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, doc: str, text: str) ->
     return saved(rows.mapInPandas(run, "fp long, n long, shingles binary").dropDuplicates(["fp"]))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = lambda c: sets.select(F.col("fp").alias(c), F.col("shingles").alias("s" + c))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
@@ -251,7 +251,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(run, "a long, b long")
 
 
-def _clustered(stars: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+def clustered(stars: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Links among texts that share long lists, block against block within each cluster of such texts.
 
     Blocks follow the sizes of the sets, so only blocks of fitting sizes meet; their weights are known from
@@ -298,7 +298,7 @@ def linked_components(docs: DataFrame, *, size: int = 4, percent: int = 85, doc:
     stars = saved(found.where("na IS NULL").select("a", "b").distinct())
     some = pairs.union(stars).select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     sets = _sets(docs, some.join(rest, "fp"), size, doc, text)
-    links = saved(_verified(pairs, sets, percent).union(_clustered(stars, sets, percent, block)))
+    links = saved(verified(pairs, sets, percent).union(clustered(stars, sets, percent, block)))
     of = rows.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("doc", "tk", "n", F.coalesce("label", "fp").alias("label"))
     least = of.where("label IS NOT NULL").groupBy("label").agg(F.min("doc").alias("low"))
     out = of.join(least, "label", "left")

@@ -142,7 +142,9 @@ def identify(docs: DataFrame, model: LanguageFilter, *, doc: str = "doc_id", tex
     are read, in pieces. Only id and text are read, so extra columns don't matter.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(doc).alias("_id"), F.col(text).alias("_text"), *[c.alias(k) for k, c in more.items()])
+    kind = docs.schema[doc].dataType
+    # ids travel as text: pandas would turn whole numbers beside a null into floats
+    rows = docs.select(F.col(doc).cast("string").alias("_id"), F.col(text).alias("_text"), *[c.alias(k) for k, c in more.items()])
     kept = rows.drop("_text").schema
 
     def score(batches):
@@ -151,7 +153,7 @@ def identify(docs: DataFrame, model: LanguageFilter, *, doc: str = "doc_id", tex
             yield batch.drop(columns="_text").assign(lang_pred=[x[0] for x in got], score=[float(x[1]) for x in got], n_grams=[x[2] for x in got])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return rows.mapInPandas(score, schema + ", lang_pred string, score double, n_grams long").withColumnRenamed("_id", doc)
+    return rows.mapInPandas(score, schema + ", lang_pred string, score double, n_grams long").withColumn("_id", F.col("_id").cast(kind)).withColumnRenamed("_id", doc)
 
 
 @query("op1_language_id")

@@ -133,7 +133,9 @@ def scan(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
 
     Null and empty texts have no words and no finding. Whole texts are read; only id and text are used.
     """
-    rows = docs.select(F.col(doc).alias("_id"), F.col(text).alias("_text"))
+    kind = docs.schema[doc].dataType
+    # ids travel as text: pandas would turn whole numbers beside a null into floats
+    rows = docs.select(F.col(doc).cast("string").alias("_id"), F.col(text).alias("_text"))
 
     def run(batches):
         for batch in batches:
@@ -145,8 +147,8 @@ def scan(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
                 "notices": [[{"label": x, "start": s, "end": e} for x, s, e in g[2]] for g in got],
             })
 
-    kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"_id {kind}, n_words long, places array<struct<label string, word long>>, notices array<struct<label string, start long, end long>>").withColumnRenamed("_id", doc)
+    out = rows.mapInPandas(run, "_id string, n_words long, places array<struct<label string, word long>>, notices array<struct<label string, start long, end long>>")
+    return out.withColumn("_id", F.col("_id").cast(kind)).withColumnRenamed("_id", doc)
 
 
 def regex(template: str) -> str:

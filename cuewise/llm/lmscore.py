@@ -117,16 +117,17 @@ def scored(docs: DataFrame, model: Model, *, doc: str = "doc_id", text: str = "t
     text are read, equal texts get equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(doc).alias("_id"), F.col(text).alias("_text"))
-    kind = rows.schema["_id"].dataType.simpleString()
+    kind = docs.schema[doc].dataType
+    # ids travel as text: pandas would turn whole numbers beside a null into floats
+    rows = docs.select(F.col(doc).cast("string").alias("_id"), F.col(text).alias("_text"))
 
     def run(batches):
         for batch in batches:
             got = [shared.value.losses(t) for t in batch["_text"]]
             yield pd.DataFrame({"_id": batch["_id"], "n_tokens": [g[0] for g in got], "target_loss": [g[1] for g in got], "background_loss": [g[2] for g in got]})
 
-    out = rows.mapInPandas(run, f"_id {kind}, n_tokens long, target_loss double, background_loss double")
-    return out.withColumn("difference", F.col("target_loss") - F.col("background_loss")).withColumnRenamed("_id", doc)
+    out = rows.mapInPandas(run, "_id string, n_tokens long, target_loss double, background_loss double")
+    return out.withColumn("difference", F.col("target_loss") - F.col("background_loss")).withColumn("_id", F.col("_id").cast(kind)).withColumnRenamed("_id", doc)
 
 
 @query("op10_lm_scoring")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewise.llm.common import components, raw, saved
+from cuewise.llm.jaccard import BLOCK, candidates, clustered, verified
 from cuewise.llm.registry import query, table
 
 #: Words of a shingle; words of a window and grams that it is picked from. A shared run of
@@ -125,11 +126,10 @@ def _units(rows: DataFrame, bands: int, per: int, full: bool) -> DataFrame:
     return rows.mapInPandas(run, f"key long, doc {kind}" + (", start int, n int, fp long" if full else ""))
 
 
-def _alike(pairs: DataFrame, spots: DataFrame, rows: DataFrame, alike: float, bands: int, per: int) -> DataFrame:
-    """Pairs `(a, b)` of paragraph fingerprints whose shingle sets have a Jaccard similarity of `alike` or more;
-    `spots (fp, doc, start, n)` says where one paragraph of each fingerprint stands."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(spots, "fp").groupBy("doc").agg(F.collect_list(F.struct("fp", "start", "n")).alias("at"))
-    text = rows.join(wanted.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d")).select("text", "at")
+def _sets(wanted: DataFrame, spots: DataFrame, rows: DataFrame, bands: int, per: int) -> DataFrame:
+    """`(fp, n, shingles)` of the paragraphs in `wanted (fp)`; `spots (fp, doc, start, n)` says where one of each stands."""
+    at = wanted.join(spots, "fp").groupBy("doc").agg(F.collect_list(F.struct("fp", "start", "n")).alias("at"))
+    text = rows.join(at.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d")).select("text", "at")
 
     def read(batches):
         r = Reader(bands, per)
@@ -140,45 +140,33 @@ def _alike(pairs: DataFrame, spots: DataFrame, rows: DataFrame, alike: float, ba
                 for spot in at:
                     s = np.unique(r.shingles(h[spot["start"] : spot["start"] + spot["n"]]))
                     if (xxhash.xxh3_64_intdigest(s.tobytes()) | 1) - (1 << 63) == spot["fp"]:
-                        out.append((spot["fp"], s.tobytes()))
-            yield pd.DataFrame(out, columns=["fp", "s"])
+                        out.append((spot["fp"], len(s), s.tobytes()))
+            yield pd.DataFrame(out, columns=["fp", "n", "shingles"])
 
-    sets = saved(text.mapInPandas(read, "fp long, s binary").dropDuplicates(["fp"]))
-    side = lambda c: sets.select(F.col("fp").alias(c), F.col("s").alias("s" + c))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def verify(batches):
-        for b in batches:
-            keep = []
-            for p, q in zip(b["sa"], b["sb"]):
-                x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= alike * (len(x) + len(y) - common))
-            yield b.loc[keep, ["a", "b"]]
-
-    return both.mapInPandas(verify, "a long, b long")
+    return saved(text.mapInPandas(read, "fp long, n long, shingles binary").dropDuplicates(["fp"]))
 
 
-def repeats(docs: DataFrame, *, alike: float = 0.8, recall: float = 0.97, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, *, percent: int = 80, recall: float = 0.97, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Stretches `(doc, start, n, class, removed)` of words that stand in more than one document.
 
-    Units are paragraphs (lines) of `LEAST` words or more, alike from a Jaccard similarity of `alike` on
+    Units are paragraphs (lines) of `LEAST` words or more, alike from a Jaccard similarity of `percent` / 100 on
     five-word shingles, and, for passages inside longer paragraphs, equal windows of WINDOW words at picked
-    places. Classes are connected components; the first occurrence of a class, by id and place, stays and
-    the others are `removed`. Units that collide are paired with the smallest of their key only, so a class
-    of any size adds a row per member, and equal paragraphs count as one.
+    places. Equal paragraphs count as one; different ones that collide in a band are compared as pairs where
+    few collide, and block by block where many do. Classes are connected components; the first occurrence of
+    a class, by id and place, stays and the others are `removed`.
     Null and empty texts have no units; rows that repeat an id, and rows without id, are one document each,
     and repeats inside one document don't count. Extra columns are ignored.
     """
-    bands, per = tuned(alike, recall)
+    bands, per = tuned(percent / 100, recall)
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL AND doc IS NOT NULL")
     keys = _units(rows, bands, per, False).groupBy("key").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi")).where("_lo <> _hi").select("key")
     hit = saved(_units(rows, bands, per, True).join(keys, "key"))
     lines = hit.where("fp <> 0")
-    pivot = lines.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("_x")).where("b <> _x").select("key", "b")
-    pairs = saved(lines.join(pivot, "key").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct())
+    found = saved(candidates(lines.select(F.col("key").alias("shingle"), "fp", F.lit(1).cast("long").alias("n")).distinct(), percent))
+    pairs, stars = (saved(found.where(c).select("a", "b").distinct()) for c in ("na IS NOT NULL", "na IS NULL"))
     spots = lines.groupBy("fp").agg(F.min(F.struct("doc", "start", "n")).alias("_s")).select("fp", "_s.doc", "_s.start", "_s.n")
-    labels = components(_alike(pairs, spots, rows, alike, bands, per))
+    sets = _sets(pairs.union(stars).select(F.explode(F.array("a", "b")).alias("fp")).distinct(), spots, rows, bands, per)
+    labels = components(saved(verified(pairs, sets, percent).union(clustered(stars, sets, percent, BLOCK))))
     own = lines.select("doc", "start", "n", "fp").distinct()
     own = own.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("doc", "start", "n", F.coalesce("label", "fp").alias("class"), F.lit(True).alias("line"))
     every = saved(own.union(hit.where("fp = 0").select("doc", "start", "n", F.col("key").alias("class"), F.lit(False).alias("line")).distinct()))
