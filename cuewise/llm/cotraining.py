@@ -22,19 +22,17 @@ def _hashed(parts: list[bytes], bits: int) -> np.ndarray:
     from zlib import crc32
 
     h = np.fromiter((crc32(p) for p in parts), np.uint64, len(parts))
-    return np.unique((h * _SEED) >> np.uint64(64 - bits)).astype(np.int64)
+    return np.unique((h * _SEED) >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def text_view(text) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and weights of the content: words, with punctuation as it stands and folded."""
+def text_view(text) -> np.ndarray:
+    """Buckets of the content: words, with punctuation as it stands and folded."""
     b = raw(text)
-    plain = b.split()
-    at = _hashed(list({*plain, *(b"~" + w for w in b.translate(FOLD).split())}), TEXT_BITS)
-    return at, np.full(len(at), 1.0 / np.sqrt(max(1, len(at))))
+    return _hashed(list({*b.split(), *(b"~" + w for w in b.translate(FOLD).split())}), TEXT_BITS)
 
 
-def meta_view(source, lang, text) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and weights of what the page says about itself: source, language, and its size and layout
+def meta_view(source, lang, text) -> np.ndarray:
+    """Buckets of what the page says about itself: source, language, and its size and layout
     (binned), without any word of the content."""
     b = raw(text)
     n, words = len(b), len(b.split())
@@ -48,21 +46,21 @@ def meta_view(source, lang, text) -> tuple[np.ndarray, np.ndarray]:
         "same": int(10 * len(set(lines)) / max(1, len(lines))),
     }
     parts = [f"{k}={v}".encode() for k, v in bins.items()] + [b"source=" + raw(source), b"lang=" + raw(lang)]
-    at = _hashed(parts, META_BITS)
-    return at, np.full(len(at), 1.0 / np.sqrt(len(at)))
+    return _hashed(parts, META_BITS)
 
 
 class Rows:
-    """Sparse rows, flat."""
+    """Sparse rows, flat; each row has length 1."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, rows: list[np.ndarray]):
         self.n = len(rows)
-        self.row = np.repeat(np.arange(self.n), [len(a) for a, _ in rows])
-        self.at = np.concatenate([a for a, _ in rows]) if rows else np.zeros(0, np.int64)
-        self.value = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
+        sizes = np.array([len(a) for a in rows], np.int64)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        self.at = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        self.scale = 1.0 / np.sqrt(np.maximum(1, sizes))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.at] * self.value, self.n)
+        return np.bincount(self.row, w[self.at], self.n) * self.scale
 
 
 def _sigmoid(x):
@@ -83,7 +81,7 @@ class View:
         w, bias, gw, gb = np.zeros(1 << self.bits), 0.0, np.full(1 << self.bits, 1e-8), 1e-8
         for _ in range(steps):
             err = (_sigmoid(rows.dot(w) + bias) - y) * weight / weight.sum()
-            g = np.bincount(rows.at, err[rows.row] * rows.value, 1 << self.bits) + decay * w
+            g = np.bincount(rows.at, (err * rows.scale)[rows.row], 1 << self.bits) + decay * w
             gw += g * g
             gb += err.sum() ** 2
             w -= rate * g / np.sqrt(gw)
@@ -163,24 +161,23 @@ def _views(text: pd.Series, source: pd.Series, lang: pd.Series):
     return [text_view(t) for t in text], [meta_view(s, g, t) for s, g, t in zip(source, lang, text)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = 6000, pool: int = 6000, label: str = "quality", **how) -> Pair | None:
+def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = 4000, pool: int = 3000, label: str = "quality", **how) -> Pair | None:
     """Classifiers for `label` 0/1 (`labels` rows of `doc_id` and label), on about `labelled` labelled rows and
     a pool of about `pool` documents without label, both by hash; these bounds keep the driver's share fixed."""
     ids = drawn(labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("_y")), "doc_id", labelled)
     rate = pool / max(1, docs.count())
     keep = F.broadcast(ids.select(F.col("doc_id").alias("_id"), F.col("_y").cast("double")))
-    rows = docs.join(keep, docs["doc_id"] == F.col("_id"), "left")
+    rows = docs.select("doc_id", "text", "source", "lang").join(keep, F.col("doc_id") == F.col("_id"), "left")
     low = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rate))
     rows = rows.where(F.col("_y").isNotNull() | (F.col("doc_id").isNotNull() & low)).select("doc_id", "_y", "text", "source", "lang")
 
     def run(batches):
         for b in batches:
             t, m = _views(b["text"], b["source"], b["lang"])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["_y"], "t": [x.tolist() for x, _ in t], "m": [x.tolist() for x, _ in m]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["_y"], "t": t, "m": m})
 
     got = rows.mapInPandas(run, "doc_id long, y double, t array<int>, m array<int>").toPandas().sort_values(["doc_id", "y"], kind="stable")
-    sparse = lambda x: (np.array(x, np.int64), np.full(len(x), 1.0 / np.sqrt(max(1, len(x)))))
-    return cotrain(pd.DataFrame({"text": [sparse(x) for x in got["t"]], "meta": [sparse(x) for x in got["m"]], "label": got["y"].to_numpy()}), **how)
+    return cotrain(pd.DataFrame({"text": got["t"], "meta": got["m"], "label": got["y"].to_numpy()}), **how)
 
 
 def scored(docs: DataFrame, model: Pair | None, *, least: float = 0.3, **more: Column) -> DataFrame:
@@ -190,7 +187,9 @@ def scored(docs: DataFrame, model: Pair | None, *, least: float = 0.3, **more: C
     a model (no labels of both kinds) all scores are 0.5 and everything is kept. Extra columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[c.alias(k) for k, c in more.items()], F.col("text").alias("_t"), F.col("source").alias("_s"), F.col("lang").alias("_l"))
+    # ids and the like travel as text: pandas would turn whole numbers beside a null into floats
+    kinds = docs.select(*[c.alias(k) for k, c in more.items()]).schema
+    rows = docs.select(*[c.cast("string").alias(k) for k, c in more.items()], F.col("text").alias("_t"), F.col("source").alias("_s"), F.col("lang").alias("_l"))
 
     def run(batches):
         for b in batches:
@@ -204,9 +203,9 @@ def scored(docs: DataFrame, model: Pair | None, *, least: float = 0.3, **more: C
                 p, q, both = shared.value.probability(Rows(t), Rows(m))
                 yield own.iloc[at : at + 500].assign(text_score=p, meta_score=q, score=both)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_t", "_s", "_l").schema)
+    schema = ", ".join(f"`{k}` string" for k in more)
     out = rows.mapInPandas(run, schema + ", text_score double, meta_score double, score double")
-    return out.withColumn("kept", F.col("score") >= least)
+    return out.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in kinds}).withColumn("kept", F.col("score") >= least)
 
 
 @query("op9_quality_classifier")
