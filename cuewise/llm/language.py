@@ -26,7 +26,8 @@ def grams(text: str, n: int):
             continue
         c = np.where(letter, c, 32)
         c = c[letter | np.concatenate([[True], letter[:-1]])]
-        c = np.concatenate([[32] * (n - 1 if len(c) < n else 1), c, [32]]).astype(np.uint64)
+        # a space at both ends of the text, none between pieces
+        c = np.concatenate([[32] * (n - 1 if len(c) < n else at == 0), c, [32] * (at + PIECE >= len(text))]).astype(np.uint64)
         h = np.zeros(len(c) - n + 1, np.uint64)
         for k in range(n):
             h = (h ^ c[k : len(c) - n + 1 + k]) * _MIX[0]
