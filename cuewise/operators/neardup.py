@@ -72,7 +72,7 @@ def near_earlier(lines: DataFrame, edits: int) -> DataFrame:
     cut = lambda i: F.floor(size * i / n).cast("int")
     own = distinct.select("video_id", "text", "first", F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), cut(i).alias("at"), F.substring("text", cut(i) + 1, cut(i + 1) - cut(i)).alias("piece"), size.alias("size")) for i in range(n)])).alias("p")).select("video_id", F.col("text").alias("t1"), F.col("first").alias("f1"), "p.*")
-    lengths = F.explode(F.sequence(F.greatest(size - edits, F.lit(1)), size + edits))
+    lengths = F.explode(F.sequence(F.greatest(size - edits, F.lit(0)), size + edits))
     other = distinct.select("video_id", F.col("text").alias("t2"), F.col("first").alias("f2"), lengths.alias("size"))
     k = F.col("size")
     piece = lambda i, d: F.substring("t2", F.floor(k * i / n).cast("int") + 1 + d, (F.floor(k * (i + 1) / n) - F.floor(k * i / n)).cast("int"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cuewise.functions import text as tx
 from cuewise.functions.timefmt import sec_to_hms
-from cuewise.operators.ordered import BLOCK, fixed_blocks, scan
 
 
 def answers(chapters: DataFrame) -> DataFrame:
@@ -17,12 +16,11 @@ def answers(chapters: DataFrame) -> DataFrame:
     return chapters.groupBy("video_id", "duration").agg(F.concat_ws("\n", F.transform(rows, lambda r: r["l"])).alias("answer"))
 
 
-def transcript_within(segments: DataFrame, chars: int) -> DataFrame:
-    """Transcript lines up to a character budget as one text per video."""
-    rows = scan(fixed_blocks(segments, "seg_idx"), ["video_id"], ["seg_idx"], total={"_run": F.length("text")}).drop(BLOCK)
+def whole_transcript(segments: DataFrame) -> DataFrame:
+    """Transcript lines as one text per video; the text is what the dialog is, so it is one cell."""
     line = F.concat(sec_to_hms(F.col("start_s")), F.lit(": "), tx.strip(F.col("text")))
     ordered = F.sort_array(F.collect_list(F.struct("seg_idx", line.alias("l"))))
-    return rows.where(F.col("_run") - F.length("text") < chars).groupBy("video_id").agg(
+    return segments.groupBy("video_id").agg(
         F.concat(F.concat_ws("\n", F.transform(ordered, lambda r: r["l"])), F.lit("\n")).alias("transcript"))
 
 

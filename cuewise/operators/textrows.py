@@ -98,20 +98,24 @@ def tfidf(lines: DataFrame) -> DataFrame:
 def capped_corpus(slides: DataFrame, speech: DataFrame, cap: int) -> DataFrame:
     """One text per video, slides first, cleaned of chatter and cut to `cap` characters.
 
-    Rows `(video_id, pos, text)`. Only rows that can reach the first `cap` characters of their
-    part are collected, so the cell is bounded; blank rows are kept once per run because they
-    turn the line break into a space.
+    Rows `(video_id, pos, text)`. Each line is cleaned and scrubbed by itself first; lines of which
+    nothing is left count as blank, and the others leave at least their length less one word, which a
+    line before may take. Only rows that this running length lets reach the first `cap` characters of
+    their part are collected, so the cell is bounded; blank rows are kept once per run because they turn
+    the line break into a space.
     """
 
     def part(rows: DataFrame, clean) -> DataFrame:
-        r = scan(fixed_blocks(rows.withColumn("text", clean(tx.strip(F.col("text")))), "pos"), ["video_id"], ["pos"],
-                 total={"_run": F.length("text")}, lag={"_prev": "text"}).drop(BLOCK)
-        need = (F.col("_run") - F.length("text") < 4 * cap) & ~((F.col("text") == "") & (F.col("_prev") == ""))
+        body = rows.withColumn("text", tx.strip(F.col("text"))).withColumn("_left", tx.scrub_admin(clean(F.col("text"))))
+        body = body.withColumn("text", F.when(F.col("_left") == "", "").otherwise(F.col("text")))
+        body = body.withColumn("_least", F.length("_left") - F.length(F.regexp_extract("_left", r"^\S*", 0))).drop("_left")
+        r = scan(fixed_blocks(body, "pos"), ["video_id"], ["pos"], total={"_run": F.col("_least")}, lag={"_prev": "text"}).drop(BLOCK)
+        need = (F.col("_run") - F.col("_least") < cap) & ~((F.col("text") == "") & (F.col("_prev") == ""))
         ordered = F.sort_array(F.collect_list(F.struct("pos", "text")))
         return r.where(need).groupBy("video_id").agg(F.concat_ws("\n", F.transform(ordered, lambda x: x["text"])).alias("t"))
 
-    a = part(slides, lambda c: c).withColumnRenamed("t", "a")
-    b = part(speech, lambda c: c).withColumnRenamed("t", "b")
+    a = part(slides, lambda c: tx.clean_slide_text(c, watermarks=True)).withColumnRenamed("t", "a")
+    b = part(speech, tx.clean_speech_text).withColumnRenamed("t", "b")
     both = F.concat(F.lit("【Slides(OCR)】\n"), tx.clean_slide_text(F.coalesce("a", F.lit("")), watermarks=True),
                     F.lit("\n\n【Audio(ASR)】\n"), tx.clean_speech_text(F.coalesce("b", F.lit(""))))
     return a.join(b, "video_id", "full").select("video_id", F.substring(tx.scrub_admin(both), 1, cap).alias("text"))

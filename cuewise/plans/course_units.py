@@ -99,59 +99,60 @@ def a21(t):
 
 
 @query("p1_unit_validation", "uni", """
-WITH r AS (SELECT video_id, idx, CASE WHEN idx % 13 = 12 THEN '"' || idx || '"' WHEN idx % 17 = 16 THEN '0' ELSE CAST(unit_no AS VARCHAR) END AS u, CASE WHEN idx % 11 = 10 THEN NULL WHEN idx % 9 = 8 THEN '5' WHEN idx % 10 = 9 THEN '"  "' ELSE '"' || title || '"' END AS t FROM uni WHERE unit_no IS NOT NULL OR idx % 4 = 3),
+WITH r AS (SELECT video_id, idx, CASE WHEN idx % 13 = 12 THEN '"' || idx || '"' WHEN idx % 17 = 16 THEN '0' WHEN unit_no IS NULL AND idx % 4 <> 3 THEN '1' ELSE CAST(unit_no AS VARCHAR) END AS u, CASE WHEN idx % 11 = 10 THEN NULL WHEN idx % 9 = 8 THEN '5' WHEN idx % 10 = 9 THEN '"  "' ELSE '"' || title || '"' END AS t FROM uni),
 m AS (SELECT video_id, idx, CASE WHEN u IS NULL THEN 'Unit at index ' || idx || ' is missing ''UnitNo''' WHEN t IS NULL THEN 'Unit at index ' || idx || ' is missing ''Title'''
  WHEN u[1] = '"' THEN 'Unit at index ' || idx || ': ''UnitNo'' must be an integer (got str)' WHEN t = '5' THEN 'Unit at index ' || idx || ': ''Title'' must be a string (got int)'
  WHEN CAST(u AS INT) < 1 THEN 'Unit at index ' || idx || ': ''UnitNo'' must be positive (got ' || u || ')' WHEN t = '"  "' THEN 'Unit at index ' || idx || ': ''Title'' cannot be empty' END AS msg FROM r)
 SELECT video_id, count(msg) = 0 AS ok, arg_min(msg, idx) FILTER (WHERE msg IS NOT NULL) AS message FROM m GROUP BY 1""")
 def p1(t):
     i = F.col("idx")
-    u = F.when(i % 13 == 12, F.concat(F.lit('"'), i, F.lit('"'))).when(i % 17 == 16, "0").otherwise(F.col("unit_no").cast("string"))
+    u = F.when(i % 13 == 12, F.concat(F.lit('"'), i, F.lit('"'))).when(i % 17 == 16, "0").when(F.col("unit_no").isNull() & (i % 4 != 3), "1").otherwise(F.col("unit_no").cast("string"))
     title = F.when(i % 11 == 10, F.lit(None).cast("string")).when(i % 9 == 8, "5").when(i % 10 == 9, '"  "').otherwise(F.concat(F.lit('"'), "title", F.lit('"')))
-    rows = t.uni.where("unit_no IS NOT NULL OR idx % 4 = 3").select("video_id", "idx", u.alias("unit_json"), title.alias("title_json"))
+    rows = t.uni.select("video_id", "idx", u.alias("unit_json"), title.alias("title_json"))
     return un.validate_units(rows)
 
 
 @query("p17_attribute_projection", "", """
-SELECT CAST(d.doc_id AS VARCHAR) AS video_id, left(split_part(text, chr(10), 1), 80) AS title, lang AS channel_id, n_chars AS view_count, 'https://www.youtube.com/watch?v=' || d.doc_id AS link,
+SELECT CAST(d.doc_id AS VARCHAR) AS video_id, split_part(text, chr(10), 1) AS title, lang AS channel_id, n_chars AS view_count, 'https://www.youtube.com/watch?v=' || d.doc_id AS link,
   left(CAST(d.doc_id AS VARCHAR), 2) || '/' || d.doc_id || '.mp4' AS path, len(string_split(text, chr(10))) AS n_labels, p.url AS description FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id""")
 def p17(t):
     vid = F.col("doc_id").cast("string")
     pages = t.read("pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("description"))
     lines = F.split("text", "\n")
     return t.documents.join(pages, "doc_id", "left").select(
-        vid.alias("video_id"), F.substring(lines[0], 1, 80).alias("title"), F.col("lang").alias("channel_id"), F.col("n_chars").alias("view_count"),
+        vid.alias("video_id"), lines[0].alias("title"), F.col("lang").alias("channel_id"), F.col("n_chars").alias("view_count"),
         F.concat(F.lit("https://www.youtube.com/watch?v="), vid).alias("link"), F.concat(F.substring(vid, 1, 2), F.lit("/"), vid, F.lit(".mp4")).alias("path"),
         F.size(lines).cast("long").alias("n_labels"), "description")
 
 
 @query("s13_manifest_upsert", "man", """
-WITH o AS (SELECT team_id, video_id, -1 AS version, n_chars AS chars, has_chunks AS f FROM man JOIN documents ON CAST(doc_id AS VARCHAR) = video_id WHERE doc_id % 2 = 0),
-n AS (SELECT source, CAST(doc_id AS VARCHAR), v, n_chars + v, false FROM documents, range(3) AS r(v) WHERE doc_id % 5 < 2 AND v <= doc_id % 3),
+WITH o AS (SELECT team_id, video_id, -1 AS version, n_chars AS chars, has_chunks AS f FROM man JOIN documents ON CAST(doc_id AS VARCHAR) = video_id),
+n AS (SELECT source, CASE WHEN doc_id % 5 < 2 THEN CAST(doc_id AS VARCHAR) ELSE doc_id || '-new' END, v, n_chars + v, false FROM documents, range(3) AS r(v) WHERE v <= doc_id % 3),
 l AS (SELECT team_id, video_id, max({'v': version, 'c': chars, 'f': f}) AS r FROM (SELECT * FROM o UNION ALL SELECT * FROM n) GROUP BY 1, 2),
 g AS (SELECT DISTINCT source AS team_id, CAST(doc_id AS VARCHAR) AS video_id FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)
 SELECT l.team_id, l.video_id, r.c AS chars, r.f OR g.video_id IS NOT NULL AS has_chunks, r.f OR g.video_id IS NOT NULL AS has_embeddings FROM l LEFT JOIN g USING (team_id, video_id)""")
 def s13(t):
     vid = F.col("doc_id").cast("string").alias("video_id")
     docs = t.documents.select("doc_id", F.col("source").alias("team_id"), vid, "n_chars")
-    old = t.man.join(docs.select("team_id", "video_id", "doc_id", "n_chars"), ["team_id", "video_id"]).where("doc_id % 2 = 0").select(
+    old = t.man.join(docs.select("team_id", "video_id", "doc_id", "n_chars"), ["team_id", "video_id"]).select(
         "team_id", "video_id", F.col("n_chars").alias("chars"), "has_chunks", F.col("has_chunks").alias("has_embeddings"))
     versions = F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 3))
-    new = docs.where("doc_id % 5 < 2").select("team_id", "video_id", "n_chars", versions.alias("version")).select(
+    own = F.when(F.col("doc_id") % 5 < 2, F.col("video_id")).otherwise(F.concat("video_id", F.lit("-new"))).alias("video_id")
+    new = docs.select("team_id", own, "n_chars", versions.alias("version")).select(
         "team_id", "video_id", "version", (F.col("n_chars") + F.col("version")).alias("chars"))
     flags = docs.join(t.read("labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
     return mf.upsert(old, new, flags)
 
 
 @query("s16_source_preference", "seg lin", f"""
-WITH c AS (SELECT CAST(page_id AS VARCHAR) AS video_id, 0 AS r, 'raw' AS source, i AS pos, l AS line FROM (SELECT page_id, unnest(range(len(p))) AS i, unnest(p) AS l FROM (SELECT page_id, string_split(html, chr(10)) AS p FROM pages WHERE page_id % 3 = 0))
+WITH c AS (SELECT CAST(page_id AS VARCHAR) AS video_id, 0 AS r, 'raw' AS source, i AS pos, l AS line FROM (SELECT page_id, unnest(range(len(p))) AS i, unnest(p) AS l FROM (SELECT page_id, string_split(CASE WHEN page_id % 3 = 0 THEN html ELSE ' ' END, chr(10)) AS p FROM pages))
  UNION ALL SELECT video_id, 1, 'segments', seg_idx, {HMS_SQL.format('start_s')} || ': ' || {TRIM_SQL.format('text')} FROM seg WHERE {TRIM_SQL.format('text')} <> ''
  UNION ALL SELECT video_id, 2, 'plain', line_no, text FROM lin),
 b AS (SELECT video_id, min(r) AS r FROM c WHERE trim(line) <> '' GROUP BY 1)
 SELECT video_id, source, pos, md5(line) AS line_md5 FROM c SEMI JOIN b USING (video_id, r)""")
 def s16(t):
     """Raw text first, then a transcript rebuilt from segments, then plain text; line by line."""
-    pages = t.read("pages").where("page_id % 3 = 0").select(F.col("page_id").cast("string").alias("video_id"), F.posexplode(F.split("html", "\n")).alias("pos", "line"))
+    pages = t.read("pages").select(F.col("page_id").cast("string").alias("video_id"), F.posexplode(F.split(F.when(F.col("page_id") % 3 == 0, F.col("html")).otherwise(" "), "\n")).alias("pos", "line"))
     raw = pages.select("video_id", F.col("pos").cast("long").alias("pos"), "line")
     body = tx.strip(F.col("text"))
     segs = t.seg.where(body != "").select("video_id", F.col("seg_idx").alias("pos"), F.concat(tf.sec_to_hms(F.col("start_s")), F.lit(": "), body).alias("line"))

@@ -91,36 +91,36 @@ def s8(t):
 def question_rows(t):
     c = t.read("conversations").where("role = 'user'")
     w = tx.tokens(F.col("text"))
-    return c.select(F.col("conv_id").cast("string").alias("key"), F.concat(F.lit("team"), F.col("conv_id") % 3).alias("team_id"), F.col("turn").alias("pos"), F.substring("text", 1, 60).alias("question"), F.slice(w, 1, 4).alias("options"),
-                    F.substring(F.lit("ABCD"), (F.col("turn") % 4 + 1).cast("int"), F.lit(1)).alias("answer"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.substring("text", 1, 20)).alias("explanation"),
+    return c.select(F.col("conv_id").cast("string").alias("key"), F.concat(F.lit("team"), F.col("conv_id") % 3).alias("team_id"), F.col("turn").alias("pos"), F.col("text").alias("question"), w.alias("options"),
+                    F.substring(F.lit("ABCD"), (F.col("turn") % 4 + 1).cast("int"), F.lit(1)).alias("answer"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text")).alias("explanation"),
                     F.element_at(F.array(F.lit("easy"), F.lit("medium"), F.lit("odd")), (F.col("turn") % 3 + 1).cast("int")).alias("difficulty"), F.col("role").alias("topic"))
 
 
 def section_rows(t):
-    c = t.read("conversations").where("role = 'assistant'")
-    return c.select(F.col("conv_id").cast("string").alias("key"), F.col("turn").alias("pos"), F.substring("text", 1, 15).alias("title"), F.col("text").alias("content"),
-                    F.when(F.col("turn") % 2 == 0, F.slice(tx.tokens(F.col("text")), 1, 2)).otherwise(F.array().cast("array<string>")).alias("points"), F.slice(tx.tokens(F.col("text")), 3, 1).alias("examples"))
+    c = t.read("conversations").where("role <> 'user'")
+    return c.select(F.col("conv_id").cast("string").alias("key"), F.col("turn").alias("pos"), F.concat_ws(" ", "role", "turn").alias("title"), F.col("text").alias("content"),
+                    F.when(F.col("turn") % 2 == 0, tx.tokens(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("points"), F.array_distinct(tx.tokens(F.col("text"))).alias("examples"))
 
 
 TK = r"[x FOR x IN regexp_split_to_array(text, '[\s\p{Z}]+') IF x <> '']"
 Q_SQL = f"""
-q AS (SELECT CAST(conv_id AS VARCHAR) AS key, 'team' || conv_id % 3 AS team_id, turn, left(text, 60) AS question, {TK}[1:4] AS options, substr('ABCD', turn % 4 + 1, 1) AS answer, CASE WHEN turn % 3 = 0 THEN '' ELSE left(text, 20) END AS expl,
+q AS (SELECT CAST(conv_id AS VARCHAR) AS key, 'team' || conv_id % 3 AS team_id, turn, text AS question, {TK} AS options, substr('ABCD', turn % 4 + 1, 1) AS answer, CASE WHEN turn % 3 = 0 THEN '' ELSE text END AS expl,
   ['easy', 'medium', 'odd'][turn % 3 + 1] AS difficulty, role AS topic, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE role = 'user'),
-se AS (SELECT CAST(conv_id AS VARCHAR) AS key, turn, left(text, 15) AS title, text AS content, CASE WHEN turn % 2 = 0 THEN {TK}[1:2] ELSE [] END AS points, {TK}[3:3] AS examples, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE role = 'assistant')
+se AS (SELECT CAST(conv_id AS VARCHAR) AS key, turn, role || ' ' || turn AS title, text AS content, CASE WHEN turn % 2 = 0 THEN {TK} ELSE [] END AS points, [x FOR x, i IN {TK} IF NOT list_contains(({TK})[1:i - 1], x)] AS examples, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE role <> 'user')
 """
 
 
 @query("s10_delivery_document", "", f"""WITH {Q_SQL},
-qs AS (SELECT key, any_value(team_id) AS team_id, list({{'QuestionId': printf('Q%03d', rn), 'QuestionText': question, 'Options': [{{'Label': substr('ABCD', i, 1), 'Text': o}} FOR o, i IN options], 'CorrectAnswer': answer, 'Explanation': expl, 'Tags': [topic],
-   'Difficulty': CASE difficulty WHEN 'easy' THEN '簡單' WHEN 'medium' THEN '中等' ELSE difficulty END}} ORDER BY turn) AS q FROM q WHERE rn <= 10 GROUP BY 1),
-ns AS (SELECT key, string_agg('## ' || title || {N} || content || {N}, {N} ORDER BY turn) AS note FROM se WHERE rn <= 3 GROUP BY 1)
+qs AS (SELECT key, any_value(team_id) AS team_id, list({{'QuestionId': printf('Q%03d', rn), 'QuestionText': question, 'Options': [{{'Label': substr('ABCD', i, 1), 'Text': o}} FOR o, i IN options[1:4]], 'CorrectAnswer': answer, 'Explanation': expl, 'Tags': [topic],
+   'Difficulty': CASE difficulty WHEN 'easy' THEN '簡單' WHEN 'medium' THEN '中等' ELSE difficulty END}} ORDER BY turn) AS q FROM q GROUP BY 1),
+ns AS (SELECT key, string_agg('## ' || title || {N} || content || {N}, {N} ORDER BY turn) AS note FROM se GROUP BY 1)
 SELECT key, CAST(to_json({{'Id': key, 'TeamId': team_id, 'Questions': q, 'CourseNote': coalesce(note, '')}}) AS VARCHAR) AS document FROM qs LEFT JOIN ns USING (key)""")
 def s10(t):
     return de.delivery(question_rows(t), section_rows(t).select("key", "pos", "title", "content"))
 
 
 @query("s11_markdown_rendering", "", f"""WITH {Q_SQL}
-SELECT 'question' AS kind, key, turn AS pos, '## Q' || turn || '. ' || question || {N} || array_to_string(['- ' || substr('ABCD', i, 1) || '. ' || o FOR o, i IN options], {N}) || {N} || '**正確答案**：' || answer || CASE WHEN expl <> '' THEN {N} || '**解析**：' || expl ELSE '' END || {N} || '**難度**：' || difficulty || '　**主題**：' || topic || {N} AS markdown FROM q
+SELECT 'question' AS kind, key, turn AS pos, '## Q' || turn || '. ' || question || {N} || array_to_string(['- ' || substr('ABCD', i, 1) || '. ' || o FOR o, i IN options[1:4]], {N}) || {N} || '**正確答案**：' || answer || CASE WHEN expl <> '' THEN {N} || '**解析**：' || expl ELSE '' END || {N} || '**難度**：' || difficulty || '　**主題**：' || topic || {N} AS markdown FROM q
 UNION ALL SELECT 'section', key, turn, '## ' || title || {N} || content || CASE WHEN len(points) > 0 THEN {N} || '**重點：**' || {N} || array_to_string(['- ' || x FOR x IN points], {N}) ELSE '' END || CASE WHEN len(examples) > 0 THEN {N} || '**範例：**' || {N} || array_to_string(['- ' || x FOR x IN examples], {N}) ELSE '' END || {N} FROM se""")
 def s11(t):
     c = F.col
@@ -180,7 +180,7 @@ def x16(t):
 
 
 @query("x17_question_normalisation", "", f"""
-WITH k AS (SELECT conv_id, turn, {TK} AS w FROM conversations WHERE len({TK}) >= 6)
+WITH k AS (SELECT conv_id, turn, {TK} AS w FROM conversations)
 SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN w[1] ELSE array_to_string(w[1:4], '|') END AS options, CASE WHEN turn % 3 = 2 THEN '' ELSE 'B' END AS correct_answer, CASE WHEN turn % 3 = 0 THEN 'easy' ELSE 'medium' END AS difficulty,
  CASE WHEN turn % 2 = 0 THEN '數學' ELSE '其他' END AS course_type, CASE WHEN turn % 5 = 0 THEN w[1] WHEN turn % 5 = 1 THEN '' ELSE array_to_string(w[1:5], '|') END AS tags FROM k""")
 def x17(t):
@@ -188,23 +188,25 @@ def x17(t):
     q = lambda x: F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     arr = lambda a: F.concat(F.lit("["), F.array_join(F.transform(a, q), ", "), F.lit("]"))
     n = F.col("turn")
-    doc = F.concat(F.lit('{"question": "x", "options": '), F.when(n % 4 == 1, q(w[0])).otherwise(arr(F.slice(w, 1, 6))), F.when(n % 3 == 0, ', "correct_answer": "B", "difficulty": "EASY"').when(n % 3 == 1, ', "correct_option": "B", "difficulty": "odd"').otherwise(""),
-                   F.when(n % 2 == 0, ', "course_type": " 數學 "').otherwise(', "course_type": "?"'), F.when(n % 5 == 0, F.concat(F.lit(', "tags": '), q(w[0]))).when(n % 5 == 1, ', "tags": null').otherwise(F.concat(F.lit(', "tags": '), arr(F.slice(w, 1, 6)))), F.lit("}"))
-    rows = once(t.read("conversations").select("conv_id", "turn", tx.tokens(F.col("text")).alias("w")).where(F.size("w") >= 6), v=F.parse_json(doc))
+    doc = F.concat(F.lit('{"question": "x", "options": '), F.when(n % 4 == 1, q(F.get(w, F.lit(0)))).otherwise(arr(w)), F.when(n % 3 == 0, ', "correct_answer": "B", "difficulty": "EASY"').when(n % 3 == 1, ', "correct_option": "B", "difficulty": "odd"').otherwise(""),
+                   F.when(n % 2 == 0, ', "course_type": " 數學 "').otherwise(', "course_type": "?"'), F.when(n % 5 == 0, F.concat(F.lit(', "tags": '), q(F.get(w, F.lit(0))))).when(n % 5 == 1, ', "tags": null').otherwise(F.concat(F.lit(', "tags": '), arr(w))), F.lit("}"))
+    rows = once(t.read("conversations").select("conv_id", "turn", tx.tokens(F.col("text")).alias("w")), v=F.parse_json(doc))
     f = js.question_fields(F.col("v"))
     return rows.select("conv_id", "turn", F.array_join(f["options"], "|").alias("options"), f["correct_answer"].alias("correct_answer"), f["difficulty"].alias("difficulty"), f["course_type"].alias("course_type"), F.array_join(f["tags"], "|").alias("tags"))
 
 
 def option_rows(t):
     w = tx.tokens(F.col("text"))
-    rows = t.read("conversations").select("conv_id", "turn", w.alias("w")).where(F.size("w") >= 3)
-    texts = F.array(F.concat(F.lit(" "), F.col("w")[0]), F.lit(""), F.col("w")[1], F.concat(F.col("w")[0], F.lit(" ")), F.col("w")[2])
+    rows = t.read("conversations").select("conv_id", "turn", w.alias("w"))
+    at = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(""))
+    texts = F.array(F.concat(F.lit(" "), at(0)), F.lit(""), at(1), F.concat(at(0), F.lit(" ")), F.array_join(F.slice("w", 3, F.greatest(F.size("w") - 2, F.lit(0))), " "))
     return rows.select("conv_id", "turn", F.array(*[F.lit(x) for x in ("A", "B", "C", " D", "E")]).alias("labels"), texts.alias("texts"), F.element_at(F.array(*[F.lit(x) for x in ("A", "C", "D", "B", "Z")]), (F.col("turn") % 5 + 1).cast("int")).alias("correct"))
 
 
 @query("x18_option_hygiene", "", f"""
-WITH k AS (SELECT conv_id, turn, {TK} AS w, ['A', 'C', 'D', 'B', 'Z'][turn % 5 + 1] AS c FROM conversations WHERE len({TK}) >= 3),
-r AS (SELECT *, CASE c WHEN 'A' THEN w[1] WHEN 'C' THEN w[2] WHEN 'D' THEN w[1] END AS right_text, list_distinct([]::VARCHAR[]) AS z, [x FOR x, i IN [w[1], w[2], w[3]] IF NOT list_contains([w[1], w[2], w[3]][1:i - 1], x)] AS cl FROM k),
+WITH k0 AS (SELECT conv_id, turn, {TK} AS w, ['A', 'C', 'D', 'B', 'Z'][turn % 5 + 1] AS c FROM conversations),
+k AS (SELECT conv_id, turn, c, [coalesce(w[1], ''), coalesce(w[2], ''), coalesce(array_to_string(w[3:], ' '), '')] AS w FROM k0),
+r AS (SELECT *, nullif(CASE c WHEN 'A' THEN w[1] WHEN 'C' THEN w[2] WHEN 'D' THEN w[1] END, '') AS right_text, list_distinct([]::VARCHAR[]) AS z, [x FOR x, i IN w IF x <> '' AND NOT list_contains(w[1:i - 1], x)] AS cl FROM k),
 f AS (SELECT *, (cl || ['（選項補齊）' || i FOR i IN range(len(cl) + 1, 5)])[1:4] AS full_opts FROM r)
 SELECT conv_id, turn, array_to_string(full_opts, '|') AS options, CASE WHEN right_text IS NOT NULL THEN substr('ABCD', list_position(full_opts, right_text), 1) WHEN c IN ('A', 'B', 'C', 'D') THEN c ELSE 'A' END AS correct FROM f""")
 def x18(t):

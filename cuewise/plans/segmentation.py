@@ -119,7 +119,7 @@ def a24(t):
 
 
 @query("f6_gap_line_joining", "seg", f"""
-WITH k AS (SELECT * FROM seg WHERE seg_idx % 5 <> 4), g AS (SELECT *, start_s - lag(start_s) OVER (PARTITION BY video_id ORDER BY seg_idx) AS gap FROM k),
+WITH k AS (SELECT * REPLACE (start_s + (seg_idx // 4) * 40 AS start_s) FROM seg), g AS (SELECT *, start_s - lag(start_s) OVER (PARTITION BY video_id ORDER BY seg_idx) AS gap FROM k),
 i AS (SELECT *, sum(CASE WHEN gap > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY seg_idx) AS g FROM g),
 c AS (SELECT video_id, g, CAST(min(start_s) AS BIGINT) AS s, CAST(max(start_s) AS BIGINT) AS e FROM i GROUP BY 1, 2),
 r AS (SELECT *, e - s >= 60 AS long, g = max(g) OVER (PARTITION BY video_id) AS last, count(*) FILTER (WHERE e - s >= 60) OVER (PARTITION BY video_id) AS n FROM c)
@@ -127,7 +127,7 @@ SELECT i.video_id, CAST(i.g AS BIGINT) AS grp, seg_idx, printf('[%02d:%02d:%02d-
 FROM i JOIN r ON r.video_id = i.video_id AND r.g = i.g WHERE long OR (last AND n = 0)""")
 def f6(t):
     """The documented rule; the stamp parsing of the original never matches a line, so only its fallback ran."""
-    return si.gap_lines(t.seg.where("seg_idx % 5 <> 4"), max_gap=30.0, shortest=60.0)
+    return si.gap_lines(t.seg.withColumn("start_s", F.col("start_s") + F.floor(F.col("seg_idx") / 4) * 40), max_gap=30.0, shortest=60.0)
 
 
 BAL_SQL = """
@@ -285,14 +285,14 @@ def f20(t):
 
 
 @query("f20_levenshtein_near_duplicates", "lin", """
-WITH l AS (SELECT video_id, line_no, left(text, 24) AS t FROM lin WHERE length(text) >= 8)
+WITH l AS (SELECT video_id, line_no, text AS t FROM lin)
 SELECT video_id, line_no FROM l WHERE EXISTS (SELECT 1 FROM l p WHERE p.video_id = l.video_id AND p.line_no < l.line_no AND abs(length(p.t) - length(l.t)) <= 2 AND levenshtein(p.t, l.t) <= 2)""")
 def f20_levenshtein(t):
     """Lines within two edits of an earlier line, by shared pieces: two edits leave one of three
     pieces of a line whole, so candidates meet on an equal piece and are then verified exactly."""
     from cuewise.operators.neardup import near_earlier
 
-    lines = t.lin.where(F.length("text") >= 8).select("video_id", F.col("line_no").cast("long").alias("line_no"), F.substring("text", 1, 24).alias("text"))
+    lines = t.lin.select("video_id", F.col("line_no").cast("long").alias("line_no"), "text")
     return near_earlier(lines, edits=2)
 
 

@@ -42,7 +42,7 @@ def p2(t):
     return c.select("conv_id", "turn", (F.size(missing) == 0).alias("ok"), F.array_join(F.array_sort(missing), ",").alias("missing"))
 
 
-SLIDE_SQL = "sl AS (SELECT video_id, line_no, start_s, CASE WHEN line_no % 9 = 5 THEN ' 助教 ' ELSE left(text, 60) END AS text, CASE WHEN line_no % 4 = 0 THEN 'cap' ELSE ' ' END AS caption, line_no % 7 = 0 AS topics, max(start_s) OVER (PARTITION BY video_id) + 15 AS dur FROM lin)"
+SLIDE_SQL = "sl AS (SELECT video_id, line_no, start_s, CASE WHEN line_no % 9 = 5 THEN ' 助教 ' ELSE text END AS text, CASE WHEN line_no % 4 = 0 THEN 'cap' ELSE ' ' END AS caption, line_no % 7 = 0 AS topics, max(start_s) OVER (PARTITION BY video_id) + 15 AS dur FROM lin)"
 
 
 @query("p4_slide_segment_filter", "lin", f"""WITH {SLIDE_SQL}
@@ -51,7 +51,7 @@ def p4(t):
     """Blacklist and short-text rule; `inside` marks rows the optional head and tail trim would keep."""
     dur = t.lin.groupBy("video_id").agg((F.max("start_s") + 15).alias("dur"))
     n = F.col("line_no")
-    sl = t.lin.join(dur, "video_id").select("video_id", "line_no", "start_s", "dur", F.when(n % 9 == 5, " 助教 ").otherwise(F.substring("text", 1, 60)).alias("text"),
+    sl = t.lin.join(dur, "video_id").select("video_id", "line_no", "start_s", "dur", F.when(n % 9 == 5, " 助教 ").otherwise(F.col("text")).alias("text"),
                                             F.when(n % 4 == 0, "cap").otherwise(" ").alias("caption"), F.when(n % 7 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("topics"))
     return ch.slide_filter(sl).select("video_id", "line_no", ((F.col("start_s") >= 30) & (F.col("start_s") <= F.col("dur") - 45)).alias("inside"))
 
@@ -69,22 +69,24 @@ CHARS_SQL = r'''regexp_replace({0}, '[^_()\[\]{{}}=:.<>+\-*/%|&!^,@''"\\]', '',
 
 
 @query("p6_low_information_lines", "lin", rf"""
-WITH s AS (SELECT video_id, line_no, CASE line_no % 5 WHEN 0 THEN left(text, 20) WHEN 1 THEN substr(text, 1, 9) || ' ' || substr(text, 1, 9) WHEN 2 THEN left(text, 12) || ' 12:30' WHEN 3 THEN left(text, 8) || ' file' ELSE text END AS t FROM lin),
-c AS (SELECT video_id, line_no, t, {STRIP('t')} AS st, {TOKS.format('t')} AS tk FROM s),
-ch AS (SELECT video_id, line_no, q, count(*)::DOUBLE AS c FROM (SELECT video_id, line_no, unnest(string_split(t, '')) AS q FROM s WHERE length(t) BETWEEN 2 AND 24) GROUP BY ALL),
-en AS (SELECT video_id, line_no, -sum(ch.c / length(t) * log2(ch.c / length(t) + 1e-12::DOUBLE)) AS e FROM ch JOIN s USING (video_id, line_no) GROUP BY ALL)
-SELECT video_id, line_no, CASE WHEN length(t) < 2 THEN true
+WITH pc AS (SELECT video_id, line_no, unnest(range(len(k))) AS piece, unnest(k) AS text FROM (SELECT video_id, line_no, string_split_regex(text, '[ .,]+') AS k FROM lin) UNION ALL SELECT video_id, line_no, -1, text FROM lin),
+s AS (SELECT video_id, line_no, piece, CASE (line_no + piece) % 5 WHEN 1 THEN text || ' ' || text WHEN 2 THEN text || ' 12:30' WHEN 3 THEN text || ' file' ELSE text END AS t FROM pc),
+c AS (SELECT video_id, line_no, piece, t, {STRIP('t')} AS st, {TOKS.format('t')} AS tk FROM s),
+ch AS (SELECT video_id, line_no, piece, q, count(*)::DOUBLE AS c FROM (SELECT video_id, line_no, piece, unnest(string_split(t, '')) AS q FROM s WHERE length(t) BETWEEN 2 AND 24) GROUP BY ALL),
+en AS (SELECT video_id, line_no, piece, -sum(ch.c / length(t) * log2(ch.c / length(t) + 1e-12::DOUBLE)) AS e FROM ch JOIN s USING (video_id, line_no, piece) GROUP BY ALL)
+SELECT video_id, line_no, CAST(piece AS BIGINT) AS piece, CASE WHEN length(t) < 2 THEN true
  WHEN regexp_matches(st, '^(def |class |import |from |for |while |if |elif |else:|return )') OR length({CHARS_SQL.format('st')}) >= greatest(2, length(st) // 10) THEN false
  WHEN regexp_matches(t, 'https?://|{W}[\p{{L}}\p{{N}}_.-]+\.(com|org|edu|net|io|gov|tw|jp)(/|$|[^\p{{L}}\p{{N}}_])') OR regexp_matches(t, '[\p{{L}}\p{{N}}_.-]+@[\p{{L}}\p{{N}}_.-]+\.{W}+')
   OR regexp_matches(t, '(?i)(^|[^\p{{L}}\p{{N}}_])\d+(\.\d+)?\s?((px|cm|mm|in|s|ms|GB|MB|KB|dpi|fps|Hz)($|[^\p{{L}}\p{{N}}_])|%[\p{{L}}\p{{N}}_])') OR regexp_matches(t, '(^|[^\p{{L}}\p{{N}}_])(\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}}|\d{{1,2}}[:：]\d{{2}}([:：]\d{{2}})?)($|[^\p{{L}}\p{{N}}_])') THEN false
  WHEN length(t) >= 25 THEN false
  WHEN len(tk) <= 1 OR 1.0::DOUBLE - len(list_distinct(tk)) / len(tk)::DOUBLE >= 0.60 THEN true WHEN e < 1.20 THEN true
- ELSE regexp_matches(lower(t), '{"|".join(tx.SCREEN_WORDS)}') END AS low FROM c LEFT JOIN en USING (video_id, line_no)""")
+ ELSE regexp_matches(lower(t), '{"|".join(tx.SCREEN_WORDS)}') END AS low FROM c LEFT JOIN en USING (video_id, line_no, piece)""")
 def p6(t):
-    n = F.col("line_no") % 5
-    body = (F.when(n == 0, F.substring("text", 1, 20)).when(n == 1, F.concat(F.substring("text", 1, 9), F.lit(" "), F.substring("text", 1, 9)))
-            .when(n == 2, F.concat(F.substring("text", 1, 12), F.lit(" 12:30"))).when(n == 3, F.concat(F.substring("text", 1, 8), F.lit(" file"))).otherwise(F.col("text")))
-    return once(t.lin.select("video_id", "line_no", "text"), t=body).select("video_id", F.col("line_no").cast("long").alias("line_no"), tx.is_low_information(F.col("t")).alias("low"))
+    """Whole lines (piece -1), and every word of them as a short line of its own."""
+    parts = t.lin.select("video_id", "line_no", F.posexplode(F.split("text", "[ .,]+")).alias("piece", "text")).unionByName(t.lin.select("video_id", "line_no", F.lit(-1).alias("piece"), "text"))
+    n = (F.col("line_no") + F.col("piece")) % 5
+    body = (F.when(n == 1, F.concat("text", F.lit(" "), "text")).when(n == 2, F.concat("text", F.lit(" 12:30"))).when(n == 3, F.concat("text", F.lit(" file"))).otherwise(F.col("text")))
+    return once(parts, t=body).select("video_id", F.col("line_no").cast("long").alias("line_no"), F.col("piece").cast("long").alias("piece"), tx.is_low_information(F.col("t")).alias("low"))
 
 
 TOKEN_SQL = rf"""
@@ -275,16 +277,16 @@ def qb(x):
 
 
 @query("x10_quality_and_weights", "", rf"""
-WITH d AS (SELECT d.doc_id, CASE WHEN d.doc_id % 11 = 3 THEN '' ELSE text END AS a, CASE WHEN d.doc_id % 7 = 2 THEN left(coalesce(html, ''), 150) ELSE coalesce(html, '') END AS b, (d.doc_id % 10) / 10.0::DOUBLE AS sim FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id),
+WITH d AS (SELECT d.doc_id, CASE WHEN d.doc_id % 11 = 3 THEN '' ELSE text END AS a, CASE WHEN d.doc_id % 7 = 2 THEN coalesce(url, '') ELSE coalesce(html, '') END AS b, (d.doc_id % 10) / 10.0::DOUBLE AS sim FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id),
 q AS (SELECT *, {qa('a')} AS qa, {qb('b')} AS qb FROM d),
 w AS (SELECT *, CASE WHEN a = '' AND b <> '' THEN 0.25 WHEN b = '' AND a <> '' THEN 0.75 WHEN (length(a) < 200 OR length(b) < 200) AND a <> '' AND b <> '' THEN greatest(0.25, least(0.75, qa / CASE WHEN qa + qb = 0 THEN 1 ELSE qa + qb END))
   WHEN length(a) < 200 OR length(b) < 200 THEN 0.25 ELSE least(0.75, greatest(0.25, qa * (0.5 + 0.5 * sim) / CASE WHEN (qa + qb) = 0 THEN 1 ELSE qa * (0.5 + 0.5 * sim) + qb * (0.5 + 0.5 * sim) END)) END::DOUBLE AS w, CASE WHEN length(a) < 200 OR length(b) < 200 THEN 0 ELSE sim END AS s FROM q)
 SELECT doc_id, round(qa, 6) AS slide_quality, round(qb, 6) AS speech_quality, round(w, 6) AS w_slide, round(1 - w, 6) AS w_speech, round(s, 6)::DOUBLE AS sim, round(greatest(0, least(1, 0.5 * s + 0.25 * w + 0.25 * (1 - w))), 6)::DOUBLE AS fused FROM w""")
 def x10(t):
-    p = t.read("pages").select(F.col("page_id").alias("doc_id"), "html")
+    p = t.read("pages").select(F.col("page_id").alias("doc_id"), "html", "url")
     html = F.coalesce("html", F.lit(""))
     d = t.documents.join(p, "doc_id", "left").select("doc_id", F.when(F.col("doc_id") % 11 == 3, "").otherwise(F.col("text")).alias("a"),
-                                                     F.when(F.col("doc_id") % 7 == 2, F.substring(html, 1, 150)).otherwise(html).alias("b"), (F.col("doc_id") % 10 / 10.0).alias("sim"))
+                                                     F.when(F.col("doc_id") % 7 == 2, F.coalesce("url", F.lit(""))).otherwise(html).alias("b"), (F.col("doc_id") % 10 / 10.0).alias("sim"))
     d = once(d, qa=tx.slide_quality(F.col("a")), qb=tx.speech_quality(F.col("b")))
     w, w2, s = tx.source_weights(F.col("a"), F.col("b"), F.col("sim"), F.col("qa"), F.col("qb"))
     d = once(d, w=w, w2=w2, s=s)
@@ -302,16 +304,16 @@ def likeness_sql(x):
 
 
 @query("x11_header_gated_fusion", "lin", rf"""
-WITH s AS (SELECT video_id, line_no, {STRIP('left(text, 40)')} AS o, {STRIP('text')} AS a, CASE WHEN line_no % 3 = 0 THEN NULL ELSE (line_no % 10) / 10.0::DOUBLE END AS conf, line_no % 4 = 0 AS ch FROM lin),
+WITH s AS (SELECT video_id, line_no, {STRIP('text')} AS o, {STRIP('text')} AS a, CASE WHEN line_no % 3 = 0 THEN NULL ELSE (line_no % 10) / 10.0::DOUBLE END AS conf, line_no % 4 = 0 AS ch FROM lin),
 g AS (SELECT *, 0.6::DOUBLE * ({likeness_sql('o')}) + 0.4::DOUBLE * coalesce(conf, 0.5::DOUBLE) + CASE WHEN ch THEN 0.1 ELSE 0 END::DOUBLE AS gate FROM s)
-SELECT video_id, line_no, round(gate, 6) AS gate, CASE WHEN gate >= 0.65::DOUBLE THEN 'OCR_DOMINANT' ELSE 'BALANCED' END AS strategy,
+SELECT video_id, line_no, round(gate, 9) AS gate, CASE WHEN gate >= 0.65::DOUBLE THEN 'OCR_DOMINANT' ELSE 'BALANCED' END AS strategy,
   md5(CASE WHEN gate >= 0.65::DOUBLE THEN '[OCR_HEADER]' || chr(10) || o || chr(10) || chr(10) || '[ASR_SUMMARY]' || chr(10) || left(a, 500) ELSE '[OCR_TEXT]' || chr(10) || o || chr(10) || chr(10) || '[ASR_TEXT]' || chr(10) || a END) AS fused_md5 FROM g""")
 def x11(t):
     n = F.col("line_no")
-    rows = once(t.lin, o=F.substring("text", 1, 40), conf=F.when(n % 3 != 0, n % 10 / 10.0), ch=n % 4 == 0)
+    rows = once(t.lin, o=F.col("text"), conf=F.when(n % 3 != 0, n % 10 / 10.0), ch=n % 4 == 0)
     rows = once(rows, like=tx.title_likeness(F.col("o")))
     fused, strategy, gate = tx.gated_fusion(F.col("o"), F.col("text"), F.col("conf"), F.col("ch"))
-    return rows.select("video_id", n.cast("long").alias("line_no"), F.round(gate, 6).alias("gate"), strategy.alias("strategy"), F.md5(fused).alias("fused_md5"))
+    return rows.select("video_id", n.cast("long").alias("line_no"), F.round(gate, 9).alias("gate"), strategy.alias("strategy"), F.md5(fused).alias("fused_md5"))
 
 
 def head_sql(x, n):
@@ -336,19 +338,22 @@ def x12(t):
 BIG = "list_distinct([substr({0}, i, 2) FOR i IN range(1, greatest(length({0}), 1))])"
 
 
-@query("x13_text_similarities", "", rf"""
-WITH d AS (SELECT doc_id, {STRIP("string_split(text, chr(10))[1]")} AS a, {STRIP("coalesce(string_split(text, chr(10))[2], '')")} AS b FROM documents),
+@query("x13_text_similarities", "lin", rf"""
+WITH n AS (SELECT video_id, line_no, text, coalesce(lead(text) OVER (PARTITION BY video_id ORDER BY line_no), '') AS then FROM lin),
+d AS (SELECT video_id, line_no, {STRIP('text')} AS a, {STRIP('"then"')} AS b FROM n),
 h AS (SELECT *, translate(a, '{HAN_TABLE[0]}', '{HAN_TABLE[1]}') AS ha, translate(b, '{HAN_TABLE[0]}', '{HAN_TABLE[1]}') AS hb FROM d),
 k AS (SELECT *, list_distinct({TOKS.format('a')}) AS ta, list_distinct({TOKS.format('b')}) AS tb, {BIG.format('ha')} AS ga, {BIG.format('hb')} AS gb, list_distinct({words_sql('a')}) AS wa, list_distinct({words_sql('b')}) AS wb FROM h)
-SELECT doc_id, round(coalesce(len(list_intersect(ta, tb)) / nullif(len(list_distinct(ta || tb)), 0)::DOUBLE, 0), 9) AS token_jaccard,
+SELECT video_id, line_no, round(coalesce(len(list_intersect(ta, tb)) / nullif(len(list_distinct(ta || tb)), 0)::DOUBLE, 0), 9) AS token_jaccard,
   round(CASE WHEN regexp_matches(ha || hb, '[\x{{3400}}-\x{{9fff}}]') THEN coalesce(len(list_intersect(ga, gb)) / nullif(len(list_distinct(ga || gb)), 0)::DOUBLE, 0) ELSE coalesce(len(list_intersect(ta, tb)) / nullif(len(list_distinct(ta || tb)), 0)::DOUBLE, 0) END, 9) AS han_jaccard,
   round(CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0 ELSE least(1.0, len(list_intersect(wa, wb)) / len(list_distinct(wa || wb))::DOUBLE + CASE WHEN list_bool_or([list_bool_or([contains(y, x) OR contains(x, y) FOR x IN wa]) FOR y IN wb]) THEN 0.1 ELSE 0 END)::DOUBLE END, 9) AS relevance FROM k""")
 def x13(t):
-    lines = F.split("text", "\n")
-    a, b = tx.strip(lines[0]), tx.strip(F.coalesce(F.get(lines, F.lit(1)), F.lit("")))
-    d = once(t.documents.select("doc_id", "text"), a=a, b=b, ha=F.translate(a, *HAN_TABLE), hb=F.translate(b, *HAN_TABLE))
+    """Each line of a document with the next one."""
+    then = F.coalesce(F.lead("text").over(Window.partitionBy("video_id").orderBy("line_no")), F.lit(""))
+    pairs = t.lin.select("video_id", F.col("line_no").cast("long").alias("line_no"), "text", then.alias("then"))
+    a, b = tx.strip(F.col("text")), tx.strip(F.col("then"))
+    d = once(pairs, a=a, b=b, ha=F.translate(a, *HAN_TABLE), hb=F.translate(b, *HAN_TABLE))
     d = once(d, wa=words(F.lower("a")), wb=words(F.lower("b")))
-    return d.select("doc_id", F.round(tx.text_jaccard(F.col("a"), F.col("b")), 9).alias("token_jaccard"), F.round(tx.text_jaccard(F.col("ha"), F.col("hb")), 9).alias("han_jaccard"), F.round(tx.relevance(F.col("wa"), F.col("wb")), 9).alias("relevance"))
+    return d.select("video_id", "line_no", F.round(tx.text_jaccard(F.col("a"), F.col("b")), 9).alias("token_jaccard"), F.round(tx.text_jaccard(F.col("ha"), F.col("hb")), 9).alias("han_jaccard"), F.round(tx.relevance(F.col("wa"), F.col("wb")), 9).alias("relevance"))
 
 
 P = "[?？!！、,…．。]"
@@ -528,10 +533,10 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 
 @query("u5_folded_distinct_titles", "lin", rf"""
-WITH s AS (SELECT video_id, line_no, regexp_replace({STRIP("nfc_normalize(left(text, 6))")}, '[\s\p{{Z}}]+', ' ', 'g') AS t FROM lin), f AS (SELECT video_id, lower(t) AS k, arg_min(t, line_no) AS title, min(line_no) AS pos FROM s WHERE t <> '' GROUP BY 1, 2)
+WITH s AS (SELECT video_id, line_no, regexp_replace({STRIP("nfc_normalize(text)")}, '[\s\p{{Z}}]+', ' ', 'g') AS t FROM lin), f AS (SELECT video_id, lower(t) AS k, arg_min(t, line_no) AS title, min(line_no) AS pos FROM s WHERE t <> '' GROUP BY 1, 2)
 SELECT video_id, printf('T%02d', rn) AS topic_id, title FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY pos) AS rn FROM f) WHERE rn <= 12""")
 def u5(t):
-    title = F.regexp_replace(tx.strip(nfkc(F.substring("text", 1, 6))), r"(?U)\s+", " ")
+    title = F.regexp_replace(tx.strip(nfkc(F.col("text"))), r"(?U)\s+", " ")
     rows = once(t.lin.select("video_id", F.col("line_no").alias("pos"), title.alias("t")), title=F.col("t")).drop("t")
     return tr.folded_distinct(rows, F.col("title"), 12)
 
@@ -571,14 +576,14 @@ def d2(t):
 
 @query("x20_prompt_assembly", "seg ref", f"""
 WITH ans AS (SELECT video_id, string_agg({HMS_SQL.format('start_s')} || ' - ' || title, chr(10) ORDER BY start_s) AS a, min(duration) AS d FROM ref GROUP BY 1),
-tr AS (SELECT video_id, string_agg({HMS_SQL.format('start_s')} || ': ' || {STRIP('text')}, chr(10) ORDER BY seg_idx) || chr(10) AS tr FROM (SELECT *, sum(length(text)) OVER (PARTITION BY video_id ORDER BY seg_idx) - length(text) AS before FROM seg) WHERE before < 20000 GROUP BY 1)
+tr AS (SELECT video_id, string_agg({HMS_SQL.format('start_s')} || ': ' || {STRIP('text')}, chr(10) ORDER BY seg_idx) || chr(10) AS tr FROM seg GROUP BY 1)
 SELECT video_id, 'user' AS first_role, md5('Given the complete transcript of a video of duration ' || {HMS_SQL.format('d')} || ', use the provided captions to identify distinct chapters based on content shifts.' || chr(10) || 'Here is the transcript to analyze:' || chr(10) || tr) AS user_md5, 'assistant' AS second_role, a AS answer
 FROM ans JOIN tr USING (video_id)""")
 def x20(t):
-    """Training dialog per video; the transcript part stops at a character budget, so the cell is bounded."""
-    from cuewise.operators.prompts import answers, dialog, transcript_within
+    """Training dialog per video, with its whole transcript."""
+    from cuewise.operators.prompts import answers, dialog, whole_transcript
 
-    rows = dialog(answers(t.ref), transcript_within(t.seg, 20000), "use the provided captions to identify distinct chapters based on content shifts.\n")
+    rows = dialog(answers(t.ref), whole_transcript(t.seg), "use the provided captions to identify distinct chapters based on content shifts.\n")
     d = F.col("dialog")
     return rows.select("video_id", d[0]["role"].alias("first_role"), F.md5(d[0]["content"]).alias("user_md5"), d[1]["role"].alias("second_role"), d[1]["content"].alias("answer"))
 

@@ -146,11 +146,11 @@ def j13(t):
 
 
 @query("j15_overlap_weighted_mean", "ref pred", """
-WITH b AS (SELECT video_id, start_s AS b0, end_s AS b1, (event_id % 10) / 10.0::DOUBLE AS w, (event_id % 7) / 7.0::DOUBLE AS sim FROM pred WHERE idx % 3 <> 1)
+WITH b AS (SELECT video_id, start_s AS b0, CASE WHEN idx % 3 = 1 THEN start_s ELSE end_s END AS b1, (event_id % 10) / 10.0::DOUBLE AS w, (event_id % 7) / 7.0::DOUBLE AS sim FROM pred)
 SELECT video_id, idx, round(coalesce(sum(o * w) / sum(o), 0.5), 6)::DOUBLE AS w_slide, round(coalesce(sum(o * (1 - w)) / sum(o), 0.5), 6)::DOUBLE AS w_speech, round(coalesce(sum(o * sim) / sum(o), 0.0), 6)::DOUBLE AS sim
 FROM (SELECT r.video_id, r.idx, w, b.sim, greatest(0, least(end_s, b1) - greatest(start_s, b0)) AS o FROM ref r LEFT JOIN b ON r.video_id = b.video_id AND least(end_s, b1) > greatest(start_s, b0)) GROUP BY ALL""")
 def j15(t):
-    bins = t.pred.where("idx % 3 <> 1").select("video_id", F.col("start_s").alias("b0"), F.col("end_s").alias("b1"),
+    bins = t.pred.select("video_id", F.col("start_s").alias("b0"), F.when(F.col("idx") % 3 == 1, F.col("start_s")).otherwise(F.col("end_s")).alias("b1"),
                                               ((F.col("event_id") % 10) / 10.0).alias("w"), ((F.col("event_id") % 7) / 7.0).alias("sim"))
     blocks = t.ref.select("video_id", "idx", "start_s", "end_s")
     hit = overlap_join(blocks, bins, ["video_id"], "start_s", "end_s", "b0", "b1", F.least("end_s", "b1") > F.greatest("start_s", "b0"), 600.0)
@@ -162,15 +162,18 @@ def j15(t):
 
 MAPS_SQL = """
 m AS (SELECT video_id, CAST(floor(start_s) AS BIGINT) AS k, arg_min(text, start_s) AS v, min(event_id) AS e FROM evs GROUP BY 1, 2),
-dst AS (SELECT * FROM m WHERE k % 2 = 0 AND CAST(video_id AS BIGINT) % 5 <> 0), src AS (SELECT video_id, k, CASE WHEN k % 4 = 0 THEN v ELSE v || '!' END AS v FROM m WHERE k % 3 = 0 AND CAST(video_id AS BIGINT) % 4 <> 0)
+dst AS (SELECT CASE WHEN CAST(video_id AS BIGINT) % 5 = 0 THEN 'd' || video_id ELSE video_id END AS video_id, CASE WHEN k % 2 = 0 THEN k ELSE -k END AS k, v FROM m),
+src AS (SELECT CASE WHEN CAST(video_id AS BIGINT) % 4 = 0 THEN 's' || video_id ELSE video_id END AS video_id, CASE WHEN k % 3 = 0 THEN k ELSE k + 1000000 END AS k, CASE WHEN k % 4 = 0 THEN v ELSE v || '!' END AS v FROM m)
 """
 
 
 def maps(t):
     m = t.evs.groupBy("video_id", F.floor("start_s").alias("k")).agg(F.min_by("text", "start_s").alias("v"))
     vid = F.col("video_id").cast("long")
-    dst = m.where((F.col("k") % 2 == 0) & (vid % 5 != 0))
-    src = m.where((F.col("k") % 3 == 0) & (vid % 4 != 0)).withColumn("v", F.when(F.col("k") % 4 == 0, F.col("v")).otherwise(F.concat("v", F.lit("!"))))
+    named = lambda n, mark: F.when(vid % n == 0, F.concat(F.lit(mark), "video_id")).otherwise(F.col("video_id")).alias("video_id")
+    k = F.col("k")
+    dst = m.select(named(5, "d"), F.when(k % 2 == 0, k).otherwise(-k).alias("k"), "v")
+    src = m.select(named(4, "s"), F.when(k % 3 == 0, k).otherwise(k + 1000000).alias("k"), F.when(k % 4 == 0, F.col("v")).otherwise(F.concat("v", F.lit("!"))).alias("v"))
     return src, dst
 
 
@@ -381,14 +384,14 @@ def a20(t):
 
 
 @query("p13_share_trim_range", "evs", """
-WITH e AS (SELECT *, CASE text WHEN 'click' THEN 'Sharing  Started' WHEN 'error' THEN 'screen: stop sharing' ELSE text END AS title, row_number() OVER (PARTITION BY video_id ORDER BY start_s, event_id) AS r FROM evs WHERE CAST(video_id AS BIGINT) % 3 <> 0 OR text IN ('view', 'signup')),
+WITH e AS (SELECT *, CASE WHEN CAST(video_id AS BIGINT) % 3 = 0 THEN text WHEN text = 'click' THEN 'Sharing  Started' WHEN text = 'error' THEN 'screen: stop sharing' ELSE text END AS title, row_number() OVER (PARTITION BY video_id ORDER BY start_s, event_id) AS r FROM evs),
 a AS (SELECT video_id, arg_max(start_s, r) FILTER (WHERE regexp_matches(lower(title), 'sharing\\s*started|start\\s*sharing|開始共享|開始分享')) AS s, arg_max(end_s, r) FILTER (WHERE regexp_matches(lower(title), 'sharing\\s*stopp?ed|stop\\s*sharing|停止共享|停止分享')) AS x,
   arg_min(start_s, r) AS fs, arg_max(end_s, r) AS le FROM e GROUP BY 1),
 b AS (SELECT video_id, CASE WHEN coalesce(s, 0) = 0 AND x IS NULL THEN greatest(0, fs) ELSE coalesce(s, 0) END AS s, CASE WHEN coalesce(s, 0) = 0 AND x IS NULL THEN greatest(greatest(0, fs), le) ELSE x END AS x FROM a)
 SELECT video_id, round(CASE WHEN s <> 0 OR x IS NOT NULL THEN greatest(0, s - 2) ELSE s END, 6) AS trim_start, round(CASE WHEN x IS NOT NULL THEN greatest(greatest(0, s - 2), x + 2) END, 6) AS trim_end FROM b""".replace("\\\\", "\\"))
 def p13(t):
-    title = F.when(F.col("text") == "click", "Sharing  Started").when(F.col("text") == "error", "screen: stop sharing").otherwise(F.col("text"))
-    events = t.evs.where((F.col("video_id").cast("long") % 3 != 0) | F.col("text").isin("view", "signup")).withColumn("title", title)
+    title = F.when(F.col("video_id").cast("long") % 3 == 0, F.col("text")).when(F.col("text") == "click", "Sharing  Started").when(F.col("text") == "error", "screen: stop sharing").otherwise(F.col("text"))
+    events = t.evs.withColumn("title", title)
     return ch.trim_range(events).select("video_id", F.round("trim_start", 6).alias("trim_start"), F.round("trim_end", 6).alias("trim_end"))
 
 

@@ -48,12 +48,12 @@ def j17(t):
 
 
 def doc_text(t):
-    return t.documents.select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 24).alias("text"))
+    return t.documents.select(F.col("doc_id").alias("vec_id"), "text")
 
 
 @query("f14_spike_segmentation", "vec", f"""WITH {SIM_SQL},
-d AS (SELECT s.*, coalesce(left(text, 24), '') AS tx FROM s LEFT JOIN documents ON doc_id = vec_id),
-k AS (SELECT *, coalesce(1 - sim >= 0.9::DOUBLE AND (({likeness_sql("trim(tx)")}) >= 0.55::DOUBLE OR 1 - sim >= 0.9::DOUBLE + 0.08::DOUBLE), false) AS ok FROM d),
+d AS (SELECT s.*, coalesce(text, '') AS tx FROM s LEFT JOIN documents ON doc_id = vec_id),
+k AS (SELECT *, coalesce(1 - sim >= 0.9::DOUBLE AND (({likeness_sql("trim(left(tx, 120))")}) >= 0.55::DOUBLE OR 1 - sim >= 0.9::DOUBLE + 0.08::DOUBLE), false) AS ok FROM d),
 p AS (SELECT *, bool_or(ok) OVER (PARTITION BY video_id) AS anyok, greatest(0.55, least(0.92, avg(sim) OVER (PARTITION BY video_id) - 2 * stddev_pop(sim) OVER (PARTITION BY video_id))) AS t FROM k),
 g AS (SELECT video_id, pos, sum(CASE WHEN sim IS NULL THEN 0 WHEN anyok THEN ok::INT ELSE (sim < t)::INT END) OVER (PARTITION BY video_id ORDER BY pos) AS g FROM p)
 SELECT video_id, CAST(g AS BIGINT) AS grp, min(pos) AS first_pos, count(*) AS n FROM g GROUP BY 1, 2""")

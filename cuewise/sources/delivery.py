@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuewise.operators.windows import top_rows
-
 # Shown names of the difficulties.
 DIFFICULTY_NAMES = {"easy": "簡單", "medium": "中等", "hard": "困難"}
 
@@ -23,21 +21,19 @@ def labelled(options: Column) -> Column:
     return F.transform(F.slice(options, 1, 4), lambda o, i: F.struct(F.substring(F.lit("ABCD"), i + 1, F.lit(1)).alias("Label"), o.alias("Text")))
 
 
-def delivery(questions: DataFrame, sections: DataFrame, most: int = 10, pages: int = 3) -> DataFrame:
-    """One JSON document per key with the first `most` questions and `pages` note sections, in field order.
+def delivery(questions: DataFrame, sections: DataFrame) -> DataFrame:
+    """One JSON document per key with all its questions and note sections, in field order.
 
     questions: key, team_id, pos, question, options, answer, explanation, difficulty, topic.
-    sections: key, pos, title, content. Both are cut before they are gathered, so a document is bounded.
+    sections: key, pos, title, content. A document is one cell, of the size that its parts have.
     """
-    q = top_rows(questions, ["key"], [F.asc("pos")], most)
-    s = top_rows(sections, ["key"], [F.asc("pos")], pages)
     item = F.struct("pos", F.struct(F.col("question").alias("QuestionText"), labelled(F.col("options")).alias("Options"), F.col("answer").alias("CorrectAnswer"), F.col("explanation").alias("Explanation"),
                                     F.array("topic").alias("Tags"), difficulty_name(F.col("difficulty")).alias("Difficulty")).alias("q"))
     numbered = F.transform(F.sort_array(F.collect_list(item)), lambda x, i: F.struct(
         F.format_string("Q%03d", i + 1).alias("QuestionId"), *[x["q"][n].alias(n) for n in ("QuestionText", "Options", "CorrectAnswer", "Explanation", "Tags", "Difficulty")]))
     note = F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("pos", "title", "content"))), lambda x: F.concat(F.lit("## "), x["title"], F.lit("\n"), x["content"], F.lit("\n"))))
-    qs = q.groupBy("key", "team_id").agg(numbered.alias("Questions"))
-    ns = s.groupBy("key").agg(note.alias("note"))
+    qs = questions.groupBy("key", "team_id").agg(numbered.alias("Questions"))
+    ns = sections.groupBy("key").agg(note.alias("note"))
     doc = F.to_json(F.struct(F.col("key").alias("Id"), F.col("team_id").alias("TeamId"), "Questions", F.rtrim(F.coalesce("note", F.lit(""))).alias("CourseNote")))
     return qs.join(ns, "key", "left").select("key", doc.alias("document"))
 
