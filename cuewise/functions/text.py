@@ -218,6 +218,10 @@ def source_weights(slides: Column, speech: Column, sim: Column, q_slides: Column
 WORD = r"(?U)\b[\w\-]+\b"
 
 
+# Fixed value: words of a title, for the comparison of neighbouring titles.
+TITLE_WORDS = r"(?U)[\x{4e00}-\x{9fff}]+|\b[a-zA-Z0-9_]+\b"
+
+
 def title_likeness(text: Column) -> Column:
     """0 to 1: few marks, about six words, capitals help, small numbers hurt."""
     t = strip(text)

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import heapq
 import re
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewise.operators.folds import grouped
+from cuewise.functions import text as tx
 from cuewise.operators.chapters import policy, rank_in_buckets
+from cuewise.operators.folds import grouped, runs
+from cuewise.operators.ordered import fixed_blocks
 
 
 def thin_gaps(df: DataFrame, keep: int) -> DataFrame:
@@ -51,9 +54,20 @@ def thin_gaps(df: DataFrame, keep: int) -> DataFrame:
     return grouped(df, ["video_id"], ["t"], ["t"], thin, "t double")
 
 
-def _tag(title: str) -> str:
-    m = re.match(r"\[([^\]]+)\]", title)
-    return m.group(1) if m else ""
+def _reach(held: str, title: str, min_gap: int) -> float:
+    """How near a chapter must follow the one held to be taken into it; farther within one tagged unit."""
+    unit = UNIT_TAG.match(held)
+    same = unit is not None and title.startswith(unit[0])
+    return max(120, min_gap // 2, 0.7 * min_gap if same else 0)
+
+
+def _renames(held: str, title: str) -> bool:
+    """Whether a chapter that is taken in gives its title: tagged over untagged, or clearly longer."""
+    return (UNIT_TAG.match(title) and not UNIT_TAG.match(held)) or len(title) > 1.3 * len(held)
+
+
+# Fixed value: a unit tag in front of a title.
+UNIT_TAG = re.compile(r"\[[^\]]+\]")
 
 
 def merge_close(chapters: DataFrame, legacy: bool = False) -> DataFrame:
@@ -63,38 +77,21 @@ def merge_close(chapters: DataFrame, legacy: bool = False) -> DataFrame:
     untagged, or over 1.3 times longer). Legacy: time and title move to the longer title.
     """
 
+    def follow(held, row):
+        (start, name, run), (s, title, min_gap) = held, row
+        if s - start >= (min_gap if legacy else _reach(name, title, min_gap)):
+            return s, title, run + 1
+        if legacy:
+            return (s, title, run) if len(title) > len(name) else held
+        return start, title if _renames(name, title) else name, run
+
     def merge(rows: list[tuple]) -> list[tuple]:
-        duration, min_gap = rows[0][2], rows[0][3]
-        near, half = max(120, min_gap // 2), min_gap // 2
-        kept: list[list] = []
-        for s, title, _, _ in rows:
-            title = title.strip()
-            if not 0 <= s <= duration:
-                continue
-            if not kept:
-                kept.append([s, title])
-                continue
-            gap, last = s - kept[-1][0], kept[-1][1]
-            if legacy:
-                if gap >= min_gap:
-                    kept.append([s, title])
-                elif len(title) > len(last):
-                    kept[-1] = [s, title]
-                continue
-            old, new = _tag(last), _tag(title)
-            if gap < near:
-                joins = True
-            elif old and old == new:
-                joins = gap < min_gap * 0.7
-            else:
-                joins = gap < half
-            if not joins:
-                kept.append([s, title])
-            elif (new and not old) or len(title) > len(last) * 1.3:
-                kept[-1][1] = title
-        return [(s, title, duration) for s, title in kept]
-
-    return grouped(chapters, ["video_id"], ["start_s"], ["start_s", "title", "duration", "min_gap"], merge, "start_s long, title string, duration int")
+        states = accumulate(((s, title, gap) for s, title, _, gap in rows[1:]), follow, initial=(rows[0][0], rows[0][1], 0))
+        last = {run: (start, name) for start, name, run in states}
+        return [(*kept, rows[0][2]) for kept in last.values()]
+
+    rows = chapters.where((F.col("start_s") >= 0) & (F.col("start_s") <= F.col("duration"))).withColumn("title", tx.strip(F.col("title")))
+    return grouped(rows, ["video_id"], ["start_s"], ["start_s", "title", "duration", "min_gap"], merge, "start_s long, title string, duration int")
 
 
 def balance(chapters: DataFrame, legacy: bool = False) -> DataFrame:
@@ -147,24 +144,25 @@ def place_stamps(suggestions: DataFrame, bump: int = 120) -> DataFrame:
     return grouped(rows, ["video_id"], ["idx"], ["start_s", "title", "duration"], place, "start_s long, title string")
 
 
-def merge_titles(chapters: DataFrame, threshold: float = 0.82) -> DataFrame:
-    """Neighbours with nearly equal titles become one: end of the later, mean confidence."""
-    token = re.compile(r"[一-鿿]{1,}|\b[a-zA-Z0-9_]+\b")
+def same_title(threshold: float):
+    """Rows `(words,)`, the word set of a title: joins while like the title that opened the run."""
 
-    def merge(rows: list[tuple]) -> list[tuple]:
-        out: list[list] = []
-        for s, e, title, conf in rows:
-            words = set(token.findall(title.lower()))
-            if out:
-                prev = set(token.findall(out[-1][2].lower()))
-                if words and prev and len(words & prev) / len(words | prev) >= threshold:
-                    out[-1][1], out[-1][3] = e, round(0.5 * (out[-1][3] + conf), 3)
-                    continue
-            out.append([s, e, title, conf])
-        return [tuple(o) for o in out]
+    def rule(state, row):
+        held, now = set(state or ()), set(row[0])
+        joins = held and now and len(held & now) >= threshold * len(held | now)
+        return (False, state) if joins else (True, sorted(now))
+
+    return rule
 
-    cols = ["start_s", "end_s", "title", "confidence"]
-    return grouped(chapters, ["video_id"], ["start_s"], cols, merge, "start_s long, end_s long, title string, confidence double")
+
+def merge_titles(chapters: DataFrame, threshold: float = 0.82) -> DataFrame:
+    """Neighbours with nearly equal titles become one: end of the later, running mean of the confidence."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(tx.TITLE_WORDS), F.lit(0)))
+    rows = fixed_blocks(chapters.withColumn("_w", found), "start_s")
+    runs_ = runs(rows, ["video_id"], ["start_s"], "start_s", ["_w"], same_title(threshold), ["end_s", "title", "confidence"])
+    trust = F.transform(F.sort_array(F.collect_list(F.struct("start_s", "confidence"))), lambda x: x["confidence"])
+    mean = F.aggregate(F.slice(trust, F.lit(2), F.greatest(F.size(trust) - 1, F.lit(0))), trust[0], lambda a, c: F.round(0.5 * (a + c), 3))
+    return runs_.groupBy("video_id", F.col("run").alias("start_s")).agg(F.max_by("end_s", "start_s").alias("end_s"), F.min_by("title", "start_s").alias("title"), mean.alias("confidence"))
 
 
 def confidence(sim: Column, w_slide: Column, w_speech: Column, has_topic: Column) -> Column:
@@ -172,34 +170,31 @@ def confidence(sim: Column, w_slide: Column, w_speech: Column, has_topic: Column
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 3)
 
 
+def baselines(boxes: DataFrame, y_ratio: float) -> DataFrame:
+    """Text rows of a frame: a box belongs to the row while its centre is near the row's running baseline."""
+
+    def rows_of(rows: list[tuple]) -> list[tuple]:
+        out, level, n = [], rows[0][0], 0
+        for cy, h, *box in rows:
+            near = abs(cy - level) <= max(1.0, h * y_ratio)
+            n += not near
+            level = (level + cy) / 2.0 if near else cy
+            out.append((n, cy, *box))
+        return out
+
+    return grouped(boxes, ["video_id", "frame"], ["cy", "cx", "x1", "x2", "text"], ["cy", "h", "cx", "x1", "x2", "text", "w"], rows_of,
+                   "row long, cy double, cx double, x1 double, x2 double, text string, w int")
+
+
 def reading_lines(tokens: DataFrame, y_ratio: float = 0.015, x_ratio: float = 0.02) -> DataFrame:
-    """Token boxes of a frame to lines: same line while the centre stays near the running mean
-    baseline; a wide gap starts a new line piece. Rows `(video_id, frame, x1, x2, y1, y2, w, h, text)`."""
-
-    def group(rows: list[tuple]) -> list[tuple]:
-        items = sorted(((y1 + y2) / 2.0, (x1 + x2) / 2.0, x1, x2, text, w, h) for x1, x2, y1, y2, text, w, h in rows if text.strip())
-        lines, row, base, width = [], [], None, 1
-        for cy, _, x1, x2, text, w, h in items:
-            if base is not None and abs(cy - base) > max(1.0, h * y_ratio):
-                lines += _pieces(row, w, x_ratio)
-                row, base = [], None
-            row.append((x1, x2, text))
-            base = cy if base is None else (base + cy) / 2.0
-            width = w
-        lines += _pieces(row, width, x_ratio)
-        return list(enumerate(lines))
-
-    return grouped(tokens, ["video_id", "frame"], ["y1", "x1"], ["x1", "x2", "y1", "y2", "text", "w", "h"], group, "line_no long, text string")
-
-
-def _pieces(row: list, width: float, x_ratio: float) -> list[str]:
-    out, buffer, edge = [], "", None
-    for x1, x2, text in sorted(row, key=lambda r: r[0]):
-        if edge is not None and x1 - edge > width * x_ratio:
-            out.append(buffer.strip())
-            buffer = text
-        else:
-            buffer = f"{buffer} {text}".strip() if buffer else text
-        edge = x2
-    out.append(buffer.strip())
-    return [x for x in out if x]
+    """Token boxes of a frame to lines: rows along a running baseline, cut where the gap to the box on the
+    left is wide. Rows `(video_id, frame, x1, x2, y1, y2, w, h, text)`."""
+    boxes = tokens.where(tx.strip(F.col("text")) != "").withColumn("cy", (F.col("y1") + F.col("y2")) / 2.0).withColumn("cx", (F.col("x1") + F.col("x2")) / 2.0)
+    across = Window.partitionBy("video_id", "frame", "row").orderBy("x1", "cy", "cx", "x2", "text")
+    cut = F.coalesce((F.col("x1") - F.lag("x2").over(across) > F.col("w") * x_ratio).cast("int"), F.lit(0))
+    placed = baselines(boxes, y_ratio).withColumn("_cut", cut).withColumn("_at", F.row_number().over(across))
+    placed = placed.withColumn("piece", F.sum("_cut").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "text"))), lambda x: x["text"]), " ")
+    lines = placed.groupBy("video_id", "frame", "row", "piece").agg(tx.strip(text).alias("text"))
+    place = F.row_number().over(Window.partitionBy("video_id", "frame").orderBy("row", "piece")) - 1
+    return lines.select("video_id", "frame", place.cast("long").alias("line_no"), "text")
