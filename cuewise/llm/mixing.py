@@ -85,9 +85,10 @@ def slots(goal: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
     g = g.withColumn("slots", F.col("turns") * F.col("blocks") + F.ceil(F.col("rest") / block))
     before = F.sum("slots").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("slots")
     g = g.withColumn("before", before).withColumn("pool", F.sum("slots").over(Window.partitionBy(F.lit(1))))
-    wide = PART * 5
-    part = g.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / wide))).alias("part")).repartition("s", "part")
-    one = part.select("*", F.explode(F.sequence(F.col("part") * wide, F.least((F.col("part") + 1) * wide, "slots") - 1)).alias("r"))
+    part = g.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / PART))).alias("part"))
+    # few small rows that each open into many: a stated number of tasks, which is not merged by size
+    part = part.repartition(int(goal.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s", "part")
+    one = part.select("*", F.explode(F.sequence(F.col("part") * PART, F.least((F.col("part") + 1) * PART, "slots") - 1)).alias("r"))
     turn, i, full = F.floor(F.col("r") / F.col("blocks")), F.col("r") % F.col("blocks"), F.floor(F.col("size") / block)
     one = one.select("*", permuted(F.col("before") + F.col("r"), F.col("pool"), F.lit(seed).cast("long")).alias("j"), turn.alias("turn"), i.alias("i"), full.alias("full"))
     # whole blocks are permuted; a short last block stays last, so the cut falls where it should
@@ -98,7 +99,8 @@ def slots(goal: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
 
 def mixture(docs: DataFrame, goal: DataFrame, *, block: int = 256, shard: int = 1024, seed: int = 7) -> DataFrame:
     """The mix: per slot, the stretches of documents in its block: `shard, place, s, block, doc, start, words`."""
-    hit = slots(goal, block, shard, seed).join(pieces(docs, goal, block), ["s", "block"])
+    # both sides grow with the words; the planner can't see that from the one row per source the slots come from
+    hit = slots(goal, block, shard, seed).hint("merge").join(pieces(docs, goal, block), ["s", "block"])
     n = F.greatest(F.lit(0).cast("long"), F.least("n", F.col("words") - F.col("skip")))
     return hit.select("shard", "place", "s", "block", "doc", "start", n.alias("words")).where("words > 0")
 
