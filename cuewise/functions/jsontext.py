@@ -108,7 +108,7 @@ def shuffled(options: Column, correct: Column, explanation: Column, seed: int) -
     """Options in a repeatable random order, the moved label, and the explanation with that label."""
     old = F.instr(F.lit("ABCD"), F.coalesce(correct, F.lit("A")))
     text = F.coalesce(F.get(options, F.greatest(old - 1, F.lit(0))), F.get(options, F.lit(0)))
-    order = F.transform(F.array_sort(F.transform(options, lambda o: F.struct(F.xxhash64(o, F.lit(seed)).alias("h"), o.alias("o")))), lambda s: s["o"])
+    order = F.transform(F.array_sort(F.transform(options, lambda o: F.struct(F.md5(F.concat(o, F.lit(f":{seed}"))).alias("h"), o.alias("o")))), lambda s: s["o"])
     order = F.slice(order, 1, 4)
     label = F.substring(F.lit("ABCD"), F.greatest(F.array_position(order, text), F.lit(1)).cast("int"), F.lit(1))
     return order, label, F.regexp_replace(explanation, F.lit(r"正確答案是\s+[A-D]"), F.concat(F.lit("正確答案是 "), label))

@@ -381,12 +381,18 @@ TITLE_BANLIST = ["介紹", "小結", "示範", "操作", "畫面", "這一段",
 META_TITLE = r"(?iU)(slide|agenda|welcome|thanks|q\s*&\s*a|speaker)"
 
 
+def _banned(title: Column) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in TITLE_BANLIST]), lambda w: F.contains(title, w))
+
+
 def is_generic_title(title: Column) -> Column:
     t = strip(title)
-    banned = F.lit(False)
-    for w in TITLE_BANLIST:
-        banned = banned | t.contains(w)
-    return (t == "") | banned | t.rlike(GENERIC_TITLE)
+    return (t == "") | _banned(t) | t.rlike(GENERIC_TITLE)
+
+
+def is_bare_title(title: Column) -> Column:
+    """The test of block titles: none, a banned word, or a single character."""
+    return (F.length(title) < 2) | _banned(title)
 
 
 def is_valid_title(title: Column) -> Column:

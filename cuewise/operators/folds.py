@@ -46,7 +46,7 @@ def _run(step: Callable, inputs: list[str], keys: list[str], columns: list[str],
             rows = list(zip(*[pdf[c].tolist() for c in inputs]))
             for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
                 first = pdf.iloc[lo]
-                key = tuple(first[c] for c in part)
+                key = tuple(None if first[c] is None or first[c] != first[c] else first[c] for c in part)
                 if key != current:
                     if current is not None:
                         close(found)

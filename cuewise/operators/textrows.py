@@ -43,18 +43,20 @@ def informative_sample(lines: DataFrame, most: int) -> DataFrame:
     return rows.where(pick | (total <= most)).drop("_good", "_g", "_a", "_r")
 
 
-def relevance_filter(blocks: DataFrame, floor: float = 0.12, refill: int = 0, least: int = 3) -> DataFrame:
+def relevance_filter(blocks: DataFrame, floor: float = 0.12, refill: int = 0, least: int = 3, drop_admin: bool = False) -> DataFrame:
     """Blocks `(video_id, pos, text, score, is_admin, size)` at or above the floor; when fewer than
-    `refill` pass, the best others are added; when fewer than `least` remain, all are kept."""
-    passed = blocks.withColumn("_ok", F.col("score") >= floor)
-    n = passed.groupBy("video_id").agg(F.count_if("_ok").alias("_k"), F.count(F.lit(1)).alias("_all"))
-    others = top_rows(passed.where("NOT _ok").select("video_id", "pos", "score", "size"), ["video_id"], [F.desc("score"), F.desc("size"), F.asc("pos")], max(refill, 1))
+    `refill` pass, the best others are added; when fewer than `least` remain, all are kept. With
+    `drop_admin`, blocks marked `is_admin` neither pass nor refill."""
+    out = F.coalesce("is_admin", F.lit(False)) if drop_admin else F.lit(False)
+    passed = blocks.withColumn("_out", out).withColumn("_ok", (F.col("score") >= floor) & ~F.col("_out"))
+    n = passed.groupBy("video_id").agg(F.count_if("_ok").alias("_k"), F.count_if(~F.col("_out")).alias("_all"))
+    others = top_rows(passed.where("NOT _ok AND NOT _out").select("video_id", "pos", "score", "size"), ["video_id"], [F.desc("score"), F.desc("size"), F.asc("pos")], max(refill, 1))
     rank = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("score"), F.desc("size"), F.asc("pos")))
     extra = others.select("video_id", "pos", rank.alias("_rank"))
     rows = passed.join(n, "video_id").join(extra, ["video_id", "pos"], "left")
     added = ~F.col("_ok") & (F.coalesce("_rank", F.lit(1 << 30)) <= F.lit(refill) - F.col("_k"))
     after = F.greatest(F.col("_k"), F.least(F.lit(refill), F.col("_all")))
-    return rows.where(F.col("_ok") | added | (after < least)).drop("_ok", "_k", "_all", "_rank")
+    return rows.where(F.col("_ok") | added | (after < least)).drop("_ok", "_out", "_k", "_all", "_rank")
 
 
 PAD_TOPICS = ["chart", "graph", "diagram", "code editor", "terminal", "equation", "table"]

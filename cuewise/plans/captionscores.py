@@ -68,15 +68,16 @@ def a23_cider(t):
 
 @query("a22_alignment_score")
 def a22(t):
-    """IoU alone, and IoU weighted by title similarity; thresholds 0, 0.3, 0.5. Tested on hand-made grids."""
+    """IoU alone, and IoU times title similarity; thresholds 0, 0.3, 0.5. A reference video without prediction
+    scores 0. Tested on hand-made grids."""
     r, p = sides(t)
     pairs = me.iou_pairs(r, p)
-    counts = me.counts(r, p)
+    counts = me.side_counts(r, p).where("n_ref > 0")
     plain = ca.alignment(pairs.withColumn("score", F.col("iou")), counts, (0.0, 0.3, 0.5)).select(F.lit("iou").alias("variant"), "*")
     titles = lambda df, k: df.select("video_id", F.col("start_s").cast("double").alias(f"{k}s"), F.array_distinct(ca.caption_tokens(F.col("title"))).alias(f"{k}w"))
     named = pairs.join(titles(t.ref, "r"), ["video_id", "rs"], "left").join(titles(t.pred, "p"), ["video_id", "ps"], "left")
     empty = F.array().cast("array<string>")
-    score = F.col("iou") * (0.5 + 0.5 * tx.jaccard(F.coalesce("rw", empty), F.coalesce("pw", empty)))
+    score = F.col("iou") * tx.jaccard(F.coalesce("rw", empty), F.coalesce("pw", empty))
     text = ca.alignment(named.withColumn("score", score), counts, (0.0, 0.3, 0.5)).select(F.lit("iou_text").alias("variant"), "*")
     return plain.unionByName(text).groupBy("variant", "threshold").agg(*[F.bround(F.avg(c) * 100, 2).alias(c) for c in ("p", "r", "f1")])
 

@@ -79,7 +79,7 @@ def s7(t):
     return re.metadata_blocks(files)
 
 
-@query("s8_prediction_set")
+@query("s8_prediction_set", "pred", "SELECT video_id, start_s AS sec, title, true AS from_file FROM pred")
 def s8(t):
     """Writes one prediction file per video prefix to a new folder and reads the set back; the id is in the record here, the file-stem form is tested with real files."""
     path = work_dir(t.spark)
@@ -203,18 +203,24 @@ def option_rows(t):
     return rows.select("conv_id", "turn", F.array(*[F.lit(x) for x in ("A", "B", "C", " D", "E")]).alias("labels"), texts.alias("texts"), F.element_at(F.array(*[F.lit(x) for x in ("A", "C", "D", "B", "Z")]), (F.col("turn") % 5 + 1).cast("int")).alias("correct"))
 
 
-@query("x18_option_hygiene", "", f"""
-WITH k0 AS (SELECT conv_id, turn, {TK} AS w, ['A', 'C', 'D', 'B', 'Z'][turn % 5 + 1] AS c FROM conversations),
+OPTION_SQL = f"""
+k0 AS (SELECT conv_id, turn, {TK} AS w, ['A', 'C', 'D', 'B', 'Z'][turn % 5 + 1] AS c FROM conversations),
 k AS (SELECT conv_id, turn, c, [coalesce(w[1], ''), coalesce(w[2], ''), coalesce(array_to_string(w[3:], ' '), '')] AS w FROM k0),
 r AS (SELECT *, nullif(CASE c WHEN 'A' THEN w[1] WHEN 'C' THEN w[2] WHEN 'D' THEN w[1] END, '') AS right_text, list_distinct([]::VARCHAR[]) AS z, [x FOR x, i IN w IF x <> '' AND NOT list_contains(w[1:i - 1], x)] AS cl FROM k),
-f AS (SELECT *, (cl || ['（選項補齊）' || i FOR i IN range(len(cl) + 1, 5)])[1:4] AS full_opts FROM r)
-SELECT conv_id, turn, array_to_string(full_opts, '|') AS options, CASE WHEN right_text IS NOT NULL THEN substr('ABCD', list_position(full_opts, right_text), 1) WHEN c IN ('A', 'B', 'C', 'D') THEN c ELSE 'A' END AS correct FROM f""")
+f AS (SELECT *, (cl || ['（選項補齊）' || i FOR i IN range(len(cl) + 1, 5)])[1:4] AS full_opts FROM r),
+tidy AS (SELECT conv_id, turn, full_opts, CASE WHEN right_text IS NOT NULL THEN substr('ABCD', list_position(full_opts, right_text), 1) WHEN c IN ('A', 'B', 'C', 'D') THEN c ELSE 'A' END AS correct FROM f)"""
+
+
+@query("x18_option_hygiene", "", f"WITH {OPTION_SQL} SELECT conv_id, turn, array_to_string(full_opts, '|') AS options, correct FROM tidy")
 def x18(t):
     options, correct = js.tidy_options(F.col("labels"), F.col("texts"), F.col("correct"))
     return option_rows(t).select("conv_id", "turn", F.array_join(options, "|").alias("options"), correct.alias("correct"))
 
 
-@query("x18_option_shuffle")
+@query("x18_option_shuffle", "", f"""WITH {OPTION_SQL},
+mixed AS (SELECT *, list_transform(list_sort(list_transform(full_opts, lambda o: {{'h': md5(o || ':7'), 'o': o}})), lambda s: s.o) AS mixed, full_opts[strpos('ABCD', correct)] AS answer FROM tidy),
+named AS (SELECT *, substr('ABCD', list_position(mixed, answer), 1) AS label FROM mixed)
+SELECT conv_id, turn, array_to_string(mixed, '|') AS options, label AS correct, '正確答案是 ' || label || '，因為' AS explanation FROM named""")
 def x18_shuffle(t):
     """Order by a hash of option and seed; the answer keeps pointing at its text."""
     options, correct = js.tidy_options(F.col("labels"), F.col("texts"), F.col("correct"))

@@ -41,11 +41,21 @@ def m2(t):
     return t.read("events").where(ts <= now).select("event_id", (hours <= 24).alias("usable"), (hours > 48).alias("expired"))
 
 
-@query("m2_cache_stream", "", "SELECT user_id, min(event_id) >= 0 AS seen FROM events GROUP BY 1")
+FRESH_SQL = f"SELECT user_id, event_id FROM ({ADMIT_SQL.replace('21600000000', '86400000000').replace('f.c >= 2', 'f.c >= 1').replace('f.c < 2', 'f.c < 1')}) WHERE allowed"
+
+
+@query("m2_cache_batch", "", FRESH_SQL)
+def m2_batch(t):
+    """Requests that the cache can't answer: a user's first, and the first one over 24 h after the last such."""
+    rows = t.read("events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"))
+    out = fo.fold(density_blocks(rows, ["user_id"], "us"), ["user_id"], ["us", "event_id"], ["event_id", "us"], fo.admission_step(1, 24 * 3600e6), "event_id long, allowed boolean, remaining int, reset_us double")
+    return out.where("allowed").select("user_id", "event_id")
+
+
+@query("m2_cache_stream", "", FRESH_SQL)
 def m2_stream(t):
-    """First request of each user within the validity window of one trigger."""
-    stream = live.first_valid(live.event_stream(t.spark, t.sf_dir), "user_id", 24)
-    return live.drain(stream.select("user_id", F.lit(True).alias("seen")), work_dir(t.spark))
+    """The same on a stream, with the end of each user's validity as state."""
+    return live.drain(live.not_cached(live.event_stream(t.spark, t.sf_dir), 24), work_dir(t.spark))
 
 
 @query("m3_overlapped_chunks", "dur evs", """
@@ -60,17 +70,17 @@ def m3(t):
 
 CLOSED_SQL = """
 SELECT epoch_us(w) AS window_us, event_type AS endpoint, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS errors, round(sum(value), 4) AS duration
-FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM events) WHERE w + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL"""
+FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM events){where} GROUP BY ALL"""
+ALL_SQL = CLOSED_SQL.format(where="")
+CLOSED_SQL = CLOSED_SQL.format(where=" WHERE w + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)")
 
 
-@query("m4_request_log_windows", "", CLOSED_SQL)
+@query("m4_request_log_windows", "", ALL_SQL)
 def m4(t):
-    """Batch form, limited to the windows a stream with a ten-minute watermark has closed."""
+    """Batch form: all windows, the open ones too; the stream form gives those its watermark has closed."""
     e = t.read("events").withColumn("ts", F.col("ts").cast("timestamp"))
     rows = e.groupBy(F.window("ts", "1 hour").alias("w"), F.col("event_type").alias("endpoint")).agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.sum("value"), 4).alias("duration"))
-    mark = e.agg((F.date_trunc("millisecond", F.max("ts")) - F.expr("interval 10 minutes")).alias("mark"))
-    closed = rows.join(F.broadcast(mark), F.col("w.end") <= F.col("mark"))
-    return closed.select(F.unix_micros("w.start").alias("window_us"), "endpoint", "requests", "errors", "duration")
+    return rows.select(F.unix_micros("w.start").alias("window_us"), "endpoint", "requests", "errors", "duration")
 
 
 @query("m4_request_log_stream", "", CLOSED_SQL)

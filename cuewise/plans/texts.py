@@ -175,24 +175,24 @@ def p14(t):
     return tr.relevance_filter(blocks, refill=5).select("video_id", F.col("pos").alias("line_no"), F.round("score", 9).alias("score"))
 
 
-MADE_TITLE_SQL = "mt AS (SELECT video_id, idx, CASE idx % 6 WHEN 0 THEN '說明' WHEN 1 THEN title || ' 操作' WHEN 2 THEN 'Welcome ' || title WHEN 3 THEN repeat(title || ' ', 6) WHEN 4 THEN title || ' error' ELSE title END AS title FROM ref)"
+MADE_TITLE_SQL = "mt AS (SELECT video_id, idx, CASE WHEN idx % 12 = 6 THEN 'x' ELSE CASE idx % 6 WHEN 0 THEN '說明' WHEN 1 THEN title || ' 操作' WHEN 2 THEN 'Welcome ' || title WHEN 3 THEN repeat(title || ' ', 6) WHEN 4 THEN title || ' error' ELSE title END END AS title FROM ref)"
 
 
 def made_titles(t):
     k = F.col("idx") % 6
-    return t.ref.select("video_id", "idx", F.when(k == 0, "說明").when(k == 1, F.concat("title", F.lit(" 操作"))).when(k == 2, F.concat(F.lit("Welcome "), "title"))
+    return t.ref.select("video_id", "idx", F.when(F.col("idx") % 12 == 6, "x").when(k == 0, "說明").when(k == 1, F.concat("title", F.lit(" 操作"))).when(k == 2, F.concat(F.lit("Welcome "), "title"))
                         .when(k == 3, F.repeat(F.concat("title", F.lit(" ")), 6)).when(k == 4, F.concat("title", F.lit(" error"))).otherwise(F.col("title")).alias("title"))
 
 
 @query("p15_title_tests", "ref", rf"""WITH {MADE_TITLE_SQL},
 kt AS (SELECT video_id, list(text) AS terms FROM (SELECT DISTINCT video_id, text FROM evs WHERE text <> 'signup') GROUP BY 1)
-SELECT video_id, idx, regexp_matches(trim(title), '^說明$|操作|Part|Chapter') AS generic, len(regexp_extract_all(title, '{W}([\p{{L}}\p{{N}}_-]*{W})?')) <= 10 AND NOT regexp_matches(lower(title), 'slide|agenda|welcome|thanks|q\s*&\s*a|speaker') AS valid,
+SELECT video_id, idx, regexp_matches(trim(title), '^說明$|操作|Part|Chapter') AS generic, length(title) < 2 OR regexp_matches(title, '操作|Part|Chapter') AS bare, len(regexp_extract_all(title, '{W}([\p{{L}}\p{{N}}_-]*{W})?')) <= 10 AND NOT regexp_matches(lower(title), 'slide|agenda|welcome|thanks|q\s*&\s*a|speaker') AS valid,
   len(list_intersect(terms, regexp_extract_all(lower(title), '{W}+'))) >= 1 AS covered FROM mt LEFT JOIN kt USING (video_id)""")
 def p15(t):
     terms = t.evs.where("text <> 'signup'").groupBy("video_id").agg(F.collect_set("text").alias("terms"))
     title = F.col("title")
     covered = F.arrays_overlap("terms", words(F.lower(title), tx.WORD))
-    return made_titles(t).join(terms, "video_id", "left").select("video_id", "idx", tx.is_generic_title(title).alias("generic"), tx.is_valid_title(title).alias("valid"), covered.alias("covered"))
+    return made_titles(t).join(terms, "video_id", "left").select("video_id", "idx", tx.is_generic_title(title).alias("generic"), tx.is_bare_title(title).alias("bare"), tx.is_valid_title(title).alias("valid"), covered.alias("covered"))
 
 
 @query("p16_routing_predicate", "", "SELECT doc_id, len(string_split(text, chr(10))) * 60 >= 1800 AND len(string_split(text, chr(10))) * 60 <= 14400 AND length(text) >= 5000 AS multi_pass FROM documents")
@@ -478,10 +478,10 @@ def t4(t):
     return best.select("video_id", "idx", F.row_number().over(Window.partitionBy("video_id").orderBy("start_s")).cast("long").alias("place"))
 
 
-@query("t5_random_sample")
+@query("t5_random_sample", "", "SELECT doc_id FROM documents ORDER BY md5(doc_id || ':42'), doc_id LIMIT 25")
 def t5(t):
     """Sample of a fixed size, repeatable for a seed; the order is a hash, so no sort by random values."""
-    return t.documents.select("doc_id", F.xxhash64("doc_id", F.lit(42)).alias("h")).orderBy("h", "doc_id").limit(25).select("doc_id")
+    return t.documents.select("doc_id", F.md5(F.concat("doc_id", F.lit(":42"))).alias("h")).orderBy("h", "doc_id").limit(25).select("doc_id")
 
 
 def streams(t):

@@ -30,20 +30,30 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 
 
 def checkpointed(df):
-    """Reliable checkpoint in the folder the cluster names; a temporary one only where none is set."""
+    """Reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
 def work_dir(spark) -> str:
-    """New folder under the shared folder the cluster names; a temporary one only where none is set."""
-    import tempfile
+    """New folder under the shared folder."""
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/out"
+    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+
+
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share, as the session names it. Where it names none, a local
+    session gets a temporary one; any other is an error, since its executors could not see such a folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    import tempfile
+
+    spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="run-"))
+    return spark.conf.get("spark.checkpoint.dir")

@@ -50,9 +50,9 @@ def request_windows(stream: DataFrame, width: str = "1 hour", delay: str = "10 m
         F.count(F.lit(1)).alias("requests"), F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.sum("value"), 4).alias("duration"))
 
 
-def first_valid(stream: DataFrame, key: str, hours: int = 24) -> DataFrame:
-    """First row of a key within the validity time: later ones would be answered from the cache."""
-    return stream.withWatermark("ts", f"{hours} hours").dropDuplicatesWithinWatermark([key])
+def not_cached(stream: DataFrame, hours: float = 24.0) -> DataFrame:
+    """Requests `(user_id, event_id)` that a result kept for `hours` doesn't answer: one admission per user and window."""
+    return admitted(stream, 1, hours * 3600.0).where("allowed").select("user_id", "event_id")
 
 
 def overlapped_windows(stream: DataFrame, size: str = "600 seconds", step: str = "595 seconds", delay: str = "10 minutes") -> DataFrame:

@@ -114,3 +114,52 @@ def test_admission_over_several_triggers_equals_one(spark, tmp_path):
     once = live.drain(live.admitted(live.event_stream(spark, "/root/testdata/sf0.001"), 2, 21600.0), str(tmp_path / "one"))
     key = lambda df: sorted((r["event_id"], r["allowed"], r["remaining"]) for r in df.collect())
     assert key(many) == key(once)
+
+
+def test_corpus_cap_counts_what_is_left(spark):
+    """Lines that are scrubbed away don't use up the cap."""
+    from cuewise.operators.textrows import capped_corpus
+
+    rows = [("v", i, "mute " + "x" * 60) for i in range(10)] + [("v", 10 + i, f"good line {i}") for i in range(5)]
+    speech = spark.createDataFrame([], "video_id string, pos long, text string")
+    got = capped_corpus(spark.createDataFrame(rows, "video_id string, pos long, text string"), speech, 40).first()["text"]
+    whole = capped_corpus(spark.createDataFrame(rows, "video_id string, pos long, text string"), speech, 10_000).first()["text"]
+    assert "good line 0" in got and got == whole[:40]
+
+
+def test_alignment_counts_videos_without_predictions(spark):
+    from cuewise.operators import captions as ca
+    from cuewise.operators import metrics as me
+
+    refs = spark.createDataFrame([("a", 0.0, 10.0), ("b", 0.0, 10.0)], "video_id string, s double, e double")
+    preds = spark.createDataFrame([("a", 0.0, 10.0)], "video_id string, s double, e double")
+    counts = me.side_counts(refs, preds).where("n_ref > 0")
+    pairs = spark.createDataFrame([("a", 0, 0, 1.0, 1.0)], "video_id string, i long, j long, iou double, score double")
+    got = {r["video_id"]: r["f1"] for r in ca.alignment(pairs, counts).collect()}
+    assert got["b"] == 0.0 and got["a"] > 0.99
+
+
+def test_admin_blocks_neither_pass_nor_refill(spark):
+    from cuewise.operators.textrows import relevance_filter
+
+    rows = [("v", i, "t", s, a, 10) for i, (s, a) in enumerate([(0.9, True), (0.5, False), (0.4, None), (0.3, False), (0.01, True), (0.02, False)])]
+    df = spark.createDataFrame(rows, "video_id string, pos int, text string, score double, is_admin boolean, size int")
+    kept = lambda **k: sorted(r["pos"] for r in relevance_filter(df, **k).collect())
+    assert kept() == [0, 1, 2, 3]
+    assert kept(drop_admin=True) == [1, 2, 3]
+    assert kept(drop_admin=True, refill=5) == [1, 2, 3, 5]
+
+
+def test_null_keys_are_one_group(spark):
+    from cuewise.operators.folds import grouped
+
+    df = spark.createDataFrame([(None, i) for i in range(5)] + [("a", 1)], "k string, i int")
+    got = grouped(df, ["k"], ["i"], ["i"], lambda rows: [(len(rows),)], "n int").collect()
+    assert sorted((str(r["k"]), r["n"]) for r in got) == [("None", 5), ("a", 1)]
+
+
+def test_titles_of_one_character_are_bare(spark):
+    from cuewise.functions import text as tx
+
+    rows = spark.createDataFrame([("x",), ("",), ("ok title",), ("Part 2",)], "t string").select(tx.is_bare_title(F.col("t")).alias("b"), tx.is_generic_title(F.col("t")).alias("g")).collect()
+    assert [r["b"] for r in rows] == [True, True, False, True] and [r["g"] for r in rows] == [False, True, False, True]
