@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuewise.session import shared_folder
+
 #: White space of the word rule; the same six characters that `bytes.split()` splits at.
 BLANK = r"[\x20\x09-\x0D]+"
 #: What separates folded words: every ASCII character that is neither a digit nor a-z.
@@ -35,20 +37,6 @@ def raw(text) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local temporary one only where the session names none and runs on this machine alone."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="run-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
-    return f"file://{folder}"
-
-
 def saved(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
