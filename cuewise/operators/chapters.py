@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cuewise.functions.timefmt import sec_to_hms
 from cuewise.operators.ranges import overlap_join, point_join
+from cuewise.operators.windows import budget_window
 
 
 def chapter_map(chapters: DataFrame) -> DataFrame:
@@ -239,16 +240,34 @@ def needs_several_passes(duration: Column, length: Column) -> Column:
     return (duration >= 1800) & (duration <= 14400) & (length >= 5000)
 
 
-def choose_window(boundaries: DataFrame, chapters: DataFrame, seed: int, span: int) -> DataFrame:
-    """Weighted choice of a start boundary per video (earlier ones likelier by 0.8 a step) and the
-    chapters within `span` seconds of it, with shifted stamps."""
+def weighted_start(boundaries: DataFrame, seed: int) -> DataFrame:
+    """One boundary `(video_id, place, w0)` per video, earlier ones likelier by 0.8 a step: the largest
+    u^(1/w) with u hashed from video, place and seed."""
     w = Window.partitionBy("video_id").orderBy("start_s")
     rows = boundaries.withColumn("place", F.row_number().over(w) - 1)
-    u = (F.pmod(F.xxhash64("video_id", "place", F.lit(seed)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
-    key = F.log(u) / F.pow(F.lit(0.8), F.col("place"))
-    start = rows.groupBy("video_id").agg(F.max_by(F.struct("place", F.col("start_s").alias("w0")), key).alias("c")).select("video_id", "c.*")
-    inside = (F.col("start_s") >= F.col("w0")) & (F.col("start_s") <= F.col("w0") + span)
-    return chapters.join(start, "video_id").where(inside).select("video_id", "place", "w0", F.concat(sec_to_hms(F.col("start_s") - F.col("w0")), F.lit(" - "), "title").alias("answer"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "video_id", "place", F.lit(seed))), 1, 13), 16, 10).cast("double")
+    key = F.log((drawn + 1) / float((1 << 52) + 1)) / F.pow(F.lit(0.8), F.col("place"))
+    return rows.groupBy("video_id").agg(F.max_by(F.struct("place", F.col("start_s").alias("w0")), key).alias("c")).select("video_id", "c.*")
+
+
+def training_window(lines: DataFrame, tokens: Column, boundaries: DataFrame, chapters: DataFrame, seed: int, budget: int) -> DataFrame:
+    """Answer lines `(video_id, w0, whole, answer)` of the window that each video is trained on.
+
+    `lines`: video_id, seg_idx, line, stamp_s. A transcript within the budget is taken whole, with all its
+    chapters. Otherwise lines are taken from a weighted start until the budget is used up, and the chapters
+    from the start to the stamp of the last line taken, shifted.
+    """
+    start = weighted_start(boundaries, seed)
+    placed = lines.join(start.select("video_id", "w0"), "video_id")
+    rows = budget_window(placed, tokens, F.col("stamp_s"), F.col("w0"), budget)
+    taken = rows.groupBy("video_id").agg(F.max("whole").alias("_whole"), F.max_by("stamp_s", "seg_idx").alias("_end"))
+    has = lines.select("video_id").distinct().withColumn("_has", F.lit(True))
+    of = start.join(has, "video_id", "left").join(taken, "video_id", "left")
+    # no line at all fits any budget
+    of = of.withColumn("whole", F.coalesce("_whole", F.col("_has").isNull()))
+    of = of.select("video_id", F.when(F.col("whole"), 0).otherwise(F.col("w0")).cast("long").alias("w0"), "whole", "_end")
+    inside = F.col("whole") | ((F.col("start_s") >= F.col("w0")) & (F.col("start_s") <= F.col("_end")))
+    return chapters.join(of, "video_id").where(inside).select("video_id", "w0", "whole", F.concat(sec_to_hms(F.col("start_s") - F.col("w0")), F.lit(" - "), "title").alias("answer"))
 
 
 def overlapped_chunks(durations: DataFrame, size: float, overlap: float) -> DataFrame:

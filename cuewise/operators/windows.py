@@ -103,8 +103,8 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, salts:
     return few.withColumn("_rn", F.row_number().over(whole)).where(F.col("_rn") <= k).drop("_rn", "_salt")
 
 
-def budget_window(lines: DataFrame, tokens: Column, stamp: Column, start: int, budget: int) -> DataFrame:
-    """Lines from `start` seconds on while the running token sum stays within the budget.
+def budget_window(lines: DataFrame, tokens: Column, stamp: Column, start: int | Column, budget: int) -> DataFrame:
+    """Lines from `start` seconds on (a number, or a column of `lines`) while the running token sum stays within the budget.
 
     `lines` has `video_id, seg_idx, line`. A text that fits as a whole is kept whole and
     unshifted. Adds `whole`, `reached_end` and keeps untimed lines only in whole texts.

@@ -12,9 +12,12 @@ from cuewise.functions import text as tx
 from cuewise.functions import timefmt as tf
 from cuewise.operators import captions as ca
 from cuewise.operators import chapters as ch
+from cuewise.functions.timefmt import sec_to_hms
 from cuewise.operators import metrics as me
+from cuewise.operators.ordered import density_blocks, scan
 from cuewise.plans.registry import query
 from cuewise.plans.scoring import sides
+from cuewise.plans.timebase import HMS_SQL, TOK_SQL
 from cuewise.plans.timed_joins import IOU_SQL, raw_sides
 
 
@@ -113,9 +116,19 @@ def x15(t):
     return flagged.where("hit").select("w", snap("w").alias("snapped")).unionByName(flagged.where("NOT hit").select("w", F.col("w").alias("snapped")))
 
 
-@query("t6_weighted_start_choice")
+@query("t6_training_window", "ref", f"""
+WITH b AS (SELECT DISTINCT video_id, start_s FROM (SELECT video_id, start_s FROM ref UNION ALL SELECT DISTINCT video_id, 0 FROM ref)),
+u AS (SELECT video_id, start_s, row_number() OVER (PARTITION BY video_id ORDER BY start_s) - 1 AS place FROM b),
+c AS (SELECT video_id, arg_max(start_s, ln((CAST('0x' || substr(md5(video_id || ':' || place || ':11'), 1, 13) AS BIGINT) + 1) / 4503599627370497.0::DOUBLE) / pow(0.8::DOUBLE, place)) AS w0 FROM u GROUP BY 1),
+l AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY start_s, event_id) AS i, CAST(floor(start_s) AS BIGINT) AS sec, {HMS_SQL.format("CAST(floor(start_s) AS BIGINT)")} || ': ' || text AS line FROM evs),
+k AS (SELECT l.*, w0, {TOK_SQL.format('line')} AS tok FROM l JOIN c USING (video_id)),
+r AS (SELECT *, sum(CASE WHEN sec >= w0 THEN tok ELSE 0 END) OVER (PARTITION BY video_id ORDER BY i) AS run, sum(tok) OVER (PARTITION BY video_id) <= 150 AS whole FROM k),
+t AS (SELECT video_id, max(whole::INT) = 1 AS whole, arg_max(sec, i) AS fin FROM r WHERE whole OR (sec >= w0 AND run <= 150) GROUP BY 1)
+SELECT ref.video_id, CAST(CASE WHEN whole THEN 0 ELSE w0 END AS BIGINT) AS w0, whole, {HMS_SQL.format("CAST(start_s - CASE WHEN whole THEN 0 ELSE w0 END AS BIGINT)")} || ' - ' || title AS answer
+FROM ref JOIN c USING (video_id) JOIN t USING (video_id) WHERE whole OR (start_s >= w0 AND start_s <= fin)""")
 def t6(t):
-    """One start chapter per video with weight 0.8^position, by the largest u^(1/w) with u hashed from
-    (video, position, seed); then the answers inside the 900 s from it, shifted."""
+    """Events stand in for the transcript, so that videos lie on both sides of the budget."""
     b = ch.add_zero(t.ref.select("video_id", "start_s", "duration"))
-    return ch.choose_window(b, t.ref, seed=11, span=900)
+    rows = scan(density_blocks(t.evs.select("video_id", "event_id", "start_s", "text"), ["video_id"], "start_s"), ["video_id"], ["start_s", "event_id"], number="seg_idx")
+    lines = rows.select("video_id", F.col("seg_idx").cast("long").alias("seg_idx"), F.floor("start_s").alias("stamp_s"), F.concat(sec_to_hms(F.floor("start_s")), F.lit(": "), "text").alias("line"))
+    return ch.training_window(lines, tx.chunk_tokens(F.col("line")), b, t.ref, seed=11, budget=150)

@@ -266,7 +266,14 @@ def f18(t):
     return labels.groupBy("video_id", "run").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f19_near_equal_title_merge")
+@query("f19_near_equal_title_merge", "ref", r"""WITH RECURSIVE
+c AS (SELECT video_id, start_s, end_s, CASE WHEN idx % 4 < 2 THEN 'signup intro part' ELSE title END AS title, idx, row_number() OVER (PARTITION BY video_id ORDER BY end_s - start_s DESC, start_s) AS rk FROM ref),
+o AS (SELECT video_id, start_s, end_s, title, round(0.35::DOUBLE * (idx % 5 / 5.0::DOUBLE) + 0.25::DOUBLE * 0.4::DOUBLE + 0.25::DOUBLE * 0.6::DOUBLE + 0.15::DOUBLE * (idx % 4 = 0)::INT, 3) AS conf,
+  row_number() OVER (PARTITION BY video_id ORDER BY start_s) AS rn, list_distinct(regexp_extract_all(lower(title), '[a-z0-9_]+')) AS w FROM c WHERE rk <= 20),
+f AS (SELECT video_id, rn, start_s AS s, end_s AS e, title AS t, conf AS q, w AS k FROM o WHERE rn = 1 UNION ALL
+ SELECT video_id, rn, CASE WHEN m THEN s ELSE start_s END, end_s, CASE WHEN m THEN t ELSE title END, CASE WHEN m THEN round(0.5::DOUBLE * (q + conf), 3) ELSE conf END, CASE WHEN m THEN k ELSE w END FROM
+ (SELECT o.*, f.s, f.t, f.q, f.k, len(list_intersect(f.k, o.w)) >= 0.82::DOUBLE * len(list_distinct(f.k || o.w)) AS m FROM f JOIN o ON o.video_id = f.video_id AND o.rn = f.rn + 1))
+SELECT video_id, s AS start_s, arg_max(e, rn) AS end_s, any_value(t) AS title, arg_max(q, rn) AS confidence FROM f GROUP BY video_id, s""")
 def f19(t):
     k = F.col("idx") % 4
     title = F.when(k < 2, "signup intro part").otherwise(F.col("title"))

@@ -72,7 +72,7 @@ def test_lexicon_snap(spark):
 def test_weighted_choice_prefers_early_starts(spark):
     n = 3000
     b = spark.range(n).select(F.col("id").cast("string").alias("video_id"), F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 100, 200)])).alias("start_s"))
-    got = ch.choose_window(b, b.withColumn("title", F.lit("t")), seed=3, span=50).groupBy("place").count().collect()
+    got = ch.weighted_start(b, seed=3).groupBy("place").count().collect()
     share = {r["place"]: r["count"] / n for r in got}
     total = 1 + 0.8 + 0.64
     for place, weight in ((0, 1), (1, 0.8), (2, 0.64)):
