@@ -45,14 +45,21 @@ def json_blob(text: Column) -> Column:
 
     s = F.trim(text)
     whole = (s.startswith("{") & s.endswith("}")) | (s.startswith("[") & s.endswith("]"))
-    fenced = F.when(F.contains(text, F.lit("```")), F.coalesce(found(r"(?is)```json\s*([\[{].*?[\]}])\s*```", text), found(r"(?s)```\s*([\[{].*?[\]}])\s*```", text)))
+    fenced = F.when(F.contains(text, F.lit("```")), F.coalesce(found(TAGGED_BLOB, text), found(PLAIN_BLOB, text)))
     return F.coalesce(fenced, F.when(whole, s), found(r"(?s)(\{.*\})", s), found(r"(?s)(\[.*\])", s))
 
 
+# Fences around JSON in replies.
+TAGGED_BLOB = r"(?is)```json\s*([\[{].*?[\]}])\s*```"
+PLAIN_BLOB = r"(?s)```\s*([\[{].*?[\]}])\s*```"
+TAGGED_FENCE = r"(?s)```json\s*(.*?)\s*```"
+PLAIN_FENCE = r"(?s)```\s*(\{.*?\})\s*```"
+
+
 def repaired_json(text: Column) -> Column:
     """Fenced or whole text; curly quotes are mended when it does not parse as it stands. Null when it never does."""
-    tagged = F.nullif(F.regexp_extract(text, r"(?s)```json\s*(.*?)\s*```", 1), F.lit(""))
-    fenced = F.nullif(F.regexp_extract(text, r"(?s)```\s*(\{.*?\})\s*```", 1), F.lit(""))
+    tagged = F.nullif(F.regexp_extract(text, TAGGED_FENCE, 1), F.lit(""))
+    fenced = F.nullif(F.regexp_extract(text, PLAIN_FENCE, 1), F.lit(""))
     tries = lambda blob: F.filter(F.array(blob, F.translate(blob, "“”’\u0000", "\"\"'")), lambda x: strict_json(x).isNotNull())
     return let(lambda blob: F.get(tries(blob), F.lit(0)), F.trim(F.coalesce(tagged, fenced, text)))
 

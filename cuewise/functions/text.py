@@ -96,6 +96,7 @@ def topic_title(title: Column) -> Column:
 
 def collapse_phrases(text: Column, min_repeat: int = 3) -> Column:
     """A chunk repeated at least `min_repeat` times in a row becomes one."""
+    # fixed value: the repeated-phrase pattern
     return F.regexp_replace(text, r"(?U)((\S+)(?:\s*\2){%d,})" % (min_repeat - 1), "$2")
 
 
@@ -120,6 +121,7 @@ def ascii_only(text: Column) -> Column:
 def normalize_line(text: Column) -> Column:
     """Punctuation runs to their first mark, a repeated word to one, outer dashes and spaces off."""
     c = F.regexp_replace(text, f"([{PUNCT}])[{PUNCT}]+", "$1")
+    # fixed value: the doubled-word pattern
     c = F.regexp_replace(c, r"(?U)^([\x{4e00}-\x{9fff}A-Za-z0-9\-_]+)(?:\s+\1)+$", "$1")
     c = F.regexp_replace(F.regexp_replace(c, r"(?U)\s{2,}", " "), r"^[ \t\-–—]+|[ \t\-–—]+$", "")
     return strip(c)
@@ -215,6 +217,7 @@ def source_weights(slides: Column, speech: Column, sim: Column, q_slides: Column
     return w, 1.0 - w, F.when(short, 0.0).otherwise(sim)
 
 
+# Fixed value: a word of the title rules.
 WORD = r"(?U)\b[\w\-]+\b"
 
 
@@ -286,6 +289,7 @@ def bigrams(text: Column) -> Column:
     return let(pairs, strip(text))
 
 
+# Fixed value: Han characters of the similarity rules.
 HAN_ANY = "[\\u3400-\\u9fff]"
 
 

@@ -110,13 +110,22 @@ se AS (SELECT CAST(conv_id AS VARCHAR) AS key, turn, role || ' ' || turn AS titl
 """
 
 
-@query("s10_delivery_document", "", f"""WITH {Q_SQL},
-qs AS (SELECT key, any_value(team_id) AS team_id, list({{'QuestionId': printf('Q%03d', rn), 'QuestionText': question, 'Options': [{{'Label': substr('ABCD', i, 1), 'Text': o}} FOR o, i IN options[1:4]], 'CorrectAnswer': answer, 'Explanation': expl, 'Tags': [topic],
-   'Difficulty': CASE difficulty WHEN 'easy' THEN '簡單' WHEN 'medium' THEN '中等' ELSE difficulty END}} ORDER BY turn) AS q FROM q GROUP BY 1),
-ns AS (SELECT key, string_agg('## ' || title || {N} || content || {N}, {N} ORDER BY turn) AS note FROM se GROUP BY 1)
-SELECT key, CAST(to_json({{'Id': key, 'TeamId': team_id, 'Questions': q, 'CourseNote': coalesce(note, '')}}) AS VARCHAR) AS document FROM qs LEFT JOIN ns USING (key)""")
+@query("s10_delivery_document", "units uni", f"""WITH {Q_SQL},
+h AS (SELECT CAST(conv_id AS VARCHAR) AS key, 'team' || conv_id % 3 AS team_id, conv_id % 5 AS section_no, '2024-01-01T00:00:00Z' AS created_at, arg_max(text, turn) AS summary FROM conversations GROUP BY conv_id),
+qs AS (SELECT key, list({{'QuestionId': printf('Q%03d', rn), 'QuestionText': question, 'Options': [{{'Label': substr('ABCD', i, 1), 'Text': o}} FOR o, i IN options[1:4]], 'CorrectAnswer': answer, 'Explanation': expl, 'Tags': [topic],
+   'Difficulty': CASE difficulty WHEN 'easy' THEN '簡單' WHEN 'medium' THEN '中等' ELSE difficulty END, 'CourseType': CASE turn % 2 WHEN 0 THEN '數學' ELSE '其他' END}} ORDER BY turn) AS q FROM q GROUP BY 1),
+ns AS (SELECT key, string_agg('## ' || title || {N} || content || {N} || CASE WHEN len(points) > 0 THEN '### 重點' || {N} || array_to_string(['- ' || x FOR x IN points], {N}) || {N} ELSE '' END
+   || CASE WHEN len(examples) > 0 THEN '### 範例' || {N} || array_to_string(['- ' || x FOR x IN examples], {N}) || {N} ELSE '' END, {N} ORDER BY turn) AS note FROM se GROUP BY 1),
+un AS (SELECT video_id AS key, list({{'UnitNo': unit_no, 'Title': title, 'Time': time}} ORDER BY unit_no) AS u FROM units GROUP BY 1),
+su AS (SELECT video_id AS key, list({{'UnitNo': unit_no, 'Title': title, 'Time': time}} ORDER BY idx) AS s FROM uni GROUP BY 1)
+SELECT key, CAST(to_json({{'Id': key, 'TeamId': team_id, 'SectionNo': section_no, 'CreatedAt': created_at, 'Questions': coalesce(q, []), 'CourseNote': {STRIP("coalesce(note || chr(10), '') || '## 總結' || chr(10) || summary")},
+   'Units': coalesce(u, []), 'SuggestedUnits': coalesce(s, [])}}) AS VARCHAR) AS document FROM h LEFT JOIN qs USING (key) LEFT JOIN ns USING (key) LEFT JOIN un USING (key) LEFT JOIN su USING (key)""")
 def s10(t):
-    return de.delivery(question_rows(t), section_rows(t).select("key", "pos", "title", "content"))
+    c = t.read("conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("summary"))
+    heads = c.select(F.col("conv_id").cast("string").alias("key"), F.concat(F.lit("team"), F.col("conv_id") % 3).alias("team_id"), (F.col("conv_id") % 5).alias("section_no"), F.lit("2024-01-01T00:00:00Z").alias("created_at"), "summary")
+    questions = question_rows(t).withColumn("course_type", F.when(F.col("pos") % 2 == 0, "數學").otherwise("其他"))
+    units = lambda df, pos: df.select(F.col("video_id").alias("key"), F.col(pos).alias("pos"), "unit_no", "title", "time")
+    return de.delivery(heads, questions, section_rows(t), units(t.units, "unit_no"), units(t.uni, "idx"))
 
 
 @query("s11_markdown_rendering", "", f"""WITH {Q_SQL}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuewise.functions.text import strip
+
 # Shown names of the difficulties.
 DIFFICULTY_NAMES = {"easy": "簡單", "medium": "中等", "hard": "困難"}
 
@@ -21,21 +23,41 @@ def labelled(options: Column) -> Column:
     return F.transform(F.slice(options, 1, 4), lambda o, i: F.struct(F.substring(F.lit("ABCD"), i + 1, F.lit(1)).alias("Label"), o.alias("Text")))
 
 
-def delivery(questions: DataFrame, sections: DataFrame) -> DataFrame:
-    """One JSON document per key with all its questions and note sections, in field order.
+def _gathered(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """`value` of all rows of a key, by `pos`."""
+    held = F.sort_array(F.collect_list(F.struct("pos", value.alias("v"))))
+    return rows.groupBy("key").agg(F.transform(held, lambda x: x["v"]).alias(name))
+
+
+# Headings of the course note.
+POINTS, EXAMPLES, SUMMARY = "### 重點", "### 範例", "## 總結"
+
+
+def delivery(heads: DataFrame, questions: DataFrame, sections: DataFrame, units: DataFrame, suggested: DataFrame) -> DataFrame:
+    """One JSON document per row of `heads`, with all its questions, note sections and units, in field order.
 
-    questions: key, team_id, pos, question, options, answer, explanation, difficulty, topic.
-    sections: key, pos, title, content. A document is one cell, of the size that its parts have.
+    heads: key, team_id, section_no, created_at, summary. questions: key, pos, question, options, answer,
+    explanation, difficulty, topic, course_type. sections: key, pos, title, content, points, examples.
+    units, suggested: key, pos, unit_no, title, time. A document is one cell, of the size of its parts.
     """
-    item = F.struct("pos", F.struct(F.col("question").alias("QuestionText"), labelled(F.col("options")).alias("Options"), F.col("answer").alias("CorrectAnswer"), F.col("explanation").alias("Explanation"),
-                                    F.array("topic").alias("Tags"), difficulty_name(F.col("difficulty")).alias("Difficulty")).alias("q"))
-    numbered = F.transform(F.sort_array(F.collect_list(item)), lambda x, i: F.struct(
-        F.format_string("Q%03d", i + 1).alias("QuestionId"), *[x["q"][n].alias(n) for n in ("QuestionText", "Options", "CorrectAnswer", "Explanation", "Tags", "Difficulty")]))
-    note = F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("pos", "title", "content"))), lambda x: F.concat(F.lit("## "), x["title"], F.lit("\n"), x["content"], F.lit("\n"))))
-    qs = questions.groupBy("key", "team_id").agg(numbered.alias("Questions"))
-    ns = sections.groupBy("key").agg(note.alias("note"))
-    doc = F.to_json(F.struct(F.col("key").alias("Id"), F.col("team_id").alias("TeamId"), "Questions", F.rtrim(F.coalesce("note", F.lit(""))).alias("CourseNote")))
-    return qs.join(ns, "key", "left").select("key", doc.alias("document"))
+    c = F.col
+    bullets = lambda head, items: F.when(F.size(items) > 0, F.concat_ws("\n", F.lit(head), F.transform(items, lambda x: F.concat(F.lit("- "), x))))
+    question = F.struct(c("question").alias("QuestionText"), labelled(c("options")).alias("Options"), c("answer").alias("CorrectAnswer"), c("explanation").alias("Explanation"),
+                        F.array("topic").alias("Tags"), difficulty_name(c("difficulty")).alias("Difficulty"), c("course_type").alias("CourseType"))
+    section = F.concat_ws("\n", F.concat(F.lit("## "), c("title")), c("content"), bullets(POINTS, c("points")), bullets(EXAMPLES, c("examples")), F.lit(""))
+    unit = F.struct(c("unit_no").alias("UnitNo"), c("title").alias("Title"), c("time").alias("Time"))
+    parts = {"q": (questions, question), "n": (sections, section), "u": (units, unit), "s": (suggested, unit)}
+    rows = heads
+    for name, (df, value) in parts.items():
+        got = _gathered(df, value, name)
+        empty = F.array().cast(got.schema[name].dataType)
+        rows = rows.join(got, "key", "left").withColumn(name, F.coalesce(name, empty))
+    fields = ("QuestionText", "Options", "CorrectAnswer", "Explanation", "Tags", "Difficulty", "CourseType")
+    numbered = F.transform("q", lambda x, i: F.struct(F.format_string("Q%03d", i + 1).alias("QuestionId"), *[x[f].alias(f) for f in fields]))
+    note = strip(F.concat_ws("\n", "n", F.lit(SUMMARY), "summary"))
+    doc = F.struct(c("key").alias("Id"), c("team_id").alias("TeamId"), c("section_no").alias("SectionNo"), c("created_at").alias("CreatedAt"), numbered.alias("Questions"),
+                   note.alias("CourseNote"), c("u").alias("Units"), c("s").alias("SuggestedUnits"))
+    return rows.select("key", F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
 
 
 def question_markdown(pos: Column, question: Column, options: Column, answer: Column, explanation: Column, difficulty: Column, topic: Column) -> Column:

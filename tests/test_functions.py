@@ -85,6 +85,7 @@ def test_budget_prefix_and_head(spark):
     assert values(spark, ["abcdefgh\nx"], tx.head_lines(F.col("a"), F.lit(4))) == ["abcd"]
 
 
+# Fixed value: a reply with its chapter lines.
 REPLY = """00:19:19 - 登入 Google 帳戶
 00:21:27 - 課程介紹與簽到流程
 00:23:02 - 課程目標與證照考取
