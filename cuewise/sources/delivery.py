@@ -74,9 +74,9 @@ def section_markdown(title: Column, content: Column, points: Column, examples: C
 
 def write_artefacts(rows: DataFrame, path: str) -> None:
     """Artefact rows `(category, team_id, video_id, name, body)` keyed by category and team, with size and
-    content hash. A busy team is spread over several files by video."""
+    content hash. Rows are rebalanced by team: a busy team gets as many files as its bytes ask for."""
     out = rows.withColumn("content_hash", F.sha2("body", 256)).withColumn("chars", F.length("body"))
-    out.repartition("category", "team_id", F.pmod(F.xxhash64("video_id"), F.lit(16))).write.mode("append").partitionBy("category", "team_id").parquet(path)
+    out.hint("rebalance", "category", "team_id").write.mode("append").partitionBy("category", "team_id").parquet(path)
 
 
 def vector_records(chunks: DataFrame, vectors: DataFrame, batch: int = 100) -> DataFrame:
