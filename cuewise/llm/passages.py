@@ -33,68 +33,102 @@ def tuned(alike: float = 0.8, recall: float = 0.97, most: int = 20) -> tuple[int
     return bands, rows
 
 
+def _slid(v: np.ndarray, width: int, pick) -> np.ndarray:
+    """`pick` (minimum or maximum) over every `width` neighbours, by doubling."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        v = pick(v[:-step], v[step:])
+        done += step
+    return v
+
+
+def picked(grams: np.ndarray) -> np.ndarray:
+    """Places of the least gram of every PICK neighbours (all places where there are fewer: the least)."""
+    if len(grams) <= PICK:
+        return np.array([int(grams.argmin())])
+    low = _slid(grams, PICK, np.minimum)
+    edge = np.zeros(PICK - 1, np.uint64)
+    return np.flatnonzero(_slid(np.concatenate([edge, low, edge]), PICK, np.maximum) == grams)
+
+
 class Reader:
-    """Words, shingles and units of a text, as hashes."""
+    """Words, shingles and units of texts, as hashes; many texts at a time."""
 
     def __init__(self, bands: int, rows: int):
         self.known, self.bands, self.rows = {}, bands, rows
         draw = np.random.default_rng(2024)
-        self.mult = draw.integers(1, 1 << 62, bands * rows, dtype=np.uint64) | np.uint64(1)
-        self.add = draw.integers(1, 1 << 62, bands * rows, dtype=np.uint64)
+        self.mult = draw.integers(1, 1 << 62, bands * rows, dtype=np.uint64)[:, None] | np.uint64(1)
+        self.add = draw.integers(1, 1 << 62, bands * rows, dtype=np.uint64)[:, None]
         self.power = np.cumprod(np.full(WINDOW, _MIX))
 
-    def words(self, lines: list[list[bytes]]) -> np.ndarray:
+    def words(self, words: list[bytes]) -> np.ndarray:
         known = self.known
         if len(known) > 1 << 20:
             known.clear()
-        for w in {w for x in lines for w in x}.difference(known):
+        for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.array([known[w] for x in lines for w in x], np.uint64)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def shingles(self, h: np.ndarray) -> np.ndarray:
-        n = len(h) - SHINGLE + 1
-        if n < 1:
-            return np.zeros(0, np.uint64)
+        n = max(0, len(h) - SHINGLE + 1)
         g = np.zeros(n, np.uint64)
-        for k in range(SHINGLE):
+        for k in range(SHINGLE if n else 0):
             g = (g ^ h[k : n + k]) * _MIX
             g ^= g >> np.uint64(31)
         return g
 
-    def units(self, text):
-        """`(keys, start, length, fp)` arrays: a row per picked window (fp 0), and one per band of each paragraph
-        (fp: fingerprint of its shingle set). A paragraph is a line of at least LEAST words."""
-        lines = [x.split() for x in raw(text).lower().split(b"\n")]
-        h = self.words(lines)
+    def prints(self, g: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Fingerprints of the shingles between the even and the odd places of `at`: sums, so order doesn't matter; odd, so never 0."""
+        mixed = (g ^ (g >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        return np.add.reduceat(np.append(mixed ^ (mixed >> np.uint64(33)), np.uint64(0)), at)[::2] | np.uint64(1)
+
+    def units(self, texts: list):
+        """`(doc, keys, start, length, fp)` arrays, `doc` an index into `texts`: a row per picked window (fp 0),
+        and one per band of each paragraph (fp: fingerprint of its shingles). A paragraph is a line of at
+        least LEAST words."""
+        flat: list[bytes] = []
+        docs, starts, sizes, offsets, picks = [], [], [], [], []
+        for d, text in enumerate(texts):
+            offsets.append(len(flat))
+            for line in raw(text).lower().split(b"\n"):
+                words = line.split()
+                if len(words) >= LEAST:
+                    docs.append(d)
+                    starts.append(len(flat))
+                    sizes.append(len(words))
+                flat += words
+        offsets.append(len(flat))
+        h = self.words(flat)
         g = self.shingles(h)
+        owner = []
+        for d in range(len(texts)):
+            n = offsets[d + 1] - offsets[d] - WINDOW + 1
+            if n > 0:
+                at = picked(g[offsets[d] : offsets[d] + n]) + offsets[d]
+                picks.append(at)
+                owner.append(np.full(len(at), d))
+        offset = np.array(offsets)
         out = []
-        last = len(h) - WINDOW
-        if last >= 0:
-            grams = g[: last + 1]
-            if len(grams) <= PICK:
-                at = np.array([int(grams.argmin())])
-            else:
-                view = np.lib.stride_tricks.sliding_window_view(grams, PICK)
-                at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
-            keys = (h[at[:, None] + np.arange(WINDOW)] * self.power).sum(axis=1, dtype=np.uint64)
+        if picks:
+            at, own = np.concatenate(picks), np.concatenate(owner)
+            keys = np.zeros(len(at), np.uint64)
+            for k in range(WINDOW):
+                keys += h[at + k] * self.power[k]
             keys = (keys ^ (keys >> np.uint64(29))) * _MIX
-            out.append((keys, at, np.full(len(at), WINDOW), np.zeros(len(at), np.int64)))
-        start = 0
-        for x in lines:
-            n = len(x)
-            if n >= LEAST:
-                s = np.unique(g[start : start + n - SHINGLE + 1])
-                low = (((s * self.mult[:, None]) + self.add[:, None]) >> np.uint64(7)).min(axis=1).reshape(self.bands, self.rows)
-                key = np.arange(1, self.bands + 1).astype(np.uint64)
-                for r in range(self.rows):
-                    key = (key ^ low[:, r]) * _MIX
-                    key ^= key >> np.uint64(31)
-                fp = (xxhash.xxh3_64_intdigest(s.tobytes()) | 1) - (1 << 63)
-                out.append((key, np.full(self.bands, start), np.full(self.bands, n), np.full(self.bands, fp)))
-            start += n
-        if not out:
-            return None
-        return tuple(np.concatenate(c) for c in zip(*out))
+            out.append((own, keys, at - offset[own], np.full(len(at), WINDOW), np.zeros(len(at), np.uint64)))
+        if docs:
+            doc, start, size = np.array(docs), np.array(starts), np.array(sizes)
+            ends = np.stack([start, start + size - SHINGLE + 1], 1).ravel()
+            every = np.append((g * self.mult + self.add) >> np.uint64(7), np.zeros((len(self.mult), 1), np.uint64), axis=1)
+            low = np.minimum.reduceat(every, ends, axis=1)[:, ::2].reshape(self.bands, self.rows, len(doc))
+            key = np.repeat(np.arange(1, self.bands + 1, dtype=np.uint64)[:, None], len(doc), 1)
+            for r in range(self.rows):
+                key = (key ^ low[:, r]) * _MIX
+                key ^= key >> np.uint64(31)
+            again = lambda x: np.tile(x, self.bands)
+            out.append((again(doc), key.ravel(), again(start - offset[doc]), again(size), again(self.prints(g, ends))))
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else None
 
 
 def _units(rows: DataFrame, bands: int, per: int, full: bool) -> DataFrame:
@@ -102,26 +136,21 @@ def _units(rows: DataFrame, bands: int, per: int, full: bool) -> DataFrame:
     kind = rows.schema["doc"].dataType.simpleString()
 
     def run(batches):
-        read, held, size = Reader(bands, per), [], 0
-
-        def out():
-            keys = np.concatenate([k for _, (k, *_) in held]).view(np.int64)
-            table = {"key": keys, "doc": pd.Series([d for d, u in held]).repeat([len(u[0]) for _, u in held]).to_numpy()}
-            if full:
-                table |= {"start": np.concatenate([u[1] for _, u in held]), "n": np.concatenate([u[2] for _, u in held]), "fp": np.concatenate([u[3] for _, u in held])}
-            return pd.DataFrame(table)
-
+        read = Reader(bands, per)
         for b in batches:
-            for d, t in zip(b["doc"], b["text"]):
-                u = read.units(t)
+            ids, texts = b["doc"].to_numpy(), b["text"].tolist()
+            lo = 0
+            while lo < len(texts):
+                hi, size = lo, 0
+                while hi < len(texts) and size < 250_000:
+                    size += len(texts[hi])
+                    hi += 1
+                u = read.units(texts[lo:hi])
                 if u is not None:
-                    held.append((d, u))
-                    size += len(u[0])
-                    if size > 100_000:
-                        yield out()
-                        held, size = [], 0
-        if held:
-            yield out()
+                    own, keys, start, n, fp = u
+                    got = {"key": keys.view(np.int64), "doc": ids[lo:hi][own]}
+                    yield pd.DataFrame(got | {"start": start, "n": n, "fp": fp.view(np.int64)} if full else got)
+                lo = hi
 
     return rows.mapInPandas(run, f"key long, doc {kind}" + (", start int, n int, fp long" if full else ""))
 
@@ -136,10 +165,11 @@ def _sets(wanted: DataFrame, spots: DataFrame, rows: DataFrame, bands: int, per:
         for b in batches:
             out = []
             for t, at in zip(b["text"], b["at"]):
-                h = r.words([x.split() for x in raw(t).lower().split(b"\n")])
+                h = r.words(raw(t).lower().split())
                 for spot in at:
-                    s = np.unique(r.shingles(h[spot["start"] : spot["start"] + spot["n"]]))
-                    if (xxhash.xxh3_64_intdigest(s.tobytes()) | 1) - (1 << 63) == spot["fp"]:
+                    g = r.shingles(h[spot["start"] : spot["start"] + spot["n"]])
+                    if r.prints(g, np.array([0, len(g)])).view(np.int64)[0] == spot["fp"]:
+                        s = np.unique(g)
                         out.append((spot["fp"], len(s), s.tobytes()))
             yield pd.DataFrame(out, columns=["fp", "n", "shingles"])
 
@@ -160,7 +190,8 @@ def repeats(docs: DataFrame, *, percent: int = 80, recall: float = 0.97, doc: st
     bands, per = tuned(percent / 100, recall)
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL AND doc IS NOT NULL")
     keys = _units(rows, bands, per, False).groupBy("key").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi")).where("_lo <> _hi").select("key")
-    hit = saved(_units(rows, bands, per, True).join(keys, "key"))
+    # saved, so that a key of very many units is a skewed join that the engine can split
+    hit = saved(_units(rows, bands, per, True).join(saved(keys), "key"))
     lines = hit.where("fp <> 0")
     found = saved(candidates(lines.select(F.col("key").alias("shingle"), "fp", F.lit(1).cast("long").alias("n")).distinct(), percent))
     pairs, stars = (saved(found.where(c).select("a", "b").distinct()) for c in ("na IS NOT NULL", "na IS NULL"))
