@@ -299,9 +299,13 @@ def linked_components(docs: DataFrame, *, size: int = 4, percent: int = 85, doc:
     some = pairs.union(stars).select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     sets = _sets(docs, some.join(rest, "fp"), size, doc, text)
     links = saved(verified(pairs, sets, percent).union(clustered(stars, sets, percent, block)))
-    of = rows.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("doc", "tk", "n", F.coalesce("label", "fp").alias("label"))
-    least = of.where("label IS NOT NULL").groupBy("label").agg(F.min("doc").alias("low"))
-    out = of.join(least, "label", "left")
+    # by distinct text first; the tables that rows are joined with are saved, so a group of many copies is a
+    # skewed join that the engine can split
+    of = rest.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc", F.coalesce("label", "fp").alias("label"))
+    of = saved(of)
+    least = saved(of.groupBy("label").agg(F.min("doc").alias("low")))
+    lows = saved(of.join(least, "label").select("fp", "low"))
+    out = rows.join(lows, "fp", "left")
     return out.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), F.coalesce("low", "doc").alias("component_id"), F.col("tk").alias("text_key"))
 
 
