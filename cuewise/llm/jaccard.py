@@ -30,7 +30,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 1 << 20:
+        if len(known) > 1 << 18:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
@@ -108,7 +108,7 @@ def short_lists(docs: DataFrame, sketch: np.ndarray, size: int, percent: int, te
                 fp = _print(s)
                 if not len(s) or fp in seen:
                     continue
-                if len(seen) > 1 << 20:
+                if len(seen) > 1 << 18:
                     seen.clear()
                 seen.add(fp)
                 n = len(s)

@@ -64,7 +64,7 @@ class Reader:
 
     def words(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > 1 << 20:
+        if len(known) > 1 << 18:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
