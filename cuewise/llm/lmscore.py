@@ -1,20 +1,29 @@
-"""Cross-entropy difference: target and background n-gram models over one vocabulary."""
+"""Cross-entropy difference: target and background n-gram models over one vocabulary.
+
+`counted` and `scored_by` keep all counts as a Spark table, whatever their number; `fit` and `scored` are the
+same formula with a small vocabulary of a bounded size on the driver.
+"""
 
 from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewise.llm.common import FOLD, drawn, raw
+from cuewise.llm.common import FOLD, raw, saved
 from cuewise.llm.registry import query, table
 
 #: Tokens that a task counts before it hands its counts on.
 HELD = 1 << 20
+#: Bytes of text, about, that look up their counts together.
+CHUNK = 1 << 23
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text) -> list[bytes]:
@@ -130,8 +139,162 @@ def scored(docs: DataFrame, model: Model, *, doc: str = "doc_id", text: str = "t
     return out.withColumn("difference", F.col("target_loss") - F.col("background_loss")).withColumn("_id", F.col("_id").cast(kind)).withColumnRenamed("_id", doc)
 
 
+class Keys:
+    """Words and pairs of neighbours as 64-bit hashes: a word ends in the bits 10, a pair in 1; 0 is neither."""
+
+    def __init__(self):
+        self.known = {}
+
+    def __call__(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the words of all texts, of the pairs (each at its second word; 0 at a first word), and words by text."""
+        split = [tokens(t) for t in texts]
+        known = self.known
+        if len(known) > 1 << 18:
+            known.clear()
+        flat = []
+        for words in split:
+            flat += words
+        for w in set(flat).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w) & ~3 | 2
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        h = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
+        g = np.zeros(len(h), np.uint64)
+        g[1:] = (h[:-1] * _MIX) ^ h[1:]
+        g = (g ^ (g >> np.uint64(29))) * _MIX
+        g = (g ^ (g >> np.uint64(32))) | np.uint64(1)
+        g[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+        return h, g, sizes
+
+
+@cache
+def _keys() -> Keys:
+    return Keys()
+
+
+@dataclass
+class Counts:
+    """`table (key, n, m)`: how often each word and pair stands in all documents and in the target. `total` words,
+    `known` words with an own row (two numbers each: all, target) and `size` of the vocabulary, with the unknown word."""
+
+    table: DataFrame
+    total: tuple[int, int]
+    known: tuple[int, int]
+    size: int
+
+
+def counted(docs: DataFrame, trusted: DataFrame, *, least: int = 2, doc: str = "doc_id", text: str = "text") -> Counts:
+    """Background: every document. Target: every document whose id is in `trusted`.
+
+    All words and pairs that stand `least` times in all documents are kept, in the target or not, in a saved
+    table that grows with the documents; only sums reach the driver. A rarer word counts as the unknown word.
+    A pair that is kept is of two words that are kept.
+    """
+    flag = trusted.select(F.col(doc).alias("_id"), F.lit(1).alias("_t")).distinct()
+    rows = docs.select(F.col(doc).alias("_id"), F.col(text).alias("text")).where("text IS NOT NULL").join(flag, "_id", "left").select("text", F.col("_t").isNotNull().alias("target"))
+
+    def run(batches):
+        read, held, size = _keys(), ([], []), 0
+
+        def out():
+            key, n = np.unique(np.concatenate(held[0] + held[1]), return_counts=True)
+            m = np.zeros(len(key), np.int64)
+            if held[1]:
+                own, seen = np.unique(np.concatenate(held[1]), return_counts=True)
+                m[np.searchsorted(key, own)] = seen
+            return pd.DataFrame({"key": key.view(np.int64), "n": n, "m": m})
+
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                part = batch.iloc[at : at + 200]
+                for side in (0, 1):
+                    words, pairs, _ = read(part["text"][part["target"] == bool(side)])
+                    if len(words):
+                        # key 0: every word
+                        held[side].extend((words, pairs[pairs != 0], np.zeros(len(words), np.uint64)))
+                        size += len(words)
+                if size > HELD:
+                    yield out()
+                    held, size = ([], []), 0
+        if size:
+            yield out()
+
+    sums = rows.mapInPandas(run, "key long, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    kept = saved(sums.where((F.col("n") >= least) | (F.col("key") == 0)))
+    word, every = (F.col("key").bitwiseAND(F.lit(3)) == 2), F.col("key") == 0
+    over = lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
+    got = kept.agg(over("n", every), over("m", every), over("n", word), over("m", word), F.count(F.when(word, 1))).first()
+    return Counts(kept, (got[0], got[1]), (got[2], got[3]), got[4] + 1)
+
+
+def scored_by(docs: DataFrame, counts: Counts, *, mix: float = 0.7, smooth: float = 0.5, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """As `scored`, by the counts of `counted`.
+
+    Documents are dealt into chunks of about CHUNK bytes by hash. The distinct words and pairs of a chunk are
+    joined with the table, and its documents are scored with what comes back; so no task holds more of the
+    table than its chunk asks for.
+    """
+    kind = docs.schema[doc].dataType
+    chunks = 1 + int(docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]) // CHUNK
+    # ids travel as text: pandas would turn whole numbers beside a null into floats
+    rows = docs.select(F.col(doc).cast("string").alias("_id"), F.col(text).alias("_text"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("_id", "_text"), F.lit(chunks)).cast("int")).repartition("chunk")
+    total, known = np.array([counts.total[1], counts.total[0]], float), np.array([counts.known[1], counts.known[0]], float)
+    rest, over = np.maximum(0.0, total - known), total + smooth * counts.size
+
+    def ask(batches):
+        def out():
+            got = pd.DataFrame({"key": np.unique(np.concatenate(held)).view(np.int64)})
+            return got.assign(chunk=chunk)
+
+        read, chunk, held, size = _keys(), None, [], 0
+        for batch in batches:
+            for own, part in batch.groupby("chunk", sort=False):
+                if held and (own != chunk or size > HELD << 1):
+                    yield out()
+                    held, size = [], 0
+                chunk = own
+                words, pairs, _ = read(part["_text"])
+                if len(words):
+                    held += [words, pairs[pairs != 0]]
+                    size += len(words)
+        if held:
+            yield out()
+
+    asked = rows.sortWithinPartitions("chunk").mapInPandas(ask, "key long, chunk int")
+    answers = asked.join(counts.table.where("key <> 0"), "key").select("chunk", "key", "n", "m")
+
+    def score(part, found):
+        key = found["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(key)
+        # a column more, for what is not found
+        key, seen = key[order], np.concatenate([found[["m", "n"]].to_numpy(float)[order].T.reshape(2, -1), np.zeros((2, 1))], axis=1)
+
+        def look(wanted):
+            at = np.minimum(np.searchsorted(key, wanted), max(0, len(key) - 1))
+            return np.where(key[at] == wanted, at, len(key)) if len(key) else np.zeros(len(wanted), np.int64)
+
+        out = []
+        for lo in range(0, len(part), 200):
+            words, pairs, sizes = _keys()(part["_text"].iloc[lo : lo + 200])
+            at, pair = look(words), look(pairs)
+            own = np.where(at < len(key), seen[:, at], rest[:, None])
+            p = (own + smooth) / over[:, None]
+            # a context that a model hardly saw leans on the unigrams: absolute weight `smooth` a context
+            after = np.minimum(1.0, seen[:, pair[1:]] / (own[:, :-1] + smooth))
+            p *= 1 - mix
+            p[:, 1:] += mix * after
+            logs = np.concatenate([np.zeros((2, 1)), np.cumsum(-np.log(p), axis=1)], axis=1)
+            ends = np.cumsum(sizes)
+            out.append(((logs[:, ends] - logs[:, ends - sizes]) / np.maximum(1, sizes), sizes))
+        loss, n = np.concatenate([x for x, _ in out], axis=1), np.concatenate([x for _, x in out])
+        return pd.DataFrame({"_id": part["_id"], "n_tokens": n, "target_loss": loss[0], "background_loss": loss[1]})
+
+    out = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, "_id string, n_tokens long, target_loss double, background_loss double")
+    return out.withColumn("difference", F.col("target_loss") - F.col("background_loss")).withColumn("_id", F.col("_id").cast(kind)).withColumnRenamed("_id", doc)
+
+
 @query("op10_lm_scoring")
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    good = drawn(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct(), "doc_id", 50_000)
-    return scored(docs, fit(docs, good))
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return scored_by(docs, counted(docs, good))

@@ -203,3 +203,44 @@ def test_language_models_empty(spark):
     model = lmscore.fit(plain.table(spark, []), none)
     assert lmscore.scored(plain.table(spark, []), model).count() == 0
     assert lmscore.scored(plain.table(spark, plain.corpus(5)), model).count() == len(plain.corpus(5))
+
+
+def test_language_models_whole(spark, monkeypatch):
+    """Every word and pair that stands twice has its own losses, in the target or not; against the formula, written out."""
+    monkeypatch.setattr(lmscore, "CHUNK", 3000)
+    rows = plain.corpus() + [(800 + i, "rareone raretwo filler words", "en", "s") for i in range(2)]
+    docs, good = plain.table(spark, rows), spark.createDataFrame([(i,) for i in range(0, 60, 3)], "doc_id long")
+    counts = lmscore.counted(docs, good)
+    got = {r.doc_id: r for r in lmscore.scored_by(docs, counts).collect() if r.doc_id is not None}
+    one, two = [{}, {}], [{}, {}]
+    for i, text, *_ in rows:
+        w = plain.folded(text)
+        for side in (0, 1):
+            if side or i in range(0, 60, 3):
+                for x in w:
+                    one[side][x] = one[side].get(x, 0) + 1
+                for p in zip(w, w[1:]):
+                    two[side][p] = two[side].get(p, 0) + 1
+    vocab = {x for x, n in one[1].items() if n >= 2}
+    pairs = {p for p, n in two[1].items() if n >= 2}
+    assert counts.size == len(vocab) + 1 and counts.table.count() == len(vocab) + len(pairs) + 1
+    assert "rareone" in vocab and "rareone" not in one[0]
+    rest = [sum(n for x, n in one[side].items() if x not in vocab) for side in (0, 1)]
+    for i, text, *_ in rows:
+        w = plain.folded(text)
+        if i is None or len(w) > 10_000:
+            continue
+        for side, loss in ((0, got[i].target_loss), (1, got[i].background_loss)):
+            every = sum(one[side].values())
+            c = lambda x: one[side].get(x, 0) if x in vocab else rest[side]  # noqa: E731, B023
+            want = 0.0
+            for k, x in enumerate(w):
+                q = (w[k - 1], x) if k else None
+                seen = two[side].get(q, 0) if q in pairs else 0
+                p = 0.3 * (c(x) + 0.5) / (every + 0.5 * (len(vocab) + 1)) + (0.7 * min(1.0, seen / (c(q[0]) + 0.5)) if seen else 0.0)
+                want -= log(p)
+            assert got[i].n_tokens == len(w) and loss == pytest.approx(want / max(1, len(w)))
+    assert got[800].target_loss > got[800].background_loss + 1
+    none = spark.createDataFrame([], "doc_id long")
+    assert lmscore.scored_by(plain.table(spark, []), lmscore.counted(plain.table(spark, []), none)).count() == 0
+    assert lmscore.scored_by(plain.table(spark, plain.corpus(5)), lmscore.counted(plain.table(spark, []), none)).count() == len(plain.corpus(5))
