@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewise.llm.common import components, raw, saved
@@ -17,7 +17,7 @@ from cuewise.llm.registry import query, table
 #: Words of a shingle; words of a window and grams that it is picked from. A shared run of
 #: WINDOW + PICK - 1 = 51 words or more always holds a window that is picked in every copy of it.
 SHINGLE, WINDOW, PICK = 5, 28, 24
-#: Words that a paragraph must have to be compared.
+#: Words that a line must have to be compared by itself; blocks of lines have SHINGLE words or more.
 LEAST = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,19 +85,35 @@ class Reader:
 
     def units(self, texts: list):
         """`(doc, keys, start, length, fp)` arrays, `doc` an index into `texts`: a row per picked window (fp 0),
-        and one per band of each paragraph (fp: fingerprint of its shingles). A paragraph is a line of at
-        least LEAST words."""
+        and one per band of each paragraph (fp: fingerprint of its shingles). Paragraphs are the blocks between
+        blank lines of at least SHINGLE words, the lines of at least LEAST words, and a whole text of several
+        blocks that is too short for a window."""
         flat: list[bytes] = []
         docs, starts, sizes, offsets, picks = [], [], [], [], []
         for d, text in enumerate(texts):
             offsets.append(len(flat))
-            for line in raw(text).lower().split(b"\n"):
+            block, lines, blocks = len(flat), 0, 0
+            for line in [*raw(text).lower().split(b"\n"), b""]:
                 words = line.split()
-                if len(words) >= LEAST:
+                found = []
+                if words:
+                    lines += 1
+                    if len(words) >= LEAST:
+                        found = [(len(flat), len(words))]
+                    flat += words
+                elif lines:
+                    size = len(flat) - block
+                    if size >= SHINGLE and (lines > 1 or size < LEAST):
+                        found = [(block, size)]
+                    block, lines, blocks = len(flat), 0, blocks + 1
+                for at, size in found:
                     docs.append(d)
-                    starts.append(len(flat))
-                    sizes.append(len(words))
-                flat += words
+                    starts.append(at)
+                    sizes.append(size)
+            if blocks > 1 and SHINGLE <= len(flat) - offsets[d] < WINDOW:
+                docs.append(d)
+                starts.append(offsets[d])
+                sizes.append(len(flat) - offsets[d])
         offsets.append(len(flat))
         h = self.words(flat)
         g = self.shingles(h)
@@ -155,10 +171,31 @@ def _units(rows: DataFrame, bands: int, per: int, full: bool) -> DataFrame:
     return rows.mapInPandas(run, f"key long, doc {kind}" + (", start int, n int, fp long" if full else ""))
 
 
-def _sets(wanted: DataFrame, spots: DataFrame, rows: DataFrame, bands: int, per: int) -> DataFrame:
-    """`(fp, n, shingles)` of the paragraphs in `wanted (fp)`; `spots (fp, doc, start, n)` says where one of each stands."""
-    at = wanted.join(spots, "fp").groupBy("doc").agg(F.collect_list(F.struct("fp", "start", "n")).alias("at"))
-    text = rows.join(at.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d")).select("text", "at")
+def numbered(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows with an id, `(doc, text)`, and rows without one, `(row, text)`, numbered and saved so that the numbers stay."""
+    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    return rows.where("doc IS NOT NULL"), saved(rows.where("doc IS NULL").select(F.monotonically_increasing_id().alias("row"), "text"))
+
+
+def _all_units(rows: DataFrame, lone: DataFrame, bands: int, per: int, full: bool) -> DataFrame:
+    """`_units` of rows with and without id, by `doc` and `row`, one of which is null."""
+    a = _units(rows, bands, per, full).withColumn("row", F.lit(None).cast("long"))
+    b = _units(lone.select(F.col("row").alias("doc"), "text"), bands, per, full).withColumnRenamed("doc", "row")
+    return a.unionByName(b.withColumn("doc", F.lit(None).cast(rows.schema["doc"].dataType)))
+
+
+def _several(units: DataFrame, *by: str, **more: Column) -> DataFrame:
+    """Groups of `units` that stand in more than one document."""
+    ends = [f(c).alias(f"_{k}_{c}") for c in ("doc", "row") for k, f in (("lo", F.min), ("hi", F.max))]
+    two = "_lo_doc <> _hi_doc OR _lo_row <> _hi_row OR (_lo_doc IS NOT NULL AND _lo_row IS NOT NULL)"
+    return units.groupBy(*by).agg(*ends, *[c.alias(k) for k, c in more.items()]).where(two).select(*by, *more)
+
+
+def _sets(wanted: DataFrame, spots: DataFrame, rows: DataFrame, lone: DataFrame, bands: int, per: int) -> DataFrame:
+    """`(fp, n, shingles)` of the paragraphs in `wanted (fp)`; `spots (fp, doc, row, start, n)` says where one of each stands."""
+    at = saved(wanted.join(spots, "fp").groupBy("doc", "row").agg(F.collect_list(F.struct("fp", "start", "n")).alias("at")))
+    of = lambda x, c: x.join(at.where(F.col(c).isNotNull()).select(F.col(c).alias("_d"), "at"), F.col(c) == F.col("_d")).select("text", "at")
+    text = of(rows, "doc").union(of(lone, "row"))
 
     def read(batches):
         r = Reader(bands, per)
@@ -176,48 +213,71 @@ def _sets(wanted: DataFrame, spots: DataFrame, rows: DataFrame, bands: int, per:
     return saved(text.mapInPandas(read, "fp long, n long, shingles binary").dropDuplicates(["fp"]))
 
 
-def repeats(docs: DataFrame, *, percent: int = 80, recall: float = 0.97, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stretches `(doc, start, n, class, removed)` of words that stand in more than one document.
+def repeats(docs: DataFrame, *, percent: int = 80, recall: float = 0.9999, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Stretches `(doc, row, start, n, class, line, removed)` of words that stand in more than one document.
 
-    Units are paragraphs (lines) of `LEAST` words or more, alike from a Jaccard similarity of `percent` / 100 on
-    five-word shingles, and, for passages inside longer paragraphs, equal windows of WINDOW words at picked
-    places. Equal paragraphs count as one; different ones that collide in a band are compared as pairs where
-    few collide, and block by block where many do. Classes are connected components; the first occurrence of
-    a class, by id and place, stays and the others are `removed`.
-    Null and empty texts have no units; rows that repeat an id, and rows without id, are one document each,
-    and repeats inside one document don't count. Extra columns are ignored.
+    Units are paragraphs (blocks between blank lines of SHINGLE words or more, lines of LEAST or more, short whole
+    texts), alike from a Jaccard similarity of `percent` / 100 on five-word shingles, and, for passages inside
+    longer paragraphs, equal windows of WINDOW words at picked places. Equal paragraphs count as one; different
+    ones that collide in a band are compared as pairs where few collide, and block by block where many do. The
+    bands let a pair just at the limit collide with a probability of `recall`, more similar ones with a higher
+    one. Classes are connected components; the first occurrence of a class, by id (null ids last) and place,
+    stays and the others are `removed`.
+    Texts of fewer than SHINGLE words have no units. Rows that repeat an id are one document; each row without
+    id is a document of its own, with a number in `row`. Repeats inside one document don't count. Extra columns
+    are ignored.
     """
-    bands, per = tuned(percent / 100, recall)
-    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL AND doc IS NOT NULL")
-    keys = _units(rows, bands, per, False).groupBy("key").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi")).where("_lo <> _hi").select("key")
+    return repeats_of(*numbered(docs, doc, text), percent=percent, recall=recall)
+
+
+def repeats_of(rows: DataFrame, lone: DataFrame, *, percent: int = 80, recall: float = 0.9999) -> DataFrame:
+    """`repeats` of what `numbered` gave."""
+    bands, per = tuned(percent / 100, recall, 40)
+    rows, lone = rows.where("text IS NOT NULL"), lone.where("text IS NOT NULL")
+    keys = _several(_all_units(rows, lone, bands, per, False), "key")
     # saved, so that a key of very many units is a skewed join that the engine can split
-    hit = saved(_units(rows, bands, per, True).join(saved(keys), "key"))
+    hit = saved(_all_units(rows, lone, bands, per, True).join(saved(keys), "key"))
     lines = hit.where("fp <> 0")
     found = saved(candidates(lines.select(F.col("key").alias("shingle"), "fp", F.lit(1).cast("long").alias("n")).distinct(), percent))
     pairs, stars = (saved(found.where(c).select("a", "b").distinct()) for c in ("na IS NOT NULL", "na IS NULL"))
-    spots = lines.groupBy("fp").agg(F.min(F.struct("doc", "start", "n")).alias("_s")).select("fp", "_s.doc", "_s.start", "_s.n")
-    sets = _sets(pairs.union(stars).select(F.explode(F.array("a", "b")).alias("fp")).distinct(), spots, rows, bands, per)
+    spots = lines.groupBy("fp").agg(F.min(F.struct("doc", "row", "start", "n")).alias("_s")).select("fp", "_s.doc", "_s.row", "_s.start", "_s.n")
+    sets = _sets(pairs.union(stars).select(F.explode(F.array("a", "b")).alias("fp")).distinct(), spots, rows, lone, bands, per)
     labels = components(saved(verified(pairs, sets, percent).union(clustered(stars, sets, percent, BLOCK))))
-    own = lines.select("doc", "start", "n", "fp").distinct()
-    own = own.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("doc", "start", "n", F.coalesce("label", "fp").alias("class"), F.lit(True).alias("line"))
-    every = saved(own.union(hit.where("fp = 0").select("doc", "start", "n", F.col("key").alias("class"), F.lit(False).alias("line")).distinct()))
-    first = every.groupBy("class", "line").agg(F.min(F.struct("doc", "start")).alias("_f"), F.max("doc").alias("_hi")).where(F.col("_f.doc") != F.col("_hi"))
+    place = ["doc", "row", "start", "n"]
+    own = lines.select(*place, "fp").distinct()
+    own = own.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(*place, F.coalesce("label", "fp").alias("class"), F.lit(True).alias("line"))
+    every = saved(own.union(hit.where("fp = 0").select(*place, F.col("key").alias("class"), F.lit(False).alias("line")).distinct()))
+    # null ids last
+    first = _several(every, "class", "line", _f=F.min(F.struct(F.col("doc").isNull().alias("late"), "doc", "row", "start")))
     out = every.join(first, ["class", "line"])
-    return out.select("doc", "start", "n", "class", "line", ((F.col("doc") != F.col("_f.doc")) | (F.col("start") != F.col("_f.start"))).alias("removed"))
+    stays = F.col("doc").eqNullSafe(F.col("_f.doc")) & F.col("row").eqNullSafe(F.col("_f.row")) & (F.col("start") == F.col("_f.start"))
+    return out.select(*place, "class", "line", (~stays).alias("removed"))
 
 
 def covered(spans: DataFrame, name: str) -> DataFrame:
-    """`(doc, name)`: words under the spans `(doc, start, n)` of each document, each word once."""
+    """`(doc, row, name)`: words under the spans `(doc, row, start, n)` of each document, each word once."""
     end = F.col("start") + F.col("n")
-    one = spans.groupBy("doc", "start").agg(F.max(end).alias("end"))
-    past = F.coalesce(F.max("end").over(Window.partitionBy("doc").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return one.withColumn("_p", past).groupBy("doc").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "_p"))).cast("long").alias(name))
+    one = spans.groupBy("doc", "row", "start").agg(F.max(end).alias("end"))
+    past = F.coalesce(F.max("end").over(Window.partitionBy("doc", "row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return one.withColumn("_p", past).groupBy("doc", "row").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "_p"))).cast("long").alias(name))
 
 
 @query("op8_substring_dedup")
 def op8(spark, sf_dir):
-    """Documents with a stretch that another document has too; documents without any are not listed."""
-    found = saved(repeats(table(spark, sf_dir, "documents")))
-    sums = found.groupBy("doc").agg(F.count_distinct("class").alias("n_classes"), F.min("start").cast("long").alias("first_word"), F.max(F.col("start") + F.col("n")).cast("long").alias("end_word"))
-    out = sums.join(covered(found, "repeated_words"), "doc").join(covered(found.where("removed"), "removed_words"), "doc", "left")
-    return out.select(F.col("doc").alias("doc_id"), "n_classes", "first_word", "end_word", "repeated_words", F.coalesce("removed_words", F.lit(0).cast("long")).alias("removed_words"))
+    return classified(table(spark, sf_dir, "documents"))
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """One row per document: the classes of its repeated stretches (none, and no places, where it has none) and the words under them."""
+    rows, lone = numbered(docs)
+    found = saved(repeats_of(rows, lone))
+    sums = found.groupBy("doc", "row").agg(F.sort_array(F.collect_set("class")).alias("class_ids"), F.min("start").cast("long").alias("first_word"), F.max(F.col("start") + F.col("n")).cast("long").alias("end_word"))
+    every = rows.select("doc", F.lit(None).cast("long").alias("row")).distinct().union(lone.select(F.lit(None).cast(rows.schema["doc"].dataType), "row"))
+    # one key, never null, in place of two that may be
+    key = F.concat(F.when(F.col("doc").isNull(), "row ").otherwise("id "), F.coalesce(F.col("doc").cast("string"), F.col("row").cast("string")))
+    out = every.withColumn("_of", key)
+    for side in (sums, covered(found, "repeated_words"), covered(found.where("removed"), "removed_words")):
+        out = out.join(side.withColumn("_of", key).drop("doc", "row"), "_of", "left")
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    ids = F.coalesce("class_ids", F.array().cast("array<long>"))
+    return out.select(F.col("doc").alias("doc_id"), F.size(ids).cast("long").alias("n_classes"), ids.alias("class_ids"), "first_word", "end_word", none("repeated_words"), none("removed_words"))

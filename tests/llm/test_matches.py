@@ -146,3 +146,34 @@ def test_passages_empty(spark):
 def test_tuning():
     bands, rows = passages.tuned(0.8, 0.97)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.97 and bands * rows <= 20
+
+
+def test_passages_short_wrapped_and_without_id(spark):
+    """Short texts, blocks of short lines and rows without id have units; one row per document says its classes."""
+    import random
+
+    rng = random.Random(12)
+    verse = lambda n: "\n".join(plain.speech(rng, 6, plain.EN) for _ in range(n))
+    wrapped = verse(12).split("\n")
+    other = [*wrapped[:-1], plain.speech(rng, 6, plain.EN)]  # 62 of 74 shingles alike, no line of 20 words
+    parts = "\n\n".join(plain.speech(rng, 3, plain.EN) for _ in range(4))
+    texts = {1: "one two three four five", 2: "ONE two three  four five", 3: verse(3) + "\n\n" + "\n".join(wrapped[3:6]), 4: verse(2) + "\n \n" + "\n".join(wrapped[3:6]),
+             5: parts, 6: parts, 7: "\n".join(wrapped), 8: "\n".join(other), 9: plain.speech(rng, 90, plain.DE), 10: None, 11: "four words are none"}
+    rows = [(i, t, "en", "s") for i, t in texts.items()] + [(None, plain.speech(rng, 3, plain.EN) + "\n\n" + texts[1], "en", "s")] * 2 + [(None, plain.speech(rng, 40, plain.DE), "de", "s")]
+    got = passages.classified(plain.table(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert all(set(by[a].class_ids) & set(by[b].class_ids) for a, b in ((1, 2), (3, 4), (5, 6), (7, 8)))
+    assert all(by[i].n_classes == 0 and by[i].class_ids == [] and by[i].repeated_words == 0 for i in (9, 10, 11))
+    assert by[1].removed_words == 0 and by[2].removed_words == 5
+    alone = [r for r in got if r.doc_id is None]
+    assert sorted(bool(set(r.class_ids) & set(by[1].class_ids)) for r in alone) == [False, True, True]
+    # the two equal rows without id are documents of their own: all of the second goes, of the first what stands elsewhere
+    assert sorted(r.removed_words for r in alone) == [0, 5, 8]
+
+
+def test_bands_lose_no_links():
+    import inspect
+
+    bands, rows = passages.tuned(0.8, inspect.signature(passages.repeats).parameters["recall"].default, 40)
+    assert 1 - (1 - 0.8**rows) ** bands >= 0.999
