@@ -244,3 +244,15 @@ def test_language_models_whole(spark, monkeypatch):
     none = spark.createDataFrame([], "doc_id long")
     assert lmscore.scored_by(plain.table(spark, []), lmscore.counted(plain.table(spark, []), none)).count() == 0
     assert lmscore.scored_by(plain.table(spark, plain.corpus(5)), lmscore.counted(plain.table(spark, []), none)).count() == len(plain.corpus(5))
+
+
+def test_secrets_inside_words(spark):
+    """All runs of a word are candidates, each with the key before it; a name before an equals sign is no part of the value."""
+    key, other = "9a8b7c6d5e4f3a2b1c0d9e8f", "3f2a9c0d1e2b3c4d5e6f"
+    texts = ['{"request_id":"%s","api_key":"%s"}' % (other, key), "AWS_SECRET_ACCESS_KEY=" + key, f"https://x.y/?request={other}&token={key}", f"token = {key}==", f"{other},{key}"]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    none = spark.createDataFrame([], "piece string")
+    got = {(r.doc_id, r.value): r for r in secrets.by_rule(secrets.findings(docs, none, doc_id=F.col("doc_id"))).collect()}
+    sure = {k for k, r in got.items() if r.label == 1.0}
+    assert sure == {(0, key), (1, key), (2, key), (3, key + "==")}
+    assert {(0, other), (1, "AWS_SECRET_ACCESS_KEY"), (2, other), (4, key), (4, other)} <= set(got)
