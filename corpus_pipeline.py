@@ -22,8 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked texts the document with the smallest id; of rows equal in id and text one."""
-    found = saved(linked_components(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "component_id"))
+    """Of each group of texts linked by five-word shingles, similarity 0.8, the document with the smallest id; of rows equal in id and text one."""
+    found = saved(linked_components(docs, size=5, percent=80).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "component_id"))
     gone = found.where(~F.col("component_id").eqNullSafe(F.col("_id"))).select("_id", "_key")
     again = found.groupBy("_id", "_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_id", "_key")
     again = saved(without_keys(again, gone))

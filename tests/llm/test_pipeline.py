@@ -71,3 +71,12 @@ def test_stages_edges(spark, folder):
             assert out.columns == docs.columns
             docs = corpus_pipeline.saved(out)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() <= len(data)
+
+
+def test_near_duplicates_with_a_header(spark):
+    """A copy with a header of a fifth of its length goes: similarity 0.8 on five-word shingles, 85 on four was not reached."""
+    rng = __import__("random").Random(3)
+    text = plain.speech(rng, 100, plain.EN)
+    rows = [(1, text, "en", "s"), (2, plain.speech(rng, 21, plain.EN) + " " + text, "en", "s"), (3, plain.speech(rng, 100, plain.EN), "en", "s")]
+    assert plain.classes(rows) == [1, 2, 3] and plain.classes(rows, 80, 5) == [1, 1, 3]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, plain.table(spark, rows), "").collect()) == [1, 3]
