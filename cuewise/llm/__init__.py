@@ -1,10 +1,10 @@
-"""Operators for training-data pipelines: language, quality, overlap, licenses, secrets, mixing."""
+"""Operators for training-data pipelines: language, quality, overlap, licenses, secrets, mixing, audits, token counts, manifests."""
 
 import importlib
 
 from cuewise.llm.registry import CHECKS, QUERIES
 
-MODULES = ["quality_rules", "mixing", "decontamination", "language", "licenses", "lmscore", "cotraining", "secrets", "jaccard", "passages"]
+MODULES = ["quality_rules", "mixing", "decontamination", "language", "licenses", "lmscore", "cotraining", "secrets", "jaccard", "passages", "audit", "tokens", "merkle"]
 
 
 def load_all() -> tuple[dict, dict]:
