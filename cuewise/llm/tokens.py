@@ -1,7 +1,8 @@
 """Token counts of whole texts: a broadcast table of frequent pre-tokens, then a cache in each worker.
 
 A byte-level tokenizer never merges across the borders between pre-tokens, so a text has as many tokens as its
-pre-tokens together. Pre-tokens are never shuffled: each task looks them up where it reads the text.
+pre-tokens together. The pre-tokens here are words between single spaces, which the tokenizer may cut further.
+They are never shuffled: each task looks them up where it reads the text.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 from collections import Counter
 from functools import cache, cached_property
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
@@ -22,12 +24,14 @@ from cuewise.llm.registry import query, table
 
 #: White space of the pre-token rule.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Pre-tokens: white space up to the last character before a word, one space with the word behind it, any other
-#: single white space. Words hold letters, digits and marks together: the tokenizer splits them further,
-#: but no token of it reaches over these borders.
+#: Borders that no token reaches over: before a space with a word behind it, and around other white space.
 PIECE = re.compile(f"[{WHITE}]+(?![^{WHITE}])| ?[^{WHITE}]+|[{WHITE}]")
+#: A space that is followed by white space or by the end, so that splitting at spaces would not do.
+UNEVEN = re.compile(f" (?![^{WHITE}])")
 #: Pre-tokens of the broadcast table, of a worker's cache and of a task's count, and their longest length in characters.
-FREQUENT, CACHED, COUNTED, LONGEST = 1 << 16, 1 << 17, 1 << 15, 48
+FREQUENT, CACHED, COUNTED, LONGEST = 1 << 16, 1 << 18, 1 << 13, 48
+#: Pre-tokens that the library is given at once.
+AT_ONCE = 1 << 14
 
 
 @cache
@@ -48,99 +52,121 @@ def loaded(name: str):
     return tokenizer, tuple(t["content"] for t in made["added_tokens"])
 
 
+def pre_tokens(text: str) -> list[str]:
+    """Stretches of a text that are tokenized apart from each other, as keys of the tables: a word (with what
+    follows it up to the next single space) stands for itself with the space before it; any other stretch has two
+    spaces in front, which no word has."""
+    if UNEVEN.search(text):
+        return [p[1:] if len(p) > 1 and p[0] == " " and not p[1:].isspace() else "  " + p for p in PIECE.findall(text)]
+    keys = text.split(" ")
+    if keys[0]:
+        keys[0] = "  " + keys[0]
+    else:
+        del keys[0]
+    return keys
+
+
 def encoded(name: str, texts: list[str]) -> list[int]:
-    """Numbers of tokens, by the library."""
+    """Numbers of tokens, by the library, of stretches that it takes one by one."""
     tokenizer, _ = loaded(name)
-    return [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    out = []
+    for i in range(0, len(texts), AT_ONCE):
+        some = texts[i : i + AT_ONCE]
+        of = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False).word_ids
+        out += np.bincount(np.array(of, np.int64), minlength=len(some)).tolist()
+    return out
+
+
+def encoded_keys(name: str, keys: list[str]) -> list[int]:
+    return encoded(name, [k[2:] if k.startswith("  ") else " " + k for k in keys])
 
 
 class Lengths:
     """Frequent pre-tokens and their numbers of tokens. Travels as one string and two rows of bytes, and becomes a
     hash table once in each worker. A number of tokens is at most the bytes of a pre-token, so it fits a byte."""
 
-    def __init__(self, pieces: list[str], tokens: list[int]):
-        self.text, self.sizes, self.tokens = "".join(pieces), bytes(map(len, pieces)), bytes(tokens)
+    def __init__(self, keys: list[str], tokens: list[int]):
+        self.text, self.sizes, self.tokens = "".join(keys), bytes(map(len, keys)), bytes(tokens)
 
-    @cached_property
-    def table(self) -> dict[str, int]:
-        out, at = {}, 0
+    def items(self):
+        at = 0
         for size, n in zip(self.sizes, self.tokens):
-            out[self.text[at : at + size]] = n
+            yield self.text[at : at + size], n
             at += size
-        return out
 
-    def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("text", "sizes", "tokens")}
+    def __len__(self) -> int:
+        return len(self.sizes)
 
+    @cached_property
+    def known(self) -> dict[str, int]:
+        """The table of this worker: the frequent pre-tokens, and those it has met since; kept from task to task."""
+        return dict(self.items())
 
-@cache
-def worker_cache(name: str) -> dict[str, int]:
-    """Pre-tokens that this worker has encoded; kept from task to task."""
-    return {}
+    def add(self, new: dict[str, int]) -> None:
+        """Put into the worker's cache; a full one is emptied down to the frequent pre-tokens."""
+        if len(self.known) + len(new) > len(self) + CACHED:
+            self.__dict__["known"] = dict(self.items())
+        self.known.update(x for x in list(new.items())[:CACHED] if len(x[0]) <= LONGEST)
 
+    def __getstate__(self):
+        return {k: self.__dict__[k] for k in ("text", "sizes", "tokens")}
 
-def counts(texts: list[str], name: str, frequent: dict[str, int]) -> list[int]:
+
+def counts(texts: list[str], name: str, lengths: Lengths) -> list[int]:
     """Numbers of tokens of whole texts. Misses of a batch are encoded together, each once."""
-    special = loaded(name)[1]
-    own = worker_cache(name)
+    tokenizer, special = loaded(name)
+    get = lengths.known.get
     out, late, new = [], [], {}
     for i, text in enumerate(texts):
         if any(s in text for s in special):  # special strings cut a text; the library does it
-            out.append(encoded(name, [text])[0])
+            out.append(len(tokenizer.encode(text, add_special_tokens=False).ids))
             continue
-        pieces = PIECE.findall(text)
-        found = list(map(frequent.get, pieces))
+        keys = pre_tokens(text)
+        found = list(map(get, keys))
         if None in found:
-            missed = [p for p, n in zip(pieces, found) if n is None]
+            rest = [k for k, n in zip(keys, found) if n is None]
+            late.append((i, rest))
+            new.update(dict.fromkeys(rest))
             found = [n for n in found if n is not None]
-            seen = list(map(own.get, missed))
-            if None in seen:
-                rest = Counter(p for p, n in zip(missed, seen) if n is None)
-                late.append((i, rest))
-                new.update(dict.fromkeys(rest))
-                seen = [n for n in seen if n is not None]
-            found += seen
         out.append(sum(found))
     if new:
-        new = dict(zip(new, encoded(name, list(new))))
+        new = dict(zip(new, encoded_keys(name, list(new))))
         for i, rest in late:
-            out[i] += sum(new[p] * n for p, n in rest.items())
-        if len(own) + len(new) > CACHED:
-            own.clear()
-        own.update(x for x in list(new.items())[:CACHED] if len(x[0]) <= LONGEST)
+            out[i] += sum(map(new.__getitem__, rest))
+        lengths.add(new)
     return out
 
 
 def frequent_pieces(texts: DataFrame, most: int = FREQUENT, width: int = COUNTED) -> DataFrame:
-    """`(piece, n)`: the most frequent pre-tokens over all documents. `texts (t)`.
+    """`(piece, n)`: the most frequent pre-tokens over all documents, as keys. `texts (t)`.
 
-    A task counts its pre-tokens in a bounded summary: whenever it outgrows eight times `width`, the count at
-    rank `width` is taken from all, which loses no pre-token above one in `width` of the task. Only those
-    leave the task, so at most `width` rows of each are added up. The table decides speed, never a result.
+    A task counts the words between spaces in a bounded summary: whenever it outgrows four times `width`, the
+    count at rank `width` is taken from all, which loses no word above one in `width` of the task. At most
+    four times `width` rows leave a task. The table decides speed, never a result.
     """
 
     def run(batches):
-        held, total = Counter(), 0
+        held = Counter()
         for b in batches:
             for text in b["t"]:
-                pieces = PIECE.findall(text)
-                total += len(pieces)
-                held.update(pieces)
-                if len(held) > 8 * width:
-                    cut = sorted(held.values(), reverse=True)[width]
-                    held = Counter({p: n - cut for p, n in held.items() if n > cut})
-        least = max(2, total // width)
-        kept = [(p, n) for p, n in held.items() if n >= least and len(p) <= LONGEST]
+                held.update(text.split(" "))
+                if len(held) > 4 * width:
+                    held = _pruned(held, width)
+        kept = [(p, n) for p, n in held.items() if n > 1 and 0 < len(p) <= LONGEST and not p[0].isspace()]
         yield pd.DataFrame(kept, columns=["piece", "n"])
 
     return texts.mapInPandas(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(most)
 
 
+def _pruned(held: Counter, width: int) -> Counter:
+    cut = sorted(held.values(), reverse=True)[width]
+    return Counter({p: n - cut for p, n in held.items() if n > cut})
+
+
 def frequent_lengths(texts: DataFrame, name: str, most: int = FREQUENT) -> Lengths:
     """Table of at most `most` pre-tokens of at most `LONGEST` characters: under 16 MB whatever the corpus."""
-    rows = frequent_pieces(texts, most).collect()
-    pieces = [r["piece"] for r in rows if len(r["piece"].encode()) < 256]
-    return Lengths(pieces, encoded(name, pieces))
+    keys = [r["piece"] for r in frequent_pieces(texts, most).collect() if len(r["piece"].encode()) < 255]
+    return Lengths(keys, encoded_keys(name, keys))
 
 
 def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.json", *, limit: int = 1024, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -158,7 +184,7 @@ def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.json", *, limit: int
 
     def run(batches):
         for b in batches:
-            n = counts(b.column("t").to_pylist(), name, lengths.value.table)
+            n = counts(b.column("t").to_pylist(), name, lengths.value)
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("n_bytes"), pa.array(n, pa.int64())], ["doc", "n_bytes", "n_tokens"])
 
     out = rows.mapInArrow(run, rows.drop("t").schema.add("n_tokens", "long"))
