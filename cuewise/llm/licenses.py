@@ -10,45 +10,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuewise.llm.common import FOLD, raw
+from cuewise.llm.notices import TEMPLATES
 from cuewise.llm.registry import query, table
 
 #: Fixed phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Notices by label. `<<optional>> ... <</optional>>` may be left out, `<<var 0..5>>` stands for so many words; the rest is mandatory wording.
-TEMPLATES = {
-    "apache-2": ["licensed under <<optional>> the <</optional>> apache license version 2 <<optional>> 0 <</optional>>"],
-    "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-        "<<optional>> released <</optional>> under the <<optional>> <<var 1..2>> <</optional>> bsd license",
-    ],
-    "cc-by": ["licensed under <<optional>> a <</optional>> <<optional>> creative commons attribution <</optional>> cc by 4 0"],
-    "cc-by-nc": ["licensed under <<optional>> a <</optional>> <<optional>> creative commons attribution non commercial <</optional>> cc by nc <<optional>> 4 0 <</optional>>"],
-    "gpl-3": [
-        "this <<var 1..3>> is licensed under the gnu general public license <<optional>> as published by the free software foundation <</optional>> <<optional>> either <</optional>> version 3",
-        "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    ],
-    "mit": [
-        "released under the <<optional>> terms of the <</optional>> mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction <<var 0..60>> the software is provided as is without warranty of any kind",
-    ],
-}
-
 _MARK = re.compile(r"<<optional>>|<</optional>>|<<var (\d+)\.\.(\d+)>>|[^\s<>]+")
 
 
+def parts(template: str):
+    """Marks and folded words of a template, in order; a mark is a match, a word a string."""
+    for m in _MARK.finditer(template):
+        if m[0].startswith("<<"):
+            yield m
+        else:
+            yield from (w.decode() for w in raw(m[0]).translate(FOLD).split())
+
+
 class Automaton:
     """States over tokens: `steps[state]` by token, `any_[state]` for any token, `free[state]` without one."""
 
     def __init__(self, template: str):
         self.steps, self.any_, self.free = [{}], [None], [[]]
         opened, at, mandatory = [], 0, []
-        for m in _MARK.finditer(template):
-            if m[0] == "<<optional>>":
+        for m in parts(template):
+            if isinstance(m, str):
+                token = m.encode()
+                new = self._state()
+                self.steps[at][token] = new
+                at = new
+                if not opened:
+                    mandatory.append(token)
+            elif m[0] == "<<optional>>":
                 opened.append(at)
             elif m[0] == "<</optional>>":
                 self.free[opened.pop()].append(at)
-            elif m[1] is not None:
+            else:
                 low, high = int(m[1]), int(m[2])
                 states = [at]
                 for _ in range(high):
@@ -58,13 +56,6 @@ class Automaton:
                 at = states[-1]
                 for s in states[low:-1]:
                     self.free[s].append(at)
-            else:
-                token = m[0].encode()
-                new = self._state()
-                self.steps[at][token] = new
-                at = new
-                if not opened:
-                    mandatory.append(token)
         self.end = at
         #: A word without which nothing is accepted, and the words that may come first.
         self.anchor = max(mandatory, key=len)
@@ -121,9 +112,11 @@ def scan_text(text) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, in
     line = b" " + b" ".join(tokens) + b" "
     places = []
     for phrase, label in PHRASES.items():
-        needle, at = b" " + phrase.encode() + b" ", -1
+        needle, at, before, word = b" " + phrase.encode() + b" ", -1, 0, 0
         while (at := line.find(needle, at + 1)) >= 0:
-            places.append((label, line.count(b" ", 0, at)))
+            word += line.count(b" ", before, at)  # words since the last place
+            before = at
+            places.append((label, word))
     notices = [(label, s, e) for label, anchor, a in automata() if anchor in line for s, e in a.find(tokens)]
     return len(tokens), places, notices
 
@@ -131,7 +124,10 @@ def scan_text(text) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, in
 def scan(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `docs`: its id, `n_words`, `places` (label, word) and `notices` (label, start, end).
 
-    Null and empty texts have no words and no finding. Whole texts are read; only id and text are used.
+    Null and empty texts have no words and no finding. Whole texts are read; only id and text are used, whatever
+    other columns are called. Each row is scanned for itself: rows that repeat an id, or have none, have a
+    row each, and an empty table gives none. Notices of one label and form don't overlap (of two that would, the
+    first counts, and it is taken as long as it can be); those of different labels may.
     """
     kind = docs.schema[doc].dataType
     # ids travel as text: pandas would turn whole numbers beside a null into floats
@@ -154,13 +150,13 @@ def scan(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
 def regex(template: str) -> str:
     """The same template as a pattern over words joined by single spaces, with one space before and after."""
     out = " "
-    for m in _MARK.finditer(template):
-        if m[0] == "<<optional>>":
+    for m in parts(template):
+        if isinstance(m, str):
+            out += m + " "
+        elif m[0] == "<<optional>>":
             out += "(?:"
-        elif m[0] == "<</optional>>":
-            out += ")?"
         else:
-            out += f"(?:[^ ]+ ){{{m[1]},{m[2]}}}" if m[1] is not None else m[0] + " "
+            out += ")?" if m[0] == "<</optional>>" else f"(?:[^ ]+ ){{{m[1]},{m[2]}}}"
     return out
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cuewise.llm import cotraining, language, licenses, lmscore, secrets
+from cuewise.llm import cotraining, language, licenses, lmscore, notices, secrets
 from tests.llm import plain
 
 SF = "/root/testdata/sf0.01"
@@ -34,6 +34,15 @@ def test_language_edges(spark):
     assert language.identify(plain.table(spark, []), model).count() == 0
 
 
+def test_letters_beyond_the_first_plane(spark):
+    """Emoji are no letters, so a text of them is `und` and they part words; letters of other planes are letters."""
+    model = language.fit(plain.table(spark, plain.corpus()))
+    assert [model.decide(t)[:2] for t in ("😀😀😀 🎉🎉🎉🎉", "", "12 !!", None)] == [("und", 0.0)] * 4
+    assert model.decide("𐐷𐐷𐐷𐐷𐐷")[0] == model.prior
+    same = [[h.tolist() for h in language.grams(t, 4)] for t in ("thereon😀anderin", "thereon anderin")]
+    assert same[0] == same[1]
+
+
 def test_language_filter_exact(spark):
     """The filter holds every n-gram put in, in all its languages, and few others."""
     rows = plain.corpus()
@@ -71,8 +80,11 @@ LICENSED = [
     "This work is licensed under the GNU General Public License, version 3.", "this fine big work is licensed under the gnu general public license either version 3",
     "this is licensed under the gnu general public license version 3", "Licensed under CC BY-NC 4.0.", "licensed under a cc by nc", "cc by", "", None,
     "released under the new bsd license", "under the a b c bsd license",
-    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
-    + "w " * 60 + "the software is provided as is, without warranty of any kind",
+    *[re.sub(r"<<var 1..12>>", "THE EXAMPLE PROJECT", re.sub(r"<<(/?optional|var 1..1)>>", "", t)).upper() for t in (notices.MIT, notices.ISC, notices.APACHE, notices.MPL, notices.UNLICENSE, notices.BSD_HEAD + notices.BSD_TAIL)],
+    "Copyright 2020\n" + re.sub(r"<<optional>>.*?<</optional>>", "", notices.MIT) + "\nand more",
+    "This program is free software under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "under the terms of the GNU General Public License as published by the Free Software Foundation, version 2 of the License, or (at your option) any later version",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 ]
 
 
@@ -96,10 +108,40 @@ def test_license_scan(spark):
     assert len(got) == len(rows) and got[13].n_words == 0
     assert [p.word for p in got[5].places] == [0, 4]
     assert {n.label for n in got[6].notices} == {"gpl-3"} and not got[8].notices
-    assert {n.label for n in got[16].notices} == {"mit"}
+    assert [{n.label for n in got[16 + k].notices} for k in range(10)] == [{"mit"}, {"isc"}, {"apache-2"}, {"mpl-2"}, {"unlicense"}, {"bsd-2"}, {"mit"}, {"lgpl"}, {"gpl-2"}, {"cc-by-sa"}]
     assert licenses.scan(plain.table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("name", ["MIT", "ISC", "APACHE", "MPL", "UNLICENSE", "BSD_HEAD"])
+def test_every_mandatory_word_counts(name):
+    """A notice with one word changed, left out or put in is no notice of that label."""
+    template = notices.BSD_HEAD + notices.BSD_NAMES + notices.BSD_TAIL if name == "BSD_HEAD" else getattr(notices, name)
+    label = {"MIT": "mit", "ISC": "isc", "APACHE": "apache-2", "MPL": "mpl-2", "UNLICENSE": "unlicense", "BSD_HEAD": "bsd-3"}[name]
+    own = licenses.Automaton(template)
+    plain_parts = list(licenses.parts(re.sub(r"<<optional>>.*?<</optional>>", "", template.replace("<<var 1..12>>", "HOLDERNAME"), flags=re.S)))
+    words = [w.encode() for w in plain_parts]
+    assert own.find([b"x", *words, b"y"]) == [(1, 1 + len(words))]
+    for i, w in enumerate(words):
+        free = w == b"holdername"
+        assert bool(own.find([*words[:i], b"never", *words[i + 1 :]])) == free, (label, i, w)
+        assert not own.find(words[:i] + words[i + 1 :]) or words[i - 1 : i] == [w], (label, i, w)
+        if i and not free and words[i - 1] != b"holdername":
+            found = own.find([*words[:i], b"never", b"never", *words[i:]])
+            assert not found, (label, i, w)
+
+
+def test_accepted_only_whole():
+    """Texts that begin as a licence and go on otherwise."""
+    forbids = re.sub(r"<<[^>]*>>", "", notices.MIT).replace("modify, merge,", "").replace("sublicense, and/or sell", "sublicense")
+    fee = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: pay us ten dollars."
+    assert [licenses.scan_text(t)[2] for t in (forbids, fee)] == [[], []]
+
+
+def test_many_places():
+    words, places, _ = licenses.scan_text("under the mit license " * 20_000)
+    assert words == 80_000 and [w for _, w in places[:3]] == [0, 4, 8] and len(places) == 20_000
+
+
 def test_secrets(spark):
     rng = __import__("random").Random(4)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
