@@ -13,7 +13,8 @@ from cuewise.llm.registry import query, table
 
 #: Characters that are worked on at a time, and n-grams that a task counts before it hands them on.
 PIECE, HELD = 1 << 20, 1 << 21
-_LETTER = np.fromiter((chr(i).isalpha() for i in range(1 << 16)), bool, 1 << 16)
+#: Whether a code point is a letter, for all of them.
+_LETTER = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
 
 
@@ -21,7 +22,7 @@ def grams(text: str, n: int):
     """Hashes of the n-grams of the lower-cased letters, runs of anything else being one space; piece by piece."""
     for at in range(0, len(text), PIECE):
         c = np.frombuffer(text[max(0, at - n + 1) : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = np.where(c < 1 << 16, _LETTER[np.minimum(c, 65535)], True)
+        letter = _LETTER[c]
         if not letter.any():
             continue
         c = np.where(letter, c, 32)
@@ -139,7 +140,8 @@ def identify(docs: DataFrame, model: LanguageFilter, *, doc: str = "doc_id", tex
     """One row per row of `docs`: its id, `more`, `lang_pred, score, n_grams`.
 
     Null texts and texts without a letter are `und` with score 0; a text none of whose n-grams is known gets
-    the most frequent language and score 0; without any learned language everything is `und`. Whole texts
+    the most frequent language and score 0; without any learned language everything is `und`. Of equally likely
+    languages the first by name is taken. Each row is decided for itself, repeated ids or not. Whole texts
     are read, in pieces. Only id and text are read, so extra columns don't matter.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
