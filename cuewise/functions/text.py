@@ -133,21 +133,14 @@ def tokens(text: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters in bits. Sorting the characters of one text puts equal
-    ones together, so one pass over them gives all counts."""
+    """Shannon entropy of the characters in bits. The share of each different character is what the text
+    loses without it, so nothing is sorted and no character becomes a row."""
 
-    def bits(chars: Column) -> Column:
-        n = F.size(chars)
-        zero = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
-        plus = lambda acc: acc["sum"] + F.when(acc["run"] > 0, -(acc["run"] / n) * F.log2(acc["run"] / n + F.lit(1e-12))).otherwise(0.0)
+    def bits(t: Column, chars: Column) -> Column:
+        shares = F.transform(chars, lambda ch: (F.octet_length(t) - F.octet_length(F.replace(t, ch, F.lit("")))) / F.octet_length(ch) / F.char_length(t))
+        return F.aggregate(shares, F.lit(0.0), lambda total, p: total - p * F.log2(p + F.lit(1e-12)))
 
-        def step(acc, ch):
-            same = acc["last"] == ch
-            return F.struct(ch.alias("last"), F.when(same, acc["run"] + 1).otherwise(1).alias("run"), F.when(same, acc["sum"]).otherwise(plus(acc)).alias("sum"))
-
-        return F.when(n > 0, F.aggregate(chars, zero, step, plus)).otherwise(0.0)
-
-    return let(bits, F.sort_array(F.filter(F.split(text, ""), lambda ch: ch != "")))
+    return F.when(F.length(text) > 0, let(bits, text, F.array_remove(F.array_distinct(F.split(text, "")), ""))).otherwise(F.when(text.isNotNull(), 0.0))
 
 
 def repeat_ratio(text: Column) -> Column:

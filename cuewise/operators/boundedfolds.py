@@ -6,7 +6,6 @@ a frame's tokens are bounded by the screen. Such groups run in one grouped pass.
 
 from __future__ import annotations
 
-import heapq
 import re
 from itertools import accumulate
 
@@ -19,41 +18,6 @@ from cuewise.operators.folds import grouped, runs
 from cuewise.operators.ordered import fixed_blocks
 
 
-def thin_gaps(df: DataFrame, keep: int) -> DataFrame:
-    """Drop one end of the smallest gap (first on ties) until `keep` stamps are left.
-
-    Rows `(video_id, t)` at least a second apart. The right end goes when the gap behind it is
-    not smaller, else the left one; the last gap always loses its left end.
-    """
-
-    def thin(rows: list[tuple]) -> list[tuple]:
-        ts = [r[0] for r in rows]
-        n = len(ts)
-        prev, nxt = list(range(-1, n - 1)), [*range(1, n), -1]
-        alive = [True] * n
-        heap = [(ts[i + 1] - ts[i], i, i + 1) for i in range(n - 1)]
-        heapq.heapify(heap)
-        left = n
-        while left > keep and heap:
-            gap, i, j = heapq.heappop(heap)
-            if not (alive[i] and alive[j]) or nxt[i] != j:
-                continue
-            k = nxt[j]
-            drop = j if k != -1 and gap <= ts[k] - ts[j] else i
-            alive[drop] = False
-            left -= 1
-            a, b = prev[drop], nxt[drop]
-            if a != -1:
-                nxt[a] = b
-            if b != -1:
-                prev[b] = a
-            if a != -1 and b != -1:
-                heapq.heappush(heap, (ts[b] - ts[a], a, b))
-        return [(ts[i],) for i in range(n) if alive[i]]
-
-    return grouped(df, ["video_id"], ["t"], ["t"], thin, "t double")
-
-
 def _reach(held: str, title: str, min_gap: int) -> float:
     """How near a chapter must follow the one held to be taken into it; farther within one tagged unit."""
     unit = UNIT_TAG.match(held)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuewise.operators.barrier import once
+from cuewise.operators.barrier import let, once
 from cuewise.operators.folds import grouped
 
 
@@ -61,23 +61,45 @@ def bleu(pairs: DataFrame, most: int = 4) -> DataFrame:
     return rows.select("tiou", "video_id", F.explode(F.array(*out)).alias("b")).select("tiou", "video_id", "b.*")
 
 
-def rouge_l(pairs: DataFrame, beta: float = 1.2) -> DataFrame:
-    """Mean longest-common-subsequence F score of a video's pairs. The table is one row of the
-    alignment carried over the words, so a title pair needs no more than its own length."""
+#: Bits of a number that stand for words, so that sums of two numbers and a carry fit.
+BITS = 62
+
+
+def common_words(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two word arrays.
+
+    A bit per word of `b` says whether the row of the alignment stays level there. One word of `a` moves all
+    of them with an addition: among the places where it stands, each run of ones up to it moves by one. `b` takes one
+    number per 62 words; the carry goes from number to number.
+    """
+    full = (1 << BITS) - 1
+    numbers = F.greatest(F.lit(1), F.ceil(F.size(b) / BITS).cast("int"))
+
+    def places(word: Column, k: Column) -> Column:
+        part = F.transform(F.slice(b, k * BITS + 1, F.lit(BITS)), lambda y, p: F.when(y == word, F.pow(F.lit(2.0), p).cast("long")).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(part, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x))
+
+    def moved(level: Column, word: Column) -> Column:
+        def step(acc: Column, k: Column) -> Column:
+            def put(v: Column, at: Column) -> Column:
+                both = v.bitwiseAND(at)
+                total = v + both + acc["carry"]
+                now = total.bitwiseAND(F.lit(full)).bitwiseOR(v.bitwiseAND(F.bitwise_not(both)))
+                return F.struct(F.shiftright(total, BITS).alias("carry"), F.array_append(acc["out"], now).alias("out"))
 
-    def lcs(a: Column, b: Column) -> Column:
-        zero = F.transform(F.sequence(F.lit(0), F.size(b)), lambda x: F.lit(0))
+            return let(put, F.get(level, k), places(word, k))
 
-        def row(prev, word):
-            start = F.array(F.lit(0))
-            return F.aggregate(F.sequence(F.lit(1), F.size(b)), start, lambda acc, k: F.concat(acc, F.array(
-                F.when(F.element_at(b, k) == word, F.element_at(prev, k) + 1).otherwise(F.greatest(F.element_at(prev, k + 1), F.element_at(acc, -1))))))
+        start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), numbers - 1), start, step, lambda acc: acc["out"])
 
-        return F.element_at(F.aggregate(a, zero, row), -1)
+    end = F.aggregate(a, F.array_repeat(F.lit(full).cast("long"), numbers), moved)
+    return F.aggregate(end, F.lit(0), lambda n, v: n + BITS - F.bit_count(v).cast("int"))
 
+
+def rouge_l(pairs: DataFrame, beta: float = 1.2) -> DataFrame:
+    """Mean longest-common-subsequence F score of a video's pairs."""
     filled = (F.size("pw") > 0) & (F.size("rw") > 0)
-    hit = F.when(filled, lcs(F.col("pw"), F.col("rw"))).otherwise(0)
-    rows = once(pairs, hit=hit)
+    rows = once(pairs, hit=F.when(filled, common_words(F.col("pw"), F.col("rw"))).otherwise(0))
     p, r = F.col("hit") / F.size("pw"), F.col("hit") / F.size("rw")
     score = F.when(F.col("hit") > 0, (1 + beta**2) * p * r / (r + beta**2 * p)).otherwise(0.0)
     return rows.withColumn("score", score).groupBy("tiou", "video_id").agg(F.avg("score").alias("score"))
@@ -107,11 +129,43 @@ def mean_over_videos(scores: DataFrame, extra: list[str] | None = None) -> DataF
     return scores.groupBy("tiou", *extra).agg((F.avg("score") * 100).alias("s")).groupBy(*extra).agg(F.bround(F.avg("s"), 2).alias("score"))
 
 
+def _climb(cells: dict[int, list[tuple[int, float]]], n_pred: int) -> tuple[float, list[tuple[int, int]]]:
+    """Best sum over a monotone path through a table of mostly zeros, and the cells the path takes.
+
+    The table keeps one row of `n_pred` sums, and per row the columns where a step through the cell beats both
+    neighbours; only cells above 0 can, and the first one always counts. Going back, a row gives its last such
+    column that is not behind the one taken before.
+    """
+    before, takes = np.zeros(n_pred), {0: [0]}
+    for i in sorted(cells):
+        row = before.copy()
+        through = [(j, (before[j - 1] if j else 0.0) + s) for j, s in cells[i]]
+        for j, s in through:
+            row[j] = max(row[j], s)
+        row = np.maximum.accumulate(row)
+        takes.setdefault(i, []).extend(j for j, s in through if s > before[j] and (j == 0 or s > row[j - 1]) and (i or j))
+        before = row
+    path, most = [], n_pred - 1
+    for i in sorted(takes, reverse=True):
+        found = [j for j in takes[i] if j <= most]
+        if found:
+            path.append((i, max(found)))
+            most = max(found) - 1
+        if most < 0:
+            break
+    return float(before[-1]), path
+
+
 def alignment(pairs: DataFrame, counts: DataFrame, thresholds=(0.0,)) -> DataFrame:
-    """Best monotone alignment of references and predictions per video: P = best / n_pred, R = best / n_ref.
+    """Scores of the best monotone alignment of references and predictions per video, threshold and variant:
+    `variant, threshold, p, r, f1` with P = score / n_pred, R = score / n_ref.
+
+    Variants: `d` sums the overlaps of the alignment by overlap, `c` the products of the alignment by overlap
+    times text score, `a` and `b` the text scores of the cells on the path of the alignment by overlap.
 
-    `pairs`: video_id, i, j, iou, score; pairs under a threshold count 0. Only overlapping pairs are
-    passed in, at most n_ref + n_pred of them; the table keeps one row of n_pred numbers.
+    `pairs`: video_id, i, j, iou, text. Overlaps under a threshold count 0. Only overlapping pairs are passed in,
+    at most n_ref + n_pred of a video, and the first of both sides, which is always on the path. A video
+    without predictions scores 0.
     """
     ts = [float(t) for t in thresholds]
 
@@ -119,20 +173,22 @@ def alignment(pairs: DataFrame, counts: DataFrame, thresholds=(0.0,)) -> DataFra
         n_ref, n_pred = rows[0][0], rows[0][1]
         out = []
         for t in ts:
-            cells: dict[int, list] = {}
-            for _, _, i, j, overlap, score in rows:
-                if i == i and i is not None and overlap >= t:
-                    cells.setdefault(int(i), []).append((int(j), score))
-            prev = np.zeros(n_pred)
-            for i in sorted(cells):
-                row = prev.copy()
-                for j, score in cells[i]:
-                    row[j] = max(row[j], (prev[j - 1] if j > 0 else 0.0) + score)
-                prev = np.maximum.accumulate(row)
-            top = float(prev[-1]) if n_pred else 0.0
-            p, r = (top / n_pred, top / n_ref) if n_pred and n_ref else (0.0, 0.0)
-            out.append((t, p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0))
+            over, both, texts = {}, {}, {}
+            for _, _, i, j, overlap, text in rows:
+                if i is None or i != i:
+                    continue
+                i, j, text = int(i), int(j), 0.0 if text is None or text != text else text
+                texts[i, j] = text
+                if overlap >= t and overlap > 0:
+                    over.setdefault(i, []).append((j, overlap))
+                    if text > 0:
+                        both.setdefault(i, []).append((j, overlap * text))
+            top, path = _climb(over, n_pred) if n_pred else (0.0, [])
+            along = sum(texts.get(cell, 0.0) for cell in path)
+            for variant, score in (("a", along), ("b", along), ("c", _climb(both, n_pred)[0] if n_pred else 0.0), ("d", top)):
+                p, r = (score / n_pred, score / n_ref) if n_pred and n_ref else (0.0, 0.0)
+                out.append((variant, t, p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0))
         return out
 
-    rows = counts.join(pairs, "video_id", "left").select("video_id", "n_ref", "n_pred", "i", "j", "iou", "score")
-    return grouped(rows, ["video_id"], ["i", "j"], ["n_ref", "n_pred", "i", "j", "iou", "score"], best, "threshold double, p double, r double, f1 double")
+    rows = counts.join(pairs, "video_id", "left").select("video_id", "n_ref", "n_pred", "i", "j", "iou", "text")
+    return grouped(rows, ["video_id"], ["i", "j"], ["n_ref", "n_pred", "i", "j", "iou", "text"], best, "variant string, threshold double, p double, r double, f1 double")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cuewise.functions.timefmt import sec_to_hms
 from cuewise.operators.ranges import overlap_join, point_join
+from cuewise.operators.thinning import thin_gaps
 from cuewise.operators.windows import budget_window
 
 
@@ -142,6 +143,12 @@ def nearest_frame(stamps: DataFrame, frames: DataFrame, max_gap: float) -> DataF
     return near.withColumn("frame", best).withColumn("frame", F.when(F.abs(F.col("frame") / d * d - F.col("x")) <= max_gap, F.col("frame")))
 
 
+def selected_frames(hits: DataFrame, most: int = 100) -> DataFrame:
+    """Frames `(video_id, frame)` that the stamps of a video hit, each once; of more than `most`, the ends of the smallest gaps go."""
+    once_ = hits.where("frame IS NOT NULL").select("video_id", "frame").distinct()
+    return thin_gaps(once_.select("video_id", F.col("frame").alias("t")), most).select("video_id", F.col("t").cast("long").alias("frame"))
+
+
 def topic_times(topics: DataFrame, chapters: DataFrame) -> DataFrame:
     """Time of the first chapter whose title holds one of the topic's first three words
     (longer than one character); else the start of the topic's time range; else empty."""
@@ -279,10 +286,27 @@ def overlapped_chunks(durations: DataFrame, size: float, overlap: float) -> Data
     return rows.select("video_id", "chunk_no", start.alias("chunk_start"), F.least(start + size, F.col("duration").cast("double")).alias("chunk_end"))
 
 
-def rebase(rows: DataFrame, size: float, overlap: float) -> DataFrame:
-    """Rows with every chunk they fall into and their time from its start. The chunk numbers follow
-    from the time itself."""
+def rebase(rows: DataFrame, size: float, overlap: float, start: float = 0.0, end: float | None = None) -> DataFrame:
+    """The part of each row `(start_s, end_s, duration)` in every chunk that it reaches into: adds `chunk_no` and
+    `offset_s`, `offset_end_s`, seconds from the chunk's start.
+
+    The chunk numbers follow from the times. A part is kept if its time on the signal reaches into
+    `start` to `end`; chunks wholly outside are not looked at. A row without length belongs where it starts.
+    """
     step = size - overlap
     first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("start_s") - size) / step) + 1)
-    out = rows.withColumn("chunk_no", F.explode(F.sequence(first, F.floor(F.col("start_s") / step))))
-    return out.withColumn("offset_s", F.col("start_s") - F.col("chunk_no") * F.lit(step))
+    last = F.greatest(F.floor(F.col("start_s") / step), F.ceil(F.col("end_s") / step) - 1)
+    out = rows.where("start_s < duration").withColumn("chunk_no", F.explode(F.sequence(first, last)))
+    low = F.col("chunk_no") * F.lit(step)
+    high = F.least(low + size, F.col("duration").cast("double"))
+    out = out.withColumns({"_low": low, "_high": high}).withColumns({"offset_s": F.greatest(F.col("start_s"), "_low") - F.col("_low"), "offset_end_s": F.least("end_s", "_high") - F.col("_low")})
+    inside = (F.col("_low") < F.col("_high")) & (F.col("_high") > start) & (F.col("_low") + F.col("offset_end_s") > start)
+    if end is not None:
+        inside = inside & (F.col("_low") < end) & (F.col("_low") + F.col("offset_s") < end)
+    return out.where(inside).drop("_low", "_high")
+
+
+def absolute(parts: DataFrame, size: float, overlap: float) -> DataFrame:
+    """Parts `(chunk_no, offset_s, offset_end_s)` back on the time of their signal: `start_s`, `end_s`."""
+    low = F.col("chunk_no") * F.lit(size - overlap)
+    return parts.withColumns({"start_s": low + F.col("offset_s"), "end_s": low + F.col("offset_end_s")})

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewise.operators.ordered import BLOCK
+from cuewise.operators.ordered import BLOCK, fixed_blocks, scan
 from cuewise.session import checkpointed
 
 
@@ -190,21 +190,37 @@ def forced(span: float) -> Callable:
 
 
 def keyword_shift(threshold: float = 0.2) -> Callable:
-    """Rows `(keywords,)`: opens on low Jaccard with all keywords of the run so far (two empty sets
-    score 0). The state is the run's vocabulary."""
+    """Rows `(pos, n, back)`: a row's place, its number of keywords, and the places where its keywords stood last before.
+
+    Opens on low Jaccard with all keywords of the run so far (two empty sets score 0). A keyword belongs to the run
+    if its last place is not before the run's start, so the start and the number of different
+    keywords are all that is carried.
+    """
 
     def rule(state, row):
-        words = set(row[0]) if row[0] is not None else set()
-        if state is None:
-            return True, sorted(words)
-        seen = set(state)
-        union = seen | words
-        score = len(seen & words) / len(union) if union else 0.0
-        return (True, sorted(words)) if score < threshold else (False, sorted(union))
+        pos, n, back = row
+        if state is not None:
+            start, size = state
+            shared = sum(1 for p in back if p >= start)
+            if (shared / (size + n - shared) if size + n > shared else 0.0) >= threshold:
+                return False, [start, size + n - shared]
+        return True, [pos, n]
 
     return rule
 
 
+def with_last_places(rows: DataFrame, keys: list[str], pos: str, words: str) -> DataFrame:
+    """Adds `n`, the different words of a row, and `back`, the last place before it of each that has one.
+
+    `pos` is dense per group. A word's places are an ordered group of their own, cut into blocks like any other.
+    """
+    each = rows.select(*keys, pos, F.explode(F.array_distinct(words)).alias("_w"))
+    back = scan(fixed_blocks(each, pos), [*keys, "_w"], [pos], lag={"_p": pos})
+    per = back.groupBy(*keys, pos).agg(F.count("*").alias("n"), F.collect_list("_p").alias("back"))
+    none = F.array().cast(per.schema["back"].dataType)
+    return rows.join(per, [*keys, pos], "left").withColumns({"n": F.coalesce("n", F.lit(0).cast("long")), "back": F.coalesce("back", none)})
+
+
 def similar_text(threshold: float = 0.7) -> Callable:
     """Rows `(tokens,)`, the token set of a block: joins while similar to the block that opened the
     run. The state is that block's token set."""

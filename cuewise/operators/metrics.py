@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewise.operators.folds import grouped
 from cuewise.operators.ranges import overlap_join
 
 # The ten overlap thresholds, and the boundary distances in seconds.
@@ -119,20 +118,15 @@ def distance_by_video(refs: DataFrame, preds: DataFrame, distances=DISTANCES) ->
 def greedy_matching(pairs: DataFrame) -> DataFrame:
     """One-to-one pairs taken by falling overlap, ties by (i, j).
 
-    A group is one video's overlapping pairs: at most n_ref + n_pred rows.
+    A group is one video's overlapping pairs: at most n_ref + n_pred rows, sorted into one array and taken from
+    the top; what is carried is the taken pairs.
     """
-
-    def match(rows: list[tuple]) -> list[tuple]:
-        used_i, used_j, keep = set(), set(), []
-        for i, j, score in rows:
-            if i not in used_i and j not in used_j:
-                used_i.add(i)
-                used_j.add(j)
-                keep.append((i, j, score))
-        return keep
-
-    ranked = pairs.select("video_id", "i", "j", "iou", (-F.col("iou")).alias("_rank"))
-    return grouped(ranked, ["video_id"], ["_rank", "i", "j"], ["i", "j", "iou"], match, "i long, j long, iou double")
+    order = F.struct((-F.col("iou")).alias("_rank"), "i", "j", "iou")
+    ranked = pairs.groupBy("video_id").agg(F.array_sort(F.collect_list(order)).alias("_pairs"))
+    none = F.slice("_pairs", 1, 0)
+    free = lambda kept, x: ~F.exists(kept, lambda k: (k["i"] == x["i"]) | (k["j"] == x["j"]))
+    kept = F.aggregate("_pairs", none, lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    return ranked.select("video_id", F.explode(kept).alias("_k")).select("video_id", F.col("_k.i").cast("long").alias("i"), F.col("_k.j").cast("long").alias("j"), "_k.iou")
 
 
 def paired_by_rank(refs: DataFrame, preds: DataFrame) -> DataFrame:

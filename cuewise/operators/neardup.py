@@ -2,41 +2,176 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from functools import cache
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuewise.functions.blocks import alike
 from cuewise.operators.folds import fold
 from cuewise.operators.ordered import fixed_blocks
+from cuewise.session import checkpointed
 
 
-def _alike(a: str, b: str, cutoff: float) -> bool:
-    """Ratio test with its two cheap upper bounds first, which never reject a true match."""
-    m = SequenceMatcher(None, a, b)
-    return m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff and m.ratio() >= cutoff
+#: Base of the piece hashes, and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
 
 
-def dedup_step(within: float = 0.90, across: float = 0.93, most_lines: int = 80, memory: int = 5000):
-    """Rows `(window_no, line_no, text)`, whole windows in order. Inside a window of at most
-    `most_lines` lines a line like a kept one (case folded) goes; then lines like one in memory as
-    it stood before the window go. The state is the memory, capped by the rule itself, and the
-    window in progress."""
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _hashes(text: str, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each piece of `size` characters from `at` on, from one pass over the text."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points + np.uint64(1)) * _powers(_BASE, len(points)))])
+    h = (sums[at + size] - sums[at]) * _powers(_BACK, len(points))[at] + size.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+class _Cut:
+    """Where lines are cut into pieces, for one cutoff."""
+
+    def __init__(self, cutoff: float):
+        self.cutoff, self.extra = cutoff, (1 - cutoff) * 2 / cutoff
+
+    def number(self, n):
+        return np.floor(n * self.extra + 1e-9).astype(np.int64) + 1
+
+    def own(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and sizes of the pieces of a line of `n` characters."""
+        many = int(self.number(np.int64(n)))
+        ends = np.arange(many + 1) * n // many
+        return ends[:-1], np.diff(ends)
+
+    @cache
+    def sizes(self, n: int) -> np.ndarray:
+        """Sizes that a piece of any line within the band of `n` can have."""
+        low, high = max(1, int(np.ceil(n * self.cutoff / (2 - self.cutoff) - 1e-9))), int(np.floor(n * (2 - self.cutoff) / self.cutoff + 1e-9))
+        lengths = np.arange(low, high + 1)
+        many = self.number(lengths)
+        return np.unique(np.concatenate([lengths // many, -(-lengths // many)]))
+
+    def every(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Every start of a piece of every such size."""
+        sizes = [k for k in self.sizes(n).tolist() if k <= n]
+        return np.concatenate([np.arange(n - k + 1) for k in sizes]), np.repeat(sizes, [n - k + 1 for k in sizes])
+
+
+def _pieces(lines: DataFrame, keep: list[str], cut: _Cut, every: bool) -> DataFrame:
+    """`keep` columns, `n`, and of each piece of a line its start `at` and its hash `h`."""
+
+    def run(batches):
+        for b in batches:
+            found = [(t, *(cut.every if every else cut.own)(len(t))) for t in b["text"]]
+            many = [len(at) for _, at, _ in found]
+            out = b[keep].loc[b.index.repeat(many)].reset_index(drop=True)
+            none = [np.zeros(0, np.int64)]
+            yield out.assign(n=np.repeat([len(t) for t, _, _ in found], many).astype(np.int64), at=np.concatenate([at for _, at, _ in found] + none),
+                             h=np.concatenate([_hashes(t, at, size) for t, at, size in found] + none))
+
+    return lines.select(*keep, "text").mapInPandas(run, lines.select(*keep).schema.add("n", "long").add("at", "long").add("h", "long"))
+
+
+def similar_pairs(lines: DataFrame, keys: list[str], cutoff: float, before: Column) -> DataFrame:
+    """`(video_id, x, y)`: lines `y` before `x` (their `line_no`) whose block ratio with `x` reaches `cutoff`.
+
+    `lines (keys.., line_no, text)`, `line_no` and any further column whole numbers without null; `before`
+    relates the two sides, with `_x` and `_y` after the names. With a ratio of at least t, the characters of both that stand
+    outside the blocks are at most (1 - t) of all, and the longer line is at most 2 / t - 1 times the other.
+    So of one piece more than that, one piece of `y` is found whole in `x`, moved by no more than that. Pairs meet on
+    the hash of such a piece, within the length band; only then are texts joined to them, and the
+    ratio is worked out for those whose character counts allow it. No pair is lost; a cutoff must be above 2/3.
+    """
+    if cutoff <= 2 / 3:
+        raise ValueError("pieces need a cutoff above 2/3")
+    cut, rest = _Cut(cutoff), [c for c in lines.columns if c not in (*keys, "text")]
+    filled = lines.where("text <> ''")
+    side = lambda name, every: _pieces(filled, [*keys, *rest], cut, every).withColumnsRenamed({c: f"{c}_{name}" for c in (*rest, "n", "at")})
+    both = F.col("n_x") + F.col("n_y")
+    near = (2 * F.least("n_x", "n_y") >= cutoff * both - 1e-9) & (F.abs(F.col("at_x") - F.col("at_y")) <= (1 - cutoff) * both + 1e-9)
+    met = side("x", True).join(side("y", False), [*keys, "h"]).where(near & before).select("video_id", F.col("line_no_x").alias("x"), F.col("line_no_y").alias("y")).distinct()
+    text = lambda name: lines.select("video_id", F.col("line_no").alias(name), F.col("text").alias(f"t{name}"))
+    pairs = met.join(text("x"), ["video_id", "x"]).join(text("y"), ["video_id", "y"])
+
+    def run(batches):
+        for b in batches:
+            yield (b[alike(b["tx"], b["ty"], cutoff)] if len(b) else b)[["video_id", "x", "y"]]
+
+    return pairs.mapInPandas(run, met.schema)
+
+
+def repeats(pairs: DataFrame) -> DataFrame:
+    """`(video_id, line_no)` of lines that go, where a line stays unless it is like an earlier one that stays.
+
+    `pairs (video_id, x, y)`: `x` is like the earlier `y`. In each round the lines with no earlier one left
+    in question stay, whatever is like them goes, and what was like lines that went is free of these. Every
+    round settles at least the first lines of all chains; lines without any pair are never read.
+    """
+    open_ = checkpointed(pairs.distinct())
+    gone = open_.select("video_id", F.col("x").alias("line_no")).limit(0)
+    while not open_.isEmpty():
+        stay = open_.select("video_id", "y").join(open_.select("video_id", F.col("x").alias("y")), ["video_id", "y"], "left_anti").distinct()
+        out = checkpointed(open_.join(stay, ["video_id", "y"], "left_semi").select("video_id", "x").distinct())
+        gone = gone.union(out)
+        rest = open_.join(out, ["video_id", "x"], "left_anti").join(out.withColumnRenamed("x", "y"), ["video_id", "y"], "left_anti")
+        open_ = checkpointed(rest.select("video_id", "x", "y"))
+    return gone
+
+
+def dedup_lines(lines: DataFrame, within: float = 0.90, across: float = 0.93, most_lines: int | None = None, memory: int | None = None) -> DataFrame:
+    """Lines `(video_id, line_no, text, window_no)` that repeat neither their window nor the past.
+
+    Inside a window a line like one that stays (case folded) goes. Then lines go that are like a line
+    kept from an earlier window. Both are similarity joins over distinct texts, then rounds over the pairs
+    found; no window, video or memory is held. Windows of more than `most_lines` lines skip the first
+    step. With `memory`, only the last so many kept lines count: their number depends on every decision
+    before, so this form goes through each video in order and holds that many lines.
+    """
+    if memory is not None:
+        rows = fixed_blocks(lines, "line_no", 1 << 14)
+        return fold(rows, ["video_id"], ["line_no"], ["window_no", "line_no", "text"], dedup_step(within, across, most_lines, memory), "line_no long, text string")
+    lines = checkpointed(lines.select("video_id", "window_no", F.col("line_no").cast("long").alias("line_no"), "text"))
+    key = ["video_id", "window_no"]
+    small, exempt = lines, lines.limit(0)
+    if most_lines is not None:
+        size = lines.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > most_lines).select(*key)
+        small, exempt = lines.join(size, key, "left_anti"), lines.join(size, key, "left_semi")
+    first = small.groupBy(*key, F.lower("text").alias("text")).agg(F.min("line_no").alias("line_no"))
+    gone = repeats(similar_pairs(first, key, within, F.col("line_no_y") < F.col("line_no_x")))
+    left = first.select("video_id", "line_no").join(gone, ["video_id", "line_no"], "left_anti")
+    kept = checkpointed(small.join(left, ["video_id", "line_no"], "left_semi").unionByName(exempt))
+    # a text that went once goes again, and one that stayed makes its later copies go: its first window decides
+    texts = kept.groupBy("video_id", "text").agg(F.min("window_no").alias("window_no"), F.min_by("line_no", F.struct("window_no", "line_no")).alias("line_no"))
+    gone = repeats(similar_pairs(texts, ["video_id"], across, F.col("window_no_y") < F.col("window_no_x")))
+    fresh = texts.join(gone, ["video_id", "line_no"], "left_anti").select("video_id", "text", "window_no")
+    return kept.join(fresh, ["video_id", "text", "window_no"], "left_semi").select("video_id", "line_no", "text")
+
+
+def dedup_step(within: float = 0.90, across: float = 0.93, most_lines: int | None = 80, memory: int = 5000):
+    """Rows `(window_no, line_no, text)`, whole windows in order, for the form with a bounded memory. The state is
+    the last `memory` kept lines and the window in progress."""
 
     def close(state, out):
-        memory_lines, _, pending = state
-        if len(pending) <= most_lines:
+        held, _, pending = state
+        kept = pending
+        if most_lines is None or len(pending) <= most_lines:
             kept, seen = [], []
             for n, text in pending:
                 low = text.lower()
-                if not any(_alike(low, k, within) for k in seen):
+                if not alike([low] * len(seen), seen, within).any():
                     seen.append(low)
                     kept.append((n, text))
-        else:
-            kept = pending
-        fresh = [(n, text) for n, text in kept if not any(_alike(text, g, across) for g in memory_lines)]
-        out += [(n, text) for n, text in fresh]
-        return [(memory_lines + [text for _, text in fresh])[-memory:], None, []]
+        x, y = np.repeat(np.array([t for _, t in kept], object), len(held)), np.tile(np.array(held, object), len(kept))
+        old = alike(x, y, across).reshape(len(kept), len(held)).any(axis=1)
+        fresh = [(n, text) for (n, text), o in zip(kept, old) if not o]
+        out += fresh
+        return [(held + [text for _, text in fresh])[-memory:], None, []]
 
     def step(state, rows, last):
         state = state or [[], None, []]
@@ -53,12 +188,6 @@ def dedup_step(within: float = 0.90, across: float = 0.93, most_lines: int = 80,
     return step
 
 
-def dedup_lines(lines: DataFrame) -> DataFrame:
-    """Lines `(video_id, line_no, text, window_no)` that repeat neither their window nor the past."""
-    rows = fixed_blocks(lines, "line_no", 1 << 14)
-    return fold(rows, ["video_id"], ["line_no"], ["window_no", "line_no", "text"], dedup_step(), "line_no long, text string")
-
-
 def near_earlier(lines: DataFrame, edits: int) -> DataFrame:
     """Lines with an earlier line of the same video within `edits` edits.
 

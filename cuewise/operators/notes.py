@@ -10,6 +10,13 @@ from cuewise.functions.jsontext import as_list, strict_json
 from cuewise.operators.barrier import once
 
 
+# Fences around a reply, and what stands in for missing parts.
+JSON_FENCE, FENCE = r"(?s)```json\s*(.*?)\s*```", r"(?s)```\s*(.*?)\s*```"
+NO_TITLE, NO_SUMMARY = "未命名章節", "講義摘要生成中發生錯誤"
+FALLBACK_TITLE, FALLBACK_POINT, FALLBACK_SUMMARY = "講義內容（自動生成）", "系統自動提取的內容，可能不完整", "由於格式錯誤，系統自動生成了基本講義內容"
+EMPTY_TITLE, EMPTY_CONTENT, EMPTY_POINT = "講義內容", "無法生成完整講義內容", "請參考課程錄影"
+
+
 def read_notes(replies: DataFrame, key: str, text: str) -> DataFrame:
     """Sections `(key, mode, pos, title, content, points, examples, summary)` of a notes reply; never empty.
 
@@ -18,7 +25,7 @@ def read_notes(replies: DataFrame, key: str, text: str) -> DataFrame:
     fallback: the first 5000 characters as one section when there is no JSON object.
     """
     raw = F.trim("_raw")
-    tagged, fenced = F.regexp_extract(raw, r"(?s)```json\s*(.*?)\s*```", 1), F.regexp_extract(raw, r"(?s)```\s*(.*?)\s*```", 1)
+    tagged, fenced = F.regexp_extract(raw, JSON_FENCE, 1), F.regexp_extract(raw, FENCE, 1)
     blob = F.when(tagged != "", tagged).when(raw.contains("```") & ~raw.contains("```json") & (fenced != ""), fenced).otherwise(raw)
     rows = once(replies.select(key, F.col(text).alias("_raw")), _v=strict_json(blob))
     v = F.col("_v")
@@ -40,17 +47,17 @@ def read_notes(replies: DataFrame, key: str, text: str) -> DataFrame:
     most = F.when(F.col("mode") == "valid", 20).otherwise(10)
     shown = F.filter(F.slice("_sections", F.lit(1), most), lambda s: F.schema_of_variant(s).startswith("OBJECT"))
     section = lambda s: F.struct(
-        F.when(F.col("mode") == "valid", F.trim(item(s, "$.title"))).otherwise(F.substring(F.coalesce(item(s, "$.title"), F.lit("未命名章節")), 1, 300)).alias("title"),
+        F.when(F.col("mode") == "valid", F.trim(item(s, "$.title"))).otherwise(F.substring(F.coalesce(item(s, "$.title"), F.lit(NO_TITLE)), 1, 300)).alias("title"),
         F.when(F.col("mode") == "valid", F.trim(item(s, "$.content"))).otherwise(F.substring(F.coalesce(item(s, "$.content"), F.lit("")), 1, 10000)).alias("content"),
         F.slice(clean(as_list(item(s, "$.key_points", "variant"))), 1, 10).alias("points"), F.slice(clean(as_list(item(s, "$.examples", "variant"))), 1, 5).alias("examples"))
     none = F.array().cast("array<string>")
     single = lambda title, content, points: F.array(F.struct(F.lit(title).alias("title"), content.alias("content"), points.alias("points"), none.alias("examples")))
     kept = F.filter(F.transform(shown, section), lambda s: (s["title"] != "") | (s["content"] != ""))
-    fallback = single("講義內容（自動生成）", F.substring("_raw", 1, 5000), F.array(F.lit("系統自動提取的內容，可能不完整")))
-    empty = single("講義內容", F.lit("無法生成完整講義內容"), F.array(F.lit("請參考課程錄影")))
+    fallback = single(FALLBACK_TITLE, F.substring("_raw", 1, 5000), F.array(F.lit(FALLBACK_POINT)))
+    empty = single(EMPTY_TITLE, F.lit(EMPTY_CONTENT), F.array(F.lit(EMPTY_POINT)))
     sections = F.when(F.col("mode") == "fallback", fallback).when(F.coalesce(F.size(kept), F.lit(0)) > 0, kept).otherwise(empty)
-    summary = (F.when(F.col("mode") == "fallback", "由於格式錯誤，系統自動生成了基本講義內容").when(F.col("mode") == "valid", F.trim("_sum")).otherwise(F.substring(F.coalesce("_sum", F.lit("")), 1, 1000)))
-    out = rows.select(key, "mode", F.when(summary == "", "講義摘要生成中發生錯誤").otherwise(summary).alias("summary"), F.posexplode(sections).alias("pos", "s"))
+    summary = (F.when(F.col("mode") == "fallback", FALLBACK_SUMMARY).when(F.col("mode") == "valid", F.trim("_sum")).otherwise(F.substring(F.coalesce("_sum", F.lit("")), 1, 1000)))
+    out = rows.select(key, "mode", F.when(summary == "", NO_SUMMARY).otherwise(summary).alias("summary"), F.posexplode(sections).alias("pos", "s"))
     return out.select(key, "mode", "pos", "s.*", "summary")
 
 
@@ -94,9 +101,13 @@ def labelled_summary(text: Column) -> dict[str, Column]:
     return {name: value(label) for name, label in SUMMARY_LABELS.items()}
 
 
+# Fixed value: bullets and numbers in front of a takeaway.
+BULLETS = r"^[\s•\-*\d\.\)]+"
+
+
 def takeaways(text: Column) -> Column:
     """Bulleted lines without their bullets and numbers."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^[\s•\-*\d\.\)]+", "")))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), BULLETS, "")))
     return F.filter(lines, lambda x: x != "")
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BLOCK = "_b"
 #: Rows of one group above which the group is cut into blocks.
 TARGET_ROWS = 1 << 20
+#: Blocks of one group at most, and rows drawn per block to find its cuts.
+MOST_BLOCKS, SAMPLES = 1 << 12, 64
 
 
 def fixed_blocks(df: DataFrame, position: str, width: int = 1 << 16) -> DataFrame:
@@ -21,24 +23,26 @@ def fixed_blocks(df: DataFrame, position: str, width: int = 1 << 16) -> DataFram
     return df.withColumn(BLOCK, F.floor(F.col(position) / width))
 
 
-def density_blocks(df: DataFrame, keys: list[str], order: str, target: int = TARGET_ROWS) -> DataFrame:
-    """Blocks for a numeric order column of unknown density, about `target` rows each.
+def density_blocks(df: DataFrame, keys: list[str], order: str, target: int = TARGET_ROWS, tie: str | None = None) -> DataFrame:
+    """Blocks of about `target` rows each, by rank on `order` and, among equal values, on `tie`.
 
-    Only groups above `target` rows get an entry in the broadcast table, so it
-    has at most rows/target entries.
+    Groups above `target` rows are cut at ranks of a sample drawn by a hash of the row's own order, about `SAMPLES` rows a
+    block, so a rerun cuts alike; without `tie`, equal values stay in one block. A group has at most `MOST_BLOCKS`
+    blocks, and its cuts travel in a broadcast table of at most rows / target entries in all. Other groups are one block.
     """
-    long_groups = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-        .where(F.col("_n") > target)
-        .withColumn("_k", F.ceil(F.col("_n") / F.lit(target)))
-    )
-    position = (F.col(order) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0).cast("double"))
-    return (
-        df.join(F.broadcast(long_groups), keys, "left")
-        .withColumn(BLOCK, F.coalesce(F.least(F.floor(position * F.col("_k")), F.col("_k") - 1), F.lit(0)))
-        .drop("_n", "_lo", "_hi", "_k")
-    )
+    by = [order] if tie is None else [order, tie]
+    at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(by)])
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target)
+    rows = F.greatest(F.lit(target), F.ceil(F.col("_n") / MOST_BLOCKS))
+    rate = F.greatest(F.lit(1).cast("long"), F.floor(rows / SAMPLES))
+    sizes = sizes.select(*keys, rate.alias("_rate"), F.floor(rows / rate).alias("_every"))
+    drawn = df.select(*dict.fromkeys([*keys, *by])).join(F.broadcast(sizes), keys).where(F.pmod(F.xxhash64(*by), F.col("_rate")) == 0)
+    cuts = drawn.groupBy(*keys, "_every").agg(F.array_sort(F.collect_list(at)).alias("_all"))
+    cuts = cuts.select(*keys, F.array_distinct(F.filter("_all", lambda x, i: (i > 0) & (i % F.col("_every") == 0))).alias("_cuts"))
+    # number of cuts up to the row, by halving
+    steps = F.array(*[F.lit(MOST_BLOCKS >> k) for k in range(MOST_BLOCKS.bit_length())])
+    found = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(F.col("_cuts"), n + step - 1) <= at, n + step).otherwise(n))
+    return df.join(F.broadcast(cuts), keys, "left").withColumn(BLOCK, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(found)).drop("_cuts")
 
 
 def scan(

@@ -36,7 +36,7 @@ def chunk_chapters(hits: DataFrame, most: int = 600, carry: int = 50) -> DataFra
 
     big = rows.where(F.col("tok") > most).withColumn("text", tx.strip(F.col("text"))).where("text <> ''").withColumn("k", tx.chunk_tokens(F.col("text")))
     cols = ["line_no", "k", "start_s", "text", "first_s", "last_e"]
-    parts = fo.fold(density_blocks(big, key, "start_s"), key, ["start_s", "line_no"], cols, fo.chunk_step(most, carry),
+    parts = fo.fold(density_blocks(big, key, "start_s", tie="line_no"), key, ["start_s", "line_no"], cols, fo.chunk_step(most, carry),
                     "line_no long, chunk_index long, carried boolean, start_s double, text string, first_s double, last_e double")
     chunks = parts.groupBy(*key, "chunk_index", "first_s", "last_e").agg(
         joined_text(["start_s", "line_no"], "text", " ").alias("text"), F.min(F.when(~F.col("carried"), F.col("start_s"))).alias("own"))

@@ -30,10 +30,14 @@ def limit_tokens(df: DataFrame, key: str, text: str, cap: int = 5) -> DataFrame:
     return kept.groupBy(key).agg(F.concat_ws(" ", F.transform(ordered, lambda x: x["tok"])).alias("text"))
 
 
+# Fixed value: lines that are nothing but a speaker label.
+SPEAKER_LINE = "^(新竹小幫手|老師|助教)$"
+
+
 def informative_sample(lines: DataFrame, most: int) -> DataFrame:
     """Informative blocks (40 characters, no stop phrase), all when none is; every step-th, `most` at most."""
     t = tx.strip(F.col("text"))
-    rows = lines.withColumn("_good", (F.length(t) >= 40) & ~t.rlike("^(新竹小幫手|老師|助教)$"))
+    rows = lines.withColumn("_good", (F.length(t) >= 40) & ~t.rlike(SPEAKER_LINE))
     n = rows.groupBy("video_id").agg(F.count_if("_good").alias("_g"), F.count(F.lit(1)).alias("_a"))
     rows = rows.join(n, "video_id").where(F.col("_good") | (F.col("_g") == 0))
     rows = scan(fixed_blocks(rows, "line_no"), ["video_id"], ["line_no"], number="_r").drop(BLOCK)
@@ -59,6 +63,7 @@ def relevance_filter(blocks: DataFrame, floor: float = 0.12, refill: int = 0, le
     return rows.where(F.col("_ok") | added | (after < least)).drop("_ok", "_out", "_k", "_all", "_rank")
 
 
+# Topics that fill up a short list.
 PAD_TOPICS = ["chart", "graph", "diagram", "code editor", "terminal", "equation", "table"]
 
 
@@ -135,7 +140,7 @@ def interleave(streams: list[tuple[str, DataFrame]], drop_image_frames: bool = F
         if drop_image_frames and prefix.startswith("Frame"):
             part = part.where(~F.col("line").contains("image"))
         rows = part if rows is None else rows.unionByName(part)
-    return scan(density_blocks(rows, ["video_id"], "sec"), ["video_id"], ["sec", "rank", "pos"], number="place").drop(BLOCK)
+    return scan(density_blocks(rows, ["video_id"], "sec", tie="rank"), ["video_id"], ["sec", "rank", "pos"], number="place").drop(BLOCK)
 
 
 def stacked(sections: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +35,37 @@ def profile(sims: DataFrame, threshold: float) -> DataFrame:
         *[F.count_if((s >= lo) & (s < hi)).alias(f"h{i}") for i, (lo, hi) in enumerate(BINS)])
 
 
-def mean_pool(vecs: DataFrame) -> DataFrame:
-    """Mean vector per video; null when dimensions differ. Sums are combined before the shuffle and
-    only one row per dimension is gathered."""
-    ok = vecs.where(F.col("vec").isNotNull() & (F.size("vec") > 0))
-    dims = ok.groupBy("video_id").agg(F.min(F.size("vec")).alias("_a"), F.max(F.size("vec")).alias("_b"))
-    means = ok.select("video_id", F.posexplode("vec").alias("i", "x")).groupBy("video_id", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda r: r["m"])
-    return means.groupBy("video_id").agg(ordered.alias("vec")).join(dims, "video_id").select("video_id", F.when(F.col("_a") == F.col("_b"), F.col("vec")).alias("vec"))
+def mean_pool(vecs: DataFrame, held: int = 1024) -> DataFrame:
+    """Mean vector per video; null when dimensions differ.
+
+    A task adds up the vectors of each video, of at most `held` videos at a time, so a row that is shuffled is
+    a sum of many vectors; the sums of one video, one per task at most, are added by element.
+    """
+    ok = vecs.where(F.col("vec").isNotNull() & (F.size("vec") > 0)).select("video_id", F.col("vec").cast("array<double>").alias("vec"))
+
+    def add(batches):
+        sums: dict = {}
+
+        def out():
+            keys = list(sums)
+            rows = pd.DataFrame({"video_id": [k[0] for k in keys], "n": [sums[k][0] for k in keys], "total": [sums[k][1] for k in keys]})
+            sums.clear()
+            return rows
+
+        for b in batches:
+            for video, vec in zip(b["video_id"], b["vec"]):
+                n, total = sums.get((video, len(vec)), (0, 0.0))
+                sums[video, len(vec)] = (n + 1, total + vec)
+                if len(sums) > held:
+                    yield out()
+        if sums:
+            yield out()
+
+    parts = ok.mapInPandas(add, f"video_id {dict(vecs.dtypes)['video_id']}, n long, total array<double>")
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    both = parts.groupBy("video_id").agg(F.sum("n").alias("n"), F.collect_list("total").alias("t"), F.min(F.size("total")).alias("a"), F.max(F.size("total")).alias("b"))
+    total = F.aggregate(F.slice("t", F.lit(2), F.size("t")), F.col("t")[0], plus)
+    return both.select("video_id", F.when(F.col("a") == F.col("b"), F.transform(total, lambda x: x / F.col("n"))).alias("vec"))
 
 
 def top_labels(vecs: DataFrame, labels: DataFrame, k: int, per_group: int = 256) -> DataFrame:
@@ -51,9 +76,9 @@ def top_labels(vecs: DataFrame, labels: DataFrame, k: int, per_group: int = 256)
     so the shuffled or broadcast side is bounded per row whatever the number of labels.
     """
     numbered = labels.select("label", unit(F.col("vec")).alias("u")).where("u IS NOT NULL")
-    n_groups = numbered.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(per_group))).cast("int").alias("n")).first()["n"]
-    packed = numbered.groupBy(F.pmod(F.xxhash64("label"), F.lit(n_groups)).cast("int").alias("_g")).agg(F.collect_list(F.struct("label", "u")).alias("_labels"))
-    rows = vecs.select("video_id", "vec_id", unit(F.col("vec")).alias("v")).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+    n_groups = numbered.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(per_group))).cast("int").alias("n")).scalar()
+    packed = numbered.groupBy(F.pmod(F.xxhash64("label"), n_groups).cast("int").alias("_g")).agg(F.collect_list(F.struct("label", "u")).alias("_labels"))
+    rows = vecs.select("video_id", "vec_id", unit(F.col("vec")).alias("v")).withColumn("_g", F.explode(F.sequence(F.lit(0), n_groups - 1)))
     scored = rows.join(packed, "_g").select("video_id", "vec_id", F.slice(F.array_sort(F.transform("_labels", lambda t: F.struct((-dot(F.col("v"), t["u"])).alias("neg"), t["label"].alias("label")))), 1, k).alias("best"))
     flat = scored.select("video_id", "vec_id", F.explode("best").alias("b"))
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("b.neg", "b.label"))
@@ -93,31 +118,58 @@ def hysteresis_blocks(bins: DataFrame, threshold: float = 0.78, margin: float =
 
 
 def module_step(threshold: float = 0.83, gap: float = 10.0):
-    """Rows `(pos, start, end, vec)`: `(pos, module)`. Joins the module before when similar to its mean
-    vector or close in time. The state is the module's start position, end, vector sum and size."""
+    """Rows `(pos, start, end, last_bin, vec)`: `(pos, module)`. Joins the module before when similar to the sum of its
+    vectors or close in time to its last bin's end. The state is the module's opener, last bin, its end and the vector sum."""
 
     def step(state, rows, last):
         out = []
-        for pos, start, end, vec in rows:
-            v = [float(x) for x in vec]
+        for pos, start, end, top, vec in rows:
+            v = np.asarray([] if vec is None else vec, float)
             if state is not None:
-                opener, until, total, n = state
-                d = sum(a * b for a, b in zip(total, v))
-                norm = (sum(a * a for a in total) ** 0.5) * (sum(b * b for b in v) ** 0.5)
-                if (d / norm if norm else 0.0) >= threshold or start - until <= gap:
-                    state = [opener, end, [a + b for a, b in zip(total, v)], n + 1]
+                opener, held, until, total = state
+                total = np.asarray(total, float)
+                known = len(v) > 0 and len(v) == len(total)
+                norm = np.sqrt(total @ total) * np.sqrt(v @ v) if known else 0.0
+                if (total @ v / norm if norm else 0.0) >= threshold or start - until <= gap:
+                    total = total + v if known else total if len(total) else v
+                    state = [opener, max(held, top), end if top >= held else until, total]
                     out.append((pos, opener))
                     continue
-            state = [pos, end, v, 1]
+            state = [pos, top, end, v]
             out.append((pos, pos))
+        if last or not rows:
+            state = state and [*state[:3], np.asarray(state[3]).tolist()]
         return out, state
 
     return step
 
 
+# Title of a module without one, and what stands between joined summaries.
+NO_TITLE, BETWEEN = "模組", "；"
+
+
 def merge_modules(modules: DataFrame, threshold: float = 0.83, gap: float = 10.0) -> DataFrame:
-    """Neighbouring modules joined by similarity or nearness in time: `(video_id, pos, module)`."""
-    return fold(fixed_blocks(modules, "pos"), ["video_id"], ["pos"], ["pos", "start_s", "end_s", "vec"], module_step(threshold, gap), "pos long, module long")
+    """Neighbouring modules `(video_id, pos, start_s, end_s, vec, title, summary, bins)` joined by similarity or
+    nearness in time: `video_id, module, start_s, end_s, n, title, summary, bins`.
+
+    Only the labels need the order of the rows: the running state holds one vector sum. Everything else is an
+    aggregate per module. The title is the shortest, the earliest of equally short ones; where the first row has none it
+    counts as `模組`. A summary is added unless the text so far holds it. Bins are united.
+    """
+    rows = modules.withColumn("last_bin", F.array_max("bins"))
+    labels = fold(fixed_blocks(rows, "pos"), ["video_id"], ["pos"], ["pos", "start_s", "end_s", "last_bin", "vec"], module_step(threshold, gap), "pos long, module long")
+    own = rows.drop("vec").join(labels, ["video_id", "pos"])
+    text = lambda c: tx.strip(F.coalesce(c, F.lit("")))
+    title = F.when(text(F.col("title")) != "", text(F.col("title"))).when(F.col("pos") == F.col("module"), F.lit(NO_TITLE))
+    own = own.withColumn("title", title)
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("pos", text(F.col("summary")).alias("s")))), lambda x: x["s"])
+    both = own.groupBy("video_id", "module").agg(
+        F.min_by("start_s", "pos").alias("start_s"), F.max_by("end_s", F.struct("last_bin", "pos")).alias("end_s"), F.count("*").alias("n"),
+        F.min_by("title", F.when(F.col("title").isNotNull(), F.struct(F.length("title").alias("k"), "pos"))).alias("title"),
+        parts.alias("_parts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("bins")))).alias("bins"))
+    joined = F.aggregate(F.slice("_parts", F.lit(2), F.size("_parts")), F.col("_parts")[0],
+                         lambda all_, s: F.when((s != "") & ~F.contains(all_, s), F.btrim(F.concat(all_, F.lit(BETWEEN), s), F.lit(BETWEEN))).otherwise(all_))
+    return both.select("video_id", "module", "start_s", "end_s", "n", "title", joined.alias("summary"), "bins")
 
 
 def select_tokens(matrix: Column, strategy: str) -> Column:

@@ -68,7 +68,7 @@ def interval_union(intervals: DataFrame, total: Column | None = None, slack: flo
 def merge_touching(rows: DataFrame, gap: float) -> DataFrame:
     """Islands of intervals whose start is at most `gap` after all earlier ends."""
     order = ["start_s", "end_s", "event_id"]
-    peaks = scan(density_blocks(rows, ["video_id"], "start_s"), ["video_id"], order, peak_before={"_p": "end_s"})
+    peaks = scan(density_blocks(rows, ["video_id"], "start_s", tie="end_s"), ["video_id"], order, peak_before={"_p": "end_s"})
     flagged = peaks.withColumn("_new", F.when(F.col("_p").isNull() | (F.col("start_s") > F.col("_p") + gap), 1).otherwise(0))
     groups = scan(flagged, ["video_id"], order, total={"_g": "_new"})
     return groups.groupBy("video_id", F.col("_g").alias("grp")).agg(
@@ -82,7 +82,7 @@ def sessions(rows: DataFrame, gap: float, cap: int | None = None) -> DataFrame:
     other sessions never change, so that keeps the cap-1 widest splits (the later one on ties).
     """
     order = ["start_s", "event_id"]
-    steps = scan(density_blocks(rows, ["video_id"], "start_s"), ["video_id"], order, lag={"_prev": "start_s"})
+    steps = scan(density_blocks(rows, ["video_id"], "start_s", tie="event_id"), ["video_id"], order, lag={"_prev": "start_s"})
     steps = steps.withColumn("_gap", F.col("start_s") - F.col("_prev")).withColumn("_split", F.coalesce(F.col("_gap") > gap, F.lit(False)))
     if cap is not None:
         splits = steps.where("_split").select("video_id", "start_s", "event_id", "_gap")

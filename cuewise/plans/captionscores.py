@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from cuewise.functions import text as tx
 from cuewise.functions import timefmt as tf
@@ -14,9 +10,10 @@ from cuewise.operators import captions as ca
 from cuewise.operators import chapters as ch
 from cuewise.functions.timefmt import sec_to_hms
 from cuewise.operators import metrics as me
+from cuewise.operators.lexicon import snap
 from cuewise.operators.ordered import density_blocks, scan
 from cuewise.plans.registry import query
-from cuewise.plans.scoring import sides
+from cuewise.plans.scoring import SEGS_SQL, sides
 from cuewise.plans.timebase import HMS_SQL, TOK_SQL
 from cuewise.plans.timed_joins import IOU_SQL, raw_sides
 
@@ -54,7 +51,12 @@ def a23_bleu(t):
     return ca.mean_over_videos(ca.bleu(title_pairs(t)), ["n"])
 
 
-@query("a23_rouge_l")
+@query("a23_rouge_l", "ref pred", f"""WITH {PAIR_SQL},
+u AS (SELECT DISTINCT pw, rw FROM pr),
+lc AS (SELECT pw, rw, list_reduce(list_concat([list_transform(range(len(rw) + 1), lambda j: 0::BIGINT)], list_transform(range(1, len(pw) + 1), lambda i: [i])), lambda prev, e:
+  list_reduce(list_concat([[0::BIGINT]], list_transform(range(1, len(rw) + 1), lambda j: [j])), lambda acc, f: list_append(acc, CASE WHEN rw[f[1]] = pw[e[1]] THEN prev[f[1]] + 1 ELSE greatest(prev[f[1] + 1], acc[len(acc)]) END)))[len(rw) + 1] AS hit FROM u),
+sc AS (SELECT tiou, video_id, CASE WHEN hit > 0 THEN (1 + 1.2::DOUBLE * 1.2) * (hit / len(pr.pw)::DOUBLE) * (hit / len(pr.rw)::DOUBLE) / (hit / len(pr.rw)::DOUBLE + 1.2::DOUBLE * 1.2 * (hit / len(pr.pw)::DOUBLE)) ELSE 0 END AS s FROM pr JOIN lc ON pr.pw = lc.pw AND pr.rw = lc.rw)
+SELECT round_even(avg(x), 2) AS score FROM (SELECT tiou, avg(v) * 100 AS x FROM (SELECT tiou, video_id, avg(s) AS v FROM sc GROUP BY 1, 2) GROUP BY 1)""")
 def a23_rouge(t):
     return ca.mean_over_videos(ca.rouge_l(title_pairs(t)))
 
@@ -69,51 +71,83 @@ def a23_cider(t):
     return ca.mean_over_videos(ca.cider(title_pairs(t)))
 
 
-@query("a22_alignment_score")
+GRID_SQL = f"""{SEGS_SQL},
+wd AS (SELECT 'r' AS side, video_id, start_s, list_distinct(string_split(title, ' ')) AS w FROM ref UNION ALL SELECT 'p', video_id, start_s, list_distinct(string_split(title, ' ')) FROM pred),
+tx AS (SELECT p.*, coalesce(len(list_intersect(r.w, q.w)) / nullif(len(list_distinct(r.w || q.w)), 0)::DOUBLE, 0) AS text FROM pairs p LEFT JOIN wd r ON r.side = 'r' AND r.video_id = p.video_id AND r.start_s = p.rs LEFT JOIN wd q ON q.side = 'p' AND q.video_id = p.video_id AND q.start_s = p.ps),
+thr AS (SELECT unnest([0.0, 0.3, 0.5])::DOUBLE AS t),
+gr AS (SELECT video_id, n_ref, n_pred, t, i, list(CASE WHEN iou >= t THEN iou ELSE 0 END ORDER BY j) AS s, list(coalesce(text, 0) ORDER BY j) AS x FROM (
+  SELECT c.*, thr.t, gi.i, gj.j, coalesce(tx.iou, 0) AS iou, tx.text FROM cnt c, thr, LATERAL (SELECT unnest(range(n_ref)) AS i) gi, LATERAL (SELECT unnest(range(n_pred)) AS j) gj
+  LEFT JOIN tx ON tx.video_id = c.video_id AND tx.i = gi.i AND tx.j = gj.j WHERE n_ref > 0) GROUP BY ALL),
+kd AS (SELECT gr.* REPLACE (CASE WHEN kind = 'mix' THEN list_transform(list_zip(s, x), lambda z: z[1] * z[2]) ELSE s END AS s), kind FROM gr, (SELECT unnest(['iou', 'mix']) AS kind)),
+f AS (
+  SELECT video_id, t, kind, -1::BIGINT AS i, []::DOUBLE[] AS before, []::DOUBLE[] AS now, []::DOUBLE[] AS s FROM (SELECT DISTINCT video_id, t, kind FROM kd)
+  UNION ALL SELECT k.video_id, k.t, k.kind, k.i, f.now, list_reduce(list_transform(range(1, k.n_pred + 1), lambda j: [j::DOUBLE]), lambda acc, e: list_append(acc, greatest(coalesce(f.now[e[1]::BIGINT], -1), coalesce(acc[e[1]::BIGINT - 1], -1),
+    k.s[e[1]::BIGINT] + CASE WHEN e[1] > 1 THEN coalesce(f.now[e[1]::BIGINT - 1], 0) ELSE 0 END)), []::DOUBLE[]), k.s
+  FROM f JOIN kd k ON k.video_id = f.video_id AND k.t = f.t AND k.kind = f.kind AND k.i = f.i + 1),
+tk AS (SELECT f.video_id, f.t, f.i, n_ref, n_pred, x, list_filter(range(1, n_pred + 1), lambda j: f.s[j] + CASE WHEN j > 1 THEN coalesce(before[j - 1], 0) ELSE 0 END > greatest(coalesce(before[j], -1), coalesce(now[j - 1], -1))) AS take
+  FROM f JOIN gr USING (video_id, t, i) WHERE kind = 'iou'),
+bk AS (
+  SELECT video_id, t, max(n_ref) - 1 AS i, max(n_pred) AS j, 0.0::DOUBLE AS total FROM tk GROUP BY 1, 2
+  UNION ALL SELECT video_id, t, i - 1, CASE WHEN p IS NULL THEN j ELSE p - 1 END, total + CASE WHEN p IS NULL THEN 0 ELSE x[p] END
+  FROM (SELECT bk.*, x, list_max(list_filter(take, lambda c: c <= bk.j)) AS p FROM bk JOIN tk ON tk.video_id = bk.video_id AND tk.t = bk.t AND tk.i = bk.i WHERE bk.i >= 0 AND bk.j > 0)),
+sc AS (SELECT video_id, t, unnest(['a', 'b']) AS variant, max(total) AS score FROM bk GROUP BY 1, 2
+  UNION ALL SELECT video_id, t, CASE kind WHEN 'iou' THEN 'd' ELSE 'c' END, max(now[len(now)]) FROM f GROUP BY video_id, t, kind),
+al AS (SELECT variant, t, n_ref, n_pred, coalesce(score, 0) AS score FROM cnt CROSS JOIN thr CROSS JOIN (SELECT unnest(['a', 'b', 'c', 'd']) AS variant) LEFT JOIN sc USING (video_id, t, variant) WHERE n_ref > 0)
+"""
+
+
+@query("a22_alignment_score", "ref pred", f"""WITH RECURSIVE {GRID_SQL}
+SELECT variant, t AS threshold, round_even(avg(p) * 100, 2) AS p, round_even(avg(r) * 100, 2) AS r, round_even(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) * 100, 2) AS f1
+FROM (SELECT variant, t, CASE WHEN n_pred > 0 THEN score / n_pred ELSE 0 END AS p, CASE WHEN n_pred > 0 THEN score / n_ref ELSE 0 END AS r FROM al) GROUP BY 1, 2""")
 def a22(t):
-    """IoU alone, and IoU times title similarity; thresholds 0, 0.3, 0.5. A reference video without prediction
-    scores 0. Tested on hand-made grids."""
+    """All four variants at thresholds 0, 0.3 and 0.5; the text score is the share of title words in common."""
     r, p = sides(t)
-    pairs = me.iou_pairs(r, p)
     counts = me.side_counts(r, p).where("n_ref > 0")
-    plain = ca.alignment(pairs.withColumn("score", F.col("iou")), counts, (0.0, 0.3, 0.5)).select(F.lit("iou").alias("variant"), "*")
-    titles = lambda df, k: df.select("video_id", F.col("start_s").cast("double").alias(f"{k}s"), F.array_distinct(ca.caption_tokens(F.col("title"))).alias(f"{k}w"))
-    named = pairs.join(titles(t.ref, "r"), ["video_id", "rs"], "left").join(titles(t.pred, "p"), ["video_id", "ps"], "left")
+    titles = lambda df, k: df.select("video_id", F.col("start_s").cast("double").alias(f"{k}s"), F.array_distinct(F.split("title", " ")).alias(f"{k}w"))
+    named = me.iou_pairs(r, p).join(titles(t.ref, "r"), ["video_id", "rs"], "left").join(titles(t.pred, "p"), ["video_id", "ps"], "left")
     empty = F.array().cast("array<string>")
-    score = F.col("iou") * tx.jaccard(F.coalesce("rw", empty), F.coalesce("pw", empty))
-    text = ca.alignment(named.withColumn("score", score), counts, (0.0, 0.3, 0.5)).select(F.lit("iou_text").alias("variant"), "*")
-    return plain.unionByName(text).groupBy("variant", "threshold").agg(*[F.bround(F.avg(c) * 100, 2).alias(c) for c in ("p", "r", "f1")])
+    scored = named.withColumn("text", tx.jaccard(F.coalesce("rw", empty), F.coalesce("pw", empty)))
+    return ca.alignment(scored, counts, (0.0, 0.3, 0.5)).groupBy("variant", "threshold").agg(*[F.bround(F.avg(c) * 100, 2).alias(c) for c in ("p", "r", "f1")])
 
 
 # Terms a misread word is snapped to.
 TERMS = ["Jupyter", "Anaconda", "Google", "Python", "Assistant", "Untitled", "Login", "Distribution", "Manage", "Trusted", "Packages", "Environments", "Navigator", "Colab", "Drive"]
 
 
-@F.pandas_udf(StringType())
-def snap(words: pd.Series) -> pd.Series:
-    """Closest term at a similarity ratio of 0.82, else the word; each distinct word is looked up once per batch."""
-    found = {w: (difflib.get_close_matches(w, TERMS, n=1, cutoff=0.82) or [w])[0] for w in words.dropna().unique()}
-    return words.map(found)
-
-
-def may_snap(word):
-    """Words that can reach the ratio of some term. Matching blocks form a common subsequence, so the
-    edit distance of a hit is at most 0.18 of both lengths together; other words skip Python."""
-    near = F.lit(False)
-    for term in TERMS:
-        room = 0.18 * (F.length(word) + len(term))
-        edits = F.levenshtein(word, F.lit(term), int(0.18 * 2.5 * len(term)) + 1)
-        near = near | ((edits >= 0) & (edits <= room))
-    return near & (tx.ascii_letter_ratio(word) >= 0.7)
-
-
-@query("x15_lexicon_snap")
+TERMS_SQL = "[" + ", ".join(f"'{t}'" for t in TERMS) + "]"
+
+
+def misread(t):
+    """Distinct words; one in nine is a term with a letter left out, and every second of these gets the word's own first letter at its end."""
+    words = t.documents.select(F.explode(tx.tokens(F.col("text"))).alias("w"))
+    at = lambda i: F.conv(F.substring(F.md5("w"), i, 6), 16, 10).cast("int")
+    term = F.get(F.array(*[F.lit(x) for x in TERMS]), at(7) % len(TERMS))
+    hole = at(13) % F.length(term)
+    cut = F.concat(F.substring(term, F.lit(1), hole), F.substring(term, hole + 2, F.length(term)), F.when(at(19) % 2 == 0, F.substring("w", 1, 1)).otherwise(""))
+    return words.select(F.when(at(1) % 9 == 0, cut).otherwise(F.col("w")).alias("w")).distinct()
+
+
+@query("x15_lexicon_snap", "", f"""WITH RECURSIVE
+w0 AS (SELECT unnest(list_filter(regexp_split_to_array(text, '[\\s\\p{{Z}}\\x0b\\x85]+'), lambda x: x <> '')) AS w FROM documents),
+w1 AS (SELECT w, ('0x' || substr(md5(w), 1, 6))::INT AS h1, {TERMS_SQL}[('0x' || substr(md5(w), 7, 6))::INT % {len(TERMS)} + 1] AS term, ('0x' || substr(md5(w), 13, 6))::INT AS h3, ('0x' || substr(md5(w), 19, 6))::INT AS h4 FROM w0),
+w2 AS (SELECT DISTINCT CASE WHEN h1 % 9 = 0 THEN substr(term, 1, h3 % length(term)) || substr(term, h3 % length(term) + 2) || CASE WHEN h4 % 2 = 0 THEN substr(w, 1, 1) ELSE '' END ELSE w END AS w FROM w1),
+lat AS (SELECT w FROM w2 WHERE length(regexp_replace(w, '[^A-Za-z]', '', 'g')) >= 0.7::DOUBLE * length(regexp_replace(w, '[^\\p{{L}}]', '', 'g')) AND regexp_matches(w, '\\p{{L}}')),
+p0 AS (SELECT w, t AS a, length(t) AS na, length(w) AS nb FROM lat, (SELECT unnest({TERMS_SQL}) AS t)),
+p AS (SELECT * FROM p0 WHERE 2 * least(na, nb) >= 0.82::DOUBLE * (na + nb) - 1e-9
+  AND 2 * list_sum(list_transform(list_distinct(string_split(a, '')), lambda c: least(na - length(replace(a, c, '')), nb - length(replace(w, c, ''))))) >= 0.82::DOUBLE * (na + nb) - 1e-9),
+r AS (
+  SELECT w, a, 0 AS alo, na AS ahi, 0 AS blo, nb AS bhi, 0 AS k FROM p
+  UNION ALL
+  SELECT w, a, CASE WHEN side = 1 THEN alo ELSE i + n END, CASE WHEN side = 1 THEN i ELSE ahi END, CASE WHEN side = 1 THEN blo ELSE j + n END, CASE WHEN side = 1 THEN j ELSE bhi END, CASE WHEN side = 1 THEN n ELSE 0 END
+  FROM (SELECT *, code_n AS n, (code_n * 1000000 - code) // 1000 AS i, (code_n * 1000000 - code) % 1000 AS j FROM (SELECT *, (code + 999999) // 1000000 AS code_n FROM (
+    SELECT r.*, list_max(list_concat([0], flatten(list_transform(range(alo, ahi), lambda x: list_transform(range(blo, bhi), lambda y:
+      len(list_filter(range(1, least(ahi - x, bhi - y) + 1), lambda z: substr(a, x + 1, z) = substr(w, y + 1, z))) * 1000000 - x * 1000 - y))))) AS code FROM r WHERE alo < ahi AND blo < bhi))) q, (SELECT unnest([1, 2]) AS side)
+  WHERE n > 0),
+s AS (SELECT w, a, 2.0::DOUBLE * sum(k) / (length(a) + length(w)) AS ratio FROM r GROUP BY w, a),
+b AS (SELECT w, arg_max(a, (ratio, a)) AS a FROM s WHERE ratio >= 0.82::DOUBLE GROUP BY w)
+SELECT w2.w, coalesce(b.a, w2.w) AS snapped FROM w2 LEFT JOIN b USING (w)""")
 def x15(t):
-    """Distinct words, and of those only possible hits, go through Python; misspelt terms are mixed in."""
-    w = F.explode(tx.tokens(F.col("text")))
-    words = t.documents.select("doc_id", w.alias("w")).withColumn("w", F.when(F.xxhash64("w") % 9 == 0, F.concat(F.lit("Pythn"), F.substring("w", 1, 1))).otherwise(F.col("w"))).select("w").distinct()
-    flagged = words.withColumn("hit", may_snap(F.col("w")))
-    return flagged.where("hit").select("w", snap("w").alias("snapped")).unionByName(flagged.where("NOT hit").select("w", F.col("w").alias("snapped")))
+    return snap(misread(t), TERMS)
 
 
 @query("t6_training_window", "ref", f"""
@@ -129,6 +163,6 @@ FROM ref JOIN c USING (video_id) JOIN t USING (video_id) WHERE whole OR (start_s
 def t6(t):
     """Events stand in for the transcript, so that videos lie on both sides of the budget."""
     b = ch.add_zero(t.ref.select("video_id", "start_s", "duration"))
-    rows = scan(density_blocks(t.evs.select("video_id", "event_id", "start_s", "text"), ["video_id"], "start_s"), ["video_id"], ["start_s", "event_id"], number="seg_idx")
+    rows = scan(density_blocks(t.evs.select("video_id", "event_id", "start_s", "text"), ["video_id"], "start_s", tie="event_id"), ["video_id"], ["start_s", "event_id"], number="seg_idx")
     lines = rows.select("video_id", F.col("seg_idx").cast("long").alias("seg_idx"), F.floor("start_s").alias("stamp_s"), F.concat(sec_to_hms(F.floor("start_s")), F.lit(": "), "text").alias("line"))
     return ch.training_window(lines, tx.chunk_tokens(F.col("line")), b, t.ref, seed=11, budget=150)

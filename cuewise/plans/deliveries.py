@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cuewise.functions import jsontext as js
 from cuewise.functions import text as tx
+from cuewise.functions.timefmt import sec_to_hms
 from cuewise.operators import notes as no
 from cuewise.operators.barrier import once
 from cuewise.operators.textrows import limit_tokens
@@ -14,6 +15,7 @@ from cuewise.plans.timebase import HMS_SQL, TRIM_SQL
 from cuewise.session import work_dir
 from cuewise.sources import delivery as de
 from cuewise.sources import records as re
+from cuewise.sources.predictions import read_prediction_set, write_predictions
 
 STRIP = TRIM_SQL.format
 N = "chr(10)"
@@ -79,13 +81,12 @@ def s7(t):
     return re.metadata_blocks(files)
 
 
-@query("s8_prediction_set", "pred", "SELECT video_id, start_s AS sec, title, true AS from_file FROM pred")
+@query("s8_prediction_set", "pred", f"SELECT video_id, {HMS_SQL.format('start_s')} AS stamp, title FROM pred")
 def s8(t):
-    """Writes one prediction file per video prefix to a new folder and reads the set back; the id is in the record here, the file-stem form is tested with real files."""
+    """Writes one prediction file per video and reads the set back through the data source; ids come from the file names."""
     path = work_dir(t.spark)
-    t.pred.select(F.substring("video_id", 1, 1).alias("prefix"), "video_id", F.col("start_s").alias("sec"), "title").write.partitionBy("prefix").json(path)
-    back = t.spark.read.schema("video_id string, sec long, title string").json(f"{path}/*/*.json")
-    return back.select("video_id", "sec", "title", F.col("_metadata.file_name").rlike(r"\.json$").alias("from_file"))
+    write_predictions(t.pred.select("video_id", sec_to_hms(F.col("start_s")).alias("stamp"), "title"), path)
+    return read_prediction_set(t.spark, path)
 
 
 def question_rows(t):
@@ -156,14 +157,19 @@ def s14(t):
     return de.vector_records(c, t.vec.select("video_id", "pos", "vec")).select("id", "version", F.md5("text").alias("text_md5"), F.size("vec").cast("long").alias("dims"), "batch_no")
 
 
-@query("s15_metrics_log", "", "SELECT doc_id AS video_id, quality::DOUBLE AS validation_score, quality >= 1 AS accepted FROM labels")
+@query("s15_metrics_log", "", """
+SELECT strftime(TIMESTAMP '2024-03-01 08:00:00' + doc_id * INTERVAL 1500 MILLISECOND, '%Y-%m-%dT%H:%M:%S') || CASE WHEN doc_id % 2 = 1 THEN '.500000' ELSE '' END || '+00:00' AS timestamp, CAST(doc_id AS VARCHAR) AS video_id,
+  doc_id % 7 AS units_provided, round_even(quality * 0.5 + (doc_id % 10) / 16.0::DOUBLE, 3) AS validation_score, quality * 0.5 + (doc_id % 10) / 16.0::DOUBLE >= 0.55 AS accepted, 0.55::DOUBLE AS threshold FROM labels""")
 def s15(t):
-    path = work_dir(t.spark)
-    rows = t.read("labels").select(F.col("doc_id").alias("video_id"), F.round(F.col("quality").cast("double"), 3).alias("validation_score"), (F.col("quality") >= 1).alias("accepted"))
+    """Two appends to one log, read back in full."""
+    path, n = work_dir(t.spark), F.col("doc_id")
+    score = F.col("quality") * 0.5 + n % 10 / 16.0
+    at = F.timestamp_micros(F.unix_micros(F.lit("2024-03-01 08:00:00").cast("timestamp")) + n * 1500000)
+    rows = t.read("labels").select(n.alias("video_id"), (n % 7).alias("units_provided"), score.alias("score"), at.alias("at"))
     half = F.pmod(F.xxhash64("video_id"), F.lit(2))
-    de.append_metrics(rows.where(half == 0), path)
-    de.append_metrics(rows.where(half == 1), path)
-    return t.spark.read.schema("video_id long, validation_score double, accepted boolean").json(path)
+    for part in (0, 1):
+        de.append_metrics(de.validation_log(rows.where(half == part), threshold=0.55), path)
+    return de.read_metrics(t.spark, path)
 
 
 @query("s17_log_durations", "lin", """
@@ -276,8 +282,8 @@ def p2_topics(t):
 
 @query("p3_section_validation", "", f"""
 WITH d AS (SELECT doc_id, doc_id % 6 AS k, regexp_replace(text, '["\\\\\\x00-\\x1f]', ' ', 'g') AS x, lang, source FROM documents)
-SELECT doc_id, CASE WHEN k = 0 THEN 'valid' WHEN k IN (4, 5) THEN 'fallback' ELSE 'partial' END AS mode, 0 AS pos, CASE WHEN k IN (4, 5) THEN '講義內容（自動生成）' WHEN k = 3 THEN '未命名章節' ELSE lang END AS title,
- CASE WHEN k = 5 THEN length(left(x, 5000)) WHEN k = 4 THEN length(left('{{"sections": [' || x, 5000)) WHEN k = 1 THEN 5 WHEN k = 0 THEN length(trim(left('lesson: ' || x, 9000))) ELSE length(left('lesson: ' || x, 10000)) END AS chars, CASE WHEN k IN (4, 5) THEN 1 WHEN k = 2 THEN 10 ELSE 1 END AS points,
+SELECT doc_id, CASE WHEN k = 0 AND length(trim('lesson: ' || x)) <= 10000 THEN 'valid' WHEN k IN (4, 5) THEN 'fallback' ELSE 'partial' END AS mode, 0 AS pos, CASE WHEN k IN (4, 5) THEN '講義內容（自動生成）' WHEN k = 3 THEN '未命名章節' ELSE lang END AS title,
+ CASE WHEN k = 5 THEN length(left(x, 5000)) WHEN k = 4 THEN length(left('{{"sections": [' || x, 5000)) WHEN k = 1 THEN 5 WHEN k = 0 AND length(trim('lesson: ' || x)) <= 10000 THEN length(trim('lesson: ' || x)) ELSE length(left('lesson: ' || x, 10000)) END AS chars, CASE WHEN k IN (4, 5) THEN 1 WHEN k = 2 THEN 10 ELSE 1 END AS points,
  CASE WHEN k IN (4, 5) THEN '由於格式錯誤，系統自動生成了基本講義內容' WHEN k = 3 THEN '講義摘要生成中發生錯誤' ELSE 'summary of ' || source END AS summary FROM d""")
 def p3(t):
     k = F.col("doc_id") % 6
@@ -287,7 +293,7 @@ def p3(t):
     body = lambda title, content, pts, summary: F.concat(F.lit('{"sections": [{'), *title, F.lit('"content": "'), content, F.lit('", '), pts, F.lit("}]"), *summary, F.lit("}"))
     title = [F.lit('"title": "'), F.col("lang"), F.lit('", ')]
     summary = [F.lit(', "summary": "summary of '), F.col("source"), F.lit('"')]
-    reply = (F.when(k == 0, F.concat(F.lit("```json\n"), body(title, F.substring(lesson, 1, 9000), points(1), summary), F.lit("\n```"))).when(k == 1, body(title, F.lit("short"), points(1), summary))
+    reply = (F.when(k == 0, F.concat(F.lit("```json\n"), body(title, lesson, points(1), summary), F.lit("\n```"))).when(k == 1, body(title, F.lit("short"), points(1), summary))
              .when(k == 2, body(title, lesson, points(12), summary)).when(k == 3, body([], lesson, points(1), [])).when(k == 4, F.concat(F.lit('{"sections": ['), "x")).otherwise(F.col("x")))
     rows = once(once(t.documents.select("doc_id", "text", "lang", "source"), x=x), reply=reply)
     out = no.read_notes(rows, "doc_id", "reply")

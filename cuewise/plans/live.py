@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuewise.operators import folds as fo
-from cuewise.operators.chapters import overlapped_chunks, rebase
+from cuewise.operators.chapters import absolute, overlapped_chunks, rebase
 from cuewise.operators.ordered import density_blocks
 from cuewise.plans.registry import query
 from cuewise.session import work_dir
@@ -21,7 +21,7 @@ SELECT user_id, event_id, allowed, CAST(CASE WHEN allowed THEN 2 - c ELSE 0 END
 def m1(t):
     """Two requests per six hours, so that denials occur in the test table."""
     rows = t.read("events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"))
-    out = fo.fold(density_blocks(rows, ["user_id"], "us"), ["user_id"], ["us", "event_id"], ["event_id", "us"], fo.admission_step(2, 21600e6), "event_id long, allowed boolean, remaining int, reset_us double")
+    out = fo.fold(density_blocks(rows, ["user_id"], "us", tie="event_id"), ["user_id"], ["us", "event_id"], ["event_id", "us"], fo.admission_step(2, 21600e6), "event_id long, allowed boolean, remaining int, reset_us double")
     return out.withColumn("reset_us", F.col("reset_us").cast("long"))
 
 
@@ -48,7 +48,7 @@ FRESH_SQL = f"SELECT user_id, event_id FROM ({ADMIT_SQL.replace('21600000000', '
 def m2_batch(t):
     """Requests that the cache can't answer: a user's first, and the first one over 24 h after the last such."""
     rows = t.read("events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"))
-    out = fo.fold(density_blocks(rows, ["user_id"], "us"), ["user_id"], ["us", "event_id"], ["event_id", "us"], fo.admission_step(1, 24 * 3600e6), "event_id long, allowed boolean, remaining int, reset_us double")
+    out = fo.fold(density_blocks(rows, ["user_id"], "us", tie="event_id"), ["user_id"], ["us", "event_id"], ["event_id", "us"], fo.admission_step(1, 24 * 3600e6), "event_id long, allowed boolean, remaining int, reset_us double")
     return out.where("allowed").select("user_id", "event_id")
 
 
@@ -59,13 +59,32 @@ def m2_stream(t):
 
 
 @query("m3_overlapped_chunks", "dur evs", """
-WITH c AS (SELECT video_id, k, k * 595.0::DOUBLE AS s, least(k * 595.0::DOUBLE + 600, duration) AS e FROM dur, range(400) AS r(k) WHERE k * 595 < duration)
-SELECT c.video_id, c.k AS chunk_no, c.s AS chunk_start, c.e AS chunk_end, count(event_id) AS n, round(min(v.start_s - c.s), 6) AS first_offset FROM c LEFT JOIN evs v ON v.video_id = c.video_id AND v.start_s >= c.s AND v.start_s < c.e GROUP BY ALL""")
+WITH c AS (SELECT video_id, k, k * 595.0::DOUBLE AS s, least(k * 595.0::DOUBLE + 600, duration) AS e FROM dur, range(400) AS r(k) WHERE k * 595 < duration),
+p AS (SELECT c.video_id, c.k, event_id, greatest(v.start_s, c.s) AS a, least(v.end_s, c.e) AS b FROM c JOIN evs v ON v.video_id = c.video_id AND v.start_s < c.e AND (v.end_s > c.s OR v.start_s >= c.s) WHERE c.e > 100 AND c.s < 9000)
+SELECT c.video_id, c.k AS chunk_no, c.s AS chunk_start, c.e AS chunk_end, count(event_id) AS n, round(min(a - c.s), 6) AS first_offset, round(max(b - c.s), 6) AS last_offset, round(min(a), 6) AS first_s, round(max(b), 6) AS last_s
+FROM c LEFT JOIN p ON p.video_id = c.video_id AND p.k = c.k AND b > 100 AND a < 9000 GROUP BY ALL""")
 def m3(t):
+    """Chunks of 600 s with 5 s in common; of the signal, the time from 100 s to 9,000 s."""
     chunks = overlapped_chunks(t.dur, 600.0, 5.0)
-    inside = rebase(t.evs.select("video_id", "event_id", "start_s"), 600.0, 5.0)
-    per = inside.groupBy("video_id", "chunk_no").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("offset_s"), 6).alias("first_offset"))
-    return chunks.join(per, ["video_id", "chunk_no"], "left").select("video_id", "chunk_no", "chunk_start", "chunk_end", F.coalesce("n", F.lit(0)).alias("n"), "first_offset")
+    inside = absolute(rebase(t.evs.select("video_id", "start_s", "end_s").join(t.dur, "video_id"), 600.0, 5.0, 100.0, 9000.0), 600.0, 5.0)
+    per = inside.groupBy("video_id", "chunk_no").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(k) for f, c, k in (
+        (F.min, "offset_s", "first_offset"), (F.max, "offset_end_s", "last_offset"), (F.min, "start_s", "first_s"), (F.max, "end_s", "last_s"))])
+    values = [F.round(c, 6).alias(c) for c in ("first_offset", "last_offset", "first_s", "last_s")]
+    return chunks.join(per, ["video_id", "chunk_no"], "left").select("video_id", "chunk_no", "chunk_start", "chunk_end", F.coalesce("n", F.lit(0)).alias("n"), *values)
+
+
+@query("m3_chunks_stream", "", """
+WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS us, epoch_us(ts) + CAST(round(value * 1000000) AS BIGINT) AS end_us, min(epoch_us(ts)) OVER (PARTITION BY user_id) AS origin_us FROM events),
+w AS (SELECT epoch_us(date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE) AS mark FROM events),
+c AS (SELECT *, us - origin_us AS a, end_us - origin_us AS b, unnest(range(greatest(0, (us - origin_us - 21600000000) // 21000000000), (end_us - origin_us) // 21000000000 + 1)) AS k FROM e),
+p AS (SELECT *, greatest(a, k * 21000000000) - k * 21000000000 AS first_us, least(b, k * 21000000000 + 21600000000) - k * 21000000000 AS last_us FROM c WHERE a < k * 21000000000 + 21600000000 AND (b > k * 21000000000 OR a >= k * 21000000000))
+SELECT user_id, k AS chunk_no, origin_us, count(*) AS n, min(first_us) AS first_us, max(last_us) AS last_us FROM p, w
+WHERE k * 21000000000 + last_us > 3600000000 AND k * 21000000000 + 21600000000 > 3600000000 AND k * 21000000000 < 1728000000000 AND k * 21000000000 + first_us < 1728000000000 AND origin_us + k * 21000000000 + 21600000000 <= mark
+GROUP BY ALL""")
+def m3_stream(t):
+    """Chunks of six hours, ten minutes in common, from each user's first event; the time from one hour to 20 days."""
+    events = live.event_stream(t.spark, t.sf_dir).withColumn("end_us", F.unix_micros("ts") + F.round(F.col("value") * 1e6).cast("long"))
+    return live.drain(live.chunk_parts(events, 21600.0, 600.0, 3600.0, 20 * 86400.0), work_dir(t.spark))
 
 
 CLOSED_SQL = """

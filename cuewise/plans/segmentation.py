@@ -16,9 +16,10 @@ from cuewise.operators import windows as wi
 from cuewise.operators.barrier import once
 from cuewise.operators.keywords import top_words
 from cuewise.operators.ordered import BLOCK, density_blocks, fixed_blocks, scan
+from cuewise.operators.thinning import thin_gaps
 from cuewise.plans.registry import query
 from cuewise.plans.texts import MADE_TITLE_SQL, TOKS, words_sql, word_boxes
-from cuewise.plans.timebase import TOK_SQL, TRIM_SQL
+from cuewise.plans.timebase import TOK_SQL, TRIM_SQL, thin_sql
 
 STRIP = TRIM_SQL.format
 EVENTS_SQL = "o AS (SELECT *, text || CASE event_id % 3 WHEN 0 THEN '.' WHEN 1 THEN '' ELSE '' END AS tx, row_number() OVER (PARTITION BY video_id ORDER BY start_s, event_id) AS rn FROM evs)"
@@ -26,7 +27,7 @@ EVENTS_SQL = "o AS (SELECT *, text || CASE event_id % 3 WHEN 0 THEN '.' WHEN 1 T
 
 def events(t):
     rows = t.evs.withColumn("tx", F.concat("text", F.when(F.col("event_id") % 3 == 0, ".").otherwise("")))
-    return density_blocks(rows.select("video_id", "event_id", "start_s", "end_s", "tx"), ["video_id"], "start_s")
+    return density_blocks(rows.select("video_id", "event_id", "start_s", "end_s", "tx"), ["video_id"], "start_s", tie="event_id")
 
 
 def run_summary(labels, *more):
@@ -174,7 +175,7 @@ def f7_legacy(t):
 
 def close_stamps(t):
     """EVS starts squeezed 60 times, so that many lie within a second."""
-    return density_blocks(t.evs.select("video_id", "event_id", (F.col("start_s") / 60).alias("t")), ["video_id"], "t")
+    return density_blocks(t.evs.select("video_id", "event_id", (F.col("start_s") / 60).alias("t")), ["video_id"], "t", tie="event_id")
 
 
 @query("f8_running_midpoint_merge", "evs", """WITH RECURSIVE o AS (SELECT video_id, start_s / 60 AS t, row_number() OVER (PARTITION BY video_id ORDER BY start_s, event_id) AS rn FROM evs),
@@ -184,11 +185,15 @@ def f8(t):
     return fo.fold(close_stamps(t), ["video_id"], ["t", "event_id"], ["t"], fo.midpoint_step(), "t double").select("video_id", F.round("t", 6).alias("t"))
 
 
-@query("f9_thin_to_n")
+@query("f9_thin_to_n", "evs", f"""WITH RECURSIVE o AS (SELECT video_id, start_s / 60 AS t, row_number() OVER (PARTITION BY video_id ORDER BY start_s, event_id) AS rn FROM evs),
+f AS (SELECT video_id, rn, t AS v, 1 AS grp FROM o WHERE rn = 1 UNION ALL SELECT o.video_id, o.rn, CASE WHEN o.t - f.v < 1 THEN (f.v + o.t) / 2 ELSE o.t END, CASE WHEN o.t - f.v < 1 THEN grp ELSE grp + 1 END FROM f JOIN o ON o.video_id = f.video_id AND o.rn = f.rn + 1),
+m AS (SELECT video_id, list(v ORDER BY v) AS l FROM (SELECT video_id, arg_max(v, rn) AS v FROM f GROUP BY video_id, grp) GROUP BY 1),
+{thin_sql("m", 21)}
+SELECT video_id, round(t, 6) AS t FROM (SELECT video_id, unnest(l) AS t FROM tn WHERE len(l) <= 21)""")
 def f9(t):
-    """Runs on merged stamps, which are at least a second apart. No closed SQL form; tested against brute force."""
+    """Runs on merged stamps, which are at least a second apart."""
     merged = fo.fold(close_stamps(t), ["video_id"], ["t", "event_id"], ["t"], fo.midpoint_step(), "t double")
-    return bf.thin_gaps(merged, 21)
+    return thin_gaps(merged, 21).select("video_id", F.round("t", 6).alias("t"))
 
 
 @query("f11_gap_merge", "ref", """
@@ -223,8 +228,8 @@ f AS (SELECT video_id, line_no, line_no AS run, k AS u FROM o WHERE line_no = 0
  SELECT o.video_id, o.line_no, CASE WHEN {JAC.format('f.u', 'o.k')} < 0.05 THEN o.line_no ELSE f.run END, CASE WHEN {JAC.format('f.u', 'o.k')} < 0.05 THEN o.k ELSE list_distinct(f.u || o.k) END FROM f JOIN o ON o.video_id = f.video_id AND o.line_no = f.line_no + 1)
 SELECT video_id, run, count(*) AS n FROM f GROUP BY 1, 2""")
 def f12(t):
-    rows = fixed_blocks(line_keywords(t).select("video_id", "line_no", "k"), "line_no")
-    labels = fo.runs(rows, ["video_id"], ["line_no"], "line_no", ["k"], fo.keyword_shift(0.05))
+    rows = fo.with_last_places(line_keywords(t).select("video_id", "line_no", "k"), ["video_id"], "line_no", "k").drop("k")
+    labels = fo.runs(fixed_blocks(rows, "line_no"), ["video_id"], ["line_no"], "line_no", ["line_no", "n", "back"], fo.keyword_shift(0.05))
     return labels.groupBy("video_id", "run").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -303,7 +308,14 @@ def f20_levenshtein(t):
     return near_earlier(lines, edits=2)
 
 
-@query("f22_stamp_collision_bump")
+@query("f22_stamp_collision_bump", "uni", """WITH RECURSIVE
+o AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS rn, start_s // 900 * 900 AS s, min(duration) OVER (PARTITION BY video_id) - 1 AS fin,
+  CASE WHEN unit_no IS NULL THEN '' WHEN unit_no % 2 = 0 THEN '[單元' || unit_no || '：u' || unit_no || '] ' ELSE '[單元' || unit_no || '] ' END || title AS title FROM uni WHERE title <> ''),
+f AS (SELECT video_id, rn, s AS placed, title, [s] AS used FROM o WHERE rn = 1 UNION ALL
+ SELECT video_id, rn, placed, title, CASE WHEN placed IS NULL THEN used ELSE list_append(used, placed) END FROM (SELECT o.video_id, o.rn, o.title, f.used,
+  CASE WHEN NOT list_contains(f.used, o.s) THEN o.s ELSE list_filter(list_concat(range(o.s + 1, o.s + 121), range(o.s - 1, o.s - 121, -1)), lambda x: x >= 0 AND x <= o.fin AND NOT list_contains(f.used, x))[1] END AS placed
+  FROM f JOIN o ON o.video_id = f.video_id AND o.rn = f.rn + 1))
+SELECT video_id, placed AS start_s, title FROM f WHERE placed IS NOT NULL""")
 def f22(t):
     rough = (F.floor(F.col("start_s") / 900) * 900).alias("start_s")
     return bf.place_stamps(t.uni.select("video_id", "idx", rough, "duration", "title", "unit_no", F.when(F.col("unit_no") % 2 == 0, F.concat(F.lit("u"), "unit_no")).alias("unit_title")))

@@ -71,16 +71,16 @@ CHARS_SQL = r'''regexp_replace({0}, '[^_()\[\]{{}}=:.<>+\-*/%|&!^,@''"\\]', '',
 @query("p6_low_information_lines", "lin", rf"""
 WITH pc AS (SELECT video_id, line_no, unnest(range(len(k))) AS piece, unnest(k) AS text FROM (SELECT video_id, line_no, string_split_regex(text, '[ .,]+') AS k FROM lin) UNION ALL SELECT video_id, line_no, -1, text FROM lin),
 s AS (SELECT video_id, line_no, piece, CASE (line_no + piece) % 5 WHEN 1 THEN text || ' ' || text WHEN 2 THEN text || ' 12:30' WHEN 3 THEN text || ' file' ELSE text END AS t FROM pc),
-c AS (SELECT video_id, line_no, piece, t, {STRIP('t')} AS st, {TOKS.format('t')} AS tk FROM s),
-ch AS (SELECT video_id, line_no, piece, q, count(*)::DOUBLE AS c FROM (SELECT video_id, line_no, piece, unnest(string_split(t, '')) AS q FROM s WHERE length(t) BETWEEN 2 AND 24) GROUP BY ALL),
-en AS (SELECT video_id, line_no, piece, -sum(ch.c / length(t) * log2(ch.c / length(t) + 1e-12::DOUBLE)) AS e FROM ch JOIN s USING (video_id, line_no, piece) GROUP BY ALL)
-SELECT video_id, line_no, CAST(piece AS BIGINT) AS piece, CASE WHEN length(t) < 2 THEN true
+c AS (SELECT t, {STRIP('t')} AS st, {TOKS.format('t')} AS tk, CASE WHEN length(t) BETWEEN 2 AND 24 THEN string_split(t, '') END AS q FROM (SELECT DISTINCT t FROM s)),
+en AS (SELECT *, -list_sum(list_transform(list_distinct(q), lambda x: len(list_filter(q, lambda y: y = x)) / length(t)::DOUBLE * log2(len(list_filter(q, lambda y: y = x)) / length(t)::DOUBLE + 1e-12::DOUBLE))) AS e FROM c),
+lo AS (SELECT t, CASE WHEN length(t) < 2 THEN true
  WHEN regexp_matches(st, '^(def |class |import |from |for |while |if |elif |else:|return )') OR length({CHARS_SQL.format('st')}) >= greatest(2, length(st) // 10) THEN false
  WHEN regexp_matches(t, 'https?://|{W}[\p{{L}}\p{{N}}_.-]+\.(com|org|edu|net|io|gov|tw|jp)(/|$|[^\p{{L}}\p{{N}}_])') OR regexp_matches(t, '[\p{{L}}\p{{N}}_.-]+@[\p{{L}}\p{{N}}_.-]+\.{W}+')
   OR regexp_matches(t, '(?i)(^|[^\p{{L}}\p{{N}}_])\d+(\.\d+)?\s?((px|cm|mm|in|s|ms|GB|MB|KB|dpi|fps|Hz)($|[^\p{{L}}\p{{N}}_])|%[\p{{L}}\p{{N}}_])') OR regexp_matches(t, '(^|[^\p{{L}}\p{{N}}_])(\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}}|\d{{1,2}}[:：]\d{{2}}([:：]\d{{2}})?)($|[^\p{{L}}\p{{N}}_])') THEN false
  WHEN length(t) >= 25 THEN false
  WHEN len(tk) <= 1 OR 1.0::DOUBLE - len(list_distinct(tk)) / len(tk)::DOUBLE >= 0.60 THEN true WHEN e < 1.20 THEN true
- ELSE regexp_matches(lower(t), '{"|".join(tx.SCREEN_WORDS)}') END AS low FROM c LEFT JOIN en USING (video_id, line_no, piece)""")
+ ELSE regexp_matches(lower(t), '{"|".join(tx.SCREEN_WORDS)}') END AS low FROM en)
+SELECT video_id, line_no, CAST(piece AS BIGINT) AS piece, low FROM s JOIN lo USING (t)""")
 def p6(t):
     """Whole lines (piece -1), and every word of them as a short line of its own."""
     parts = t.lin.select("video_id", "line_no", F.posexplode(F.split("text", "[ .,]+")).alias("piece", "text")).unionByName(t.lin.select("video_id", "line_no", F.lit(-1).alias("piece"), "text"))

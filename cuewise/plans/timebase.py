@@ -40,6 +40,13 @@ segs AS (SELECT video_id, part, line_no, start_s, coalesce(e, lead(start_s) OVER
 """
 
 
+def thin_sql(lists: str, keep: int) -> str:
+    """The plain rule on lists `(video_id, l)`, one stamp per step."""
+    gaps = "list_transform(range(1, len(l)), lambda x: l[x + 1] - l[x])"
+    return f"""tn AS (SELECT video_id, l FROM {lists} UNION ALL
+ SELECT video_id, list_concat(l[1:k - 1], l[k + 1:]) FROM (SELECT video_id, l, CASE WHEN i < len(l) - 1 THEN i + 1 ELSE i END AS k FROM (SELECT video_id, l, list_position({gaps}, list_min({gaps})) AS i FROM tn WHERE len(l) > {keep})))"""
+
+
 @query("s1_transcript_source", "seg", f"WITH {RENDERED_SQL} SELECT video_id, part, start_s, end_s, text FROM segs")
 def s1(t):
     return tr.parse_transcript(rendered(t)).select("video_id", "part", "start_s", "end_s", "text")

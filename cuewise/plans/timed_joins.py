@@ -13,7 +13,7 @@ from cuewise.operators import windows as wi
 from cuewise.operators.ordered import BLOCK, density_blocks, fixed_blocks, scan
 from cuewise.operators.ranges import overlap_join
 from cuewise.plans.registry import query
-from cuewise.plans.timebase import HMS_SQL, TOK_SQL, TRIM_SQL
+from cuewise.plans.timebase import HMS_SQL, TOK_SQL, TRIM_SQL, thin_sql
 
 MICRO_SQL = """
 n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx) AS rn FROM seg),
@@ -70,14 +70,31 @@ def j3(t):
     return sides.select("video_id", "t0", "t1", fused.alias("fused")).where(tx.strip(F.col("fused")) != "")
 
 
-@query("j7_nearest_frame", "ref", """
-WITH fr AS (SELECT DISTINCT video_id, CAST(floor(start_s) AS BIGINT) AS f FROM evs WHERE text <> 'signup'),
-c AS (SELECT r.video_id, r.idx, r.start_s, r.duration, f, row_number() OVER (PARTITION BY r.video_id, r.idx ORDER BY abs(f / r.duration::DOUBLE - r.start_s / r.duration::DOUBLE), f) AS rn FROM ref r LEFT JOIN fr USING (video_id))
-SELECT video_id, idx, CASE WHEN abs(f / duration::DOUBLE * duration - start_s) <= 3 THEN f END AS frame FROM c WHERE rn = 1""")
+NEAREST_SQL = """
+fr AS (SELECT DISTINCT video_id, CAST(floor(start_s) AS BIGINT) AS f FROM evs WHERE text <> 'signup'),
+c AS (SELECT r.video_id, r.idx, r.start_s, r.duration, f, row_number() OVER (PARTITION BY r.video_id, r.idx ORDER BY abs(f / r.duration::DOUBLE - r.start_s / r.duration::DOUBLE), f) AS rn FROM ref r LEFT JOIN fr USING (video_id)),
+nf AS (SELECT video_id, idx, CASE WHEN abs(f / duration::DOUBLE * duration - start_s) <= {gap} THEN f END AS frame FROM c WHERE rn = 1)
+"""
+
+
+def nearest(t, max_gap):
+    frames = t.evs.where("text <> 'signup'").select("video_id", F.floor("start_s").alias("x")).distinct()
+    return ch.nearest_frame(t.ref.select("video_id", "idx", "start_s", "duration"), frames, max_gap=max_gap).select("video_id", "idx", "frame")
+
+
+@query("j7_nearest_frame", "ref", f"WITH {NEAREST_SQL.format(gap=3)} SELECT * FROM nf")
 def j7(t):
     """Closest frame by position ratio; none when it is further than 3 s. Frames and chapters are distinct seconds."""
-    frames = t.evs.where("text <> 'signup'").select("video_id", F.floor("start_s").alias("x")).distinct()
-    return ch.nearest_frame(t.ref.select("video_id", "idx", "start_s", "duration"), frames, max_gap=3.0).select("video_id", "idx", "frame")
+    return nearest(t, 3.0)
+
+
+@query("j7_selected_frames", "ref", f"""WITH RECURSIVE {NEAREST_SQL.format(gap=40)},
+ls AS (SELECT video_id, list(DISTINCT frame ORDER BY frame) AS l FROM nf WHERE frame IS NOT NULL GROUP BY 1),
+{thin_sql("ls", 6)}
+SELECT video_id, unnest(l) AS frame FROM tn WHERE len(l) <= 6""")
+def j7_selected(t):
+    """The frames that a caption map keeps; at most 6 per video here, 100 by default, so that the rule has work."""
+    return ch.selected_frames(nearest(t, 40.0), most=6)
 
 
 @query("j8_tolerance_anti_join", "ref pred", """
@@ -231,7 +248,7 @@ def j19(t):
 @query("w4_drop_consecutive_repeats", "evs", """
 SELECT video_id, event_id, text FROM (SELECT *, lag(text) OVER (PARTITION BY video_id ORDER BY start_s, event_id) AS p FROM evs) WHERE p IS DISTINCT FROM text""")
 def w4(t):
-    rows = scan(density_blocks(t.evs.select("video_id", "event_id", "start_s", "text"), ["video_id"], "start_s"), ["video_id"], ["start_s", "event_id"], lag={"prev": "text"})
+    rows = scan(density_blocks(t.evs.select("video_id", "event_id", "start_s", "text"), ["video_id"], "start_s", tie="event_id"), ["video_id"], ["start_s", "event_id"], lag={"prev": "text"})
     return rows.where(~F.col("prev").eqNullSafe(F.col("text"))).select("video_id", "event_id", "text")
 
 
@@ -279,7 +296,7 @@ WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER B
 SELECT source, doc_id, CASE WHEN r < round_even(0.3::DOUBLE * n, 0) THEN 'easy' WHEN r < round_even(0.3::DOUBLE * n, 0) + round_even(0.4::DOUBLE * n, 0) THEN 'medium' ELSE 'hard' END AS difficulty FROM r""")
 def w11(t):
     docs = t.documents.select("source", "doc_id", "n_chars")
-    ranked = scan(density_blocks(docs, ["source"], "n_chars"), ["source"], ["n_chars", "doc_id"], number="r").drop(BLOCK)
+    ranked = scan(density_blocks(docs, ["source"], "n_chars", tie="doc_id"), ["source"], ["n_chars", "doc_id"], number="r").drop(BLOCK)
     n = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     easy, medium = (F.bround(F.lit(q) * F.col("n")) for q in (0.3, 0.4))
     pos = F.col("r") - 1
@@ -345,7 +362,7 @@ SELECT video_id, round(sp, 4) AS speech, round(rm, 4) AS removed, round(sp / dur
   round(ua, 4) AS union_raw, round(uk, 4) AS union_kept, round(sa, 4) AS sum_raw, round(sk, 4) AS sum_kept FROM c""")
 def a2(t):
     rows = t.evs.where("end_s > start_s").select("video_id", "event_id", "start_s", "end_s", "text")
-    kept = scan(density_blocks(rows, ["video_id"], "start_s"), ["video_id"], ["start_s", "event_id"], lag={"prev": "text"}).drop(BLOCK).where(
+    kept = scan(density_blocks(rows, ["video_id"], "start_s", tie="event_id"), ["video_id"], ["start_s", "event_id"], lag={"prev": "text"}).drop(BLOCK).where(
         (F.length(tx.strip(F.col("text"))) >= 4) & ~F.col("prev").eqNullSafe(F.col("text")))
     d = F.col("duration").cast("double")
 

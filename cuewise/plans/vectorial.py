@@ -89,13 +89,32 @@ def f16(t):
     return ve.hysteresis_blocks(bins(t).drop("vec"), threshold=0.02, margin=0.03, gap=8.0)
 
 
-@query("f17_adjacent_module_merge")
+@query("f17_adjacent_module_merge", "vec", f"""WITH RECURSIVE {SIM_SQL}, {BINS_SQL},
+md AS (SELECT video_id, pos, vec::DOUBLE[] AS vec, start_s + pos % 3 * 8 AS start_s, end_s, title, CASE pos % 4 WHEN 0 THEN '' ELSE 'part ' || pos % 6 END AS summary, [2 * pos, 2 * pos + 1, 2 * pos + 2] AS bins FROM bn),
+f AS (SELECT video_id, pos, pos AS module, end_s AS until, vec AS total FROM md WHERE pos = 0 UNION ALL
+ SELECT video_id, pos, CASE WHEN j THEN module ELSE pos END, end_s, CASE WHEN j THEN list_transform(list_zip(total, vec), lambda z: z[1] + z[2]) ELSE vec END FROM
+ (SELECT md.*, f.module, f.total, list_inner_product(f.total, md.vec) / (sqrt(list_inner_product(f.total, f.total)) * sqrt(list_inner_product(md.vec, md.vec))) >= 0.2::DOUBLE OR md.start_s - f.until <= 4 AS j
+  FROM f JOIN md ON md.video_id = f.video_id AND md.pos = f.pos + 1)),
+o AS (SELECT md.*, module, CASE WHEN trim(title) <> '' THEN trim(title) WHEN md.pos = module THEN '模組' END AS t FROM md JOIN f USING (video_id, pos)),
+g AS (SELECT video_id, module, arg_min(start_s, pos) AS start_s, arg_max(end_s, pos) AS end_s, count(*) AS n, arg_min(t, (length(t), pos)) FILTER (WHERE t IS NOT NULL) AS title,
+  list(summary ORDER BY pos) AS parts, list_sort(list_distinct(flatten(list(bins)))) AS bins FROM o GROUP BY 1, 2)
+SELECT video_id, module, start_s, end_s, n, title, list_reduce(parts, lambda a, s: CASE WHEN s <> '' AND NOT contains(a, s) THEN trim(a || '；' || s, '；') ELSE a END) AS summary, array_to_string(bins, ',') AS bins FROM g""")
 def f17(t):
-    """Re-embedding of a merged module is replaced by the mean of its vectors; tested against a plain loop."""
-    return ve.merge_modules(bins(t).withColumn("start_s", F.col("start_s") + F.col("pos") % 3 * 8), threshold=0.2, gap=4.0)
-
-
-@query("f23_gated_selection")
+    """Re-embedding of a merged module is replaced by the sum of its vectors."""
+    p = F.col("pos")
+    rows = bins(t).withColumns({"start_s": F.col("start_s") + p % 3 * 8, "summary": F.when(p % 4 == 0, "").otherwise(F.concat(F.lit("part "), p % 6)), "bins": F.array(2 * p, 2 * p + 1, 2 * p + 2)})
+    return ve.merge_modules(rows, threshold=0.2, gap=4.0).withColumn("bins", F.array_join("bins", ","))
+
+
+@query("f23_gated_selection", "vec", """WITH RECURSIVE
+m AS (SELECT video_id, pos, vec::DOUBLE[] AS v, list_reduce(vec::DOUBLE[], lambda a, x: a + x) / len(vec) AS mean FROM vec),
+o AS (SELECT video_id, pos, pos * 2.0::DOUBLE AS t, pos % 7 <> 3 AS ok, v, list_transform(v, lambda x: x > mean) AS h FROM m),
+f AS (SELECT video_id, pos, ok AS picked, CASE WHEN ok THEN t END AS t0, CASE WHEN ok THEN h END AS h0, CASE WHEN ok THEN v END AS v0 FROM o WHERE pos = 0 UNION ALL
+ SELECT video_id, pos, picked, CASE WHEN picked THEN t ELSE t0 END, CASE WHEN picked THEN h ELSE h0 END, CASE WHEN picked THEN v ELSE v0 END FROM (SELECT o.*, f.t0, f.h0, f.v0, o.ok AND (f.t0 IS NULL OR (
+   o.t - f.t0 >= 3 AND len(list_filter(list_zip(o.h, f.h0), lambda z: z[1] <> z[2])) >= 5
+   AND (o.t - f.t0 >= 20 OR list_inner_product(o.v, f.v0) / sqrt(list_inner_product(o.v, o.v) * list_inner_product(f.v0, f.v0)) < 0.2::DOUBLE))) AS picked
+  FROM f JOIN o ON o.video_id = f.video_id AND o.pos = f.pos + 1))
+SELECT video_id, pos FROM f WHERE picked""")
 def f23(t):
     """Hash = sign bits of the vector against its mean; quality flag from the position."""
     mean = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size("vec")

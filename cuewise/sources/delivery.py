@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewise.functions.text import strip
@@ -88,6 +88,23 @@ def vector_records(chunks: DataFrame, vectors: DataFrame, batch: int = 100) -> D
     return latest.withColumn("batch_no", F.floor(F.col("pos") / batch))
 
 
+def validation_log(rows: DataFrame, threshold: float) -> DataFrame:
+    """Log records of validated units `(at, video_id, units_provided, score)`: six fields, the time as ISO 8601 in UTC
+    with microseconds only where there are any, the score to three digits, accepted from the whole score."""
+    at = F.to_utc_timestamp("at", F.current_timezone())
+    stamp = F.when(F.unix_micros("at") % 1000000 == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    return rows.select(F.concat(stamp, F.lit("+00:00")).alias("timestamp"), F.col("video_id").cast("string").alias("video_id"), F.col("units_provided").cast("long").alias("units_provided"),
+                       F.bround("score", 3).alias("validation_score"), (F.col("score") >= threshold).alias("accepted"), F.lit(float(threshold)).alias("threshold"))
+
+
+METRICS = "timestamp string, video_id string, units_provided long, validation_score double, accepted boolean, threshold double"
+
+
 def append_metrics(rows: DataFrame, path: str) -> None:
     """Append metric rows as JSON lines."""
     rows.write.mode("append").json(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """All records of a log; a field that a record lacks is null."""
+    return spark.read.schema(METRICS).json(path)

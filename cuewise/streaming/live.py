@@ -1,12 +1,14 @@
-"""Admission control, request log windows, cache validity and overlapped windows on streams."""
+"""Admission control, request log windows, cache validity and overlapped chunks on streams."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cuewise.operators.folds import admission_step
@@ -55,9 +57,80 @@ def not_cached(stream: DataFrame, hours: float = 24.0) -> DataFrame:
     return admitted(stream, 1, hours * 3600.0).where("allowed").select("user_id", "event_id")
 
 
-def overlapped_windows(stream: DataFrame, size: str = "600 seconds", step: str = "595 seconds", delay: str = "10 minutes") -> DataFrame:
-    """Overlapping chunks; on a stream they are aligned to the epoch, not to a signal's start."""
-    return stream.withWatermark("ts", delay).groupBy(F.window("ts", size, step).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+class ChunkParts(StatefulProcessor):
+    """Counts and reach of the parts of rows in the overlapped chunks of a signal.
+
+    A signal's time starts at its first row, so that instant is kept with it. Of each open chunk three numbers are
+    kept; a timer at its end, in event time, hands it on and forgets it. What a signal keeps is the origin
+    and the chunks that the watermark has not passed.
+    """
+
+    def __init__(self, size: int, overlap: int, start: int, end: int | None):
+        self.size, self.step, self.start, self.end = size, size - overlap, start, end
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.origin = handle.getValueState("origin", "us long")
+        self.chunks = handle.getMapState("chunks", "chunk_no long", "n long, first_us long, last_us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if not self.origin.exists():
+            # the earliest row of the first trigger opens the signal: two short columns of that trigger are held
+            rows = [pdf[["us", "end_us"]] for pdf in rows]
+            self.origin.update((int(min(pdf["us"].min() for pdf in rows)),))
+        (origin,) = self.origin.get()
+        for pdf in rows:
+            for no, part in self._parts(pdf["us"].to_numpy() - origin, pdf["end_us"].to_numpy() - origin):
+                n, first, last = len(part), int(part[:, 0].min()), int(part[:, 1].max())
+                if self.chunks.containsKey((no,)):
+                    m, f, l = self.chunks.getValue((no,))
+                    n, first, last = n + m, min(first, f), max(last, l)
+                else:
+                    self.handle.registerTimer(self._closes(origin, no))
+                self.chunks.updateValue((no,), (n, first, last))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        (origin,) = self.origin.get()
+        no = round((expiredTimerInfo.getExpiryTimeInMs() * 1000 - origin - self.size) / self.step)
+        found = self.chunks.getValue((no,))
+        self.chunks.removeKey((no,))
+        yield pd.DataFrame([(key[0], no, origin, *found)], columns=["user_id", "chunk_no", "origin_us", "n", "first_us", "last_us"])
+
+    def _closes(self, origin: int, no: int) -> int:
+        """Milliseconds at which no row can start in the chunk any more."""
+        return -(-(origin + no * self.step + self.size) // 1000)
+
+    def _parts(self, a: np.ndarray, b: np.ndarray):
+        """Chunk numbers, each with the clipped start and end of the parts in it. Rows before the origin don't count."""
+        a, b = a[a >= 0], b[a >= 0]
+        first = np.maximum(0, (a - self.size) // self.step + 1)
+        last = np.maximum(a // self.step, -(-b // self.step) - 1)
+        many = last - first + 1
+        no = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        low = no * self.step
+        parts = np.stack([np.maximum(np.repeat(a, many), low) - low, np.minimum(np.repeat(b, many), low + self.size) - low], axis=1)
+        inside = (low + self.size > self.start) & (low + parts[:, 1] > self.start)
+        if self.end is not None:
+            inside &= (low < self.end) & (low + parts[:, 0] < self.end)
+        for k in np.unique(no[inside]):
+            yield int(k), parts[inside & (no == k)]
+
+
+def chunk_parts(stream: DataFrame, size: float = 600.0, overlap: float = 5.0, start: float = 0.0, end: float | None = None, delay: str = "10 minutes") -> DataFrame:
+    """Overlapped chunks of each signal's rows, `(user_id, chunk_no, origin_us, n, first_us, last_us)`, each when it is closed.
+
+    `stream (user_id, ts, end_us)`. Chunks start at the signal's first row, not at an epoch. `first_us` and `last_us`
+    are the reach of the parts from the chunk's start; `start` and `end` clip the signal. Chunks without
+    parts are not reported. Rows behind the watermark are dropped, as are rows before a signal's first one.
+    """
+    spark = stream.sparkSession
+    # the state of this operator is kept by the built-in store on disk
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    us = lambda s: None if s is None else round(s * 1e6)
+    rows = stream.withWatermark("ts", delay).select("user_id", "ts", F.unix_micros("ts").alias("us"), "end_us")
+    return rows.groupBy("user_id").transformWithStateInPandas(
+        ChunkParts(us(size), us(overlap), us(start), us(end)), "user_id long, chunk_no long, origin_us long, n long, first_us long, last_us long", "append", "EventTime")
 
 
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
