@@ -1,13 +1,14 @@
 """Cross-entropy difference: target and background n-gram models over one vocabulary.
 
-`counted` and `scored_by` keep all counts as a Spark table, whatever their number; `fit` and `scored` are the
-same formula with a small vocabulary of a bounded size on the driver.
+All words and pairs of neighbours that stand twice are kept, whatever their number. Documents are dealt into
+chunks. A chunk sends the counts of its distinct words and pairs once, each to the bucket of its hash; a bucket adds up
+the chunks and sends back to each only the keys that are kept, with their sums; and the chunk scores its
+documents with those. Nobody holds more of the models than a bucket or what a chunk asks for.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass
+import struct
 from functools import cache
 
 import numpy as np
@@ -16,13 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewise.llm.common import FOLD, raw, saved
+from cuewise.llm.common import FOLD, raw
 from cuewise.llm.registry import query, table
 
-#: Tokens that a task counts before it hands its counts on.
-HELD = 1 << 20
-#: Bytes of text, about, that look up their counts together.
+#: Bytes of text, about, of a chunk; a bucket gets about as many keys as a chunk has.
 CHUNK = 1 << 23
+#: Buckets at least, so that small inputs spread too.
+BUCKETS = 1 << 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -30,115 +31,6 @@ def tokens(text) -> list[bytes]:
     return raw(text).translate(FOLD).split()
 
 
-@dataclass
-class Model:
-    """Two bigram models, interpolated with unigrams, over the same words and pairs. Id 0 is any other word;
-    pairs are kept sorted, with a log probability for each model."""
-
-    ids: dict[bytes, int]
-    single: np.ndarray  # (2, words): log((1 - mix) * p(word)), target and background
-    pairs: np.ndarray
-    pair: np.ndarray  # (2, pairs): log(mix * p(word | word before) + (1 - mix) * p(word))
-
-    def losses(self, text) -> tuple[int, float, float]:
-        """Tokens, and the mean loss per token of the target and of the background model."""
-        get = self.ids.get
-        ids = np.fromiter((get(w, 0) for w in tokens(text)), np.int64)
-        if not len(ids):
-            return 0, 0.0, 0.0
-        logs = self.single[:, ids]
-        if len(ids) > 1 and len(self.pairs):
-            codes = ids[:-1] * len(self.ids) + ids[:-1] + ids[1:]
-            at = np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)
-            logs[:, 1:] = np.where(self.pairs[at] == codes, self.pair[:, at], logs[:, 1:])
-        loss = -logs.mean(axis=1)
-        return len(ids), float(loss[0]), float(loss[1])
-
-
-def _summed(rows: DataFrame, count, kind: str) -> DataFrame:
-    """Counts of `count(text)` over rows `(text, target)`: per task in one table, then summed by key."""
-
-    def run(batches):
-        held, size = (Counter(), Counter()), 0
-
-        def out():
-            keys = list(held[0])
-            return pd.DataFrame({"key": keys, "n": [held[0][k] for k in keys], "m": [held[1][k] for k in keys]})
-
-        for batch in batches:
-            for text, target in zip(batch["text"], batch["target"]):
-                seen = count(text)
-                held[0].update(seen)
-                if target:
-                    held[1].update(seen)
-                size += len(seen)
-                if size > HELD:
-                    yield out()
-                    held, size = (Counter(), Counter()), 0
-        if size:
-            yield out()
-
-    return rows.mapInPandas(run, f"key {kind}, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-
-
-def fit(docs: DataFrame, trusted: DataFrame, *, least_word: float = 5e-6, least_pair: float = 2e-6, mix: float = 0.7, smooth: float = 0.5, doc: str = "doc_id", text: str = "text") -> Model:
-    """Background: every document. Target: the documents in `trusted`, ids few enough to be broadcast.
-
-    Every word and every pair of every document is counted. The vocabulary is the words that make up at
-    least `least_word` of the tokens and that the target has too (at most 1 / `least_word`), and the pairs
-    are those that make up `least_pair`; so the models reach the driver with a bounded size while the
-    counting grows with the documents.
-    """
-    flag = F.broadcast(trusted.select(F.col(doc).alias("_id"), F.lit(1).alias("_t")).distinct())
-    rows = docs.select(F.col(doc).alias("_id"), F.col(text).alias("text")).join(flag, "_id", "left").select("text", F.col("_t").isNotNull().alias("target"))
-    words = _summed(rows, lambda t: tokens(t), "binary").persist()
-    total, in_target = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-    kept = words.where((F.col("n") >= max(2.0, least_word * total)) & (F.col("m") > 0)).orderBy("key").toPandas()
-    words.unpersist()
-    ids = {bytes(k): i + 1 for i, k in enumerate(kept["key"])}
-    size = len(ids) + 1
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
-
-    def pairs(t):
-        get = shared.value.get
-        got = [get(w, 0) for w in tokens(t)]
-        return [a * size + b for a, b in zip(got, got[1:])]
-
-    bigrams = _summed(rows, pairs, "long").where((F.col("n") >= max(2.0, least_pair * total)) & (F.col("m") > 0)).orderBy("key").toPandas()
-    both = np.array([kept["m"], kept["n"]], float).reshape(2, -1)
-    rest = np.maximum(0.0, np.array([in_target, total], float) - both.sum(axis=1))
-    counts = np.concatenate([rest[:, None], both], axis=1)
-    p = (counts + smooth) / (counts.sum(axis=1, keepdims=True) + smooth * size)
-    codes = bigrams["key"].to_numpy(np.int64)
-    seen = np.array([bigrams["m"], bigrams["n"]], float).reshape(2, -1)
-    # a context that the model hardly saw leans on the unigrams: absolute weight `smooth` a context
-    after = seen / (counts[:, codes // size] + smooth)
-    single = np.log(1 - mix) + np.log(p)
-    pair = np.log(mix * np.minimum(1.0, after) + (1 - mix) * p[:, codes % size])
-    return Model(ids, single, codes, pair)
-
-
-def scored(docs: DataFrame, model: Model, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of `docs`: its id, `n_tokens, target_loss, background_loss, difference` (target less
-    background, per token; the lower, the more like the target).
-
-    Null texts and texts without words have no tokens and three zeros. Whole texts are scored; only id and
-    text are read, equal texts get equal scores.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[doc].dataType
-    # ids travel as text: pandas would turn whole numbers beside a null into floats
-    rows = docs.select(F.col(doc).cast("string").alias("_id"), F.col(text).alias("_text"))
-
-    def run(batches):
-        for batch in batches:
-            got = [shared.value.losses(t) for t in batch["_text"]]
-            yield pd.DataFrame({"_id": batch["_id"], "n_tokens": [g[0] for g in got], "target_loss": [g[1] for g in got], "background_loss": [g[2] for g in got]})
-
-    out = rows.mapInPandas(run, "_id string, n_tokens long, target_loss double, background_loss double")
-    return out.withColumn("difference", F.col("target_loss") - F.col("background_loss")).withColumn("_id", F.col("_id").cast(kind)).withColumnRenamed("_id", doc)
-
-
 class Keys:
     """Words and pairs of neighbours as 64-bit hashes: a word ends in the bits 10, a pair in 1; 0 is neither."""
 
@@ -171,130 +63,149 @@ def _keys() -> Keys:
     return Keys()
 
 
-@dataclass
-class Counts:
-    """`table (key, n, m)`: how often each word and pair stands in all documents and in the target. `total` words,
-    `known` words with an own row (two numbers each: all, target) and `size` of the vocabulary, with the unknown word."""
-
-    table: DataFrame
-    total: tuple[int, int]
-    known: tuple[int, int]
-    size: int
-
-
-def counted(docs: DataFrame, trusted: DataFrame, *, least: int = 2, doc: str = "doc_id", text: str = "text") -> Counts:
-    """Background: every document. Target: every document whose id is in `trusted`.
-
-    All words and pairs that stand `least` times in all documents are kept, in the target or not, in a saved
-    table that grows with the documents; only sums reach the driver. A rarer word counts as the unknown word.
-    A pair that is kept is of two words that are kept.
-    """
-    flag = trusted.select(F.col(doc).alias("_id"), F.lit(1).alias("_t")).distinct()
-    rows = docs.select(F.col(doc).alias("_id"), F.col(text).alias("text")).where("text IS NOT NULL").join(flag, "_id", "left").select("text", F.col("_t").isNotNull().alias("target"))
-
-    def run(batches):
-        read, held, size = _keys(), ([], []), 0
-
-        def out():
-            key, n = np.unique(np.concatenate(held[0] + held[1]), return_counts=True)
-            m = np.zeros(len(key), np.int64)
-            if held[1]:
-                own, seen = np.unique(np.concatenate(held[1]), return_counts=True)
-                m[np.searchsorted(key, own)] = seen
-            return pd.DataFrame({"key": key.view(np.int64), "n": n, "m": m})
-
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.iloc[at : at + 200]
-                for side in (0, 1):
-                    words, pairs, _ = read(part["text"][part["target"] == bool(side)])
-                    if len(words):
-                        # key 0: every word
-                        held[side].extend((words, pairs[pairs != 0], np.zeros(len(words), np.uint64)))
-                        size += len(words)
-                if size > HELD:
-                    yield out()
-                    held, size = ([], []), 0
-        if size:
-            yield out()
-
-    sums = rows.mapInPandas(run, "key long, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    kept = saved(sums.where((F.col("n") >= least) | (F.col("key") == 0)))
-    word, every = (F.col("key").bitwiseAND(F.lit(3)) == 2), F.col("key") == 0
-    over = lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
-    got = kept.agg(over("n", every), over("m", every), over("n", word), over("m", word), F.count(F.when(word, 1))).first()
-    return Counts(kept, (got[0], got[1]), (got[2], got[3]), got[4] + 1)
-
-
-def scored_by(docs: DataFrame, counts: Counts, *, mix: float = 0.7, smooth: float = 0.5, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """As `scored`, by the counts of `counted`.
-
-    Documents are dealt into chunks of about CHUNK bytes by hash. The distinct words and pairs of a chunk are
-    joined with the table, and its documents are scored with what comes back; so no task holds more of the
-    table than its chunk asks for.
+def _few(values: np.ndarray) -> bytes:
+    """Counts as a byte each; those that don't fit are listed."""
+    at = np.flatnonzero(values >= 255)
+    return np.minimum(values, 255).astype(np.uint8).tobytes() + at.astype(np.uint32).tobytes() + values[at].astype(np.int64).tobytes()
+
+
+def pack(keys: np.ndarray, n: np.ndarray, m: np.ndarray) -> bytes:
+    """Ascending keys and two counts each, short: the steps between keys take six bytes, longer ones two more in a list."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    high = (steps >> np.uint64(48)).astype(np.uint16)
+    at = np.flatnonzero(high)
+    low = steps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    sizes = struct.pack("<IIII", len(keys), len(at), int((n >= 255).sum()), int((m >= 255).sum()))
+    return sizes + low + at.astype(np.uint32).tobytes() + high[at].tobytes() + _few(n) + _few(m)
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size, far, *many = struct.unpack_from("<IIII", blob)
+    place = 16
+
+    def read(kind, n: int) -> np.ndarray:
+        nonlocal place
+        out = np.frombuffer(blob, kind, n, place)
+        place += out.nbytes
+        return out
+
+    steps = np.zeros((size, 8), np.uint8)
+    steps[:, :6] = read(np.uint8, 6 * size).reshape(-1, 6)
+    steps = steps.reshape(-1).view("<u8").copy()
+    at = read(np.uint32, far)
+    steps[at] |= read(np.uint16, far).astype(np.uint64) << np.uint64(48)
+    out = [np.cumsum(steps, dtype=np.uint64)]
+    for big in many:
+        values = read(np.uint8, size).astype(np.int64)
+        at = read(np.uint32, big)
+        values[at] = read(np.int64, big)
+        out.append(values)
+    return tuple(out)
+
+
+def _count(part: pd.DataFrame, good: pd.DataFrame, bits: int) -> pd.DataFrame:
+    """Per bucket, the distinct words and pairs of a chunk: how often all documents have them, and the target's. Key 0: every word."""
+    read, target, held = _keys(), part["key"].isin(good["good"]).to_numpy(), ([], [])
+    texts = part["_text"].to_numpy(object)
+    for at in range(0, len(part), 200):
+        for side in (0, 1):
+            some = texts[at : at + 200][target[at : at + 200] == bool(side)]
+            words, pairs, _ = read(some)
+            if len(words):
+                held[side].extend((words, pairs[pairs != 0], np.zeros(len(words), np.uint64)))
+    if not held[0] and not held[1]:
+        return pd.DataFrame({"bucket": [], "chunk": [], "blob": []})
+    keys, n = np.unique(np.concatenate(held[0] + held[1]), return_counts=True)
+    m = np.zeros(len(keys), np.int64)
+    if held[1]:
+        own, seen = np.unique(np.concatenate(held[1]), return_counts=True)
+        m[np.searchsorted(keys, own)] = seen
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    blobs = [pack(k, a, b) for k, a, b in zip(*(np.split(x, first[1:]) for x in (keys, n, m)))]
+    return pd.DataFrame({"bucket": bucket[first], "chunk": part["chunk"].iloc[0], "blob": blobs})
+
+
+def _add(rows: pd.DataFrame, least: int) -> pd.DataFrame:
+    """The kept keys of one bucket for each chunk that has them, with their sums; and a row of sums, chunk -1."""
+    parts = [unpack(b) for b in rows["blob"]]
+    keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    n, m = (np.bincount(back, np.concatenate([p[i] for p in parts]), len(keys)).astype(np.int64) for i in (1, 2))
+    kept, word = (n >= least) & (keys != 0), (keys & np.uint64(3)) == 2
+    out, at = [], 0
+    for chunk, (own, _, _) in zip(rows["chunk"], parts):
+        mine = back[at : at + len(own)]
+        at += len(own)
+        mine = mine[kept[mine]]
+        # a chunk with words has a row from the bucket of key 0 at least
+        if len(mine) or not own[0]:
+            out.append((chunk, pack(keys[mine], n[mine], m[mine]), 0, 0, 0, 0, 0))
+    every = keys == 0
+    out.append((-1, None, *(int(x.sum()) for x in (n[every], m[every], n[kept & word], m[kept & word])), int((kept & word).sum())))
+    return pd.DataFrame(out, columns=["chunk", "blob", "n", "m", "known_n", "known_m", "words"])
+
+
+def _score(part: pd.DataFrame, found: pd.DataFrame, mix: float, smooth: float) -> pd.DataFrame:
+    """Losses of a chunk's documents by the keys that came back."""
+    answers = [unpack(b) for b in found["blob"]]
+    key, n, m = (np.concatenate([a[i] for a in answers]) if answers else np.zeros(0, t) for i, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
+    order = np.argsort(key)
+    sums = found["sums"].iloc[0] if len(found) else {"n": 0, "m": 0, "known_n": 0, "known_m": 0, "words": 0}
+    # a column more, for what is not found
+    key, seen = key[order], np.concatenate([np.stack([m[order], n[order]]).astype(float), np.zeros((2, 1))], axis=1)
+    total, known = np.array([sums["m"], sums["n"]], float), np.array([sums["known_m"], sums["known_n"]], float)
+    rest, over = np.maximum(0.0, total - known), total + smooth * (sums["words"] + 1)
+
+    def look(wanted):
+        at = np.minimum(np.searchsorted(key, wanted), max(0, len(key) - 1))
+        return np.where(key[at] == wanted, at, len(key)) if len(key) else np.zeros(len(wanted), np.int64)
+
+    out = []
+    for lo in range(0, len(part), 200):
+        words, pairs, sizes = _keys()(part["_text"].iloc[lo : lo + 200])
+        at, pair = look(words), look(pairs)
+        own = np.where(at < len(key), seen[:, at], rest[:, None])
+        p = (own + smooth) / over[:, None]
+        # a context that a model hardly saw leans on the unigrams: absolute weight `smooth` a context
+        after = np.minimum(1.0, seen[:, pair[1:]] / (own[:, :-1] + smooth))
+        p *= 1 - mix
+        p[:, 1:] += mix * after
+        logs = np.concatenate([np.zeros((2, 1)), np.cumsum(-np.log(p), axis=1)], axis=1)
+        ends = np.cumsum(sizes)
+        out.append(((logs[:, ends] - logs[:, ends - sizes]) / np.maximum(1, sizes), sizes))
+    loss, n = np.concatenate([x for x, _ in out], axis=1), np.concatenate([x for _, x in out])
+    return pd.DataFrame({"_id": part["_id"], "n_tokens": n, "target_loss": loss[0], "background_loss": loss[1]})
+
+
+def scored(docs: DataFrame, trusted: DataFrame, *, least: int = 2, mix: float = 0.7, smooth: float = 0.5, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of `docs`: its id, `n_tokens`, mean loss per token of both models, and their `difference`.
+
+    Background: every document. Target: every document whose id is in `trusted`. All words and pairs that stand
+    `least` times in all documents have their own probabilities, in the target or not; a rarer word counts as the
+    unknown word. Null and empty texts have no token and losses of 0. Rows that repeat an id, or have none,
+    are documents of their own; a null id is never in the target. Equal texts get equal losses; no order
+    matters, so there are no ties. Without any document there are no rows, without target ids its losses come from the
+    smoothing alone. Only id and text are read, whatever other columns are called.
     """
     kind = docs.schema[doc].dataType
     chunks = 1 + int(docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]) // CHUNK
+    bits = max(BUCKETS, chunks).bit_length()
     # ids travel as text: pandas would turn whole numbers beside a null into floats
-    rows = docs.select(F.col(doc).cast("string").alias("_id"), F.col(text).alias("_text"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("_id", "_text"), F.lit(chunks)).cast("int")).repartition("chunk")
-    total, known = np.array([counts.total[1], counts.total[0]], float), np.array([counts.known[1], counts.known[0]], float)
-    rest, over = np.maximum(0.0, total - known), total + smooth * counts.size
-
-    def ask(batches):
-        def out():
-            got = pd.DataFrame({"key": np.unique(np.concatenate(held)).view(np.int64)})
-            return got.assign(chunk=chunk)
-
-        read, chunk, held, size = _keys(), None, [], 0
-        for batch in batches:
-            for own, part in batch.groupby("chunk", sort=False):
-                if held and (own != chunk or size > HELD << 1):
-                    yield out()
-                    held, size = [], 0
-                chunk = own
-                words, pairs, _ = read(part["_text"])
-                if len(words):
-                    held += [words, pairs[pairs != 0]]
-                    size += len(words)
-        if held:
-            yield out()
-
-    asked = rows.sortWithinPartitions("chunk").mapInPandas(ask, "key long, chunk int")
-    answers = asked.join(counts.table.where("key <> 0"), "key").select("chunk", "key", "n", "m")
-
-    def score(part, found):
-        key = found["key"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(key)
-        # a column more, for what is not found
-        key, seen = key[order], np.concatenate([found[["m", "n"]].to_numpy(float)[order].T.reshape(2, -1), np.zeros((2, 1))], axis=1)
-
-        def look(wanted):
-            at = np.minimum(np.searchsorted(key, wanted), max(0, len(key) - 1))
-            return np.where(key[at] == wanted, at, len(key)) if len(key) else np.zeros(len(wanted), np.int64)
-
-        out = []
-        for lo in range(0, len(part), 200):
-            words, pairs, sizes = _keys()(part["_text"].iloc[lo : lo + 200])
-            at, pair = look(words), look(pairs)
-            own = np.where(at < len(key), seen[:, at], rest[:, None])
-            p = (own + smooth) / over[:, None]
-            # a context that a model hardly saw leans on the unigrams: absolute weight `smooth` a context
-            after = np.minimum(1.0, seen[:, pair[1:]] / (own[:, :-1] + smooth))
-            p *= 1 - mix
-            p[:, 1:] += mix * after
-            logs = np.concatenate([np.zeros((2, 1)), np.cumsum(-np.log(p), axis=1)], axis=1)
-            ends = np.cumsum(sizes)
-            out.append(((logs[:, ends] - logs[:, ends - sizes]) / np.maximum(1, sizes), sizes))
-        loss, n = np.concatenate([x for x, _ in out], axis=1), np.concatenate([x for _, x in out])
-        return pd.DataFrame({"_id": part["_id"], "n_tokens": n, "target_loss": loss[0], "background_loss": loss[1]})
-
-    out = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, "_id string, n_tokens long, target_loss double, background_loss double")
+    own = docs.select(F.col(doc).cast("string").alias("_id"), F.col(text).alias("_text"))
+    own = own.withColumn("key", F.xxhash64("_id", "_text")).withColumn("chunk", F.pmod("key", F.lit(chunks)).cast("int"))
+    target = trusted.select(F.col(doc).cast("string").alias("_id")).distinct()
+    good = own.select("_id", "key", "chunk").join(target, "_id").select(F.col("chunk").alias("of"), F.col("key").alias("good")).distinct()
+    # the documents by chunk are used twice below and shuffled once
+    counted = own.groupBy("chunk").cogroup(good.groupBy("of")).applyInPandas(lambda part, some: _count(part, some, bits), "bucket long, chunk int, blob binary")
+    added = counted.groupBy("bucket").applyInPandas(lambda rows: _add(rows, least), "chunk int, blob binary, n long, m long, known_n long, known_m long, words long")
+    sums = added.where("chunk = -1").agg(F.struct(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "m", "known_n", "known_m", "words")]).alias("sums"))
+    answers = added.where("chunk >= 0").select("chunk", "blob", sums.scalar().alias("sums"))
+    out = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
+        lambda part, found: _score(part, found, mix, smooth) if len(part) else pd.DataFrame(columns=["_id", "n_tokens", "target_loss", "background_loss"]),
+        "_id string, n_tokens long, target_loss double, background_loss double")
     return out.withColumn("difference", F.col("target_loss") - F.col("background_loss")).withColumn("_id", F.col("_id").cast(kind)).withColumnRenamed("_id", doc)
 
 
 @query("op10_lm_scoring")
 def op10(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return scored_by(docs, counted(docs, good))
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))

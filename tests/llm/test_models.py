@@ -1,7 +1,7 @@
 """Language, licenses, secrets, classifier and language models."""
 
 import re
-from math import exp, log
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -199,52 +199,15 @@ def test_classifier_edges(spark):
     assert len(got) == len(rows) and all(r.score == 0.5 and r.kept for r in got)
 
 
-def test_language_models(spark):
-    """Losses against the same formula, written out."""
-    rows = plain.corpus()
-    docs, good = plain.table(spark, rows), spark.createDataFrame([(i,) for i in range(0, 60, 3)], "doc_id long")
-    model = lmscore.fit(docs, good, least_word=1e-3, least_pair=1e-4)
-    texts = [(i in range(0, 60, 3), plain.folded(t)) for i, t, *_ in rows]
-    total = sum(len(w) for _, w in texts)
-    single = [{}, {}]
-    for good_one, w in texts:
-        for side in (0, 1):
-            if side or good_one:
-                for x in w:
-                    single[side][x] = single[side].get(x, 0) + 1
-    vocab = {x for x, n in single[1].items() if n >= max(2.0, 1e-3 * total) and single[0].get(x)}
-    assert {k.decode() for k in model.ids} == vocab
-    name = lambda x: x if x in vocab else None
-    one, two = [{}, {}], [{}, {}]
-    for good_one, w in texts:
-        for side in (0, 1):
-            if side or good_one:
-                for x in w:
-                    one[side][name(x)] = one[side].get(name(x), 0) + 1
-                for x, y in zip(w, w[1:]):
-                    two[side][name(x), name(y)] = two[side].get((name(x), name(y)), 0) + 1
-    pairs = {p for p, n in two[1].items() if n >= max(2.0, 1e-4 * total) and two[0].get(p)}
-    got = {r.doc_id: r for r in lmscore.scored(docs, model).collect() if r.doc_id is not None}
-    for i, text, *_ in rows[:60]:
-        w = [name(x) for x in plain.folded(text)]
-        for side, loss in ((0, got[i].target_loss), (1, got[i].background_loss)):
-            size, every = len(vocab) + 1, sum(one[side].values())
-            p = lambda x: (one[side].get(x, 0) + 0.5) / (every + 0.5 * size)  # noqa: E731, B023
-            want = 0.0
-            for k, x in enumerate(w):
-                q = (w[k - 1], x) if k else None
-                rest = 0.3 * p(x)
-                want -= log(rest + 0.7 * min(1.0, two[side].get(q, 0) / (one[side].get(q[0], 0) + 0.5)) if q in pairs else rest)
-            assert loss == pytest.approx(want / len(w))
-    assert got[73].n_tokens == 0 and got[73].difference == 0.0
-    assert exp(got[0].difference) < exp(got[1].difference)
-
-
-def test_language_models_empty(spark):
-    none = spark.createDataFrame([], "doc_id long")
-    model = lmscore.fit(plain.table(spark, []), none)
-    assert lmscore.scored(plain.table(spark, []), model).count() == 0
-    assert lmscore.scored(plain.table(spark, plain.corpus(5)), model).count() == len(plain.corpus(5))
+def test_packed_counts():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 300, 5000):
+        keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        counts = [rng.choice([1, 2, 254, 255, 256, 1 << 40], len(keys)) for _ in range(2)]
+        for got, want in zip(lmscore.unpack(lmscore.pack(keys, *counts)), (keys, *counts)):
+            assert (got == want).all() and len(got) == len(want)
+    close = np.arange(70, dtype=np.uint64)
+    assert (lmscore.unpack(lmscore.pack(close, np.ones(70, int), np.zeros(70, int)))[0] == close).all()
 
 
 def test_language_models_whole(spark, monkeypatch):
@@ -252,8 +215,8 @@ def test_language_models_whole(spark, monkeypatch):
     monkeypatch.setattr(lmscore, "CHUNK", 3000)
     rows = plain.corpus() + [(800 + i, "rareone raretwo filler words", "en", "s") for i in range(2)]
     docs, good = plain.table(spark, rows), spark.createDataFrame([(i,) for i in range(0, 60, 3)], "doc_id long")
-    counts = lmscore.counted(docs, good)
-    got = {r.doc_id: r for r in lmscore.scored_by(docs, counts).collect() if r.doc_id is not None}
+    got = {r.doc_id: r for r in lmscore.scored(docs, good).collect() if r.doc_id is not None}
+    assert len(got) == len({r[0] for r in rows if r[0] is not None}) and lmscore.scored(docs, good).count() == len(rows)
     one, two = [{}, {}], [{}, {}]
     for i, text, *_ in rows:
         w = plain.folded(text)
@@ -265,7 +228,6 @@ def test_language_models_whole(spark, monkeypatch):
                     two[side][p] = two[side].get(p, 0) + 1
     vocab = {x for x, n in one[1].items() if n >= 2}
     pairs = {p for p, n in two[1].items() if n >= 2}
-    assert counts.size == len(vocab) + 1 and counts.table.count() == len(vocab) + len(pairs) + 1
     assert "rareone" in vocab and "rareone" not in one[0]
     rest = [sum(n for x, n in one[side].items() if x not in vocab) for side in (0, 1)]
     for i, text, *_ in rows:
@@ -284,8 +246,9 @@ def test_language_models_whole(spark, monkeypatch):
             assert got[i].n_tokens == len(w) and loss == pytest.approx(want / max(1, len(w)))
     assert got[800].target_loss > got[800].background_loss + 1
     none = spark.createDataFrame([], "doc_id long")
-    assert lmscore.scored_by(plain.table(spark, []), lmscore.counted(plain.table(spark, []), none)).count() == 0
-    assert lmscore.scored_by(plain.table(spark, plain.corpus(5)), lmscore.counted(plain.table(spark, []), none)).count() == len(plain.corpus(5))
+    assert lmscore.scored(plain.table(spark, []), none).count() == 0
+    assert lmscore.scored(plain.table(spark, plain.corpus(5)), none).count() == len(plain.corpus(5))
+    assert all(r.target_loss == r.background_loss == 0 for r in lmscore.scored(plain.table(spark, [(1, None, None, None), (2, " ", None, None)]), none).collect())
 
 
 def test_secrets_inside_words(spark):
