@@ -2,13 +2,12 @@
 
 All words and pairs of neighbours that stand twice are kept, whatever their number. Documents are dealt into
 chunks. A chunk sends the counts of its distinct words and pairs once, each to the bucket of its hash; a bucket adds up
-the chunks and sends back to each only the keys that are kept, with their sums; and the chunk scores its
-documents with those. Nobody holds more of the models than a bucket or what a chunk asks for.
+the chunks and sends back to each the sums alone, in the order of its keys; and the chunk scores its documents
+with those. Nobody holds more of the models than a bucket or what a chunk asks for.
 """
 
 from __future__ import annotations
 
-import struct
 from functools import cache
 
 import numpy as np
@@ -63,44 +62,55 @@ def _keys() -> Keys:
     return Keys()
 
 
-def _few(values: np.ndarray) -> bytes:
-    """Counts as a byte each; those that don't fit are listed."""
-    at = np.flatnonzero(values >= 255)
-    return np.minimum(values, 255).astype(np.uint8).tobytes() + at.astype(np.uint32).tobytes() + values[at].astype(np.int64).tobytes()
+class _Reader:
+    def __init__(self, blob: bytes):
+        self.blob, self.place = blob, 0
 
+    def __call__(self, kind, n: int = 1) -> np.ndarray:
+        out = np.frombuffer(self.blob, kind, n, self.place)
+        self.place += out.nbytes
+        return out
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Counts as two bytes each, low ones first, since most are small; those that don't fit are listed."""
+    at = np.flatnonzero(values >= 65535)
+    short = np.minimum(values, 65535).astype("<u2").view(np.uint8).reshape(-1, 2).T
+    return np.uint32(len(at)).tobytes() + short.tobytes() + at.astype(np.uint32).tobytes() + values[at].astype(np.int64).tobytes()
 
-def pack(keys: np.ndarray, n: np.ndarray, m: np.ndarray) -> bytes:
-    """Ascending keys and two counts each, short: the steps between keys take six bytes, longer ones two more in a list."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    high = (steps >> np.uint64(48)).astype(np.uint16)
-    at = np.flatnonzero(high)
-    low = steps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    sizes = struct.pack("<IIII", len(keys), len(at), int((n >= 255).sum()), int((m >= 255).sum()))
-    return sizes + low + at.astype(np.uint32).tobytes() + high[at].tobytes() + _few(n) + _few(m)
 
+def _values(read: _Reader, size: int) -> np.ndarray:
+    big = int(read(np.uint32)[0])
+    out = np.ascontiguousarray(read(np.uint8, 2 * size).reshape(2, -1).T).reshape(-1).view("<u2").astype(np.int64)
+    at = read(np.uint32, big)
+    out[at] = read(np.int64, big)
+    return out
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    size, far, *many = struct.unpack_from("<IIII", blob)
-    place = 16
 
-    def read(kind, n: int) -> np.ndarray:
-        nonlocal place
-        out = np.frombuffer(blob, kind, n, place)
-        place += out.nbytes
+def pack(n: np.ndarray, m: np.ndarray, keys: np.ndarray | None = None) -> bytes:
+    """Two counts each, and ascending keys if there are any: the steps between keys take six bytes, longer ones two more in a list."""
+    out = np.uint32(len(n)).tobytes() + _packed(n) + _packed(m)
+    if keys is None:
         return out
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    high = (steps >> np.uint64(48)).astype(np.uint16)
+    at = np.flatnonzero(high)
+    return out + np.uint32(len(at)).tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + at.astype(np.uint32).tobytes() + high[at].tobytes()
 
+
+def unpack(blob: bytes, keyed: bool = False) -> tuple[np.ndarray, ...]:
+    read = _Reader(blob)
+    size = int(read(np.uint32)[0])
+    counts = _values(read, size), _values(read, size)
+    if not keyed:
+        return counts
+    far = int(read(np.uint32)[0])
     steps = np.zeros((size, 8), np.uint8)
     steps[:, :6] = read(np.uint8, 6 * size).reshape(-1, 6)
     steps = steps.reshape(-1).view("<u8").copy()
     at = read(np.uint32, far)
     steps[at] |= read(np.uint16, far).astype(np.uint64) << np.uint64(48)
-    out = [np.cumsum(steps, dtype=np.uint64)]
-    for big in many:
-        values = read(np.uint8, size).astype(np.int64)
-        at = read(np.uint32, big)
-        values[at] = read(np.int64, big)
-        out.append(values)
-    return tuple(out)
+    return *counts, np.cumsum(steps, dtype=np.uint64)
 
 
 def _count(part: pd.DataFrame, good: pd.DataFrame, bits: int) -> pd.DataFrame:
@@ -122,49 +132,41 @@ def _count(part: pd.DataFrame, good: pd.DataFrame, bits: int) -> pd.DataFrame:
         m[np.searchsorted(keys, own)] = seen
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
-    blobs = [pack(k, a, b) for k, a, b in zip(*(np.split(x, first[1:]) for x in (keys, n, m)))]
+    blobs = [pack(*x) for x in zip(*(np.split(x, first[1:]) for x in (n, m, keys)))]
     return pd.DataFrame({"bucket": bucket[first], "chunk": part["chunk"].iloc[0], "blob": blobs})
 
 
 def _add(rows: pd.DataFrame, least: int) -> pd.DataFrame:
-    """The kept keys of one bucket for each chunk that has them, with their sums; and a row of sums, chunk -1."""
-    parts = [unpack(b) for b in rows["blob"]]
-    keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    n, m = (np.bincount(back, np.concatenate([p[i] for p in parts]), len(keys)).astype(np.int64) for i in (1, 2))
-    kept, word = (n >= least) & (keys != 0), (keys & np.uint64(3)) == 2
-    out, at = [], 0
-    for chunk, (own, _, _) in zip(rows["chunk"], parts):
-        mine = back[at : at + len(own)]
-        at += len(own)
-        mine = mine[kept[mine]]
-        # a chunk with words has a row from the bucket of key 0 at least
-        if len(mine) or not own[0]:
-            out.append((chunk, pack(keys[mine], n[mine], m[mine]), 0, 0, 0, 0, 0))
-    every = keys == 0
-    out.append((-1, None, *(int(x.sum()) for x in (n[every], m[every], n[kept & word], m[kept & word])), int((kept & word).sum())))
-    return pd.DataFrame(out, columns=["chunk", "blob", "n", "m", "known_n", "known_m", "words"])
+    """For each chunk, the sums of its own keys of one bucket, in their order, 0 for keys that are not kept; and a row of sums, chunk -1."""
+    parts = [unpack(b, True) for b in rows["blob"]]
+    keys, back = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+    n, m = (np.bincount(back, np.concatenate([p[i] for p in parts]), len(keys)).astype(np.int64) for i in (0, 1))
+    every, word = keys == 0, (keys & np.uint64(3)) == 2
+    kept = (n >= least) & ~every
+    total = (int(n[every].sum()), int(m[every].sum()), int(n[kept & word].sum()), int(m[kept & word].sum()), int((kept & word).sum()))
+    n, m = n * kept, m * kept
+    ends = np.cumsum([len(p[2]) for p in parts])
+    out = [(chunk, rows["bucket"].iloc[0], pack(n[own], m[own]), *[0] * 5) for chunk, own in zip(rows["chunk"], np.split(back, ends[:-1]))]
+    return pd.DataFrame([*out, (-1, -1, None, *total)], columns=["chunk", "bucket", "blob", "n", "m", "known_n", "known_m", "words"])
 
 
 def _score(part: pd.DataFrame, found: pd.DataFrame, mix: float, smooth: float) -> pd.DataFrame:
-    """Losses of a chunk's documents by the keys that came back."""
-    answers = [unpack(b) for b in found["blob"]]
-    key, n, m = (np.concatenate([a[i] for a in answers]) if answers else np.zeros(0, t) for i, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
-    order = np.argsort(key)
+    """Losses of a chunk's documents by the sums that came back, which stand in the order of its keys."""
+    read = [(*_keys()(part["_text"].iloc[lo : lo + 200]),) for lo in range(0, len(part), 200)]
+    key = np.unique(np.concatenate([x for words, pairs, _ in read for x in (words, pairs[pairs != 0], np.zeros(min(1, len(words)), np.uint64))] + [np.zeros(0, np.uint64)]))
+    answers = [unpack(b) for b in found.sort_values("bucket")["blob"]]
+    n, m = (np.concatenate([a[i] for a in answers] + [np.zeros(0, np.int64)]) for i in (0, 1))
+    if len(n) != len(key):
+        raise ValueError(f"a chunk has {len(key)} keys and got the sums of {len(n)}")
     sums = found["sums"].iloc[0] if len(found) else {"n": 0, "m": 0, "known_n": 0, "known_m": 0, "words": 0}
-    # a column more, for what is not found
-    key, seen = key[order], np.concatenate([np.stack([m[order], n[order]]).astype(float), np.zeros((2, 1))], axis=1)
+    # a column more, for what is not there
+    seen = np.concatenate([np.stack([m, n]).astype(float), np.zeros((2, 1))], axis=1)
     total, known = np.array([sums["m"], sums["n"]], float), np.array([sums["known_m"], sums["known_n"]], float)
     rest, over = np.maximum(0.0, total - known), total + smooth * (sums["words"] + 1)
-
-    def look(wanted):
-        at = np.minimum(np.searchsorted(key, wanted), max(0, len(key) - 1))
-        return np.where(key[at] == wanted, at, len(key)) if len(key) else np.zeros(len(wanted), np.int64)
-
     out = []
-    for lo in range(0, len(part), 200):
-        words, pairs, sizes = _keys()(part["_text"].iloc[lo : lo + 200])
-        at, pair = look(words), look(pairs)
-        own = np.where(at < len(key), seen[:, at], rest[:, None])
+    for words, pairs, sizes in read:
+        at, pair = np.searchsorted(key, words), np.where(pairs == 0, len(key), np.searchsorted(key, pairs))
+        own = np.where(seen[1, at] > 0, seen[:, at], rest[:, None])
         p = (own + smooth) / over[:, None]
         # a context that a model hardly saw leans on the unigrams: absolute weight `smooth` a context
         after = np.minimum(1.0, seen[:, pair[1:]] / (own[:, :-1] + smooth))
@@ -197,9 +199,9 @@ def scored(docs: DataFrame, trusted: DataFrame, *, least: int = 2, mix: float =
     good = own.select("_id", "key", "chunk").join(target, "_id").select(F.col("chunk").alias("of"), F.col("key").alias("good")).distinct()
     # the documents by chunk are used twice below and shuffled once
     counted = own.groupBy("chunk").cogroup(good.groupBy("of")).applyInPandas(lambda part, some: _count(part, some, bits), "bucket long, chunk int, blob binary")
-    added = counted.groupBy("bucket").applyInPandas(lambda rows: _add(rows, least), "chunk int, blob binary, n long, m long, known_n long, known_m long, words long")
+    added = counted.groupBy("bucket").applyInPandas(lambda rows: _add(rows, least), "chunk int, bucket long, blob binary, n long, m long, known_n long, known_m long, words long")
     sums = added.where("chunk = -1").agg(F.struct(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "m", "known_n", "known_m", "words")]).alias("sums"))
-    answers = added.where("chunk >= 0").select("chunk", "blob", sums.scalar().alias("sums"))
+    answers = added.where("chunk >= 0").select("chunk", "bucket", "blob", sums.scalar().alias("sums"))
     out = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
         lambda part, found: _score(part, found, mix, smooth) if len(part) else pd.DataFrame(columns=["_id", "n_tokens", "target_loss", "background_loss"]),
         "_id string, n_tokens long, target_loss double, background_loss double")

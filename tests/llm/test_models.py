@@ -203,11 +203,11 @@ def test_packed_counts():
     rng = np.random.default_rng(5)
     for n in (0, 1, 2, 300, 5000):
         keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
-        counts = [rng.choice([1, 2, 254, 255, 256, 1 << 40], len(keys)) for _ in range(2)]
-        for got, want in zip(lmscore.unpack(lmscore.pack(keys, *counts)), (keys, *counts)):
-            assert (got == want).all() and len(got) == len(want)
+        counts = [rng.choice([0, 1, 2, 255, 256, 65534, 65535, 65536, 1 << 40], len(keys)) for _ in range(2)]
+        for got, want in [*zip(lmscore.unpack(lmscore.pack(*counts, keys), True), (*counts, keys)), *zip(lmscore.unpack(lmscore.pack(*counts)), counts)]:
+            assert len(got) == len(want) and (got == want).all()
     close = np.arange(70, dtype=np.uint64)
-    assert (lmscore.unpack(lmscore.pack(close, np.ones(70, int), np.zeros(70, int)))[0] == close).all()
+    assert (lmscore.unpack(lmscore.pack(np.ones(70, int), np.zeros(70, int), close), True)[2] == close).all()
 
 
 def test_language_models_whole(spark, monkeypatch):
