@@ -152,8 +152,9 @@ def _add(rows: pd.DataFrame, least: int) -> pd.DataFrame:
 
 def _score(part: pd.DataFrame, found: pd.DataFrame, mix: float, smooth: float) -> pd.DataFrame:
     """Losses of a chunk's documents by the sums that came back, which stand in the order of its keys."""
-    read = [(*_keys()(part["_text"].iloc[lo : lo + 200]),) for lo in range(0, len(part), 200)]
-    key = np.unique(np.concatenate([x for words, pairs, _ in read for x in (words, pairs[pairs != 0], np.zeros(min(1, len(words)), np.uint64))] + [np.zeros(0, np.uint64)]))
+    read = [_keys()(part["_text"].iloc[lo : lo + 200]) for lo in range(0, len(part), 200)]
+    # the pair at the first word of a text is 0, the key of every word
+    key, place = np.unique(np.concatenate([x for words, pairs, _ in read for x in (words, pairs)]), return_inverse=True)
     answers = [unpack(b) for b in found.sort_values("bucket")["blob"]]
     n, m = (np.concatenate([a[i] for a in answers] + [np.zeros(0, np.int64)]) for i in (0, 1))
     if len(n) != len(key):
@@ -163,9 +164,11 @@ def _score(part: pd.DataFrame, found: pd.DataFrame, mix: float, smooth: float) -
     seen = np.concatenate([np.stack([m, n]).astype(float), np.zeros((2, 1))], axis=1)
     total, known = np.array([sums["m"], sums["n"]], float), np.array([sums["known_m"], sums["known_n"]], float)
     rest, over = np.maximum(0.0, total - known), total + smooth * (sums["words"] + 1)
-    out = []
+    out, lo = [], 0
     for words, pairs, sizes in read:
-        at, pair = np.searchsorted(key, words), np.where(pairs == 0, len(key), np.searchsorted(key, pairs))
+        at, pair = place[lo : lo + len(words)], place[lo + len(words) : lo + 2 * len(words)]
+        lo += 2 * len(words)
+        pair = np.where(pairs == 0, len(key), pair)
         own = np.where(seen[1, at] > 0, seen[:, at], rest[:, None])
         p = (own + smooth) / over[:, None]
         # a context that a model hardly saw leans on the unigrams: absolute weight `smooth` a context
