@@ -93,6 +93,17 @@ def sessions(rows: DataFrame, gap: float, cap: int | None = None) -> DataFrame:
         BLOCK, "_prev", "_gap", "_split", "_s")
 
 
+def dropped_after(touches: DataFrame, keep: dict[str, float], now: Column) -> DataFrame:
+    """Drops `(user_id, kind, last_us, dropped_us)`: things `(user_id, kind, event_id, us)` that lay untouched for over
+    `keep[kind]` hours, by `now` (microseconds). Other kinds are kept for good."""
+    hours = F.create_map(*[F.lit(x) for pair in keep.items() for x in pair])
+    rows = touches.where(F.col("kind").isin(list(keep))).withColumn("_live", F.round(hours[F.col("kind")] * 3600e6).cast("long"))
+    steps = scan(density_blocks(rows, ["user_id", "kind"], "us", tie="event_id"), ["user_id", "kind"], ["us", "event_id"], lead={"_next": "us"})
+    end = F.col("us") + F.col("_live")
+    gone = F.when(F.col("_next").isNull(), end <= now).otherwise(F.col("_next") > end)
+    return steps.where(gone).select("user_id", "kind", F.col("us").alias("last_us"), end.alias("dropped_us"))
+
+
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, salts: int = 32) -> DataFrame:
     """First k rows per group: k per salted part of a group first, then k of those, so that
     one task never sees more than a part of a long group or salts·k rows."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuewise.operators import folds as fo
+from cuewise.operators import windows as wi
 from cuewise.operators.chapters import absolute, overlapped_chunks, rebase
 from cuewise.operators.ordered import density_blocks
 from cuewise.plans.registry import query
@@ -58,6 +59,29 @@ def m2_stream(t):
     return live.drain(live.not_cached(live.event_stream(t.spark, t.sf_dir), 24), work_dir(t.spark))
 
 
+# Hours that logs, requests, uploads and cached results are kept; events stand in for them by type.
+KEEP = {"error": 2.0, "click": 6.0, "view": 8.0, "purchase": 48.0}
+KEEP_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN {round(h * 3600)}000000" for k, h in KEEP.items()) + " END"
+DROP_SQL = f"""
+WITH e AS (SELECT user_id, event_type AS kind, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nxt FROM events WHERE event_type IN ({", ".join(f"'{k}'" for k in KEEP)})),
+k AS (SELECT *, us + {KEEP_SQL} AS fin FROM e), w AS (SELECT {{mark}} AS mark FROM events)
+SELECT user_id, kind, us AS last_us, fin AS dropped_us FROM k, w WHERE CASE WHEN nxt IS NULL THEN {{fin}} <= mark ELSE nxt > fin END"""
+
+
+@query("m2_retention", "", DROP_SQL.format(mark="max(epoch_us(ts))", fin="fin"))
+def m2_retention(t):
+    """Drops up to the last event of all."""
+    e = t.read("events").select("user_id", F.col("event_type").alias("kind"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return wi.dropped_after(e, KEEP, e.agg(F.max("us")).scalar())
+
+
+@query("m2_retention_stream", "", DROP_SQL.format(mark="epoch_us(date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE)", fin="(fin + 999) // 1000 * 1000"))
+def m2_retention_stream(t):
+    """The same on a stream, up to its watermark."""
+    events = live.event_stream(t.spark, t.sf_dir).withColumnRenamed("event_type", "kind")
+    return live.drain(live.dropped(events, KEEP), work_dir(t.spark))
+
+
 @query("m3_overlapped_chunks", "dur evs", """
 WITH c AS (SELECT video_id, k, k * 595.0::DOUBLE AS s, least(k * 595.0::DOUBLE + 600, duration) AS e FROM dur, range(400) AS r(k) WHERE k * 595 < duration),
 p AS (SELECT c.video_id, c.k, event_id, greatest(v.start_s, c.s) AS a, least(v.end_s, c.e) AS b FROM c JOIN evs v ON v.video_id = c.video_id AND v.start_s < c.e AND (v.end_s > c.s OR v.start_s >= c.s) WHERE c.e > 100 AND c.s < 9000)

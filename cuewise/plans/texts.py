@@ -532,11 +532,20 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x))
 
 
+# What the fixture writes in full width, and what that folds to.
+NARROW = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+FULL = "".join(chr(ord(c) + 0xFEE0) for c in NARROW)
+
+
 @query("u5_folded_distinct_titles", "lin", rf"""
-WITH s AS (SELECT video_id, line_no, regexp_replace({STRIP("nfc_normalize(text)")}, '[\s\p{{Z}}]+', ' ', 'g') AS t FROM lin), f AS (SELECT video_id, lower(t) AS k, arg_min(t, line_no) AS title, min(line_no) AS pos FROM s WHERE t <> '' GROUP BY 1, 2)
+WITH w AS (SELECT video_id, line_no, CASE WHEN line_no % 3 = 1 THEN translate(text, '{NARROW}', '{FULL}') || '　Ⅳ' WHEN line_no % 3 = 2 THEN text || ' IV' ELSE text END AS text FROM lin),
+s AS (SELECT video_id, line_no, regexp_replace({STRIP(f"replace(translate(nfc_normalize(text), '{FULL}　', '{NARROW} '), 'Ⅳ', 'IV')")}, '[\s\p{{Z}}]+', ' ', 'g') AS t FROM w), f AS (SELECT video_id, lower(t) AS k, arg_min(t, line_no) AS title, min(line_no) AS pos FROM s WHERE t <> '' GROUP BY 1, 2)
 SELECT video_id, printf('T%02d', rn) AS topic_id, title FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY pos) AS rn FROM f) WHERE rn <= 12""")
 def u5(t):
-    title = F.regexp_replace(tx.strip(nfkc(F.col("text"))), r"(?U)\s+", " ")
+    """Every third line in full-width letters and digits, with a wide space and a Roman number of one character."""
+    n = F.col("line_no") % 3
+    made = F.when(n == 1, F.concat(F.translate("text", NARROW, FULL), F.lit("　Ⅳ"))).when(n == 2, F.concat("text", F.lit(" IV"))).otherwise(F.col("text"))
+    title = F.regexp_replace(tx.strip(nfkc(made)), r"(?U)\s+", " ")
     rows = once(t.lin.select("video_id", F.col("line_no").alias("pos"), title.alias("t")), title=F.col("t")).drop("t")
     return tr.folded_distinct(rows, F.col("title"), 12)
 
@@ -554,22 +563,26 @@ def d1(t):
 
 
 MERGING = {
-    "interleave": lambda a, c: tr.interleave([("ASR ", a), ("Caption ", c)]).select("video_id", F.col("place").cast("long").alias("pos"), "line"),
-    "asr+captions": lambda a, c: tr.stacked([("ASR transcript:", a), ("Captions:", c)]).select("video_id", "pos", "line"),
-    "captions+asr": lambda a, c: tr.stacked([("Captions:", a), ("ASR transcript:", c)]).select("video_id", "pos", "line"),
+    "interleave": lambda a, c: tr.interleave([("ASR ", a), ("Caption ", c)]).select("video_id", F.lit(0).alias("section"), F.col("place").cast("long").alias("pos"), "line"),
+    "asr+captions": lambda a, c: tr.stacked([("ASR transcript:", a), ("Captions:", c)]).select("video_id", "section", "pos", "line"),
+    "captions+asr": lambda a, c: tr.stacked([("Captions:", c), ("ASR transcript:", a)]).select("video_id", "section", "pos", "line"),
 }
 
 
-@query("d2_pluggable_merging", "seg dur", """
-WITH st AS (SELECT video_id, 1 AS a, 0 AS c FROM seg UNION ALL SELECT video_id, 0, 1 FROM evs),
-n AS (SELECT video_id, count(*) AS n, max(a) AS a, max(c) AS c FROM st GROUP BY 1)
-SELECT 'interleave' AS method, video_id, n FROM n UNION ALL
-SELECT m, video_id, n + a + a * c FROM n, (VALUES ('asr+captions'), ('captions+asr')) AS v(m)""")
+def merge_sql(name: str, first: str, head: str, second: str, head2: str) -> str:
+    return f"""SELECT '{name}' AS method, video_id, 0 AS section, pos, text AS line FROM {first} UNION ALL SELECT '{name}', video_id, 1, pos, text FROM {second}
+UNION ALL SELECT DISTINCT '{name}', video_id, 0, -1, '{head}' FROM {first} UNION ALL SELECT DISTINCT '{name}', video_id, 1, -1, '{head2}' FROM {second} SEMI JOIN {first} USING (video_id)"""
+
+
+@query("d2_pluggable_merging", "seg pred", f"""WITH {STREAM_SQL}
+SELECT 'interleave' AS method, video_id, 0 AS section, row_number() OVER (PARTITION BY video_id ORDER BY sec, r, pos) AS pos, p || {HMS_SQL.format('sec')} || ': ' || text AS line FROM (SELECT * FROM a UNION ALL SELECT * FROM c)
+UNION ALL {merge_sql('asr+captions', 'a', 'ASR transcript:', 'c', 'Captions:')} UNION ALL {merge_sql('captions+asr', 'c', 'Captions:', 'a', 'ASR transcript:')}""")
 def d2(t):
+    """All lines under each way of merging two streams."""
     asr, cap, _ = streams(t)
     out = None
     for name, merge in MERGING.items():
-        part = merge(asr, cap).groupBy("video_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("method"), "video_id", "n")
+        part = merge(asr, cap).select(F.lit(name).alias("method"), "video_id", "section", "pos", "line")
         out = part if out is None else out.unionByName(part)
     return out
 

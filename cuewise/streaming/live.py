@@ -1,4 +1,4 @@
-"""Admission control, request log windows, cache validity and overlapped chunks on streams."""
+"""Admission control, request log windows, cache validity, retention and overlapped chunks on streams."""
 
 from __future__ import annotations
 
@@ -57,6 +57,60 @@ def not_cached(stream: DataFrame, hours: float = 24.0) -> DataFrame:
     return admitted(stream, 1, hours * 3600.0).where("allowed").select("user_id", "event_id")
 
 
+class Retention(StatefulProcessor):
+    """When a thing that is touched now and then has lain untouched for longer than its kind may.
+
+    The state is the last touch, with a timer at the end of its time to live; a touch in time moves both. After the
+    end nothing is kept, and a later touch starts anew.
+    """
+
+    def __init__(self, keep: dict[str, float]):
+        self.keep = {kind: round(hours * 3600e6) for kind, hours in keep.items()}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        live = self.keep[key[1]]
+        # one short column of one trigger, in time order
+        times = np.sort(np.concatenate([pdf["us"].to_numpy() for pdf in rows]))
+        if self.last.exists():
+            (before,) = self.last.get()
+            self.handle.deleteTimer(self._ends(before + live))
+            times = np.concatenate([[before], times[times >= before]])
+        ends = times[:-1][np.diff(times) > live]
+        self.last.update((int(times[-1]),))
+        self.handle.registerTimer(self._ends(int(times[-1]) + live))
+        yield self._dropped(key, ends, live)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        (before,) = self.last.get()
+        self.last.clear()
+        yield self._dropped(key, np.array([before], np.int64), self.keep[key[1]])
+
+    @staticmethod
+    def _ends(us: int) -> int:
+        return -(-us // 1000)
+
+    @staticmethod
+    def _dropped(key, last: np.ndarray, live: int) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": key[0], "kind": key[1], "last_us": last.astype(np.int64), "dropped_us": last.astype(np.int64) + live}, index=range(len(last)))
+
+
+def dropped(stream: DataFrame, keep: dict[str, float], delay: str = "10 minutes") -> DataFrame:
+    """Drops `(user_id, kind, last_us, dropped_us)` of things `(user_id, kind, ts)` that are kept for `keep[kind]` hours from their
+    last touch. A drop is reported once the watermark has passed it, or with the next touch. Other kinds are kept for good."""
+    use_disk_state(stream.sparkSession)
+    rows = stream.where(F.col("kind").isin(list(keep))).withWatermark("ts", delay).select("user_id", "kind", "ts", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("user_id", "kind").transformWithStateInPandas(Retention(keep), "user_id long, kind string, last_us long, dropped_us long", "append", "EventTime")
+
+
+def use_disk_state(spark: SparkSession) -> None:
+    """State with timers is kept by the built-in store on disk."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 class ChunkParts(StatefulProcessor):
     """Counts and reach of the parts of rows in the overlapped chunks of a signal.
 
@@ -124,9 +178,7 @@ def chunk_parts(stream: DataFrame, size: float = 600.0, overlap: float = 5.0, st
     are the reach of the parts from the chunk's start; `start` and `end` clip the signal. Chunks without
     parts are not reported. Rows behind the watermark are dropped, as are rows before a signal's first one.
     """
-    spark = stream.sparkSession
-    # the state of this operator is kept by the built-in store on disk
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    use_disk_state(stream.sparkSession)
     us = lambda s: None if s is None else round(s * 1e6)
     rows = stream.withWatermark("ts", delay).select("user_id", "ts", F.unix_micros("ts").alias("us"), "end_us")
     return rows.groupBy("user_id").transformWithStateInPandas(

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuewise.operators.chapters import absolute, rebase
+from cuewise.operators.windows import dropped_after
 from cuewise.sources.predictions import read_prediction_set, write_predictions
 from cuewise.streaming import live
 
@@ -79,6 +80,30 @@ def test_stream_equals_batch(spark, tmp_path, files):
     assert got == want and len(want) > 9
 
 
+@pytest.mark.parametrize("files", [1, 5])
+def test_retention_stream_equals_batch(spark, tmp_path, files):
+    """Touches before and after the end, in one trigger and in several."""
+    rng = random.Random(8)
+    keep = {"short": 0.1, "long": 0.5}
+    rows = []
+    for user in (1, 2):
+        for kind in ("short", "long", "for good"):
+            t = 0.0
+            for _ in range(25):
+                t += rng.choice([1.0, 200.0, 360.0, 360.001, 1700.0, 1800.5, 4000.0])
+                rows.append((user, kind, START + timedelta(seconds=t)))
+    rows.sort(key=lambda r: r[2])
+    n = -(-len(rows) // files)
+    for k in range(files):
+        spark.createDataFrame(rows[k * n : (k + 1) * n], "user_id long, kind string, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("user_id long, kind string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = sorted(map(tuple, live.drain(live.dropped(stream, keep, "1 minute"), f"{tmp_path}/out").select("user_id", "kind", "last_us", "dropped_us").collect()))
+    us = lambda t: int(t.timestamp() * 1e6)
+    mark = us(rows[-1][2]) // 1000 * 1000 - 60_000_000
+    batch = spark.createDataFrame([(u, k, i, us(t)) for i, (u, k, t) in enumerate(rows)], "user_id long, kind string, event_id long, us long")
+    assert got == sorted(map(tuple, dropped_after(batch, keep, F.lit(mark)).select("user_id", "kind", "last_us", "dropped_us").collect())) and len(got) > 20
+
+
 def test_prediction_set(spark, tmp_path):
     rows = [(f"v{i:03d}", f"00:00:{k:02d}", f"標題 {i} \"{k}\"") for i in range(70) for k in range(i % 4 + 1)]
     df = spark.createDataFrame(rows, "video_id string, stamp string, title string")
