@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,37 +36,11 @@ def profile(sims: DataFrame, threshold: float) -> DataFrame:
         *[F.count_if((s >= lo) & (s < hi)).alias(f"h{i}") for i, (lo, hi) in enumerate(BINS)])
 
 
-def mean_pool(vecs: DataFrame, held: int = 1024) -> DataFrame:
-    """Mean vector per video; null when dimensions differ.
-
-    A task adds up the vectors of each video, of at most `held` videos at a time, so a row that is shuffled is
-    a sum of many vectors; the sums of one video, one per task at most, are added by element.
-    """
+def mean_pool(vecs: DataFrame) -> DataFrame:
+    """Mean vector per video; null when dimensions differ. A task sends one running mean per video and dimension."""
     ok = vecs.where(F.col("vec").isNotNull() & (F.size("vec") > 0)).select("video_id", F.col("vec").cast("array<double>").alias("vec"))
-
-    def add(batches):
-        sums: dict = {}
-
-        def out():
-            keys = list(sums)
-            rows = pd.DataFrame({"video_id": [k[0] for k in keys], "n": [sums[k][0] for k in keys], "total": [sums[k][1] for k in keys]})
-            sums.clear()
-            return rows
-
-        for b in batches:
-            for video, vec in zip(b["video_id"], b["vec"]):
-                n, total = sums.get((video, len(vec)), (0, 0.0))
-                sums[video, len(vec)] = (n + 1, total + vec)
-                if len(sums) > held:
-                    yield out()
-        if sums:
-            yield out()
-
-    parts = ok.mapInPandas(add, f"video_id {dict(vecs.dtypes)['video_id']}, n long, total array<double>")
-    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    both = parts.groupBy("video_id").agg(F.sum("n").alias("n"), F.collect_list("total").alias("t"), F.min(F.size("total")).alias("a"), F.max(F.size("total")).alias("b"))
-    total = F.aggregate(F.slice("t", F.lit(2), F.size("t")), F.col("t")[0], plus)
-    return both.select("video_id", F.when(F.col("a") == F.col("b"), F.transform(total, lambda x: x / F.col("n"))).alias("vec"))
+    means = ok.groupBy("video_id", F.size("vec").alias("_n")).agg(vector_to_array(Summarizer.mean(array_to_vector("vec"))).alias("vec"))
+    return means.groupBy("video_id").agg(F.when(F.count("*") == 1, F.any_value("vec")).alias("vec"))
 
 
 def top_labels(vecs: DataFrame, labels: DataFrame, k: int, per_group: int = 256) -> DataFrame:
