@@ -60,8 +60,8 @@ def not_cached(stream: DataFrame, hours: float = 24.0) -> DataFrame:
 class Retention(StatefulProcessor):
     """When a thing that is touched now and then has lain untouched for longer than its kind may.
 
-    The state is the last touch, with a timer at the end of its time to live; a touch in time moves both. After the
-    end nothing is kept, and a later touch starts anew.
+    The state is the last touch of each of an owner's kinds, in one value, with one timer at the earliest end of a time to
+    live. After its end nothing is kept of a kind, and a later touch starts anew.
     """
 
     def __init__(self, keep: dict[str, float]):
@@ -69,33 +69,51 @@ class Retention(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "us long")
+        self.last = handle.getValueState("last", "kinds array<string>, us array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        live = self.keep[key[1]]
-        # one short column of one trigger, in time order
-        times = np.sort(np.concatenate([pdf["us"].to_numpy() for pdf in rows]))
-        if self.last.exists():
-            (before,) = self.last.get()
-            self.handle.deleteTimer(self._ends(before + live))
-            times = np.concatenate([[before], times[times >= before]])
-        ends = times[:-1][np.diff(times) > live]
-        self.last.update((int(times[-1]),))
-        self.handle.registerTimer(self._ends(int(times[-1]) + live))
-        yield self._dropped(key, ends, live)
+        # two short columns of one trigger
+        found = [(pdf["kind"].to_numpy(object), pdf["us"].to_numpy()) for pdf in rows]
+        kinds, us = (np.concatenate(x) for x in zip(*found))
+        held = dict(zip(*self.last.get())) if self.last.exists() else {}
+        due, gone = self._due(held), []
+        for kind in sorted(set(kinds)):
+            times = np.sort(us[kinds == kind])
+            if kind in held:
+                times = np.concatenate([[held[kind]], times[times >= held[kind]]])
+            gone += [(kind, int(t)) for t in times[:-1][np.diff(times) > self.keep[kind]]]
+            held[kind] = int(times[-1])
+        self._keep(held, due)
+        return self._dropped(key, gone)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        (before,) = self.last.get()
-        self.last.clear()
-        yield self._dropped(key, np.array([before], np.int64), self.keep[key[1]])
-
-    @staticmethod
-    def _ends(us: int) -> int:
-        return -(-us // 1000)
-
-    @staticmethod
-    def _dropped(key, last: np.ndarray, live: int) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": key[0], "kind": key[1], "last_us": last.astype(np.int64), "dropped_us": last.astype(np.int64) + live}, index=range(len(last)))
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        held = dict(zip(*self.last.get()))
+        gone = [(kind, us) for kind, us in held.items() if self._ends(kind, us) <= now]
+        self._keep({kind: us for kind, us in held.items() if self._ends(kind, us) > now}, None)
+        return self._dropped(key, gone)
+
+    def _ends(self, kind: str, us: int) -> int:
+        return -(-(us + self.keep[kind]) // 1000)
+
+    def _due(self, held: dict[str, int]) -> int | None:
+        return min((self._ends(*x) for x in held.items()), default=None)
+
+    def _keep(self, held: dict[str, int], due: int | None) -> None:
+        """`held` as the state, with its timer in place of the one at `due`."""
+        if held:
+            self.last.update((list(held), list(held.values())))
+        else:
+            self.last.clear()
+        if (then := self._due(held)) != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            if then is not None:
+                self.handle.registerTimer(then)
+
+    def _dropped(self, key, gone: list[tuple[str, int]]) -> Iterator[pd.DataFrame]:
+        if gone:
+            yield pd.DataFrame([(key[0], kind, us, us + self.keep[kind]) for kind, us in gone], columns=["user_id", "kind", "last_us", "dropped_us"])
 
 
 def dropped(stream: DataFrame, keep: dict[str, float], delay: str = "10 minutes") -> DataFrame:
@@ -103,7 +121,7 @@ def dropped(stream: DataFrame, keep: dict[str, float], delay: str = "10 minutes"
     last touch. A drop is reported once the watermark has passed it, or with the next touch. Other kinds are kept for good."""
     use_disk_state(stream.sparkSession)
     rows = stream.where(F.col("kind").isin(list(keep))).withWatermark("ts", delay).select("user_id", "kind", "ts", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("user_id", "kind").transformWithStateInPandas(Retention(keep), "user_id long, kind string, last_us long, dropped_us long", "append", "EventTime")
+    return rows.groupBy("user_id").transformWithStateInPandas(Retention(keep), "user_id long, kind string, last_us long, dropped_us long", "append", "EventTime")
 
 
 def use_disk_state(spark: SparkSession) -> None:
@@ -115,8 +133,9 @@ class ChunkParts(StatefulProcessor):
     """Counts and reach of the parts of rows in the overlapped chunks of a signal.
 
     A signal's time starts at its first row, so that instant is kept with it. Of each open chunk three numbers are
-    kept; a timer at its end, in event time, hands it on and forgets it. What a signal keeps is the origin
-    and the chunks that the watermark has not passed.
+    kept. All stand in one value, so a signal costs one read and one write a trigger, however many chunks it has; one
+    timer, in event time, stands at the end of its first open chunk, and hands on every chunk that the watermark has passed.
+    What a signal keeps is the origin and the chunks that the watermark has not passed.
     """
 
     def __init__(self, size: int, overlap: int, start: int, end: int | None):
@@ -124,51 +143,66 @@ class ChunkParts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.origin = handle.getValueState("origin", "us long")
-        self.chunks = handle.getMapState("chunks", "chunk_no long", "n long, first_us long, last_us long")
+        self.held = handle.getValueState("held", "us long, chunk_no array<bigint>, n array<bigint>, first_us array<bigint>, last_us array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if not self.origin.exists():
-            # the earliest row of the first trigger opens the signal: two short columns of that trigger are held
-            rows = [pdf[["us", "end_us"]] for pdf in rows]
-            self.origin.update((int(min(pdf["us"].min() for pdf in rows)),))
-        (origin,) = self.origin.get()
-        for pdf in rows:
-            for no, part in self._parts(pdf["us"].to_numpy() - origin, pdf["end_us"].to_numpy() - origin):
-                n, first, last = len(part), int(part[:, 0].min()), int(part[:, 1].max())
-                if self.chunks.containsKey((no,)):
-                    m, f, l = self.chunks.getValue((no,))
-                    n, first, last = n + m, min(first, f), max(last, l)
-                else:
-                    self.handle.registerTimer(self._closes(origin, no))
-                self.chunks.updateValue((no,), (n, first, last))
+        # two short columns of one trigger
+        found = [pdf[["us", "end_us"]].to_numpy(np.int64) for pdf in rows]
+        us = np.concatenate(found)
+        # the earliest row of the first trigger opens the signal
+        origin, *old = self.held.get() if self.held.exists() else (int(us[:, 0].min()), [], [], [], [])
+        old = [np.array(x, np.int64) for x in old]
+        due = self._closes(origin, int(old[0].min())) if len(old[0]) else None
+        self._keep(origin, self._merged(*(np.concatenate(x) for x in zip(old, self._parts(us[:, 0] - origin, us[:, 1] - origin)))), due)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        (origin,) = self.origin.get()
-        no = round((expiredTimerInfo.getExpiryTimeInMs() * 1000 - origin - self.size) / self.step)
-        found = self.chunks.getValue((no,))
-        self.chunks.removeKey((no,))
-        yield pd.DataFrame([(key[0], no, origin, *found)], columns=["user_id", "chunk_no", "origin_us", "n", "first_us", "last_us"])
-
-    def _closes(self, origin: int, no: int) -> int:
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        origin, *old = self.held.get()
+        old = [np.array(x, np.int64) for x in old]
+        closed = self._closes(origin, old[0]) <= now
+        self._keep(origin, [x[~closed] for x in old], None)
+        no, n, first, last = (x[closed] for x in old)
+        if len(no):
+            yield pd.DataFrame({"user_id": key[0], "chunk_no": no, "origin_us": origin, "n": n, "first_us": first, "last_us": last})
+
+    def _keep(self, origin: int, chunks: list[np.ndarray], due: int | None) -> None:
+        """`chunks` as the state, with their timer in place of the one at `due`."""
+        self.held.update((origin, *(x.tolist() for x in chunks)))
+        then = self._closes(origin, int(chunks[0].min())) if len(chunks[0]) else None
+        if then != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            if then is not None:
+                self.handle.registerTimer(then)
+
+    def _closes(self, origin: int, no):
         """Milliseconds at which no row can start in the chunk any more."""
         return -(-(origin + no * self.step + self.size) // 1000)
 
-    def _parts(self, a: np.ndarray, b: np.ndarray):
-        """Chunk numbers, each with the clipped start and end of the parts in it. Rows before the origin don't count."""
+    @staticmethod
+    def _merged(no: np.ndarray, n: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        """One entry per chunk number."""
+        if not len(no):
+            return [no, n, first, last]
+        order = np.argsort(no, kind="stable")
+        no, n, first, last = no[order], n[order], first[order], last[order]
+        at = np.flatnonzero(np.diff(no, prepend=no[0] - 1))
+        return [no[at], np.add.reduceat(n, at), np.minimum.reduceat(first, at), np.maximum.reduceat(last, at)]
+
+    def _parts(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Chunk number, 1, and clipped start and end of each row's part in every chunk. Rows before the origin don't count."""
         a, b = a[a >= 0], b[a >= 0]
         first = np.maximum(0, (a - self.size) // self.step + 1)
         last = np.maximum(a // self.step, -(-b // self.step) - 1)
         many = last - first + 1
         no = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         low = no * self.step
-        parts = np.stack([np.maximum(np.repeat(a, many), low) - low, np.minimum(np.repeat(b, many), low + self.size) - low], axis=1)
-        inside = (low + self.size > self.start) & (low + parts[:, 1] > self.start)
+        start, end = np.maximum(np.repeat(a, many), low) - low, np.minimum(np.repeat(b, many), low + self.size) - low
+        inside = (low + self.size > self.start) & (low + end > self.start)
         if self.end is not None:
-            inside &= (low < self.end) & (low + parts[:, 0] < self.end)
-        for k in np.unique(no[inside]):
-            yield int(k), parts[inside & (no == k)]
+            inside &= (low < self.end) & (low + start < self.end)
+        return no[inside], np.ones(inside.sum(), np.int64), start[inside], end[inside]
 
 
 def chunk_parts(stream: DataFrame, size: float = 600.0, overlap: float = 5.0, start: float = 0.0, end: float | None = None, delay: str = "10 minutes") -> DataFrame:
