@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuewise.functions.blocks import alike
+from cuewise.functions.blocks import alike, char_counts
 from cuewise.operators.folds import fold
 from cuewise.operators.ordered import fixed_blocks
 from cuewise.session import checkpointed
@@ -34,6 +35,10 @@ def _hashes(text: str, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
+#: Lines of a group up to which every two of them are compared; pairs of lines that one step compares.
+FEW_LINES, PAIRS = 1 << 10, 1 << 16
+
+
 class _Cut:
     """Where lines are cut into pieces, for one cutoff."""
 
@@ -78,26 +83,87 @@ def _pieces(lines: DataFrame, keep: list[str], cut: _Cut, every: bool) -> DataFr
     return lines.select(*keep, "text").mapInPandas(run, lines.select(*keep).schema.add("n", "long").add("at", "long").add("h", "long"))
 
 
+def _within(frame: pd.DataFrame, keys: list[str], cutoff: float):
+    """Ordered pairs of row numbers of equal keys (sorted) whose length and character counts allow the ratio, step by step."""
+    change = (frame[keys] != frame[keys].shift()).any(axis=1).to_numpy()
+    start = np.flatnonzero(change)
+    size = np.diff(np.append(start, len(frame)))
+    start, size = np.repeat(start, size), np.repeat(size, size)
+    counts = char_counts(frame["text"].tolist()).astype(np.int32)
+    n = counts.sum(axis=1)
+    ends, low = np.cumsum(size), 0
+    while low < len(frame):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, "right")))
+        many = size[low:high]
+        x = np.repeat(np.arange(low, high), many)
+        y = np.repeat(start[low:high], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        near = (x != y) & (2 * np.minimum(n[x], n[y]) >= cutoff * (n[x] + n[y]) - 1e-9)
+        x, y = x[near], y[near]
+        near = 2.0 * np.minimum(counts[x], counts[y]).sum(axis=1) >= cutoff * (n[x] + n[y]) - 1e-9
+        yield x[near], y[near]
+        low = high
+
+
+def _met_within(lines: DataFrame, keys: list[str], rest: list[str], cutoff: float) -> DataFrame:
+    """Pairs `(video_id, rest_x.., rest_y.., tx, ty)` inside groups of at most `FEW_LINES` lines: one shuffle of the lines,
+    then one group at a time is held."""
+    names = [(c, f"{c}_{s}") for s in "xy" for c in rest] + [("text", "tx"), ("text", "ty")]
+
+    def pairs(frame):
+        frame = frame.reset_index(drop=True)
+        for x, y in _within(frame, keys, cutoff):
+            for low in range(0, len(x), 1 << 12):
+                i, j = x[low : low + (1 << 12)], y[low : low + (1 << 12)]
+                out = {"video_id": frame["video_id"].to_numpy()[i]}
+                yield pd.DataFrame(out | {name: frame[c].to_numpy()[i if name.endswith("x") else j] for c, name in names})
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if not len(b):
+                continue
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            last = b[keys].iloc[-1]
+            open_ = (b[keys] == last).all(axis=1).to_numpy()
+            held = b[open_]
+            if not open_.all():
+                yield from pairs(b[~open_])
+        if held is not None:
+            yield from pairs(held)
+
+    types = dict(lines.dtypes)
+    schema = ", ".join(["video_id " + types["video_id"], *[f"{name} {types[c]}" for c, name in names]])
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lines.select(*keys, *rest, "text").repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
 def similar_pairs(lines: DataFrame, keys: list[str], cutoff: float, before: Column) -> DataFrame:
     """`(video_id, x, y)`: lines `y` before `x` (their `line_no`) whose block ratio with `x` reaches `cutoff`.
 
     `lines (keys.., line_no, text)`, `line_no` and any further column whole numbers without null; `before`
-    relates the two sides, with `_x` and `_y` after the names. With a ratio of at least t, the characters of both that stand
+    relates the two sides, with `_x` and `_y` after the names. Groups of at most `FEW_LINES` lines are shuffled once and
+    compared whole, by length and character counts first. In longer ones lines meet on pieces, two to three rows a character:
+    with a ratio of at least t, the characters of both that stand
     outside the blocks are at most (1 - t) of all, and the longer line is at most 2 / t - 1 times the other.
     So of one piece more than that, one piece of `y` is found whole in `x`, moved by no more than that. Pairs meet on
-    the hash of such a piece, within the length band; only then are texts joined to them, and the
+    the hash of such a piece, within the length band; only then are texts joined to them. In both, the
     ratio is worked out for those whose character counts allow it. No pair is lost; a cutoff must be above 2/3.
     """
     if cutoff <= 2 / 3:
         raise ValueError("pieces need a cutoff above 2/3")
     cut, rest = _Cut(cutoff), [c for c in lines.columns if c not in (*keys, "text")]
-    filled = lines.where("text <> ''")
+    filled = lines.where("text <> ''").dropna(subset=keys)
+    # at most lines / FEW_LINES groups
+    long = F.broadcast(filled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW_LINES).select(*keys))
+    few = _met_within(filled.join(long, keys, "left_anti"), keys, rest, cutoff).where(before)
+    filled = filled.join(long, keys, "left_semi")
     side = lambda name, every: _pieces(filled, [*keys, *rest], cut, every).withColumnsRenamed({c: f"{c}_{name}" for c in (*rest, "n", "at")})
     both = F.col("n_x") + F.col("n_y")
     near = (2 * F.least("n_x", "n_y") >= cutoff * both - 1e-9) & (F.abs(F.col("at_x") - F.col("at_y")) <= (1 - cutoff) * both + 1e-9)
     met = side("x", True).join(side("y", False), [*keys, "h"]).where(near & before).select("video_id", F.col("line_no_x").alias("x"), F.col("line_no_y").alias("y")).distinct()
-    text = lambda name: lines.select("video_id", F.col("line_no").alias(name), F.col("text").alias(f"t{name}"))
+    text = lambda name: filled.select("video_id", F.col("line_no").alias(name), F.col("text").alias(f"t{name}"))
     pairs = met.join(text("x"), ["video_id", "x"]).join(text("y"), ["video_id", "y"])
+    pairs = pairs.unionByName(few.select("video_id", F.col("line_no_x").alias("x"), F.col("line_no_y").alias("y"), "tx", "ty"))
 
     def run(batches):
         for b in batches:

@@ -1,6 +1,9 @@
 """What grows with the input: calls to the state of a stream, rows that are shuffled, work per line."""
 
 import pandas as pd
+from pyspark.sql import functions as F
+
+from cuewise.operators import neardup as nd
 from cuewise.streaming import live
 
 
@@ -67,3 +70,16 @@ def test_kinds_of_an_owner_share_one_state():
     handle.timers.clear()
     out = pd.concat(keep.handleExpiredTimer((1,), At(4 * 3600_000), At(4 * 3600_000)))
     assert sorted(out["kind"]) == ["a", "b"] and not handle.timers and handle.value is None
+
+
+def test_lines_of_short_groups_meet_without_pieces(spark, monkeypatch):
+    texts = ["the quick brown fox jumps", "the quick brown fox jumped", "another line of words", "another line of word", "x", "the quick brown fox jumps over it"]
+    rows = [(v, k, t) for v in ("a", "b") for k, t in enumerate(texts)] + [(None, 9, texts[0]), (None, 10, texts[1])]
+    lines = spark.createDataFrame(rows, "video_id string, line_no long, text string")
+    found = {}
+    for few in (0, 1 << 10):
+        monkeypatch.setattr(nd, "FEW_LINES", few)
+        found[few] = sorted(map(tuple, nd.similar_pairs(lines, ["video_id"], 0.9, F.col("line_no_y") < F.col("line_no_x")).collect()))
+    assert found[0] == found[1 << 10] == [("a", 1, 0), ("a", 3, 2), ("b", 1, 0), ("b", 3, 2)]
+    frame = pd.DataFrame({"video_id": ["a"] * 3, "text": ["abc", "abcd", "zzzzzzzzzz"]})
+    assert [(x.tolist(), y.tolist()) for x, y in nd._within(frame, ["video_id"], 0.8)] == [([0, 1], [1, 0])]
