@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewise.operators.ordered import BLOCK, fixed_blocks, scan
+from cuewise.operators.ordered import BLOCK
 from cuewise.session import checkpointed
 
 
@@ -210,15 +210,42 @@ def keyword_shift(threshold: float = 0.2) -> Callable:
 
 
 def with_last_places(rows: DataFrame, keys: list[str], pos: str, words: str) -> DataFrame:
-    """Adds `n`, the different words of a row, and `back`, the last place before it of each that has one.
+    """Adds `n`, the different words at a row's place, and `back`, the last place before of each that has one.
 
-    `pos` is dense per group. A word's places are an ordered group of their own, cut into blocks like any other.
+    The rows are shuffled once and streamed in order; what is held is the last place of each of a group's words.
     """
-    each = rows.select(*keys, pos, F.explode(F.array_distinct(words)).alias("_w"))
-    back = scan(fixed_blocks(each, pos), [*keys, "_w"], [pos], lag={"_p": pos})
-    per = back.groupBy(*keys, pos).agg(F.count("*").alias("n"), F.collect_list("_p").alias("back"))
-    none = F.array().cast(per.schema["back"].dataType)
-    return rows.join(per, [*keys, pos], "left").withColumns({"n": F.coalesce("n", F.lit(0).cast("long")), "back": F.coalesce("back", none)})
+    others = [c for c in rows.columns if c not in (*keys, pos, words)]
+
+    def step(state, batch, last):
+        places, held = state or ({}, [])
+        out = []
+
+        def close():
+            # rows of one place count together
+            n, back = 0, []
+            for row in held:
+                for w in set(() if row[1] is None else row[1]):
+                    if w in places:
+                        back.append(places[w])
+                    places[w] = row[0]
+                    n += 1
+            out.extend((*row, n, back) for row in held)
+
+        for row in batch:
+            if held and held[0][0] != row[0]:
+                close()
+                held = []
+            held.append(row)
+        if last:
+            close()
+        return out, (places, held)
+
+    types = dict(rows.dtypes)
+    columns = [pos, words, *others]
+    staged = rows.withColumn(BLOCK, F.lit(0)).withColumn("_state", F.lit(None).cast("string")).withColumn("_last", F.lit(True))
+    out = ", ".join([*[f"{c} {types[c]}" for c in columns], "n long", f"back array<{types[pos]}>"])
+    found = _staged(staged, keys, [pos], columns, [*columns, "n", "back"], step, out)
+    return found.select(*rows.columns, "n", "back")
 
 
 def similar_text(threshold: float = 0.7) -> Callable:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,13 +23,50 @@ def words(text: Column, pattern: str = WORDS4) -> Column:
 def top_words(df: DataFrame, key: list[str], text: str, k: int, pattern: str = WORDS4, lower: bool = True) -> DataFrame:
     """Most frequent words per text, ties by first appearance: `(key…, rank, word, n)`.
 
-    Counts are combined per text before ranking; one text is one cell, so a group is bounded.
+    One text is one cell: where its key stands on no other row its words are counted there, and the texts alone
+    are shuffled. The words of texts that share a key are counted together, by word.
     """
-    source = F.lower(F.col(text)) if lower else F.col(text)
-    tokens = df.select(*key, F.posexplode(words(source, pattern)).alias("pos", "word"))
+    source = F.lower(F.col("_text")) if lower else F.col("_text")
+    one, more = single(df.select(*key, F.col(text).alias("_text")), key)
+    first = _top_of_each(one.select(*key, words(source, pattern).alias("_words")), key, k)
+    tokens = more.select(*key, F.posexplode(words(source, pattern)).alias("pos", "word"))
     counts = tokens.groupBy(*key, "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), "pos"))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= k).select(*key, "rank", "word", "n", "pos")
+    return first.unionByName(counts.withColumn("rank", rank).where(F.col("rank") <= k).select(*key, "rank", "word", "n", "pos"))
+
+
+def top_lists(df: DataFrame, key: list[str], text: str, k: int) -> DataFrame:
+    """The same words as one array a key, `(key.., top)`; texts without any word are left out."""
+    one, more = single(df.select(*key, F.col(text).alias("_text")), key)
+
+    @F.pandas_udf("array<string>")
+    def top(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda ws: [w for w, _ in Counter(ws).most_common(k)])
+
+    found = one.select(*key, words(F.lower("_text")).alias("_words")).where(F.size("_words") > 0).select(*key, top("_words").alias("top"))
+    return found.unionByName(top_words(more, key, "_text", k).groupBy(*key).agg(F.collect_list("word").alias("top")))
+
+
+def single(df: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key stands on no other row, and the others."""
+    rows = df.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*key)))
+    return rows.where("_rows = 1").drop("_rows"), rows.where("_rows > 1").drop("_rows")
+
+
+def _top_of_each(rows: DataFrame, key: list[str], k: int) -> DataFrame:
+    """`top_words` of rows `(key.., _words)`, each by itself."""
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("_words").to_pylist()
+            # words of equal counts keep the order in which they were found
+            found = [Counter(ws or ()).most_common(k) for ws in lists]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays([b.column(c).take(at) for c in key] + [
+                pa.array([r for f in found for r in range(1, len(f) + 1)], pa.int32()), pa.array([w for f in found for w, _ in f], pa.string()),
+                pa.array([n for f in found for _, n in f], pa.int64()), pa.array([ws.index(w) for f, ws in zip(found, lists) for w, _ in f], pa.int32())], [*key, "rank", "word", "n", "pos"])
+
+    return rows.mapInArrow(run, rows.select(*key).schema.add("rank", "integer").add("word", "string").add("n", "long").add("pos", "integer"))
 
 
 def corpus_topics(texts: DataFrame, k: int) -> DataFrame:

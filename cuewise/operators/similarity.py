@@ -9,7 +9,7 @@ from cuewise.functions import text as tx
 from cuewise.functions.timefmt import sec_to_hms
 from cuewise.operators import folds as fo
 from cuewise.operators.ordered import BLOCK, density_blocks, fixed_blocks, scan
-from cuewise.operators.textrows import tfidf
+from cuewise.operators.textrows import per_text, weighted
 from cuewise.operators.windows import joined_text
 
 
@@ -84,15 +84,19 @@ def unit(v: Column) -> Column:
 
 def line_similarity(lines: DataFrame) -> DataFrame:
     """Cosine of the keyword vectors of each line and the line before; null when one has no words."""
-    w = tfidf(lines).withColumn("line_no", F.col("line_no").cast("long"))
-    here = w.select("video_id", F.col("line_no"), "word", "weight")
-    before = w.select("video_id", (F.col("line_no") + 1).alias("line_no"), "word", F.col("weight").alias("other"))
-    dots = here.join(before, ["video_id", "line_no", "word"]).groupBy("video_id", "line_no").agg(F.sum(F.col("weight") * F.col("other")).alias("d"))
-    has = w.select("video_id", "line_no").distinct()
-    rows = lines.select("video_id", F.col("line_no").cast("long").alias("line_no")).where("line_no > 0")
-    rows = rows.join(has.withColumn("_a", F.lit(True)), ["video_id", "line_no"], "left").join(
-        has.select("video_id", (F.col("line_no") + 1).alias("line_no"), F.lit(True).alias("_b")), ["video_id", "line_no"], "left").join(dots, ["video_id", "line_no"], "left")
-    return rows.select("video_id", "line_no", F.when(F.col("_a") & F.col("_b"), F.round(F.coalesce("d", F.lit(0.0)), 9)).alias("sim"))
+
+    def sims(rows: list[tuple]) -> list[tuple]:
+        w = weighted(rows)
+        out = []
+        for no, _ in rows:
+            if no > 0:
+                a, b = w.get(no), w.get(no - 1)
+                out.append((no, None if a is None or b is None else sum(x * b.get(word, 0.0) for word, x in a.items())))
+        return out
+
+    known = per_text(lines, sims, "line_no long, sim double").select("video_id", "line_no", F.round("sim", 9).alias("sim"))
+    rest = lines.where("video_id IS NULL AND line_no > 0").select("video_id", F.col("line_no").cast("long").alias("line_no"), F.lit(None).cast("double").alias("sim"))
+    return known.unionByName(rest)
 
 
 def cosine_blocks(lines: DataFrame, sims: DataFrame, low: float = 0.55, high: float = 0.92, sigmas: float = 2.0, step: float = 0.05,

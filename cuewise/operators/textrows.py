@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewise.functions import text as tx
-from cuewise.operators.keywords import WORDS5, top_words, words
+from cuewise.operators.folds import grouped
+from cuewise.operators.keywords import WORDS5, single, top_words, words
 from cuewise.operators.ordered import BLOCK, density_blocks, fixed_blocks, scan
 from cuewise.operators.windows import top_rows
 
@@ -22,12 +27,32 @@ def first_occurrences(lines: DataFrame, denylist: list[str] = tx.LINE_DENYLIST)
 
 
 def limit_tokens(df: DataFrame, key: str, text: str, cap: int = 5) -> DataFrame:
-    """At most `cap` occurrences of each token, order kept; one text is one cell."""
-    rows = df.select(key, F.posexplode(tx.tokens(F.col(text))).alias("pos", "tok"))
+    """At most `cap` occurrences of each token, order kept; one text is one cell.
+
+    A text whose key stands on no other row is cut where it is; the tokens of texts that share a key count together.
+    """
+    one, more = single(df.select(key, F.col(text).alias("_text")), [key])
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        def short(toks) -> str:
+            seen: Counter = Counter()
+            out = []
+            for tok in toks:
+                seen[tok] += 1
+                if seen[tok] <= cap:
+                    out.append(tok)
+            return " ".join(out)
+
+        return texts.map(short)
+
+    toks = tx.tokens(F.col("_text"))
+    first = one.select(key, toks.alias("_toks")).where(F.size("_toks") > 0).select(key, cut("_toks").alias("text"))
+    rows = more.select(key, F.posexplode(toks).alias("pos", "tok"))
     n = F.row_number().over(Window.partitionBy(key, "tok").orderBy("pos"))
     kept = rows.withColumn("_n", n).where(F.col("_n") <= cap)
     ordered = F.sort_array(F.collect_list(F.struct("pos", "tok")))
-    return kept.groupBy(key).agg(F.concat_ws(" ", F.transform(ordered, lambda x: x["tok"])).alias("text"))
+    return first.unionByName(kept.groupBy(key).agg(F.concat_ws(" ", F.transform(ordered, lambda x: x["tok"])).alias("text")))
 
 
 # Fixed value: lines that are nothing but a speaker label.
@@ -88,18 +113,35 @@ def topic_seeds(lines: DataFrame, speech: DataFrame, k: int = 12) -> DataFrame:
 TFIDF_TOKEN = r"(?U)\b[\x{4e00}-\x{9fff}]{2,}|[a-zA-Z0-9_]{3,}\b"
 
 
+def weighted(rows: list[tuple]) -> dict[int, dict[str, float]]:
+    """Unit weights `{line_no: {word: weight}}` of one text's lines `(line_no, words)`: raw counts, idf
+    ln((1+n)/(1+df))+1, unit length. Lines without words have none."""
+    lines: dict[int, Counter] = {}
+    for no, text in rows:
+        if text:
+            lines.setdefault(no, Counter()).update(text.split(" "))
+    df = Counter(w for tf in lines.values() for w in tf)
+    idf = {w: math.log((1 + len(rows)) / (1 + d)) + 1 for w, d in df.items()}
+    out = {}
+    for no, tf in lines.items():
+        norm = math.sqrt(sum((c * idf[w]) ** 2 for w, c in tf.items()))
+        out[no] = {w: c * idf[w] / norm for w, c in tf.items()}
+    return out
+
+
+def per_text(lines: DataFrame, fn, out: str) -> DataFrame:
+    """`fn` on the lines `(line_no, words)` of each text in turn; their words, one cell a line, are shuffled once."""
+    rows = lines.select("video_id", "line_no", F.array_join(words(F.lower("text"), TFIDF_TOKEN), " ").alias("_words")).where("video_id IS NOT NULL")
+    return grouped(rows, ["video_id"], ["line_no"], ["line_no", "_words"], fn, out)
+
+
 def tfidf(lines: DataFrame) -> DataFrame:
-    """Word weights per line within its video: raw counts, idf ln((1+n)/(1+df))+1, unit length.
+    """Word weights per line within its video: raw counts, idf ln((1+n)/(1+df))+1, unit length."""
 
-    Document frequency and length are windows over (video, word) and (video, line), so the counts are
-    shuffled once each and never joined back; a window holds at most the lines of one text.
-    """
-    n = lines.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
-    tf = lines.select("video_id", "line_no", F.explode(words(F.lower("text"), TFIDF_TOKEN)).alias("word")).groupBy("video_id", "line_no", "word").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("video_id", "word"))).join(n, "video_id")
-    w = df.withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("video_id", "line_no")))
-    return w.select("video_id", "line_no", "word", (F.col("w") / norm).alias("weight"))
+    def weights(rows: list[tuple]) -> list[tuple]:
+        return [(no, w, x) for no, line in weighted(rows).items() for w, x in line.items()]
+
+    return per_text(lines, weights, f"line_no {dict(lines.dtypes)['line_no']}, word string, weight double")
 
 
 def capped_corpus(slides: DataFrame, speech: DataFrame, cap: int) -> DataFrame:

@@ -14,12 +14,13 @@ from cuewise.operators import similarity as si
 from cuewise.operators import textrows as tr
 from cuewise.operators import windows as wi
 from cuewise.operators.barrier import once
-from cuewise.operators.keywords import top_words
+from cuewise.operators.keywords import top_lists
 from cuewise.operators.ordered import BLOCK, density_blocks, fixed_blocks, scan
 from cuewise.operators.thinning import thin_gaps
 from cuewise.plans.registry import query
 from cuewise.plans.texts import MADE_TITLE_SQL, TOKS, words_sql, word_boxes
 from cuewise.plans.timebase import TOK_SQL, TRIM_SQL, thin_sql
+from cuewise.session import checkpointed
 
 STRIP = TRIM_SQL.format
 EVENTS_SQL = "o AS (SELECT *, text || CASE event_id % 3 WHEN 0 THEN '.' WHEN 1 THEN '' ELSE '' END AS tx, row_number() OVER (PARTITION BY video_id ORDER BY start_s, event_id) AS rn FROM evs)"
@@ -215,8 +216,8 @@ kw AS (SELECT video_id, line_no, list(w) AS k FROM (SELECT *, row_number() OVER
 
 
 def line_keywords(t):
-    kw = top_words(t.lin, ["video_id", "line_no"], "text", 10).groupBy("video_id", "line_no").agg(F.collect_list("word").alias("k"))
-    return t.lin.join(kw, ["video_id", "line_no"], "left").withColumn("line_no", F.col("line_no").cast("long"))
+    kw = top_lists(t.lin, ["video_id", "line_no"], "text", 10).withColumnRenamed("top", "k")
+    return t.lin.select("video_id", "line_no").join(kw, ["video_id", "line_no"], "left").withColumn("line_no", F.col("line_no").cast("long"))
 
 
 JAC = "coalesce(len(list_intersect({0}, {1})) / nullif(len(list_distinct({0} || {1})), 0)::DOUBLE, 0)"
@@ -228,7 +229,8 @@ f AS (SELECT video_id, line_no, line_no AS run, k AS u FROM o WHERE line_no = 0
  SELECT o.video_id, o.line_no, CASE WHEN {JAC.format('f.u', 'o.k')} < 0.05 THEN o.line_no ELSE f.run END, CASE WHEN {JAC.format('f.u', 'o.k')} < 0.05 THEN o.k ELSE list_distinct(f.u || o.k) END FROM f JOIN o ON o.video_id = f.video_id AND o.line_no = f.line_no + 1)
 SELECT video_id, run, count(*) AS n FROM f GROUP BY 1, 2""")
 def f12(t):
-    rows = fo.with_last_places(line_keywords(t).select("video_id", "line_no", "k"), ["video_id"], "line_no", "k").drop("k")
+    # places alone, read by the fold's test for blocks and by the fold
+    rows = checkpointed(fo.with_last_places(line_keywords(t).select("video_id", "line_no", "k"), ["video_id"], "line_no", "k").drop("k"))
     labels = fo.runs(fixed_blocks(rows, "line_no"), ["video_id"], ["line_no"], "line_no", ["line_no", "n", "back"], fo.keyword_shift(0.05))
     return labels.groupBy("video_id", "run").agg(F.count(F.lit(1)).alias("n"))
 
@@ -254,7 +256,8 @@ def f13(t):
     """Split where the similarity of neighbours is under a threshold set by mean and deviation; the
     back-off thresholds are all counted in one pass and the first that gives three blocks is used.
     Lowering a threshold can only merge; that is how the original behaves too. Bounds fit the test lines."""
-    sims = si.line_similarity(t.lin)
+    # one number a line, read four times
+    sims = checkpointed(si.line_similarity(t.lin))
     return si.cosine_blocks(t.lin, sims, low=0.05, high=0.92, sigmas=0.5, step=0.05, tries=6, floor=0.02, wanted=3).groupBy("video_id", "block_no").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,9 +1,15 @@
 """What grows with the input: calls to the state of a stream, rows that are shuffled, work per line."""
 
+import math
+
 import pandas as pd
 from pyspark.sql import functions as F
 
+from cuewise.operators import folds as fo
 from cuewise.operators import neardup as nd
+from cuewise.operators import similarity as si
+from cuewise.operators import textrows as tr
+from cuewise.operators.keywords import single, top_lists, top_words
 from cuewise.streaming import live
 
 
@@ -83,3 +89,42 @@ def test_lines_of_short_groups_meet_without_pieces(spark, monkeypatch):
     assert found[0] == found[1 << 10] == [("a", 1, 0), ("a", 3, 2), ("b", 1, 0), ("b", 3, 2)]
     frame = pd.DataFrame({"video_id": ["a"] * 3, "text": ["abc", "abcd", "zzzzzzzzzz"]})
     assert [(x.tolist(), y.tolist()) for x, y in nd._within(frame, ["video_id"], 0.8)] == [([0, 1], [1, 0])]
+
+
+def shuffles(df):
+    """Exchanges of the plan that deal out rows by a word."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "word" in x.split("hashpartitioning", 1)[1].split(")")[0]]
+
+
+def test_words_of_single_texts_are_counted_where_they_are(spark):
+    df = spark.createDataFrame([(1, "bbbb aaaa bbbb cccc"), (2, "aaaa bbbb"), (2, "bbbb dddd"), (3, ""), (None, "eeee"), (None, "eeee ffff"), (4, None)], "id long, text string")
+    got = sorted(map(tuple, top_words(df, ["id"], "text", 2).collect()), key=str)
+    assert got == sorted([(1, 1, "bbbb", 2, 0), (1, 2, "aaaa", 1, 1), (2, 1, "bbbb", 2, 0), (2, 2, "aaaa", 1, 0), (None, 1, "eeee", 2, 0), (None, 2, "ffff", 1, 1)], key=str)
+    one, more = single(df, ["id"])
+    assert {r.id for r in one.collect()} == {1, 3, 4} and more.count() == 4
+    assert {r.id: r.top for r in top_lists(df, ["id"], "text", 2).collect()}[1] == ["bbbb", "aaaa"]
+
+
+def test_line_weights_shuffle_lines_and_not_words(spark):
+    rows = [("a", 0, "one two two"), ("a", 1, "one three"), ("a", 2, ""), ("a", 3, "one"), (None, 1, "one two")]
+    lines = spark.createDataFrame(rows, "video_id string, line_no int, text string")
+    assert not shuffles(tr.tfidf(lines))
+    w = {(r.line_no, r.word): r.weight for r in tr.tfidf(lines).collect()}
+    one, two = math.log(5 / 4) + 1, 2 * (math.log(5 / 2) + 1)
+    assert set(w) == {(0, "one"), (0, "two"), (1, "one"), (1, "three"), (3, "one")}
+    assert abs(w[0, "one"] - one / math.hypot(one, two)) < 1e-12 and w[3, "one"] == 1.0
+    sims = {(r.video_id, r.line_no): r.sim for r in si.line_similarity(lines).collect()}
+    assert sims == {("a", 1): round(w[0, "one"] * w[1, "one"], 9), ("a", 2): None, ("a", 3): None, (None, 1): None}
+
+
+def test_tokens_of_texts_that_share_a_key_count_together(spark):
+    df = spark.createDataFrame([(1, "a b a a b"), (2, "a a"), (2, "a b"), (3, "  ")], "id long, text string")
+    got = {r.id: r.text for r in tr.limit_tokens(df, "id", "text", 2).collect()}
+    assert got[1] == "a b a b" and sorted(got[2].split()) == ["a", "a", "b"] and set(got) == {1, 2}
+
+
+def test_places_count_together_on_rows_that_come_twice(spark):
+    df = spark.createDataFrame([("a", 0, ["x"]), ("a", 1, ["x", "y", "x"]), ("a", 1, ["x", "y", "x"]), ("a", 2, None)], "video_id string, line_no long, k array<string>")
+    got = sorted((r.line_no, r.n, sorted(r.back)) for r in fo.with_last_places(df, ["video_id"], "line_no", "k").collect())
+    assert got == [(0, 1, []), (1, 4, [0, 1, 1]), (1, 4, [0, 1, 1]), (2, 0, [])]
