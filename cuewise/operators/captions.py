@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,29 +19,23 @@ def caption_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\x00-\x7f]", " ")), r"[^a-z0-9']+"), lambda x: x != "")
 
 
-def _grams(words: Column, n: int) -> Column:
-    count = F.size(words) - (n - 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-
+def grams(words: list[str], n: int) -> Counter:
+    """Counts of the runs of `n` words."""
+    return Counter(zip(*[words[k:] for k in range(n)]))
 
-def gram_counts(pairs: DataFrame, most: int = 4) -> DataFrame:
-    """Counts per pair, order and n-gram on both sides: `(tiou, video_id, j, i, n, gram, hyp, ref)`.
-
-    A pair is keyed (tiou, video, prediction, reference); reference -1 stands for none.
-    """
 
-    def side(col: str, name: str) -> DataFrame:
-        all_grams = F.explode(F.flatten(F.array(*[_tagged(col, n) for n in range(1, most + 1)])))
-        rows = pairs.select("tiou", "video_id", "j", "i", all_grams.alias("g"))
-        return rows.select("tiou", "video_id", "j", "i", "g.n", "g.gram", F.lit(1 if name == "hyp" else 0).alias("hyp"), F.lit(0 if name == "hyp" else 1).alias("ref"))
+def _matches(pw: Column, rw: Column, most: int) -> Column:
+    """Per order from 1 on, the n-grams of `pw` that `rw` has as well, clipped, and all of `pw`."""
 
-    both = side("pw", "hyp").unionByName(side("rw", "ref"))
-    return both.groupBy("tiou", "video_id", "j", "i", "n", "gram").agg(F.sum("hyp").alias("hyp"), F.sum("ref").alias("ref"))
+    @F.pandas_udf("array<bigint>")
+    def run(pw: pd.Series, rw: pd.Series) -> pd.Series:
+        def one(p, r):
+            p, r = ([] if x is None else list(x) for x in (p, r))
+            return [x for n in range(1, most + 1) for x in ((grams(p, n) & grams(r, n)).total(), max(0, len(p) - n + 1))]
 
+        return pd.Series([one(p, r) for p, r in zip(pw, rw)], dtype=object)
 
-def _tagged(col: str, n: int) -> Column:
-    order = F.lit(n)
-    return F.transform(_grams(F.col(col), n), lambda g: F.struct(order.alias("n"), g.alias("gram")))
+    return run(pw, rw)
 
 
 def token_pairs(pairs: DataFrame) -> DataFrame:
@@ -48,11 +46,10 @@ def token_pairs(pairs: DataFrame) -> DataFrame:
 
 def bleu(pairs: DataFrame, most: int = 4) -> DataFrame:
     """Corpus BLEU of a video's pairs per threshold and order: clipped counts, shortest-side penalty."""
-    lengths = pairs.groupBy("tiou", "video_id").agg(F.sum(F.size("pw")).alias("c"), F.sum(F.size("rw")).alias("r"))
-    matched = gram_counts(pairs, most).groupBy("tiou", "video_id", "n").agg(F.sum(F.least("hyp", "ref")).alias("hit"), F.sum("hyp").alias("all"))
+    counted = pairs.select("tiou", "video_id", F.size("pw").alias("c"), F.size("rw").alias("r"), _matches(F.col("pw"), F.col("rw"), most).alias("m"))
+    rows = counted.groupBy("tiou", "video_id").agg(F.sum("c").alias("c"), F.sum("r").alias("r"), *[F.sum(F.col("m")[k]).alias(f"m{k}") for k in range(2 * most)])
     small, tiny = 1e-9, 1e-15
-    rows = lengths.join(matched.groupBy("tiou", "video_id").agg(F.map_from_entries(F.collect_list(F.struct("n", F.struct("hit", "all")))).alias("m")), ["tiou", "video_id"], "left")
-    precision = lambda n: (F.coalesce(F.col("m")[n]["hit"], F.lit(0)) + tiny) / (F.coalesce(F.col("m")[n]["all"], F.lit(0)) + small)
+    precision = lambda n: (F.col(f"m{2 * n - 2}") + tiny) / (F.col(f"m{2 * n - 1}") + small)
     ratio = (F.col("c") + tiny) / (F.col("r") + small)
     out, product = [], F.lit(1.0)
     for n in range(1, most + 1):
@@ -107,20 +104,27 @@ def rouge_l(pairs: DataFrame, beta: float = 1.2) -> DataFrame:
 
 def cider(pairs: DataFrame, sigma: float = 6.0, most: int = 4) -> DataFrame:
     """Mean CIDEr-D of a video's pairs: n-gram TF-IDF cosine with clipping and a length penalty, times 10.
-    Document frequencies are taken over the video's own references."""
-    key = ["tiou", "video_id"]
-    grams = gram_counts(pairs, most)
-    n_pairs = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("pairs"))
-    df = grams.where("ref > 0").groupBy(*key, "n", "gram").agg(F.count(F.lit(1)).alias("df"))
-    w = grams.join(df, [*key, "n", "gram"], "left").join(n_pairs, key)
-    idf = F.log("pairs") - F.log(F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)))
-    w = w.withColumn("h", F.col("hyp") * idf).withColumn("r", F.col("ref") * idf)
-    per = w.groupBy(*key, "j", "i", "n").agg(F.sum(F.least("h", "r") * F.col("r")).alias("dot"), F.sqrt(F.sum(F.col("h") * F.col("h"))).alias("nh"), F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("nr"))
-    delta = F.size("pw") - F.size("rw")
-    penalty = pairs.select(*key, "j", "i", F.exp(-(delta * delta) / F.lit(2 * sigma**2)).alias("pen"))
-    sim = F.when((F.col("nh") > 0) & (F.col("nr") > 0), F.col("dot") / (F.col("nh") * F.col("nr"))).otherwise(F.col("dot"))
-    pair = per.join(penalty, [*key, "j", "i"]).groupBy(*key, "j", "i").agg((F.sum(sim * F.col("pen")) / most * 10.0).alias("score"))
-    return pairs.join(pair, [*key, "j", "i"], "left").groupBy(*key).agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"))
+    Document frequencies are taken over the video's own references. The pairs of a video, at most a few per chapter, are
+    scored in one pass; no n-gram is shuffled."""
+
+    def mean(rows: list[tuple]) -> list[tuple]:
+        words = lambda x: [] if x is None else list(x)
+        found = [[(grams(words(p), n), grams(words(r), n)) for n in range(1, most + 1)] for _, _, p, r in rows]
+        df = [Counter(g for per in found for g in per[n][1]) for n in range(most)]
+        total = 0.0
+        for (_, _, p, r), per in zip(rows, found):
+            if p is None or r is None:
+                continue
+            score = 0.0
+            for n, (hyp, ref) in enumerate(per):
+                idf = {g: math.log(len(rows)) - math.log(max(df[n][g], 1)) for g in hyp | ref}
+                dot = sum(min(c, ref[g]) * ref[g] * idf[g] ** 2 for g, c in hyp.items())
+                nh, nr = (math.sqrt(sum((c * idf[g]) ** 2 for g, c in x.items())) for x in (hyp, ref))
+                score += dot / (nh * nr) if nh > 0 and nr > 0 else dot
+            total += score * math.exp(-((len(p) - len(r)) ** 2) / (2 * sigma**2)) / most * 10.0
+        return [(total / len(rows),)]
+
+    return grouped(pairs, ["tiou", "video_id"], ["j", "i"], ["j", "i", "pw", "rw"], mean, "score double")
 
 
 def mean_over_videos(scores: DataFrame, extra: list[str] | None = None) -> DataFrame:
