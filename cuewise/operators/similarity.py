@@ -11,6 +11,7 @@ from cuewise.operators import folds as fo
 from cuewise.operators.ordered import BLOCK, density_blocks, fixed_blocks, scan
 from cuewise.operators.textrows import per_text, weighted
 from cuewise.operators.windows import joined_text
+from cuewise.session import checkpointed
 
 
 def chunk_chapters(hits: DataFrame, most: int = 600, carry: int = 50) -> DataFrame:
@@ -23,12 +24,15 @@ def chunk_chapters(hits: DataFrame, most: int = 600, carry: int = 50) -> DataFra
     """
     key = ["video_id", "chapter_idx"]
     filled = F.col("text") != ""
+    # the join behind them is made once
+    hits = checkpointed(hits)
     total = hits.groupBy(*key).agg(
         F.sum(F.when(filled, tx.count_of(F.col("text"), tx.HAN_WIDE)).otherwise(0)).alias("han"),
         (F.sum(F.when(filled, F.length("text") + 1).otherwise(0)) - 1).alias("len"),
         F.min("start_s").alias("first_s"), F.max_by("end_s", F.struct("start_s", "line_no")).alias("last_e"))
     total = total.select(*key, tx.chunk_tokens_of(F.col("han"), F.greatest(F.col("len"), F.lit(0))).alias("tok"), "first_s", "last_e")
-    rows = hits.join(total, key)
+    # read by both branches, and by each step that cuts long chapters into blocks
+    rows = checkpointed(hits.join(total, key))
 
     small = rows.where(F.col("tok") <= most).groupBy(*key, "first_s", "last_e").agg(
         F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.when(filled, F.struct("start_s", "line_no", "text")))), lambda r: r["text"])).alias("text"))
