@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuewise.functions import text as tx
 from cuewise.functions.blocks import block_ratio
+from cuewise.session import checkpointed
 
 
 def snap(words: DataFrame, terms: list[str], cutoff: float = 0.82, letters: float = 0.7) -> DataFrame:
@@ -17,6 +18,7 @@ def snap(words: DataFrame, terms: list[str], cutoff: float = 0.82, letters: floa
     ratio: matching blocks are a common subsequence, so at most (1 - cutoff) of both lengths are edits.
     The best term is an aggregate; words without a near term never leave the JVM.
     """
+    words = checkpointed(words)
     latin = words.where(tx.ascii_letter_ratio(F.col("w")) >= letters)
     pairs = latin.select("w", F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.lit(len(t)).alias("n")) for t in terms])).alias("t")).select("w", "t.*")
     both, most = F.char_length("w") + F.col("n"), int((1 - cutoff) * 2 / cutoff * max(map(len, terms))) + 1

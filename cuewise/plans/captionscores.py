@@ -16,6 +16,7 @@ from cuewise.plans.registry import query
 from cuewise.plans.scoring import SEGS_SQL, sides
 from cuewise.plans.timebase import HMS_SQL, TOK_SQL
 from cuewise.plans.timed_joins import IOU_SQL, raw_sides
+from cuewise.session import checkpointed
 
 
 def title_pairs(t):
@@ -119,7 +120,8 @@ TERMS_SQL = "[" + ", ".join(f"'{t}'" for t in TERMS) + "]"
 
 def misread(t):
     """Distinct words; one in nine is a term with a letter left out, and every second of these gets the word's own first letter at its end."""
-    words = t.documents.select(F.explode(tx.tokens(F.col("text"))).alias("w"))
+    # each different word once, before it is hashed; the optimizer would leave out a distinct before another one
+    words = checkpointed(t.documents.select(F.explode(tx.tokens(F.col("text"))).alias("w")).distinct())
     at = lambda i: F.conv(F.substring(F.md5("w"), i, 6), 16, 10).cast("int")
     term = F.get(F.array(*[F.lit(x) for x in TERMS]), at(7) % len(TERMS))
     hole = at(13) % F.length(term)
