@@ -63,8 +63,9 @@ def parse_chapters(df: DataFrame, key: str, text: str, variant: str = "current")
         second = candidates(2, (found != "") & (F.when(behind != "", behind).otherwise(before) != ""), normalize_stamp(found),
                             F.when(behind != "", behind).otherwise(before))
     rows = lines.select(key, "pos", F.explode(F.array_compact(F.array(first, second))).alias("c")).select(key, "pos", "c.*")
-    use = rows.groupBy(key).agg(F.min("rank").alias("rank"))
-    rows = rows.join(use, [key, "rank"])
-    if variant == "current":
-        return _one_per_stamp(rows.where("rank = 1"), key, last=True).unionByName(_one_per_stamp(rows.where("rank = 2"), key, last=False))
-    return _one_per_stamp(rows, key, last=False)
+    # dealt by text once, for one row per stamp and rank and for the best rank of the text
+    turned = F.lit(variant == "current") & (F.col("rank") == 1)
+    place = F.when(turned, -F.col("pos")).otherwise(F.col("pos"))
+    best = rows.where(F.col(key).isNotNull()).repartition(F.col(key)).groupBy(key, "rank", "stamp").agg(F.min("pos").alias("pos"), F.min_by("title", place).alias("title"))
+    best = best.withColumn("_rank", F.min("rank").over(Window.partitionBy(key)))
+    return best.where("rank = _rank").select(key, "stamp", "pos", "title")

@@ -5,11 +5,16 @@ import math
 import pandas as pd
 from pyspark.sql import functions as F
 
+from cuewise.functions import text as tx
+from cuewise.functions.chapterlines import parse_chapters
+from cuewise.operators import captions as ca
 from cuewise.operators import folds as fo
 from cuewise.operators import neardup as nd
 from cuewise.operators import similarity as si
 from cuewise.operators import textrows as tr
 from cuewise.operators.keywords import single, top_lists, top_words
+from cuewise.plans.captionscores import misread
+from cuewise.plans.stage import Tables
 from cuewise.streaming import live
 
 
@@ -128,3 +133,53 @@ def test_places_count_together_on_rows_that_come_twice(spark):
     df = spark.createDataFrame([("a", 0, ["x"]), ("a", 1, ["x", "y", "x"]), ("a", 1, ["x", "y", "x"]), ("a", 2, None)], "video_id string, line_no long, k array<string>")
     got = sorted((r.line_no, r.n, sorted(r.back)) for r in fo.with_last_places(df, ["video_id"], "line_no", "k").collect())
     assert got == [(0, 1, []), (1, 4, [0, 1, 1]), (1, 4, [0, 1, 1]), (2, 0, [])]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_scores_shuffle_no_gram(spark):
+    rows = [(0.5, "a", 0, 0, ["x", "y", "z"], ["x", "y"]), (0.5, "a", 1, -1, ["x", "x"], []), (0.5, "b", 0, 0, ["q"], ["q"])]
+    pairs = spark.createDataFrame(rows, "tiou double, video_id string, j long, i long, pw array<string>, rw array<string>")
+    for scores in (ca.bleu(pairs), ca.cider(pairs)):
+        assert "gram" not in plan(scores)
+    got = {(r.video_id, r.n): r.precision for r in ca.bleu(pairs).collect()}
+    assert round(got["a", 1], 6) == 0.4 and round(got["a", 2], 6) == round(1 / 3, 6) and round(got["b", 1], 6) == 1.0
+    # one pair of two holds the words: idf log 2, so dot / norms is the share of shared grams
+    want = (2 / math.sqrt(2 * 3) + 1 / math.sqrt(2)) / 4 * 10 * math.exp(-1 / 72) / 2
+    assert abs({r.video_id: r.score for r in ca.cider(pairs).collect()}["a"] - want) < 1e-9
+
+
+def test_replies_are_parsed_once(spark):
+    text = "00:00:10 - a\n00:00:10 - b\n* [00:00:20] c"
+    df = spark.createDataFrame([(1, text), (2, "* [00:00:20] c\n* [00:00:20] d"), (None, text)], "k long, t string")
+    got = parse_chapters(df, "k", "t")
+    assert plan(got).split("== Initial Plan ==")[0].count("posexplode") == 1
+    assert sorted(map(tuple, got.select("k", "stamp", "title", "pos").collect())) == [(1, "00:00:10", "b", 0), (2, "00:00:20", "c", 0)]
+
+
+def test_work_per_line_is_not_the_square_of_its_length(spark):
+    df = spark.createDataFrame([("a體b體b", ["abc", "x"], ["zabcz"], ["y"])], "t string, g array<string>, c array<string>, d array<string>")
+    row = df.select(tx.bigrams(F.col("t")).alias("b"), tx.relevance(F.col("g"), F.col("c")).alias("near"), tx.relevance(F.col("g"), F.col("d")).alias("far"), tx.relevance(F.col("c"), F.col("g")).alias("back"))
+    assert "substring" not in plan(row.select("b"))
+    assert tuple(row.first()) == (["a體", "體b", "b體"], 0.1, 0.0, 0.1)
+    assert [r.b for r in spark.createDataFrame([("",), ("x",), (None,)], "t string").select(tx.bigrams(F.col("t")).alias("b")).collect()] == [[], [], []]
+
+
+def test_length_is_looked_at_before_any_pattern(spark):
+    low = plan(spark.createDataFrame([("x",)], "t string").select(tx.is_low_information(F.col("t")).alias("low")))
+    assert low.index(">= 25") < low.index("https?")
+
+
+def test_misread_words_are_hashed_once_each(spark):
+    words = misread(Tables(spark, "/root/testdata/sf0.001"))
+    # the distinct words are read back, not the texts
+    assert "FileScan" not in plan(words) and words.count() == words.distinct().count() > 1000
+
+
+def test_chapters_are_cut_without_a_second_join(spark):
+    hits = spark.createDataFrame([("a", 0, "t", 0, 0.0, 15.0, "one"), ("a", 0, "t", 1, 15.0, 30.0, "two")], "video_id string, chapter_idx int, title string, line_no long, start_s double, end_s double, text string")
+    got = si.chunk_chapters(hits.join(hits.select("video_id").distinct(), "video_id"), 600)
+    assert "Join" not in plan(got.where("chunk_index = 0").select("text")).split("== Initial Plan ==")[0].split("Union")[0]
+    assert got.first().text == "one two"
