@@ -56,19 +56,15 @@ class Reader:
     """Words, shingles and units of texts, as hashes; many texts at a time."""
 
     def __init__(self, bands: int, rows: int):
-        self.known, self.bands, self.rows = {}, bands, rows
+        self.bands, self.rows = bands, rows
         draw = np.random.default_rng(2024)
         self.mult = draw.integers(1, 1 << 62, bands * rows, dtype=np.uint64)[:, None] | np.uint64(1)
         self.add = draw.integers(1, 1 << 62, bands * rows, dtype=np.uint64)[:, None]
         self.power = np.cumprod(np.full(WINDOW, _MIX))
 
     def words(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > 1 << 18:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        # hashing a short word anew costs less than looking it up
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
     def shingles(self, h: np.ndarray) -> np.ndarray:
         n = max(0, len(h) - SHINGLE + 1)
@@ -136,8 +132,14 @@ class Reader:
         if docs:
             doc, start, size = np.array(docs), np.array(starts), np.array(sizes)
             ends = np.stack([start, start + size - SHINGLE + 1], 1).ravel()
-            every = np.append((g * self.mult + self.add) >> np.uint64(7), np.zeros((len(self.mult), 1), np.uint64), axis=1)
-            low = np.minimum.reduceat(every, ends, axis=1)[:, ::2].reshape(self.bands, self.rows, len(doc))
+            low, mixed = [], np.zeros(len(g) + 1, np.uint64)
+            for mult, add in zip(self.mult, self.add):
+                # one hash at a time, in one array that stays in the cache
+                np.multiply(g, mult, out=mixed[:-1])
+                mixed[:-1] += add
+                mixed[:-1] >>= np.uint64(7)
+                low.append(np.minimum.reduceat(mixed, ends)[::2])
+            low = np.stack(low).reshape(self.bands, self.rows, len(doc))
             key = np.repeat(np.arange(1, self.bands + 1, dtype=np.uint64)[:, None], len(doc), 1)
             for r in range(self.rows):
                 key = (key ^ low[:, r]) * _MIX

@@ -177,3 +177,18 @@ def test_bands_lose_no_links():
 
     bands, rows = passages.tuned(0.8, inspect.signature(passages.repeats).parameters["recall"].default, 40)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
+
+
+def test_unit_hashes_are_made_one_at_a_time():
+    """The bands of a text of 60,000 words must not stand side by side in memory."""
+    import tracemalloc
+
+    read = passages.Reader(*passages.tuned(0.8, 0.9999, 40))
+    text = "\n".join(" ".join(f"w{i % 977}x{j}" for j in range(30)) for i in range(2000))
+    read.units(["a b c d e f"])
+    tracemalloc.start()
+    own, keys, *_ = read.units([text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(keys) > 13 * 2000 and most < 30_000_000
+    assert int(read.words([b"word"])[0]) == passages.xxhash.xxh3_64_intdigest(b"word")
