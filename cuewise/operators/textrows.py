@@ -144,24 +144,40 @@ def tfidf(lines: DataFrame) -> DataFrame:
     return per_text(lines, weights, f"line_no {dict(lines.dtypes)['line_no']}, word string, weight double")
 
 
-def capped_corpus(slides: DataFrame, speech: DataFrame, cap: int) -> DataFrame:
+#: Characters of a part that is collected as it is.
+WHOLE = 1 << 16
+
+
+def capped_corpus(slides: DataFrame, speech: DataFrame, cap: int, whole: int = WHOLE) -> DataFrame:
     """One text per video, slides first, cleaned of chatter and cut to `cap` characters.
 
-    Rows `(video_id, pos, text)`. Each line is cleaned and scrubbed by itself first; lines of which
+    Rows `(video_id, pos, text)`. A part of at most `WHOLE` characters is collected and cleaned once, as it is. In a
+    longer one each line is cleaned and scrubbed by itself first; lines of which
     nothing is left count as blank, and the others leave at least their length less one word, which a
     line before may take. Only rows that this running length lets reach the first `cap` characters of
     their part are collected, so the cell is bounded; blank rows are kept once per run because they turn
     the line break into a space.
     """
 
+    def joined(rows: DataFrame) -> DataFrame:
+        ordered = F.sort_array(F.collect_list(F.struct("pos", "text")))
+        return rows.groupBy("video_id").agg(F.concat_ws("\n", F.transform(ordered, lambda x: x["text"])).alias("t"))
+
     def part(rows: DataFrame, clean) -> DataFrame:
+        rows = rows.where("text IS NOT NULL")
+        large = rows.groupBy("video_id").agg(F.sum(F.length("text") + 1).alias("_n")).where(F.col("_n") > whole).select("video_id")
+        known = rows.where("video_id IS NOT NULL")
+        short = known.join(large, "video_id", "left_anti").withColumn("text", tx.strip(F.col("text")))
+        rest = known.join(large, "video_id", "left_semi").unionByName(rows.where("video_id IS NULL"))
+        return joined(short).unionByName(joined(reaching(rest, clean)))
+
+    def reaching(rows: DataFrame, clean) -> DataFrame:
         body = rows.withColumn("text", tx.strip(F.col("text"))).withColumn("_left", tx.scrub_admin(clean(F.col("text"))))
-        body = body.withColumn("text", F.when(F.col("_left") == "", "").otherwise(F.col("text")))
+        body = body.withColumn("text", F.when((F.col("_left") == "") & ~F.col("text").rlike("[℃°]$"), "").otherwise(F.col("text")))  # a last degree sign takes a word of the next line
         body = body.withColumn("_least", F.length("_left") - F.length(F.regexp_extract("_left", r"^\S*", 0))).drop("_left")
         r = scan(fixed_blocks(body, "pos"), ["video_id"], ["pos"], total={"_run": F.col("_least")}, lag={"_prev": "text"}).drop(BLOCK)
         need = (F.col("_run") - F.col("_least") < cap) & ~((F.col("text") == "") & (F.col("_prev") == ""))
-        ordered = F.sort_array(F.collect_list(F.struct("pos", "text")))
-        return r.where(need).groupBy("video_id").agg(F.concat_ws("\n", F.transform(ordered, lambda x: x["text"])).alias("t"))
+        return r.where(need)
 
     a = part(slides, lambda c: tx.clean_slide_text(c, watermarks=True)).withColumnRenamed("t", "a")
     b = part(speech, tx.clean_speech_text).withColumnRenamed("t", "b")

@@ -183,3 +183,12 @@ def test_chapters_are_cut_without_a_second_join(spark):
     got = si.chunk_chapters(hits.join(hits.select("video_id").distinct(), "video_id"), 600)
     assert "Join" not in plan(got.where("chunk_index = 0").select("text")).split("== Initial Plan ==")[0].split("Union")[0]
     assert got.first().text == "one two"
+
+
+def test_short_corpora_are_cleaned_as_a_whole(spark):
+    lines = [("a", 0, "°"), ("a", 1, "hello there"), ("a", 2, "join now"), ("a", 3, None), ("b", 0, "Zoom 12:30:00 x"), ("b", 1, "ab  c"), (None, 0, "lone")]
+    slides = spark.createDataFrame(lines, "video_id string, pos long, text string")
+    speech = spark.createDataFrame([("b", 0, "said"), ("c", 0, "only log-in said")], "video_id string, pos long, text string")
+    want = {"a": "【Slides(OCR)】\nthere 【Audio(ASR)】", "b": "【Slides(OCR)】 x\nab c 【Audio(ASR)】\nsaid", "c": "【Slides(OCR)】 【Audio(ASR)】\nonly said", None: "【Slides(OCR)】\nlone 【Audio(ASR)】"}
+    for whole in (1 << 16, 0):
+        assert {r.video_id: r.text for r in tr.capped_corpus(slides, speech, 3000, whole).collect()} == want
