@@ -134,31 +134,44 @@ def confidence(sim: Column, w_slide: Column, w_speech: Column, has_topic: Column
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 3)
 
 
-def baselines(boxes: DataFrame, y_ratio: float) -> DataFrame:
-    """Text rows of a frame: a box belongs to the row while its centre is near the row's running baseline."""
-
-    def rows_of(rows: list[tuple]) -> list[tuple]:
-        out, level, n = [], rows[0][0], 0
-        for cy, h, *box in rows:
-            near = abs(cy - level) <= max(1.0, h * y_ratio)
-            n += not near
-            level = (level + cy) / 2.0 if near else cy
-            out.append((n, cy, *box))
-        return out
-
-    return grouped(boxes, ["video_id", "frame"], ["cy", "cx", "x1", "x2", "text"], ["cy", "h", "cx", "x1", "x2", "text", "w"], rows_of,
-                   "row long, cy double, cx double, x1 double, x2 double, text string, w int")
+def baselines(boxes: list[tuple], y_ratio: float) -> list[int]:
+    """Text row of each box `(cy, h, ..)` of a frame: it belongs to a row while its centre is near the row's running baseline."""
+    out, level, n = [], boxes[0][0], 0
+    for cy, h, *_ in boxes:
+        near = abs(cy - level) <= max(1.0, h * y_ratio)
+        n += not near
+        level = (level + cy) / 2.0 if near else cy
+        out.append(n)
+    return out
 
 
 def reading_lines(tokens: DataFrame, y_ratio: float = 0.015, x_ratio: float = 0.02) -> DataFrame:
     """Token boxes of a frame to lines: rows along a running baseline, cut where the gap to the box on the
-    left is wide. Rows `(video_id, frame, x1, x2, y1, y2, w, h, text)`."""
-    boxes = tokens.where(tx.strip(F.col("text")) != "").withColumn("cy", (F.col("y1") + F.col("y2")) / 2.0).withColumn("cx", (F.col("x1") + F.col("x2")) / 2.0)
-    across = Window.partitionBy("video_id", "frame", "row").orderBy("x1", "cy", "cx", "x2", "text")
-    cut = F.coalesce((F.col("x1") - F.lag("x2").over(across) > F.col("w") * x_ratio).cast("int"), F.lit(0))
-    placed = baselines(boxes, y_ratio).withColumn("_cut", cut).withColumn("_at", F.row_number().over(across))
-    placed = placed.withColumn("piece", F.sum("_cut").over(across.rowsBetween(Window.unboundedPreceding, 0)))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "text"))), lambda x: x["text"]), " ")
-    lines = placed.groupBy("video_id", "frame", "row", "piece").agg(tx.strip(text).alias("text"))
-    place = F.row_number().over(Window.partitionBy("video_id", "frame").orderBy("row", "piece")) - 1
-    return lines.select("video_id", "frame", place.cast("long").alias("line_no"), "text")
+    left is wide. Rows `(video_id, frame, x1, x2, y1, y2, w, h, text)`.
+
+    Boxes are shuffled once; a frame is read whole and only its lines come out.
+    """
+    low = float("-inf")
+
+    def lines_of(boxes: list[tuple]) -> list[tuple]:
+        rows: dict[int, list[tuple]] = {}
+        for n, (cy, _, x1, x2, text, w) in zip(baselines([(b[0], b[1]) for b in boxes], y_ratio), boxes):
+            rows.setdefault(n, []).append((x1, cy, (x1 + x2) / 2.0, x2, text, w))
+        out = []
+        for row in rows.values():
+            # places that are not known come first
+            row.sort(key=lambda b: b[:5] if b[2] == b[2] else (*[x if x == x else low for x in b[:4]], b[4]))
+            words, right = [], None
+            for x1, _, _, x2, text, w in row:
+                if right is not None and x1 - right > w * x_ratio:
+                    out.append((len(out), " ".join(words)))
+                    words = []
+                words.append(text)
+                right = x2
+            out.append((len(out), " ".join(words)))
+        return out
+
+    mid = lambda a, b: (F.col(a) + F.col(b)) / 2.0
+    boxes = tokens.where(tx.strip(F.col("text")) != "").withColumn("cy", mid("y1", "y2")).withColumn("cx", mid("x1", "x2"))
+    lines = grouped(boxes, ["video_id", "frame"], ["cy", "cx", "x1", "x2", "text"], ["cy", "h", "x1", "x2", "text", "w"], lines_of, "line_no long, text string")
+    return lines.withColumn("text", tx.strip(F.col("text")))

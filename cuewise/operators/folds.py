@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,14 +82,33 @@ def _staged(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str
 def grouped(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], fn: Callable, out: str) -> DataFrame:
     """`fn(rows) -> out` per group, for groups with a proven bound (chapters of a video, tokens of a frame)."""
 
-    def step(state, rows, last):
-        held = (state or []) + rows
-        return (fn(held), None) if last else ([], held)
-
     columns = [c.strip().split(" ")[0] for c in out.split(",")]
-    rows = df.select(*keys, *[c for c in dict.fromkeys([*order, *inputs]) if c not in keys])
-    rows = rows.withColumn(BLOCK, F.lit(0)).withColumn("_state", F.lit(None).cast("string")).withColumn("_last", F.lit(True))
-    return _staged(rows, keys, order, inputs, columns, step, out)
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for pdf in batches:
+            found = []
+            first = np.arange(len(pdf)) == 0
+            for c in keys:
+                first[1:] |= pdf[c].to_numpy()[1:] != pdf[c].to_numpy()[:-1]
+            starts = first.nonzero()[0].tolist()
+            heads = zip(*[pdf[c].iloc[starts].tolist() for c in keys])
+            rows = list(zip(*[pdf[c].tolist() for c in inputs]))
+            for head, lo, hi in zip(heads, starts, [*starts[1:], len(pdf)]):
+                now = tuple(None if v is None or v != v else v for v in head)
+                if held and now != key:
+                    found += [(*key, *row) for row in fn(held)]
+                    held = []
+                key = now
+                held += rows[lo:hi]
+            yield pd.DataFrame(found, columns=[*keys, *columns])
+        if held:
+            yield pd.DataFrame([(*key, *row) for row in fn(held)], columns=[*keys, *columns])
+
+    types = dict(df.dtypes)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(*dict.fromkeys([*keys, *order, *inputs])).repartition(n, *keys).sortWithinPartitions(*keys, *order)
+    return rows.select(*dict.fromkeys([*keys, *inputs])).mapInPandas(apply, ", ".join([*[f"{k} {types[k]}" for k in keys], out]))
 
 
 def fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], step: Callable, out: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuewise.functions import text as tx
 from cuewise.functions.chapterlines import parse_chapters
+from cuewise.operators import boundedfolds as bf
 from cuewise.operators import captions as ca
 from cuewise.operators import folds as fo
 from cuewise.operators import neardup as nd
@@ -192,3 +193,12 @@ def test_short_corpora_are_cleaned_as_a_whole(spark):
     want = {"a": "【Slides(OCR)】\nthere 【Audio(ASR)】", "b": "【Slides(OCR)】 x\nab c 【Audio(ASR)】\nsaid", "c": "【Slides(OCR)】 【Audio(ASR)】\nonly said", None: "【Slides(OCR)】\nlone 【Audio(ASR)】"}
     for whole in (1 << 16, 0):
         assert {r.video_id: r.text for r in tr.capped_corpus(slides, speech, 3000, whole).collect()} == want
+
+
+def test_boxes_of_a_frame_are_shuffled_once(spark):
+    rows = [("v", 0, x, x + 10.0, y, y + 10.0, 1280, 720, w) for x, y, w in [(0.0, 0.0, "b"), (0.0, 0.0, "a"), (50.0, 0.0, "far"), (0.0, 40.0, "low")]] + [("v", 0, None, 5.0, 0.0, 10.0, 1280, 720, "none")]
+    df = spark.createDataFrame(rows, "video_id string, frame long, x1 double, x2 double, y1 double, y2 double, w int, h int, text string")
+    got = bf.reading_lines(df)
+    first = plan(got).split("== Initial Plan ==")[0]
+    assert first.count("Exchange") == 1 and "Window" not in first
+    assert [(r.line_no, r.text) for r in got.orderBy("line_no").collect()] == [(0, "none a b"), (1, "far"), (2, "low")]
