@@ -131,9 +131,9 @@ def nearest_frame(stamps: DataFrame, frames: DataFrame, max_gap: float) -> DataF
     """
     rows = stamps.select("video_id", F.col("start_s").alias("x"), "idx", "duration", F.lit(None).cast("long").alias("f")).unionByName(
         frames.select("video_id", "x", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("int").alias("duration"), F.col("x").alias("f")))
-    w = Window.partitionBy("video_id").orderBy("x")
-    near = rows.select("*", F.max("f").over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("before"),
-                       F.min("f").over(w.rangeBetween(0, Window.unboundedFollowing)).alias("after")).where("idx IS NOT NULL")
+    # both run from their end of the order; a frame up to the far end would start anew at every row
+    upto = lambda order: Window.partitionBy("video_id").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    near = rows.select("*", F.max("f").over(upto(F.asc("x"))).alias("before"), F.min("f").over(upto(F.desc("x"))).alias("after")).where("idx IS NOT NULL")
     d = F.col("duration").cast("double")
 
     def off(c):

@@ -11,11 +11,10 @@ from __future__ import annotations
 
 import heapq
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuewise.operators.folds import grouped
 from cuewise.operators.ordered import BLOCK, density_blocks
 from cuewise.operators.windows import top_rows
 from cuewise.session import checkpointed
@@ -66,19 +65,19 @@ def removals(stamps: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     stays = F.col("width").isNull() | F.isnan("width")
     now, out = stamps.select("video_id", F.col("t").cast("double").alias("t")).where("t IS NOT NULL").distinct(), None
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ts = np.sort(rows["t"].to_numpy()).tolist()
-        beyond = rows["beyond"].iloc[0]
-        open_right = bool(beyond == beyond and beyond is not None)
-        width, left = contracted(ts + [beyond] * open_right, bool(rows["part"].iloc[0] > 0), open_right)
-        return pd.DataFrame({"video_id": rows["video_id"].iloc[0], "part": rows["part"].iloc[0], "t": ts, "width": width[: len(ts)], "left": left[: len(ts)]})
+    def run(rows: list[tuple]) -> list[tuple]:
+        ts, (_, beyond, part) = [r[0] for r in rows], rows[0]
+        open_right = beyond is not None and beyond == beyond
+        width, left = contracted(ts + [beyond] * open_right, part > 0, open_right)
+        return list(zip(ts, width, left))
 
     while True:
         now = checkpointed(now)
         placed = density_blocks(now, ["video_id"], "t", target=block_rows).withColumnRenamed(BLOCK, "part")
         firsts = placed.groupBy("video_id", "part").agg(F.min("t").alias("first"))
         firsts = firsts.select("video_id", "part", F.lead("first").over(Window.partitionBy("video_id").orderBy("part")).alias("beyond"))
-        made = placed.join(firsts, ["video_id", "part"]).groupBy("video_id", "part").applyInPandas(run, "video_id string, part int, t double, width double, left double")
+        # blocks stream past, many to a batch: most of them hold a few stamps
+        made = grouped(placed.join(firsts, ["video_id", "part"]), ["video_id", "part"], ["t"], ["t", "beyond", "part"], run, "t double, width double, left double")
         made = checkpointed(made)
         taken = made.where(~stays).drop("part")
         out = taken if out is None else out.union(taken)

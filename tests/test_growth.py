@@ -9,10 +9,12 @@ from cuewise.functions import text as tx
 from cuewise.functions.chapterlines import parse_chapters
 from cuewise.operators import boundedfolds as bf
 from cuewise.operators import captions as ca
+from cuewise.operators import chapters as ch
 from cuewise.operators import folds as fo
 from cuewise.operators import neardup as nd
 from cuewise.operators import similarity as si
 from cuewise.operators import textrows as tr
+from cuewise.operators import thinning as th
 from cuewise.operators.keywords import single, top_lists, top_words
 from cuewise.plans.captionscores import misread
 from cuewise.plans.stage import Tables
@@ -202,3 +204,18 @@ def test_boxes_of_a_frame_are_shuffled_once(spark):
     first = plan(got).split("== Initial Plan ==")[0]
     assert first.count("Exchange") == 1 and "Window" not in first
     assert [(r.line_no, r.text) for r in got.orderBy("line_no").collect()] == [(0, "none a b"), (1, "far"), (2, "low")]
+
+
+def test_nearest_frames_and_stamps_grow_with_their_rows(spark):
+    stamps = spark.createDataFrame([("v", x, i, 100) for i, x in enumerate((10, 20, 31))], "video_id string, start_s long, idx int, duration int")
+    near = ch.nearest_frame(stamps, spark.createDataFrame([("v", 12), ("v", 18), ("v", 90)], "video_id string, x long"), 5.0)
+    assert "unboundedfollowing" not in plan(near).lower()
+    assert sorted((r.idx, r.frame) for r in near.select("idx", "frame").collect()) == [(0, 12), (1, 18), (2, None)]
+    seen, real = [], th.grouped
+    th.grouped = lambda *a: seen.append(a[1]) or real(*a)
+    try:
+        got = th.thin_gaps(spark.createDataFrame([("v", float(x)) for x in (0, 1, 5, 6, 9)] + [(None, 3.0)], "video_id string, t double"), 3)
+        assert sorted((str(r.video_id), r.t) for r in got.collect()) == [("None", 3.0), ("v", 0.0), ("v", 5.0), ("v", 9.0)]
+    finally:
+        th.grouped = real
+    assert seen == [["video_id", "part"]]
