@@ -125,7 +125,8 @@ def short_lists(docs: DataFrame, sketch: np.ndarray, size: int, percent: int, te
 
 def candidates(index: DataFrame, percent: int, small: int = SMALL) -> DataFrame:
     """Lists, streamed in order: a list of at most `small` texts gives its pairs of fitting sizes `(a, b, na, nb)`;
-    a longer one gives `(a, b)` with b its first text and `na` null. A list is never held beyond `small` texts."""
+    a longer one gives `(a, b)` with b its first text and `na` null. A list is never held beyond `small` texts,
+    and pairs are handed on after the list that brings them past 20,000, not once a batch."""
 
     def run(batches):
         key, first, held, last = None, None, [], None
@@ -137,10 +138,17 @@ def candidates(index: DataFrame, percent: int, small: int = SMALL) -> DataFrame:
                     if 100 * min(na, nb) >= percent * max(na, nb):
                         out.append((a, b, na, nb) if a < b else (b, a, nb, na))
 
+        def frame():
+            rows = pd.DataFrame(out, columns=["a", "b", "na", "nb"]).astype("Int64")
+            out.clear()
+            return rows
+
         for batch in batches:
             for s, f, n in zip(batch["shingle"].tolist(), batch["fp"].tolist(), batch["n"].tolist()):
                 if s != key:
                     close()
+                    if len(out) > 20_000:
+                        yield frame()
                     key, first, held, last = s, f, [(f, n)], f
                 elif f != last:
                     last = f
@@ -152,11 +160,10 @@ def candidates(index: DataFrame, percent: int, small: int = SMALL) -> DataFrame:
                         out += [(first, g, None, None) for g, _ in held[1:]]
                         held = None
             if len(out) > 20_000:
-                yield pd.DataFrame(out, columns=["a", "b", "na", "nb"]).astype("Int64")
-                out.clear()
+                yield frame()
         close()
         if out:
-            yield pd.DataFrame(out, columns=["a", "b", "na", "nb"]).astype("Int64")
+            yield frame()
 
     return index.repartition("shingle").sortWithinPartitions("shingle", "fp").mapInPandas(run, "a long, b long, na long, nb long")
 

@@ -192,3 +192,34 @@ def test_unit_hashes_are_made_one_at_a_time():
     tracemalloc.stop()
     assert len(keys) > 13 * 2000 and most < 30_000_000
     assert int(read.words([b"word"])[0]) == passages.xxhash.xxh3_64_intdigest(b"word")
+
+
+def test_candidates_hand_on_pairs_within_a_batch():
+    """A batch of lists of 64 texts has 315,000 pairs; they must not stand side by side in memory."""
+    import tracemalloc
+
+    import pandas as pd
+
+    class Index:
+        repartition = sortWithinPartitions = lambda self, *by: self
+        mapInPandas = lambda self, run, schema: run
+
+    shared = [s for s in range(156) for _ in range(64)]
+    batch = pd.DataFrame({"shingle": shared + [999] * 16, "fp": range(10_000), "n": 1})
+    more = pd.DataFrame({"shingle": 999, "fp": range(10_000, 70_000), "n": 1})
+    run = jaccard.candidates(Index(), 80)
+    tracemalloc.start()
+    most = max(len(rows) for rows in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most <= 20_000 + 64 * 63 // 2 and peak < 12_000_000
+    pairs, stars = [], 0
+    for rows in run(iter([batch])):
+        pairs += zip(rows["a"].tolist(), rows["b"].tolist())
+    want = [(s * 64, s * 64 + 64) for s in range(156)] + [(9_984, 10_000)]
+    assert pairs == [(a, b) for lo, hi in want for a in range(lo, hi) for b in range(a + 1, hi)]
+    # a list that goes on over batches
+    for rows in run(iter([batch.tail(16), *(more[k : k + 10_000] for k in range(0, 60_000, 10_000))])):
+        assert rows["na"].isna().all() and (rows["a"] == 9_984).all() and len(rows) <= 30_000
+        stars += rows["b"].nunique()
+    assert stars == 16 + 60_000 - 1
