@@ -35,8 +35,9 @@ def _hashes(text: str, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-#: Lines of a group up to which every two of them are compared; pairs of lines that one step compares.
-FEW_LINES, PAIRS = 1 << 10, 1 << 16
+#: Lines and characters of a group up to which every two of its lines are compared; pairs that one step compares, and that
+#: are looked at whole together.
+FEW_LINES, FEW_CHARS, PAIRS, WHOLE = 1 << 10, 1 << 22, 1 << 14, 1 << 12
 
 
 class _Cut:
@@ -83,66 +84,141 @@ def _pieces(lines: DataFrame, keep: list[str], cut: _Cut, every: bool) -> DataFr
     return lines.select(*keep, "text").mapInPandas(run, lines.select(*keep).schema.add("n", "long").add("at", "long").add("h", "long"))
 
 
-def _within(frame: pd.DataFrame, keys: list[str], cutoff: float):
-    """Ordered pairs of row numbers of equal keys (sorted) whose length and character counts allow the ratio, step by step."""
-    change = (frame[keys] != frame[keys].shift()).any(axis=1).to_numpy()
-    start = np.flatnonzero(change)
-    size = np.diff(np.append(start, len(frame)))
-    start, size = np.repeat(start, size), np.repeat(size, size)
-    counts = char_counts(frame["text"].tolist()).astype(np.int32)
-    n = counts.sum(axis=1)
-    ends, low = np.cumsum(size), 0
-    while low < len(frame):
+def _long(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of the groups that are not held: at most rows / `FEW_LINES` and characters / `FEW_CHARS`."""
+    size = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.length("text")).alias("_chars"))
+    return size.where((F.col("_n") > FEW_LINES) | (F.col("_chars") > FEW_CHARS)).select(*keys)
+
+
+def _together(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """One shuffle, after which the rows of a group follow each other."""
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lines.repartition(n, *keys).sortWithinPartitions(*keys)
+
+
+def _whole(batches, keys: list[str]):
+    """Rows of groups that follow each other, in frames that hold whole groups."""
+    held = None
+    for b in batches:
+        if not len(b):
+            continue
+        b = b if held is None else pd.concat([held, b], ignore_index=True)
+        open_ = (b[keys] == b[keys].iloc[-1]).all(axis=1).to_numpy()
+        held = b[open_]
+        if not open_.all():
+            yield b[~open_].reset_index(drop=True)
+    if held is not None:
+        yield held.reset_index(drop=True)
+
+
+def _number(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """A number for each different value of `keys`, in the order in which they come."""
+    return frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+
+
+def _met(texts: np.ndarray, group: np.ndarray, reach, least):
+    """Pairs of row numbers of one group, each pair once, step by step: a text of `n` characters meets longer ones of up to
+    `reach(n)`, and `least(n, m)` characters must stand in both."""
+    n = np.array([len(t) for t in texts], np.int64)
+    order = np.lexsort((n, group)).astype(np.int32)
+    group, n, far = group[order], n[order], reach(n[order])
+    width = int(far.max(initial=0)) + 1
+    many = np.searchsorted(group * width + n, group * width + far, "right") - np.arange(len(n)) - 1
+    row = np.flatnonzero(many)
+    steps = np.zeros(len(n) + 1, np.int64)
+    np.add.at(steps, row, 1)
+    np.add.at(steps, row + many[row] + 1, -1)
+    used = np.cumsum(steps)[:-1] > 0
+    counts, at = char_counts(texts[order[used]]).astype(np.int32), np.cumsum(used) - 1
+    ends, low = np.cumsum(many), 0
+    while low < len(n):
         high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, "right")))
-        many = size[low:high]
-        x = np.repeat(np.arange(low, high), many)
-        y = np.repeat(start[low:high], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        near = (x != y) & (2 * np.minimum(n[x], n[y]) >= cutoff * (n[x] + n[y]) - 1e-9)
-        x, y = x[near], y[near]
-        near = 2.0 * np.minimum(counts[x], counts[y]).sum(axis=1) >= cutoff * (n[x] + n[y]) - 1e-9
-        yield x[near], y[near]
+        x = np.repeat(np.arange(low, high), many[low:high])
+        y = x + 1 + np.arange(len(x)) - np.repeat(ends[low:high] - many[low:high] - (ends[low - 1] if low else 0), many[low:high])
+        near = np.minimum(counts[at[x]], counts[at[y]]).sum(axis=1) >= least(n[x], n[y])
+        yield order[x[near]], order[y[near]]
         low = high
 
 
+def _by_ratio(cutoff: float) -> dict:
+    """For `_met`: what a ratio of `cutoff` needs."""
+    return {"reach": lambda n: np.floor(n * (2 - cutoff) / cutoff + 1e-6).astype(np.int64), "least": lambda n, m: cutoff / 2 * (n + m) - 1e-9}
+
+
+def _within(frame: pd.DataFrame, keys: list[str], cutoff: float):
+    """Ordered pairs of row numbers of equal keys (sorted) whose length and character counts allow the ratio, step by step."""
+    for x, y in _met(frame["text"].to_numpy(object), _number(frame, keys), **_by_ratio(cutoff)):
+        yield np.concatenate([x, y]), np.concatenate([y, x])
+
+
 def _met_within(lines: DataFrame, keys: list[str], rest: list[str], cutoff: float) -> DataFrame:
     """Pairs `(video_id, rest_x.., rest_y.., tx, ty)` inside groups of at most `FEW_LINES` lines: one shuffle of the lines,
     then one group at a time is held."""
     names = [(c, f"{c}_{s}") for s in "xy" for c in rest] + [("text", "tx"), ("text", "ty")]
 
-    def pairs(frame):
-        frame = frame.reset_index(drop=True)
-        for x, y in _within(frame, keys, cutoff):
-            for low in range(0, len(x), 1 << 12):
-                i, j = x[low : low + (1 << 12)], y[low : low + (1 << 12)]
-                out = {"video_id": frame["video_id"].to_numpy()[i]}
-                yield pd.DataFrame(out | {name: frame[c].to_numpy()[i if name.endswith("x") else j] for c, name in names})
-
     def run(batches):
-        held = None
-        for b in batches:
-            if not len(b):
-                continue
-            b = b if held is None else pd.concat([held, b], ignore_index=True)
-            last = b[keys].iloc[-1]
-            open_ = (b[keys] == last).all(axis=1).to_numpy()
-            held = b[open_]
-            if not open_.all():
-                yield from pairs(b[~open_])
-        if held is not None:
-            yield from pairs(held)
+        for frame in _whole(batches, keys):
+            for x, y in _within(frame, keys, cutoff):
+                for low in range(0, len(x), WHOLE):
+                    i, j = x[low : low + WHOLE], y[low : low + WHOLE]
+                    out = {"video_id": frame["video_id"].to_numpy()[i]}
+                    yield pd.DataFrame(out | {name: frame[c].to_numpy()[i if name.endswith("x") else j] for c, name in names})
 
     types = dict(lines.dtypes)
     schema = ", ".join(["video_id " + types["video_id"], *[f"{name} {types[c]}" for c, name in names]])
-    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return lines.select(*keys, *rest, "text").repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return _together(lines.select(*keys, *rest, "text"), keys).mapInPandas(run, schema)
+
+
+def _go(texts: np.ndarray, group: np.ndarray, node: np.ndarray, rank: np.ndarray, cutoff: float, nodes: int) -> np.ndarray:
+    """Which of `nodes` lines go: those like an earlier line of the group (by `rank`) that stays, in the rounds of `repeats`.
+    A pair is looked at whole once the earlier line stays."""
+    known = np.array([bool(t) for t in texts], bool)
+    texts, group, node, rank = texts[known], group[known], node[known], rank[known]
+    found = [(np.zeros(0, np.int64),) * 2]
+    for i, j in _met(texts, group, **_by_ratio(cutoff)):
+        later = rank[i] > rank[j]
+        x, y = np.where(later, i, j), np.where(later, j, i)
+        found.append((x[rank[x] > rank[y]], y[rank[x] > rank[y]]))
+    x, y = (np.concatenate(side) for side in zip(*found))
+    gone = np.zeros(nodes, bool)
+    while len(x):
+        open_ = np.zeros(nodes, bool)
+        open_[node[x]] = True
+        ready = ~open_[node[y]]
+        if not ready.any():
+            break
+        i, j = x[ready], y[ready]
+        for low in range(0, len(i), WHOLE):
+            k = slice(low, low + WHOLE)
+            gone[node[i[k][alike(texts[i[k]], texts[j[k]], cutoff, counted=True)]]] = True
+        left = ~ready & ~gone[node[x]] & ~gone[node[y]]
+        x, y = x[left], y[left]
+    return gone
+
+
+def _deduped(frame: pd.DataFrame, within: float, across: float, most_lines: int | None) -> pd.DataFrame:
+    """Both steps of `dedup_lines` over whole videos `(video_id, window_no, line_no, text, low)`."""
+    frame = frame.sort_values("line_no", kind="stable")
+    frame = frame.assign(_v=_number(frame, ["video_id"]), _w=_number(frame, ["video_id", "window_no"]), _k=_number(frame, ["video_id", "line_no"]))
+    nodes = len(frame)
+    small = np.ones(len(frame), bool) if most_lines is None else np.bincount(frame["_w"])[frame["_w"]] <= most_lines
+    first = frame[small].drop_duplicates(["_w", "low"])
+    stays = np.zeros(nodes, bool)
+    stays[first["_k"]] = True
+    stays &= ~_go(first["low"].to_numpy(object), first["_w"].to_numpy(), first["_k"].to_numpy(), first["line_no"].to_numpy(), within, nodes)
+    kept = frame[~small | stays[frame["_k"]]].sort_values(["window_no", "line_no"], kind="stable")
+    texts = kept.drop_duplicates(["_v", "text"])
+    gone = _go(texts["text"].to_numpy(object), texts["_v"].to_numpy(), texts["_k"].to_numpy(), texts["window_no"].to_numpy(), across, nodes)
+    fresh = texts[~gone[texts["_k"]]][["_v", "text", "window_no"]].dropna()
+    return kept.merge(fresh, on=["_v", "text", "window_no"])[["video_id", "line_no", "text"]]
 
 
 def similar_pairs(lines: DataFrame, keys: list[str], cutoff: float, before: Column) -> DataFrame:
     """`(video_id, x, y)`: lines `y` before `x` (their `line_no`) whose block ratio with `x` reaches `cutoff`.
 
     `lines (keys.., line_no, text)`, `line_no` and any further column whole numbers without null; `before`
-    relates the two sides, with `_x` and `_y` after the names. Groups of at most `FEW_LINES` lines are shuffled once and
-    compared whole, by length and character counts first. In longer ones lines meet on pieces, two to three rows a character:
+    relates the two sides, with `_x` and `_y` after the names. Groups of at most `FEW_LINES` lines and `FEW_CHARS` characters
+    are shuffled once and compared whole, by length and character counts first. In longer ones lines meet on pieces, two to three rows a character:
     with a ratio of at least t, the characters of both that stand
     outside the blocks are at most (1 - t) of all, and the longer line is at most 2 / t - 1 times the other.
     So of one piece more than that, one piece of `y` is found whole in `x`, moved by no more than that. Pairs meet on
@@ -153,8 +229,7 @@ def similar_pairs(lines: DataFrame, keys: list[str], cutoff: float, before: Colu
         raise ValueError("pieces need a cutoff above 2/3")
     cut, rest = _Cut(cutoff), [c for c in lines.columns if c not in (*keys, "text")]
     filled = lines.where("text <> ''").dropna(subset=keys)
-    # at most lines / FEW_LINES groups
-    long = F.broadcast(filled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW_LINES).select(*keys))
+    long = F.broadcast(_long(filled, keys))
     few = _met_within(filled.join(long, keys, "left_anti"), keys, rest, cutoff).where(before)
     filled = filled.join(long, keys, "left_semi")
     side = lambda name, every: _pieces(filled, [*keys, *rest], cut, every).withColumnsRenamed({c: f"{c}_{name}" for c in (*rest, "n", "at")})
@@ -190,19 +265,40 @@ def repeats(pairs: DataFrame) -> DataFrame:
     return gone
 
 
-def dedup_lines(lines: DataFrame, within: float = 0.90, across: float = 0.93, most_lines: int | None = None, memory: int | None = None) -> DataFrame:
+def dedup_lines(lines: DataFrame, within: float = 0.90, across: float = 0.93, most_lines: int | None = None, memory: int | None = None,
+                counted: DataFrame | None = None) -> DataFrame:
     """Lines `(video_id, line_no, text, window_no)` that repeat neither their window nor the past.
 
     Inside a window a line like one that stays (case folded) goes. Then lines go that are like a line
-    kept from an earlier window. Both are similarity joins over distinct texts, then rounds over the pairs
+    kept from an earlier window. Videos of at most `FEW_LINES` lines and `FEW_CHARS` characters are held one at a time, after
+    one shuffle of their lines. In longer ones both steps are similarity joins over distinct texts, then rounds over the pairs
     found; no window, video or memory is held. Windows of more than `most_lines` lines skip the first
     step. With `memory`, only the last so many kept lines count: their number depends on every decision
-    before, so this form goes through each video in order and holds that many lines.
+    before, so this form goes through each video in order and holds that many lines. `counted (video_id, text)` has at least
+    the lines of each video, where these are sooner read than `lines`: by it the long videos are found.
     """
     if memory is not None:
         rows = fixed_blocks(lines, "line_no", 1 << 14)
         return fold(rows, ["video_id"], ["line_no"], ["window_no", "line_no", "text"], dedup_step(within, across, most_lines, memory), "line_no long, text string")
-    lines = checkpointed(lines.select("video_id", "window_no", F.col("line_no").cast("long").alias("line_no"), "text"))
+    lines = lines.select("video_id", "window_no", F.col("line_no").cast("long").alias("line_no"), "text")
+    long = checkpointed(_long(lines if counted is None else counted, ["video_id"]))
+    if long.isEmpty():
+        return _dedup_few(lines, within, across, most_lines)
+    few = _dedup_few(lines.join(F.broadcast(long), "video_id", "left_anti"), within, across, most_lines)
+    return few.unionByName(_dedup_long(lines.join(F.broadcast(long), "video_id", "left_semi"), within, across, most_lines))
+
+
+def _dedup_few(lines: DataFrame, within: float, across: float, most_lines: int | None) -> DataFrame:
+    def run(batches):
+        for frame in _whole(batches, ["video_id"]):
+            yield _deduped(frame, within, across, most_lines)
+
+    rows = _together(lines.dropna(subset=["video_id", "window_no", "line_no"]), ["video_id"])
+    return rows.withColumn("low", F.lower("text")).mapInPandas(run, lines.select("video_id", "line_no", "text").schema)
+
+
+def _dedup_long(lines: DataFrame, within: float, across: float, most_lines: int | None) -> DataFrame:
+    lines = checkpointed(lines)
     key = ["video_id", "window_no"]
     small, exempt = lines, lines.limit(0)
     if most_lines is not None:

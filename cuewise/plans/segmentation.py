@@ -295,8 +295,10 @@ def f20(t):
     """Exact similarity ratio: within a window of lines, then against the lines kept before the window."""
     from cuewise.operators.neardup import dedup_lines
 
-    lines = t.lin.select("video_id", F.col("line_no").cast("long").alias("line_no"), tx.normalize_line(F.col("text")).alias("text")).where("text <> ''")
-    return dedup_lines(lines.withColumn("window_no", F.floor(F.col("line_no") / 8)))
+    lines = t.lin.select("video_id", F.col("line_no").cast("long").alias("line_no"), "text")
+    # else the filter repeats what makes the text
+    lines = once(lines, text=tx.normalize_line(F.col("text"))).where("text <> ''")
+    return dedup_lines(lines.withColumn("window_no", F.floor(F.col("line_no") / 8)), counted=t.lin)
 
 
 @query("f20_levenshtein_near_duplicates", "lin", """

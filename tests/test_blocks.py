@@ -141,3 +141,46 @@ def test_common_words_equal_table(spark):
     df = spark.createDataFrame(rows, "k int, a array<string>, b array<string>")
     got = {r.k: r.n for r in df.select("k", common_words(F.col("a"), F.col("b")).alias("n")).collect()}
     assert got == {k: lcs(a, b) for k, a, b in rows}
+
+
+def test_long_pairs_settle_early():
+    """Turned, mixed and long strings: what is looked at first never rejects a pair wrongly."""
+    a, b = zip(*pairs(300, (198, 200, 230, 420), 60, 11))
+    a, b = [*a, "ab" * 150, "x" * 300, "", "abc" * 80], [*b, "ba" * 150, "x" * 260, "y" * 300, "cab" * 80]
+    want = np.array([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+    assert (blocks.ratios(a, b) == want).all()
+    for cutoff in (0.7, 0.9, 0.93, *np.unique(want)[::20]):
+        assert (blocks.alike(a, b, cutoff) == (want >= cutoff)).all()
+    assert blocks.may_match(a, b, want * [(len(x) + len(y)) / 2 for x, y in zip(a, b)]).all()
+
+
+def test_mixed_characters_are_not_matched(monkeypatch):
+    """The same characters in another order: known by their short runs, no block is sought."""
+    rng = random.Random(2)
+    a = [some(rng, n, "abcdefghijklmnop ") for n in (60, 150, 250, 900) for _ in range(20)]
+    b = ["".join(rng.sample(t, len(t))) for t in a]
+    monkeypatch.setattr(blocks, "_matched_short", None)
+    monkeypatch.setattr(blocks, "SequenceMatcher", lambda *_: None)
+    assert not blocks.alike(a, b, 0.9).any()
+
+
+@pytest.mark.parametrize("most_lines", [None, 6])
+def test_held_videos_equal_joined_ones(spark, monkeypatch, most_lines):
+    """Also where line numbers come twice, with the same text or another one; null keys and texts; held videos take one Python step."""
+    rng = random.Random(21)
+    base = ["The quick brown fox jumps", "over a lazy dog again", "ab", "", "numbers one two three four " * 10]
+    rows = []
+    for v in ("p", "q", "r", None):
+        for n in range(60):
+            for _ in range(rng.choice([1, 1, 1, 2])):
+                t = changed(rng, rng.choice(base), "abcXYZ ", 2)
+                rows += [(v, n // 8, n, t.upper() if rng.random() < 0.1 else t)] * rng.choice([1, 1, 1, 2])
+    df = spark.createDataFrame([*rows, ("p", 0, 3, None)], "video_id string, window_no long, line_no long, text string")
+    held = nd.dedup_lines(df, most_lines=most_lines)
+    plan = held._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("MapInPandas") == 1 and plan.count("Exchange") == 1 and "ExistingRDD" in plan
+    found = {}
+    for few in (0, 1 << 10):
+        monkeypatch.setattr(nd, "FEW_LINES", few)
+        found[few] = sorted(map(tuple, nd.dedup_lines(df, most_lines=most_lines).collect()))
+    assert found[0] == found[1 << 10] and len(found[0]) > 20

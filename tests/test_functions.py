@@ -1,5 +1,7 @@
 """Scalar rules on literals: Han text, bad stamps, broken JSON, option lists."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,16 @@ def test_normalize_line(spark):
     assert values(spark, ["-- what??! ok --", "測試 測試", "a  b", "——"], tx.normalize_line(F.col("a"))) == ["what? ok", "測試", "a b", ""]
 
 
+def test_normalize_line_at_its_edges(spark):
+    """As with every pattern over every line, also before the line ends that Java's `$` knows."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab ab  -–—\t\r\n\u0085\u2028\u3000\x0b\x1c?？！!、,…．。漢😀x") for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 9]))) for _ in range(3000)]
+    c = F.regexp_replace(F.col("a"), f"([{tx.PUNCT}])[{tx.PUNCT}]+", "$1")
+    c = F.regexp_replace(c, r"(?U)^([\x{4e00}-\x{9fff}A-Za-z0-9\-_]+)(?:\s+\1)+$", "$1")
+    c = tx.strip(F.regexp_replace(F.regexp_replace(c, r"(?U)\s{2,}", " "), r"^[ \t\-–—]+|[ \t\-–—]+$", ""))
+    assert values(spark, texts, tx.normalize_line(F.col("a"))) == values(spark, texts, c)
+
+
 def test_titles(spark):
     assert values(spark, ["那個主題介紹。", "所以ab", "A  title!"], tx.clean_title(F.col("a"))) == ["個主題介紹", "所以ab", "A title"]
     assert values(spark, ["[模組] 內容", "[solo]", "單元3：天花板"], tx.client_title(F.col("a"))) == ["模組 - 內容", "solo", "天花板"]
