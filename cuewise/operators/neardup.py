@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuewise.functions.blocks import alike, char_counts
+from cuewise.functions.blocks import alike, char_counts, within_edits
 from cuewise.operators.folds import fold
 from cuewise.operators.ordered import fixed_blocks
 from cuewise.session import checkpointed
@@ -353,23 +353,71 @@ def dedup_step(within: float = 0.90, across: float = 0.93, most_lines: int | Non
 def near_earlier(lines: DataFrame, edits: int) -> DataFrame:
     """Lines with an earlier line of the same video within `edits` edits.
 
-    `edits + 1` pieces: an edit can spoil one piece only, so a true pair shares a piece at a start
-    shifted by at most `edits`. Equal lines are answered first by an aggregate and leave the join,
-    and equal pieces of equal lines are combined, so a line repeated many times adds one row.
+    Videos of at most `FEW_LINES` lines and `FEW_CHARS` characters are held one at a time, after one shuffle of their lines.
+    In longer ones lines meet on pieces (`_near_joined`). In both, equal lines are answered first and count once.
+    """
+    long = checkpointed(_long(lines, ["video_id"]))
+    if long.isEmpty():
+        return _near_few(lines, edits)
+    few = _near_few(lines.join(F.broadcast(long), "video_id", "left_anti"), edits)
+    return few.unionByName(_near_joined(lines.join(F.broadcast(long), "video_id", "left_semi"), edits))
+
+
+def _by_edits(edits: int) -> dict:
+    """For `_met`: what at most so many edits need."""
+    return {"reach": lambda n: n + edits, "least": lambda n, m: m - edits}
+
+
+def _near(frame: pd.DataFrame, edits: int) -> pd.DataFrame:
+    """Rows of whole videos `(video_id, line_no, text)` that come after a line of their video within `edits` edits."""
+    frame = frame.sort_values("line_no", kind="stable")
+    frame = frame.assign(_t=_number(frame, ["video_id", "text"]))
+    texts = frame.drop_duplicates("_t")
+    text, first = texts["text"].to_numpy(object), texts["line_no"].to_numpy()
+    hit = np.zeros(len(texts), bool)
+    for i, j in _met(text, _number(texts, ["video_id"]), **_by_edits(edits)):
+        later = first[i] > first[j]
+        x, y = np.where(later, i, j), np.where(later, j, i)
+        for low in range(0, len(x), WHOLE):
+            a, b = x[low : low + WHOLE], y[low : low + WHOLE]
+            open_ = ~hit[a] & (first[a] > first[b])
+            a, b = a[open_], b[open_]
+            hit[a[within_edits(text[a], text[b], edits)]] = True
+    return frame[(first[frame["_t"]] < frame["line_no"]) | hit[frame["_t"]]][["video_id", "line_no"]]
+
+
+def _near_few(lines: DataFrame, edits: int) -> DataFrame:
+    def run(batches):
+        for frame in _whole(batches, ["video_id"]):
+            yield _near(frame, edits)
+
+    rows = lines.select("video_id", "line_no", "text").dropna()
+    return _together(rows, ["video_id"]).mapInPandas(run, rows.select("video_id", "line_no").schema)
+
+
+def _near_joined(lines: DataFrame, edits: int) -> DataFrame:
+    """`near_earlier` for videos that are not held.
+
+    `edits + 1` pieces: an edit can spoil one piece only, so a true pair shares a piece, moved by `d`. What stands before it
+    then differs by `d` in length and what follows by the rest of the difference in length, so these are at most `edits`
+    together. Lines meet on the hash of such a piece; only then are texts joined to them. Equal lines are answered first
+    by an aggregate and leave the join, so a line repeated many times adds one row.
     """
     n = edits + 1
-    distinct = lines.groupBy("video_id", "text").agg(F.min("line_no").alias("first"))
+    lines = checkpointed(lines)
+    distinct = lines.groupBy("video_id", "text").agg(F.min("line_no").alias("first")).withColumn("k", F.xxhash64("text"))
     size = F.length("text")
-    cut = lambda i: F.floor(size * i / n).cast("int")
-    own = distinct.select("video_id", "text", "first", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), cut(i).alias("at"), F.substring("text", cut(i) + 1, cut(i + 1) - cut(i)).alias("piece"), size.alias("size")) for i in range(n)])).alias("p")).select("video_id", F.col("text").alias("t1"), F.col("first").alias("f1"), "p.*")
-    lengths = F.explode(F.sequence(F.greatest(size - edits, F.lit(0)), size + edits))
-    other = distinct.select("video_id", F.col("text").alias("t2"), F.col("first").alias("f2"), lengths.alias("size"))
-    k = F.col("size")
-    piece = lambda i, d: F.substring("t2", F.floor(k * i / n).cast("int") + 1 + d, (F.floor(k * (i + 1) / n) - F.floor(k * i / n)).cast("int"))
-    probes = other.select("video_id", "t2", "f2", "size", F.explode(F.array_distinct(F.array(*[
-        F.struct(F.lit(i).alias("i"), piece(i, d).alias("piece")) for i in range(n) for d in range(-edits, edits + 1)]))).alias("q")).select("video_id", "t2", "f2", "size", "q.*")
-    near = own.join(probes, ["video_id", "size", "i", "piece"]).where("f1 < f2 AND t1 <> t2").where(F.levenshtein("t1", "t2", edits) >= 0)
+
+    def piece(size: Column, i: int, d: int) -> Column:
+        low, high = (F.floor(size * k / n).cast("int") for k in (i, i + 1))
+        return F.xxhash64(size, F.lit(i), F.when(low + d >= 0, F.substring("text", low + d + 1, high - low)))
+
+    moved = [(more, i, d) for more in range(-edits, edits + 1) for i in range(n) for d in range(-edits, edits + 1) if abs(d) + abs(more - d) <= edits]
+    rows = lambda side, pieces: distinct.select("video_id", F.col("k").alias(f"k{side}"), F.col("first").alias(f"f{side}"), F.explode(F.array_distinct(F.array(*pieces))).alias("h"))
+    own, probes = rows(1, [piece(size, i, 0) for i in range(n)]), rows(2, [piece(size - more, i, d) for more, i, d in moved])
+    met = own.join(probes, ["video_id", "h"]).where("f1 < f2").select("video_id", "k1", "f1", "k2", "f2").distinct()
+    text = lambda side: distinct.select("video_id", F.col("k").alias(f"k{side}"), F.col("first").alias(f"f{side}"), F.col("text").alias(f"t{side}"))
+    near = met.join(text(1), ["video_id", "k1", "f1"]).join(text(2), ["video_id", "k2", "f2"]).where(F.levenshtein("t1", "t2", edits) >= 0)
     hits = near.groupBy("video_id", F.col("t2").alias("text")).agg(F.min("f1").alias("_near"))
-    rows = lines.join(distinct, ["video_id", "text"]).join(hits, ["video_id", "text"], "left")
+    rows = lines.join(distinct.drop("k"), ["video_id", "text"]).join(hits, ["video_id", "text"], "left")
     return rows.where((F.col("first") < F.col("line_no")) | (F.col("_near") < F.col("line_no"))).select("video_id", "line_no")

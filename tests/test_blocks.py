@@ -184,3 +184,39 @@ def test_held_videos_equal_joined_ones(spark, monkeypatch, most_lines):
         monkeypatch.setattr(nd, "FEW_LINES", few)
         found[few] = sorted(map(tuple, nd.dedup_lines(df, most_lines=most_lines).collect()))
     assert found[0] == found[1 << 10] and len(found[0]) > 20
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_within_edits():
+    a, b = zip(*pairs(1500, (0, 1, 2, 3, 5, 12, 40), 4, 5))
+    want = np.array([edit_distance(x, y) for x, y in zip(a, b)])
+    for edits in range(4):
+        assert (blocks.within_edits(a, b, edits) == (want <= edits)).all()
+    assert blocks.within_edits([], [], 2).tolist() == []
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_lines_near_an_earlier_one(spark, monkeypatch, edits):
+    """Held or joined, also with empty lines, texts and numbers that come twice, and nulls; held videos are shuffled once, as lines."""
+    rng = random.Random(edits)
+    base = ["", "a", "abc", "the quick brown fox", "over a lazy dog again", "漢字😀 line of words"]
+    rows = []
+    for v in ("p", "q", None):
+        for n in range(70):
+            t = changed(rng, rng.choice(base), "abcXYZ ", 4)
+            rows += [(v, n - n % 9 // 8, t)] * rng.choice([1, 1, 2])
+    df = spark.createDataFrame([*rows, ("p", 1, None), ("q", None, "abc")], "video_id string, line_no long, text string")
+    plan = nd.near_earlier(df, edits)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    want = sorted((v, n) for v, n, t in rows if v and any(w == v and m < n and edit_distance(t, u) <= edits for w, m, u in rows))
+    for few in (0, 1 << 10):
+        monkeypatch.setattr(nd, "FEW_LINES", few)
+        assert sorted(map(tuple, nd.near_earlier(df, edits).collect())) == want
