@@ -36,8 +36,8 @@ def _hashes(text: str, at: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 #: Lines and characters of a group up to which every two of its lines are compared; pairs that one step compares, and that
-#: are looked at whole together.
-FEW_LINES, FEW_CHARS, PAIRS, WHOLE = 1 << 10, 1 << 22, 1 << 14, 1 << 12
+#: are looked at whole together; lines of a group that are settled together.
+FEW_LINES, FEW_CHARS, PAIRS, WHOLE, AT_ONCE = 1 << 13, 1 << 22, 1 << 14, 1 << 12, 1 << 8
 
 
 class _Cut:
@@ -116,25 +116,33 @@ def _number(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
 
 
-def _met(texts: np.ndarray, group: np.ndarray, reach, least):
+def _met(texts: np.ndarray, group: np.ndarray, reach, least, new: np.ndarray | None = None):
     """Pairs of row numbers of one group, each pair once, step by step: a text of `n` characters meets longer ones of up to
-    `reach(n)`, and `least(n, m)` characters must stand in both."""
+    `reach(n)`, and `least(n, m)` characters must stand in both. With `new`, only pairs with such a row."""
     n = np.array([len(t) for t in texts], np.int64)
     order = np.lexsort((n, group)).astype(np.int32)
     group, n, far = group[order], n[order], reach(n[order])
+    new = np.ones(len(n), bool) if new is None else new[order]
     width = int(far.max(initial=0)) + 1
-    many = np.searchsorted(group * width + n, group * width + far, "right") - np.arange(len(n)) - 1
-    row = np.flatnonzero(many)
-    steps = np.zeros(len(n) + 1, np.int64)
-    np.add.at(steps, row, 1)
-    np.add.at(steps, row + many[row] + 1, -1)
-    used = np.cumsum(steps)[:-1] > 0
+    start = np.arange(len(n)) + 1
+    end = np.searchsorted(group * width + n, group * width + far, "right")
+    # a row meets all that follow, or the new ones among them, which stand behind all in `to`
+    fresh = np.flatnonzero(new)
+    to = np.concatenate([np.arange(len(n)), fresh])
+    start, end = (np.where(new, at, len(n) + np.searchsorted(fresh, at)) for at in (start, end))
+    many = end - start
+    used, row = np.zeros(len(n), bool), np.flatnonzero(many)
+    steps = np.zeros(len(to) + 1, np.int64)
+    np.add.at(steps, start[row], 1)
+    np.add.at(steps, end[row], -1)
+    used[to[np.cumsum(steps)[:-1] > 0]] = True
+    used[row] = True
     counts, at = char_counts(texts[order[used]]).astype(np.int32), np.cumsum(used) - 1
     ends, low = np.cumsum(many), 0
     while low < len(n):
         high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, "right")))
         x = np.repeat(np.arange(low, high), many[low:high])
-        y = x + 1 + np.arange(len(x)) - np.repeat(ends[low:high] - many[low:high] - (ends[low - 1] if low else 0), many[low:high])
+        y = to[start[x] + np.arange(len(x)) - np.repeat(ends[low:high] - many[low:high] - (ends[low - 1] if low else 0), many[low:high])]
         near = np.minimum(counts[at[x]], counts[at[y]]).sum(axis=1) >= least(n[x], n[y])
         yield order[x[near]], order[y[near]]
         low = high
@@ -171,18 +179,30 @@ def _met_within(lines: DataFrame, keys: list[str], rest: list[str], cutoff: floa
 
 def _go(texts: np.ndarray, group: np.ndarray, node: np.ndarray, rank: np.ndarray, cutoff: float, nodes: int) -> np.ndarray:
     """Which of `nodes` lines go: those like an earlier line of the group (by `rank`) that stays, in the rounds of `repeats`.
-    A pair is looked at whole once the earlier line stays."""
+    `AT_ONCE` lines of a group at a time meet each other and what stayed before them; a pair is looked at whole once the
+    earlier line stays."""
     known = np.array([bool(t) for t in texts], bool)
     texts, group, node, rank = texts[known], group[known], node[known], rank[known]
-    found = [(np.zeros(0, np.int64),) * 2]
-    for i, j in _met(texts, group, **_by_ratio(cutoff)):
-        later = rank[i] > rank[j]
-        x, y = np.where(later, i, j), np.where(later, j, i)
-        found.append((x[rank[x] > rank[y]], y[rank[x] > rank[y]]))
-    x, y = (np.concatenate(side) for side in zip(*found))
+    order = np.lexsort((rank, group))
+    first = np.flatnonzero(np.diff(group[order], prepend=-1))
+    part = np.zeros(len(order), np.int64)
+    part[order] = (np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))) // AT_ONCE
     gone = np.zeros(nodes, bool)
+    for k in range(part.max(initial=-1) + 1):
+        rows = np.flatnonzero((part <= k) & np.isin(group, group[part == k]) & ~gone[node])
+        found = [(np.zeros(0, np.int32),) * 2]
+        for i, j in _met(texts[rows], group[rows], **_by_ratio(cutoff), new=part[rows] == k):
+            i, j = rows[i].astype(np.int32), rows[j].astype(np.int32)
+            later = rank[i] > rank[j]
+            x, y = np.where(later, i, j), np.where(later, j, i)
+            found.append((x[rank[x] > rank[y]], y[rank[x] > rank[y]]))
+        _settle(texts, node, *(np.concatenate(side) for side in zip(*found)), cutoff, gone)
+    return gone
+
+
+def _settle(texts: np.ndarray, node: np.ndarray, x: np.ndarray, y: np.ndarray, cutoff: float, gone: np.ndarray) -> None:
     while len(x):
-        open_ = np.zeros(nodes, bool)
+        open_ = np.zeros(len(gone), bool)
         open_[node[x]] = True
         ready = ~open_[node[y]]
         if not ready.any():
@@ -193,7 +213,6 @@ def _go(texts: np.ndarray, group: np.ndarray, node: np.ndarray, rank: np.ndarray
             gone[node[i[k][alike(texts[i[k]], texts[j[k]], cutoff, counted=True)]]] = True
         left = ~ready & ~gone[node[x]] & ~gone[node[y]]
         x, y = x[left], y[left]
-    return gone
 
 
 def _deduped(frame: pd.DataFrame, within: float, across: float, most_lines: int | None) -> pd.DataFrame:

@@ -4,6 +4,7 @@ import difflib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +221,19 @@ def test_lines_near_an_earlier_one(spark, monkeypatch, edits):
     for few in (0, 1 << 10):
         monkeypatch.setattr(nd, "FEW_LINES", few)
         assert sorted(map(tuple, nd.near_earlier(df, edits).collect())) == want
+
+
+def test_lines_settle_in_parts(monkeypatch):
+    """However many lines of a held video are settled at once; 5,000 lines are held."""
+    rng = random.Random(31)
+    base = ["The quick brown fox jumps", "over a lazy dog again", "ab", "numbers one two three " * 11, "row 1234 of the table"]
+    rows = [(v, n // 8, n, changed(rng, rng.choice(base), "abXYZ 123", 4)) for v in range(5) for n in range(rng.choice([5, 40, 250]))]
+    frame = pd.DataFrame(rows, columns=["video_id", "window_no", "line_no", "text"])
+    frame["low"] = frame["text"].str.lower()
+    found = []
+    for at_once, pairs_ in ((1, 7), (3, 1 << 14), (64, 50), (1 << 20, 1 << 14)):
+        monkeypatch.setattr(nd, "AT_ONCE", at_once)
+        monkeypatch.setattr(nd, "PAIRS", pairs_)
+        found.append(sorted(map(tuple, nd._deduped(frame, 0.9, 0.93, None).to_numpy())))
+    assert all(f == found[0] for f in found) and 50 < len(found[0]) < len(rows)
+    assert nd.FEW_LINES >= 5000
